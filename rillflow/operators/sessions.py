@@ -32,8 +32,8 @@ def sessionize(events: DataFrame, keys: list[str], at: str, confidence: str, gap
     """One row per session: start, end, count and the highest confidence plus 0.05 for each further row, at most 1."""
     numbered = number_sessions(events, keys, at, gap_sec, tie)
     return numbered.groupBy(*keys, "session_no").agg(
-        F.min(at).alias("start_sec"),
-        F.max(at).alias("end_sec"),
+        F.min(at_sec).alias("start_sec"),
+        F.max(at_sec).alias("end_sec"),
         F.count("*").alias("occurrence_count"),
         F.least(F.lit(1.0), F.max(confidence) + 0.05 * (F.count("*") - 1)).alias("confidence"),
     )
@@ -68,13 +68,13 @@ def q_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SESSIONS_CTE = """
 marked AS (
-  SELECT event_id, event_type AS event_name, epoch(ts) AS at, least(1.0, value / 100) AS confidence,
+  SELECT event_id, event_type AS event_name, epoch(ts) AS at_sec, least(1.0, value / 100) AS confidence,
          CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) > 1800 THEN 1 ELSE 0 END AS opened
   FROM events),
 numbered AS (
-  SELECT *, sum(opened) OVER (PARTITION BY event_name ORDER BY at, event_id ROWS UNBOUNDED PRECEDING) AS session_no FROM marked),
+  SELECT *, sum(opened) OVER (PARTITION BY event_name ORDER BY at_sec, event_id ROWS UNBOUNDED PRECEDING) AS session_no FROM marked),
 sessions AS (
-  SELECT event_name, CAST(session_no AS BIGINT) AS session_no, min(at) AS start_sec, max(at) AS end_sec, count(*) AS occurrence_count,
+  SELECT event_name, CAST(session_no AS BIGINT) AS session_no, min(at_sec) AS start_sec, max(at_sec) AS end_sec, count(*) AS occurrence_count,
          least(1.0, max(confidence) + 0.05 * (count(*) - 1)) AS confidence
   FROM numbered GROUP BY event_name, session_no)
 """
