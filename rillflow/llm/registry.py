@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import sql
 from rillflow.llm.exact_dedup import exact_dedup
+from rillflow.llm.mixing import mix
 from rillflow.session import table
 
 
@@ -15,8 +16,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup,)}
+    return {f.__name__: f for f in (op1_exact_dedup, op6_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,4 +9,33 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM d JOIN g USING (text_sha256)
 """
 
-ORACLE_SQL = {"op1_exact_dedup": OP1}
+OP6 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mix_key
+  FROM documents),
+p AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
+  FROM d GROUP BY source),
+r AS (SELECT *, (place - 1) % 3 + 1 AS weight, 3 * source_size AS most, source_size / ((place - 1) % 3 + 1) AS ratio FROM p),
+s AS (
+  SELECT *,
+    CAST(sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / CAST(sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS share
+  FROM r),
+f AS (SELECT ratio, place, share FROM s WHERE share * weight < most ORDER BY ratio, place LIMIT 1),
+t AS (
+  SELECT s.source, s.source_size,
+    CASE WHEN f.place IS NULL OR s.ratio < f.ratio OR (s.ratio = f.ratio AND s.place < f.place) THEN CAST(most AS DOUBLE) ELSE f.share * weight END AS target
+  FROM s LEFT JOIN f ON true),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+x AS (
+  SELECT d.*, e.source_size, e.target, e.epochs, CAST(floor(target - epochs * source_size + 0.5) AS BIGINT) AS budget,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY mix_key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(epochs * size + greatest(0, least(size, budget - before)) AS BIGINT) AS taken, mix_key
+FROM x
+"""
+
+ORACLE_SQL = {"op1_exact_dedup": OP1, "op6_mix_sources": OP6}
