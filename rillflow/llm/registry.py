@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rillflow.llm import sql
 from rillflow.llm.exact_dedup import exact_dedup
 from rillflow.llm.mixing import mix
+from rillflow.llm.packing import pack
 from rillflow.session import table
 
 
@@ -20,8 +21,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op6_mix_sources)}
+    return {f.__name__: f for f in (op1_exact_dedup, op6_mix_sources, op7_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
