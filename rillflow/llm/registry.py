@@ -10,6 +10,7 @@ from rillflow.llm import sql
 from rillflow.llm.exact_dedup import exact_dedup
 from rillflow.llm.mixing import mix
 from rillflow.llm.packing import pack
+from rillflow.llm.secrets import scan_secrets
 from rillflow.llm.syncmers import fingerprints
 from rillflow.session import table
 
@@ -22,6 +23,10 @@ def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -31,7 +36,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_syncmer_fingerprints, op6_mix_sources, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_syncmer_fingerprints, op5_secret_scan, op6_mix_sources, op7_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
