@@ -19,7 +19,8 @@ WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_RANGE = 5_000
+ROWS_PER_RANGE = 500
+MAX_DIGITS = 4
 
 
 def word_count(text: Column) -> Column:
@@ -87,7 +88,7 @@ def mix(
         "sizes",
     )
     digits = 1
-    while 16**digits * rows_per_range < sized.count() and digits < 8:
+    while 16**digits * rows_per_range < sized.count() and digits < MAX_DIGITS:
         digits += 1
     sized = sized.withColumn("range", F.substring("mix_key", 1, digits)).withColumn("group", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     w = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
