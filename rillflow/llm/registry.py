@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rillflow.llm import sql
 from rillflow.llm.exact_dedup import exact_dedup
 from rillflow.llm.mixing import mix
+from rillflow.llm.near_dedup import near_duplicates
 from rillflow.llm.packing import pack
 from rillflow.llm.secrets import scan_secrets
 from rillflow.llm.syncmers import fingerprints
@@ -35,8 +36,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_syncmer_fingerprints, op5_secret_scan, op6_mix_sources, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_syncmer_fingerprints, op5_secret_scan, op6_mix_sources, op7_best_fit_packing, op9_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -97,8 +97,8 @@ def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> Iterator[np.n
             if hi - lo >= width:
                 yield np.unique(rolled[lo : hi - width + 1])
             elif hi > lo:
-                few = (words[lo:hi] * weights[: hi - lo]).sum(dtype=np.uint64) + weights[width] * np.uint64(hi - lo)
-                yield mix64(np.array([few], dtype=np.uint64))
+                few = (words[lo:hi] * weights[: hi - lo]).sum(dtype=np.uint64, keepdims=True)
+                yield mix64(few + weights[width:] * np.uint64(hi - lo))
             else:
                 yield np.empty(0, dtype=np.uint64)
 
