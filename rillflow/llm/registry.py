@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import sql
 from rillflow.llm.exact_dedup import exact_dedup
+from rillflow.llm.language_id import language_id
 from rillflow.llm.mixing import mix
 from rillflow.llm.near_dedup import near_duplicates
 from rillflow.llm.packing import pack
@@ -20,6 +21,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_syncmer_fingerprints, op5_secret_scan, op6_mix_sources, op7_best_fit_packing, op9_near_duplicates)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_syncmer_fingerprints, op5_secret_scan, op6_mix_sources, op7_best_fit_packing, op9_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -68,27 +68,26 @@ def blocks(texts: list[bytes | None], limit: int = BLOCK_BYTES) -> Iterator[list
         yield block
 
 
-def word_hashes(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of a block and, per document, where its words begin (n + 1 offsets)."""
-    joined = np.frombuffer(b" ".join(block) + b" ", dtype=np.uint8)
+def locate_words(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's lower-cased bytes, its words' starts, ends and 64-bit hashes, and where each document's words begin (n + 1 offsets)."""
+    joined = _LOWER[np.frombuffer(b" ".join(block) + b" ", dtype=np.uint8)]
     lengths = np.fromiter((len(x) + 1 for x in block), dtype=np.int64, count=len(block))
-    doc_ends = np.cumsum(lengths)
     solid = ~_SPACE[joined]
     edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0)))
     starts, ends = edges[0::2], edges[1::2]
     power, inverse = _power_tables(len(joined))
     running = np.empty(len(joined) + 1, dtype=np.uint64)
     running[0] = 0
-    np.cumsum(_BYTE_VALUE[_LOWER[joined]] * power[: len(joined)], out=running[1:])
-    words = mix64((running[ends] - running[starts]) * inverse[starts])
-    return words, np.concatenate([[0], np.searchsorted(starts, doc_ends)])
+    np.cumsum(_BYTE_VALUE[joined] * power[: len(joined)], out=running[1:])
+    names = mix64((running[ends] - running[starts]) * inverse[starts])
+    return joined, starts, ends, names, np.concatenate([[0], np.searchsorted(starts, np.cumsum(lengths))])
 
 
 def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> Iterator[np.ndarray]:
     """Each document's sorted distinct shingle hashes, in order."""
     weights = _powers(0xC2B2AE3D27D4EB4F, width + 1)
     for block in blocks(texts):
-        words, begins = word_hashes(block)
+        _, _, _, words, begins = locate_words(block)
         rolled = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
         for k in range(width):
             rolled += words[k : k + len(rolled)] * weights[k]
