@@ -11,9 +11,11 @@ distributed prefix sums, and looks up each ranked piece's place in the plan.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,20 +50,30 @@ class TokenIds:
     def __init__(self, tokenizer_path: str, ranks_path: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(tokenizer_path)
-        self.added = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.path, self.full = tokenizer_path, None
+        with open(tokenizer_path, encoding="utf-8") as file:
+            self.added = [t["content"] for t in json.load(file)["added_tokens"]]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
         if any(token in text for token in self.added):
+            if self.full is None:
+                from tokenizers import Tokenizer
+
+                self.full = Tokenizer.from_file(self.path)
             return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(self.fast.encode_ordinary(text), dtype="<u4")
 
 
+@cache
+def token_ids(tokenizer_path: str, ranks_path: str) -> TokenIds:
+    """One tokenizer for all tasks of a worker process."""
+    return TokenIds(tokenizer_path, ranks_path)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces; only the first may be shorter than ``capacity`` if there are several."""
     first = n % capacity or capacity
@@ -72,7 +84,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer
     """Every document's pieces: ids of the whole text, the end id, cut to at most ``capacity``."""
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = TokenIds(*tokenizer)
+        ids_of = token_ids(*tokenizer)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
             rows: list[tuple] = []
