@@ -45,7 +45,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POWER_CACHE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the hash's multiplier, and of its inverse."""
     size = 1 << max(16, int(n).bit_length())
     if size not in _POWER_CACHE:
         _POWER_CACHE.clear()
@@ -68,14 +69,14 @@ def blocks(texts: list[bytes | None], limit: int = BLOCK_BYTES) -> Iterator[list
         yield block
 
 
-def locate_words(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's lower-cased bytes, its words' starts, ends and 64-bit hashes, and where each document's words begin (n + 1 offsets)."""
-    joined = _LOWER[np.frombuffer(b" ".join(block) + b" ", dtype=np.uint8)]
+def locate_words(block: list[bytes], fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's folded (lower-cased) bytes, its words' starts, ends and 64-bit hashes, and where each document's words begin (n + 1 offsets)."""
+    joined = fold[np.frombuffer(b" ".join(block) + b" ", dtype=np.uint8)]
     lengths = np.fromiter((len(x) + 1 for x in block), dtype=np.int64, count=len(block))
     solid = ~_SPACE[joined]
     edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0)))
     starts, ends = edges[0::2], edges[1::2]
-    power, inverse = _power_tables(len(joined))
+    power, inverse = power_tables(len(joined))
     running = np.empty(len(joined) + 1, dtype=np.uint64)
     running[0] = 0
     np.cumsum(_BYTE_VALUE[joined] * power[: len(joined)], out=running[1:])
