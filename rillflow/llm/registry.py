@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from rillflow.llm import sql
 from rillflow.llm.exact_dedup import exact_dedup
 from rillflow.llm.language_id import language_id
+from rillflow.llm.licenses import scan_licenses
 from rillflow.llm.mixing import mix
 from rillflow.llm.near_dedup import near_duplicates
 from rillflow.llm.packing import pack
 from rillflow.llm.secrets import scan_secrets
+from rillflow.llm.sentence_spans import remove_repeated_spans
 from rillflow.llm.syncmers import fingerprints
 from rillflow.session import table
 
@@ -41,12 +43,20 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_syncmer_fingerprints, op5_secret_scan, op6_mix_sources, op7_best_fit_packing, op9_near_duplicates)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_syncmer_fingerprints, op5_secret_scan, op6_mix_sources, op7_best_fit_packing, op8_sentence_spans, op9_near_duplicates, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
