@@ -30,6 +30,8 @@ STEPS = 700
 BATCH = 256
 RATE = 0.01
 CACHE_WORDS = 1 << 20
+#: Below this share of its positions' probability no language is the text's own.
+LEAST_SCORE = 0.4
 _LETTER = re.compile(r"[^\W\d_]")
 _LETTER_BYTE = np.zeros(256, bool)
 _LETTER_BYTE[[*range(97, 123), *range(128, 256)]] = True
@@ -117,6 +119,22 @@ class WordLabels:
         return sums[inverse]
 
 
+def label_texts(texts: list[bytes | None], langs: list[str], words: WordLabels | None) -> list[tuple[str, float]]:
+    """(language, score) of every whole text."""
+    out: list[tuple[str, float]] = []
+    if words is None:
+        return [(UNKNOWN, 0.0)] * len(texts)
+    for block in blocks(texts, 4 << 20):
+        joined, starts, ends, names, begins = locate_words(block)
+        sums = np.vstack([np.zeros((1, len(langs))), np.cumsum(words(joined, starts, ends, names), axis=0, dtype=np.float64)])
+        pooled = sums[begins[1:]] - sums[begins[:-1]]
+        pooled /= np.maximum(pooled.sum(axis=1, keepdims=True), 1e-12)
+        best, score = pooled.argmax(axis=1).tolist(), np.clip(pooled.max(axis=1), 0, 1).tolist()
+        for text, k, s in zip(block, best, score, strict=True):
+            out.append((langs[k], s) if _LETTER.search(text.decode()) else (UNKNOWN, 0.0))
+    return out
+
+
 def identify(docs: DataFrame, model: tuple[list[str], BiGru] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every whole text, by a fitted model."""
     langs, net = model or ([], None)
@@ -124,22 +142,9 @@ def identify(docs: DataFrame, model: tuple[list[str], BiGru] | None, id_col: str
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordLabels(net) if net else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lettered = [text is not None and _LETTER.search(text.decode()) is not None for text in texts]
-            best = np.zeros(len(texts), int)
-            score = np.zeros(len(texts))
-            done = 0
-            for block in blocks(texts, 4 << 20) if words else ():
-                joined, starts, ends, names, begins = locate_words(block)
-                sums = np.vstack([np.zeros((1, len(langs))), np.cumsum(words(joined, starts, ends, names), axis=0, dtype=np.float64)])
-                pooled = sums[begins[1:]] - sums[begins[:-1]]
-                pooled /= np.maximum(pooled.sum(axis=1, keepdims=True), 1e-12)
-                best[done : done + len(block)] = pooled.argmax(axis=1)
-                score[done : done + len(block)] = np.clip(pooled.max(axis=1), 0, 1)
-                done += len(block)
-            known = [ok and bool(langs) for ok in lettered]
+            labels = label_texts(batch.column(1).to_pylist(), langs, words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known, strict=True)], pa.string()), pa.array([s if ok else 0.0 for s, ok in zip(score.tolist(), known, strict=True)], pa.float64())],
+                [batch.column(0), batch.column(2), pa.array([name for name, _ in labels], pa.string()), pa.array([score for _, score in labels], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
@@ -157,3 +162,23 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result; further columns are ignored.
     """
     return identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
+
+
+def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents, with all their columns, whose language is known and has a score of at least ``least_score``.
+
+    The labels are computed beside the rows in one pass: nothing is shuffled or joined.
+    """
+    model = fit(docs, id_col, text_col, lang_col)
+    if model is None:
+        return docs.limit(0)
+    langs, net = model
+    schema = docs.select(F.col(text_col).cast("binary").alias("__text"), *[F.col(c) for c in docs.columns])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordLabels(net)
+        for batch in batches:
+            verdicts = [name != UNKNOWN and score >= least_score for name, score in label_texts(batch.column(0).to_pylist(), langs, words)]
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(verdicts, pa.bool_()))
+
+    return schema.mapInArrow(keep, docs.schema)

@@ -114,3 +114,23 @@ def mix(
             "mix_key",
         )
     )
+
+
+def draw_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix as whole documents, with all their columns: each as many times as its source's epochs take it.
+
+    The document at the cut is drawn once more if at least half of it fits the
+    budget.  A document without words is drawn once.  Rows with a null id are
+    drawn like the others; rows repeated with one id and size are each drawn as
+    often as the one of them that is drawn most.
+    """
+    drawn = mix(docs, id_col, text_col, source_col, **options).select(
+        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("__times")
+    )
+    times = drawn.groupBy("__id", "__size").agg(F.max("__times").alias("__times"))
+    sized = docs.withColumn("__own", word_count(F.col(text_col)))
+    return (
+        sized.join(times, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__size")))
+        .withColumn("__copy", F.explode(F.expr("CASE WHEN __times > 0 THEN sequence(1, __times) ELSE array() END")))
+        .drop("__own", "__id", "__size", "__times", "__copy")
+    )
