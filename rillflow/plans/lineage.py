@@ -33,3 +33,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` wrote, once nothing will read it again."""
+    spark = table.sparkSession
+    root = shared_dir(spark).split(":", 1)[-1].lstrip("/")
+    for file in table.inputFiles():
+        folder = file.rsplit("/", 1)[0]
+        if root in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            return
