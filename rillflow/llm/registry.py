@@ -13,6 +13,7 @@ from rillflow.llm.licenses import scan_licenses
 from rillflow.llm.mixing import mix
 from rillflow.llm.near_dedup import near_duplicates
 from rillflow.llm.packing import pack
+from rillflow.llm.repeated_bytes import remove_repeated_bytes
 from rillflow.llm.secrets import scan_secrets
 from rillflow.llm.sentence_spans import remove_repeated_spans
 from rillflow.llm.syncmers import fingerprints
@@ -31,6 +32,10 @@ def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_syncmer_fingerprints, op5_secret_scan, op6_mix_sources, op7_best_fit_packing, op8_sentence_spans, op9_near_duplicates, op10_license_scan)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_syncmer_fingerprints, op4_repeated_bytes, op5_secret_scan, op6_mix_sources, op7_best_fit_packing, op8_sentence_spans, op9_near_duplicates, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

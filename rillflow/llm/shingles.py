@@ -54,6 +54,25 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWER_CACHE[size]
 
 
+def byte_sums(data: bytes | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums (n + 1) of a polynomial byte hash, and inverse powers: ``(sums[j] - sums[i]) * inverse[i]`` names bytes i to j."""
+    joined = np.frombuffer(data, dtype=np.uint8) if isinstance(data, bytes) else data
+    power, inverse = power_tables(len(joined))
+    running = np.empty(len(joined) + 1, dtype=np.uint64)
+    running[0] = 0
+    np.cumsum(_BYTE_VALUE[joined] * power[: len(joined)], out=running[1:])
+    return running, inverse
+
+
+def window_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every window of ``width`` values."""
+    done = 1
+    while done * 2 <= width:
+        x = np.minimum(x[:-done], x[done:])
+        done *= 2
+    return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
+
+
 def blocks(texts: list[bytes | None], limit: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
     """Consecutive documents, in blocks of about ``limit`` bytes; null becomes empty."""
     block: list[bytes] = []
@@ -76,10 +95,7 @@ def locate_words(block: list[bytes], fold: np.ndarray = _LOWER) -> tuple[np.ndar
     solid = ~_SPACE[joined]
     edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0)))
     starts, ends = edges[0::2], edges[1::2]
-    power, inverse = power_tables(len(joined))
-    running = np.empty(len(joined) + 1, dtype=np.uint64)
-    running[0] = 0
-    np.cumsum(_BYTE_VALUE[joined] * power[: len(joined)], out=running[1:])
+    running, inverse = byte_sums(joined)
     names = mix64((running[ends] - running[starts]) * inverse[starts])
     return joined, starts, ends, names, np.concatenate([[0], np.searchsorted(starts, np.cumsum(lengths))])
 
