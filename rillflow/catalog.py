@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.operators import sessions
+from rillflow.operators import rules, sessions, stores
 
-MODULES = (sessions,)
+MODULES = (sessions, stores, rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
