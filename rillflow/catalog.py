@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.operators import risk, rules, sessions, stores
+from rillflow.operators import detection, retrieval, risk, rules, sessions, stores
 
-MODULES = (sessions, stores, rules, risk)
+MODULES = (sessions, stores, rules, risk, retrieval, detection)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
