@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.operators import detection, metrics, retrieval, risk, rules, series, sessions, stores, traces
+from rillflow.operators import detection, folds, metrics, retrieval, risk, rules, series, sessions, stores, traces
 
-MODULES = (sessions, stores, rules, risk, retrieval, detection, series, traces, metrics)
+MODULES = (sessions, stores, rules, risk, retrieval, detection, series, traces, metrics, folds)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
