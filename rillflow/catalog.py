@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.operators import detection, folds, metrics, retrieval, risk, rules, series, sessions, stores, traces
+from rillflow.streaming import queries as streams
 
-MODULES = (sessions, stores, rules, risk, retrieval, detection, series, traces, metrics, folds)
+MODULES = (sessions, stores, rules, risk, retrieval, detection, series, traces, metrics, folds, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
