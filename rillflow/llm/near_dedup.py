@@ -86,7 +86,7 @@ def families(nodes: DataFrame) -> DataFrame:
     """(node, family, center): nodes connected through shared keys and the node of each family that shares most."""
     keyed = index_keys(nodes)
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "low", "n")
-    met = materialize(keyed.join(shared, "key").groupBy("node", "low").agg(F.sum("n").alias("n")), "met")
+    met = materialize(keyed.join(shared.hint("merge"), "key").groupBy("node", "low").agg(F.sum("n").alias("n")), "met")
     by_family = met.groupBy("node").agg(F.sum("n").alias("n")).join(components(met.select(F.col("node").alias("u"), F.col("low").alias("v"))), "node").withColumnRenamed("component", "family")
     by_family = materialize(by_family, "families")
     centers = by_family.groupBy("family").agg(F.max(F.struct("n", (-F.col("node")).alias("other"))).alias("best")).select("family", (-F.col("best.other")).alias("center"))
@@ -102,7 +102,7 @@ def member_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values, pa.binary())], names=["node", "family", "center", "values"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return texts.join(members, "node").select("node", "family", "center", "text").mapInArrow(sets, "node long, family long, center long, values binary")
+    return texts.join(members.hint("merge"), "node").select("node", "family", "center", "text").mapInArrow(sets, "node long, family long, center long, values binary")
 
 
 def similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
