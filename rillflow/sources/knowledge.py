@@ -33,7 +33,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
     Read line by line through Spark; nested values are not supported.
     """
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     entry = F.explode(F.filter(F.split("value", r"(?m)^\s*-\s+(?=\w+:)"), lambda x: x.rlike(r"(?m)^\s*id:") | x.rlike(r"^id:"))).alias("entry")
     field = lambda name: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("entry", rf"(?m)^\s*{name}:\s*(.*)$", 1), r"^[\"']|[\"']\s*$", "")), F.lit("")).alias(name)
     return lines.select(entry).select(*[field(n) for n in ("id", "title", "institution", "source_url", "publication_date")])
