@@ -29,7 +29,7 @@ TRAIN_WORDS = 40_000
 STEPS = 700
 BATCH = 256
 RATE = 0.01
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
 #: Below this share of its positions' probability no language is the text's own.
 LEAST_SCORE = 0.4
 _LETTER = re.compile(r"[^\W\d_]")
@@ -55,11 +55,13 @@ def cut_words(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], BiGru] | None:
-    """Train on a sample of at most ``TRAIN_DOCS`` whole documents per language, taken by smallest hash outside the held-out fold."""
-    labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """Train on a sample of at most ``TRAIN_DOCS`` whole documents per language, taken by smallest hash outside the held-out fold; null ids are not taken."""
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    labelled = named.filter((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TRAIN_DOCS).select("doc_id", "lang")
-    rows = sorted(labelled.join(chosen, ["doc_id", "lang"]).select("lang", "text").collect())
+    chosen = labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TRAIN_DOCS)
+    ids = sorted({r["doc_id"] for r in chosen.select("doc_id").collect()})  # at most TRAIN_DOCS for every language
+    rows = sorted(labelled.filter(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id", "lang"]).select("lang", "text").collect())
     langs = sorted({r["lang"] for r in rows})
     counts: dict[str, Counter] = {lang: Counter() for lang in langs}
     for r in rows:
@@ -124,7 +126,7 @@ def label_texts(texts: list[bytes | None], langs: list[str], words: WordLabels |
     out: list[tuple[str, float]] = []
     if words is None:
         return [(UNKNOWN, 0.0)] * len(texts)
-    for block in blocks(texts, 4 << 20):
+    for block in blocks(texts, 1 << 20):
         joined, starts, ends, names, begins = locate_words(block)
         sums = np.vstack([np.zeros((1, len(langs))), np.cumsum(words(joined, starts, ends, names), axis=0, dtype=np.float64)])
         pooled = sums[begins[1:]] - sums[begins[:-1]]
