@@ -145,7 +145,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Para
         for text in _variants(notice, rng):
             rows.append(text.encode())
             labels.append(0)
-    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(BACKGROUND_DOCS).select("text").collect()
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null and doc_id is not null")
+    ids = sorted(r["doc_id"] for r in named.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(BACKGROUND_DOCS).collect())
+    sample = named.filter(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id"]).select("text").collect()
     lines = [line.encode() for text in sorted(r["text"] for r in sample) for line in text.split("\n") if any(c.isalnum() for c in line)]
     for line in [lines[k] for k in rng.permutation(len(lines))[:BACKGROUND_ROWS]]:
         names, first, _, _ = paragraphs([line])
