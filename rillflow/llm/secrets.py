@@ -80,11 +80,10 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     if ledger is not None:
         first = first.join(ledger.filter(F.col("rule_version") == rule_version).select("blob_id"), "blob_id", "left_anti")
     unseen = (
-        seen.join(first.select(F.col("path").alias("__path"), F.col("blob_id").alias("__blob")), F.col("path").eqNullSafe(F.col("__path")) & (F.col("blob_id") == F.col("__blob")), "left_semi")
-        .dropDuplicates(["blob_id"])
-        .select("blob_id", "text")
+        seen.join(first.select(F.col("path").alias("__path"), F.col("blob_id").alias("__blob")), F.col("path").eqNullSafe(F.col("__path")) & (F.col("blob_id") == F.col("__blob")), "left_semi").select("blob_id", "text")
     )
-    return scan(unseen, rules).select("blob_id", F.lit(rule_version).alias("rule_version"), "found")
+    # a row repeated with its id and text is scanned again; of a blob's equal findings one stays
+    return scan(unseen, rules).dropDuplicates(["blob_id"]).select("blob_id", F.lit(rule_version).alias("rule_version"), "found")
 
 
 def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple = BASE_RULES + MORE_RULES, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
