@@ -25,6 +25,7 @@ from rillflow.functions.values import (
     W_RULES,
 )
 from rillflow.operators.rules import COMBO_CTE, SINGLE_CTE, TYPED_CTE, carrier_combinations, carrier_typed, single_rules
+from rillflow.plans.lineage import materialize
 
 MOST_BOOST = (1 + W_DURATION + W_RECURRENCE) * (1 + W_EXPOSURE) * (1 + W_PROTECTION) * (1 + W_RULES + W_REGULATORY)
 
@@ -129,9 +130,10 @@ def carrier_keywords(name: Column, count: Column) -> Column:
 
 
 def carrier_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = carrier_typed(spark, sf_dir).withColumn("keywords", carrier_keywords(F.col("event_name"), F.col("occurrence_count")))
+    typed_events = materialize(carrier_typed(spark, sf_dir), "events")  # read several times below
+    events = typed_events.withColumn("keywords", carrier_keywords(F.col("event_name"), F.col("occurrence_count")))
     singles = events.join(F.broadcast(single_rules(spark)), "event_type").select("rule_id", "severity", F.array("event_type").alias("types"), F.array("event_id").alias("participants"))
-    combos = carrier_combinations(spark, sf_dir)
+    combos = carrier_combinations(spark, sf_dir, typed_events)
     typed = combos.select("rule_id", "severity", F.transform("participants", lambda p: F.when(p.startswith("error"), "yangin_duman").when(p.startswith("purchase"), "arac_yaya_yakinligi").when(p.startswith("click"), "kkd_ihlali").when(p.startswith("signup"), "dusme_riski")).alias("types"), "participants")
     return score_features(event_features(events, singles.unionByName(typed)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions.values import CARRIER_TYPES, COMBINATION_RULES, SINGLE_RULES
 from rillflow.operators.sessions import SESSIONS_CTE, carrier_events, carrier_sessions, number_sessions
+from rillflow.plans.lineage import materialize
 from rillflow.session import table
 
 LINK_SEC = 30.0
@@ -113,8 +114,9 @@ def q_single_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carrier_typed(spark, sf_dir).join(F.broadcast(single_rules(spark)), "event_type").select("event_id", "event_type", "rule_id", "severity", "regulation")
 
 
-def carrier_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = carrier_typed(spark, sf_dir)
+def carrier_combinations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Combination matches of the carrier; the events are read several times, so they are written once."""
+    events = materialize(carrier_typed(spark, sf_dir), "events") if events is None else events
     links = band_links(events, ["video_id"], "event_id", "start_sec", "end_sec", CARRIER_LINK_SEC)
     return match_combinations(events, links, combination_rules(spark))
 

@@ -16,16 +16,35 @@ def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
 
 
-def number_sessions(events: DataFrame, keys: list[str], at: str, gap_sec: float = MERGE_GAP_SEC, tie: str | None = None) -> DataFrame:
+def number_sessions(events: DataFrame, keys: list[str], at: str, gap_sec: float = MERGE_GAP_SEC, tie: str | None = None, bucket_sec: float | None = None) -> DataFrame:
     """Add ``session_no`` (from 0, by start): a new session begins when the time since the key's previous row exceeds ``gap_sec``.
 
-    A gap of exactly ``gap_sec`` still merges.  Rows with a null time form the
-    first session of their key.  ``tie`` orders rows of equal time.
+    A gap of exactly ``gap_sec`` still merges.  Rows with a null time come first
+    and belong to their key's first session.  ``tie`` orders rows of equal time.
+
+    A key's rows are dealt out by time bucket, so that a key with very many rows
+    is spread over tasks: gaps are found inside a bucket, and a short table of
+    bucket ends per key tells what lies before each bucket and how many sessions
+    began there.
     """
+    width = bucket_sec or 16 * max(gap_sec, 1.0)
+    bucketed = events.withColumn("__bucket", F.coalesce(F.floor(F.col(at) / width), F.lit(-(1 << 62))))
     order = [F.col(at).asc_nulls_first()] + ([F.col(tie)] if tie else [])
-    w = Window.partitionBy(*keys).orderBy(*order)
-    opened = F.coalesce((F.col(at) - F.lag(at).over(w) > gap_sec).cast("int"), F.lit(0))
-    return events.withColumn("__new", opened).withColumn("session_no", F.sum("__new").over(w)).drop("__new")
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
+    along = Window.partitionBy(*[f"__{k}" for k in keys]).orderBy("__b")
+    breaks = lambda now, before: F.coalesce((now - before > gap_sec).cast("int"), F.lit(0))
+    marked = bucketed.withColumn("__new", breaks(F.col(at), F.lag(at).over(inside)))
+    ends = (
+        marked.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__bucket").alias("__b")).agg(F.min(at).alias("__low"), F.max(at).alias("__high"), F.sum("__new").alias("__inner"))
+        .withColumn("__open", breaks(F.col("__low"), F.lag("__high").over(along)))
+        .withColumn("__ahead", F.coalesce(F.sum(F.col("__inner") + F.col("__open")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__open"))
+        .select(*[f"__{k}" for k in keys], "__b", "__ahead")
+    )
+    same = F.col("__bucket") == F.col("__b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    joined = marked.join(ends, same)
+    return joined.withColumn("session_no", F.col("__ahead") + F.sum("__new").over(inside)).drop("__bucket", "__b", "__new", "__ahead", *[f"__{k}" for k in keys])
 
 
 def sessionize(events: DataFrame, keys: list[str], at: str, confidence: str, gap_sec: float = MERGE_GAP_SEC, tie: str | None = None) -> DataFrame:

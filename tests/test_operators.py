@@ -19,6 +19,20 @@ def test_sessions_merge_at_the_gap_and_ignore_other_names(spark):
     assert got == [("a", 0, 3, 0.7), ("a", 1, 1, 0.7), ("b", 0, 1, 0.9)]
 
 
+@pytest.mark.parametrize("bucket", [7.0, 25.0, 300.0])
+def test_session_numbers_do_not_depend_on_buckets(spark, bucket):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *[rng.uniform(0, 500)] * 9]), k) for k in range(150)] + [("c", 10.0 * k, 1000 + k) for k in range(6)]
+    got = {r.k: r.session_no for r in sessions.number_sessions(spark.createDataFrame(rows, "n string, t double, k long"), ["n"], "t", 10.0, "k", bucket_sec=bucket).collect()}
+    want = {}
+    for name in ("a", "b", None, "c"):
+        number, before = 0, None
+        for _, t, k in sorted((r for r in rows if r[0] == name), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            number += before is not None and t is not None and t - before > 10
+            want[k], before = number, t
+    assert got == want
+
+
 def test_band_links_equal_all_pairs(spark):
     rng = random.Random(4)
     rows = [(k % 3, k, s := rng.uniform(0, 500), s + rng.choice([0, 1, 40, 200])) for k in range(120)]
