@@ -83,7 +83,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; a row repeated with the same id and text is returned once."""
-    stays = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("keep_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    marked = docs.withColumn("__sha_own", F.sha2(normalized(F.col(text_col)), 256))
-    once = marked.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha_own") == F.col("__sha")), "left_semi")
-    return once.dropDuplicates([id_col, "__sha_own"]).drop("__sha_own")
+    name = lambda id_, sha: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), sha)
+    stays = exact_dedup(docs, id_col, text_col).filter("kept").select(name(F.col("keep_id"), F.col("text_sha256")).alias("__name")).distinct()
+    marked = docs.withColumn("__name", name(F.col(id_col).cast("long"), F.sha2(normalized(F.col(text_col)), 256)))
+    # one key for both steps: the rows are dealt out once
+    return marked.join(stays.hint("merge"), "__name", "left_semi").dropDuplicates(["__name"]).drop("__name")
