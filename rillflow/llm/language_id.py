@@ -9,7 +9,6 @@ alone, so each worker labels a word once and pools it as often as it occurs.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +31,6 @@ RATE = 0.01
 CACHE_WORDS = 1 << 18
 #: Below this share of its positions' probability no language is the text's own.
 LEAST_SCORE = 0.4
-_LETTER = re.compile(r"[^\W\d_]")
 _LETTER_BYTE = np.zeros(256, bool)
 _LETTER_BYTE[[*range(97, 123), *range(128, 256)]] = True
 
@@ -133,7 +131,7 @@ def label_texts(texts: list[bytes | None], langs: list[str], words: WordLabels |
         pooled /= np.maximum(pooled.sum(axis=1, keepdims=True), 1e-12)
         best, score = pooled.argmax(axis=1).tolist(), np.clip(pooled.max(axis=1), 0, 1).tolist()
         for text, k, s in zip(block, best, score, strict=True):
-            out.append((langs[k], s) if _LETTER.search(text.decode()) else (UNKNOWN, 0.0))
+            out.append((langs[k], s) if any(map(str.isalpha, text.decode())) else (UNKNOWN, 0.0))
     return out
 
 

@@ -44,7 +44,7 @@ def test_language_held_out_accuracy(spark):
 
 def test_language_edge_cases(spark, monkeypatch):
     monkeypatch.setattr(language_id, "STEPS", 20)
-    texts = [(1, None), (2, ""), (3, "123 !!"), (4, "hello there " * 3000), (5, "hello"), (5, "hello"), (None, "bonjour"), (8, "x" * 3000), (9, "é")]
+    texts = [(1, None), (2, ""), (3, "12 ½² !!"), (4, "hello there " * 3000), (5, "hello"), (5, "hello"), (None, "bonjour"), (8, "x" * 3000), (9, "é")]
     rows = language_id.language_id(awkward(spark, texts)).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in texts)
     assert {r.doc_id for r in rows if r.lang_pred == "und"} == {1, 2, 3}
