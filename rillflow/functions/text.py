@@ -15,13 +15,14 @@ from pyspark.sql.types import StringType
 from rillflow.functions.values import STOP_WORDS
 
 TOKEN = "[a-zçğıöşü0-9]+"
-WORD = "[a-zA-ZçÇğĞıİöÖşŞüÜ0-9]+"
+WORD = "[a-zA-ZçÇğĞıİöÖşŞüÜ0-9]{3,}"
 CHARS_PER_TOKEN = 3
 
 
 def turkish_lower(text: Column) -> Column:
     """Lower case with the Turkish dotted and dotless i; null becomes empty."""
-    return F.lower(F.translate(F.coalesce(text, F.lit("")), "İI", "iı"))
+    dotted = F.replace(F.coalesce(text, F.lit("")), F.lit("İ"), F.lit("i"))
+    return F.lower(F.replace(dotted, F.lit("I"), F.lit("ı")))
 
 
 def turkish_lower_py(text: str | None) -> str:
@@ -35,15 +36,15 @@ def compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def tokens(text: Column) -> Column:
-    """Letter and digit runs of the Turkish-lowered text."""
-    return F.regexp_extract_all(turkish_lower(text), F.lit(TOKEN), F.lit(0))
+def tokens(lowered: Column) -> Column:
+    """Letter and digit runs of a Turkish-lowered text."""
+    return F.regexp_extract_all(lowered, F.lit(TOKEN), F.lit(0))
 
 
-def content_tokens(text: Column) -> Column:
-    """Distinct tokens of more than one character that are no stop words."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.array_except(F.array_distinct(F.filter(tokens(text), lambda t: F.length(t) > 1)), stop)
+def content_tokens(lowered: Column) -> Column:
+    """Distinct tokens of a Turkish-lowered text of more than one character that are no stop words."""
+    long = F.regexp_extract_all(lowered, F.lit(TOKEN.replace("+", "{2,}")), F.lit(0))
+    return F.array_except(long, F.array(*map(F.lit, STOP_WORDS)))
 
 
 def content_tokens_py(text: str | None) -> list[str]:
@@ -59,9 +60,8 @@ def stem(token: Column) -> Column:
 
 
 def search_words(text: Column) -> Column:
-    """Distinct lower-cased words of more than two characters."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > 2), F.lower))
+    """Lower-cased words of more than two characters, repeated as often as they occur."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), F.lower)
 
 
 def strip(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,32 +86,37 @@ def search_vectors(vectors: DataFrame, id_col: str, vector: str, queries: DataFr
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def lexical_overlap(query_tokens: list[str], text: Column) -> Column:
-    """Share of the query's content tokens that occur in the text, as they are or by their first five characters."""
+def lexical_overlap(query_tokens: list[str], found: Column) -> Column:
+    """Share of the query's content tokens that are among the found ones, as they are or by their first five characters."""
     if not query_tokens:
         return F.lit(0.0)
-    found = content_tokens(text)
+    # a long query token matches by its stem; a short one is its own stem
     stems = F.transform(found, stem)
-    hit = lambda t: F.array_contains(found, t) | F.array_contains(stems, t[:5] if len(t) > 5 else t)
-    return sum((hit(t).cast("int") for t in query_tokens), F.lit(0)) / len(query_tokens)
+    hits = F.array_intersect(stems, F.array(*[F.lit(t[:5]) for t in query_tokens]))
+    weights = Counter(t[:5] for t in query_tokens)
+    if max(weights.values()) == 1:
+        return F.size(hits) / len(query_tokens)
+    return F.aggregate(hits, F.lit(0), lambda n, t: n + F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), t)) / len(query_tokens)
 
 
 def relevance(candidates: DataFrame, query: str, content: str, semantic: str, title: str, article: str, keywords: list[str]) -> DataFrame:
     """Add the five signals and the weighted relevance of every candidate, rounded to four places."""
-    normal = turkish_lower(F.col(content))
+    normal = F.col("__normal")
     query_tokens, low = content_tokens_py(query), turkish_lower_py(query)
     keyword = sum((F.contains(normal, F.lit(turkish_lower_py(w))).cast("int") for w in keywords), F.lit(0)) / len(keywords) if keywords else F.lit(0.0)
     number = turkish_lower(F.col(article).cast("string"))
     bounded = (number != "") & F.regexp_like(F.lit(low), F.concat(F.lit(r"(?<!\w)\Q"), number, F.lit(r"\E(?!\w)")))
-    metadata = 0.5 * F.when(F.col(title).isNotNull(), lexical_overlap(query_tokens, F.col(title))).otherwise(0.0) + 0.5 * bounded.cast("double")
+    metadata = 0.5 * F.when(F.col(title).isNotNull(), lexical_overlap(query_tokens, content_tokens(turkish_lower(F.col(title))))).otherwise(0.0) + 0.5 * bounded.cast("double")
     phrase = F.contains(normal, F.lit(low.strip())).cast("double") if len(low.strip()) >= 4 else F.lit(0.0)
     return (
-        candidates.withColumn("semantic_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), semantic)))
-        .withColumn("lexical_score", lexical_overlap(query_tokens, F.col(content)))
+        candidates.withColumn("__normal", turkish_lower(F.col(content)))
+        .withColumn("semantic_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), semantic)))
+        .withColumn("lexical_score", lexical_overlap(query_tokens, content_tokens(normal)))
         .withColumn("keyword_score", keyword)
         .withColumn("metadata_score", metadata)
         .withColumn("phrase_score", phrase)
         .withColumn("relevance_score", F.round(W_SEMANTIC * F.col("semantic_score") + W_LEXICAL * F.col("lexical_score") + W_KEYWORD * F.col("keyword_score") + W_METADATA * F.col("metadata_score") + W_PHRASE * F.col("phrase_score"), 4))
+        .drop("__normal")
     )
 
 
