@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-A sentence ends after a word that ends in ``.``, ``!`` or ``?``, before a line
-break, and at the text's end; after every ``LONGEST`` words a long one is cut.
+A sentence ends after a word that ends in ``.``, ``!`` or ``?`` if at least
+``SHORTEST`` words stand since the mark before (shorter ones run on), before a
+line break, and at the text's end; after every ``LONGEST`` words a long one is cut.
 Every run of ``RUN`` consecutive sentences with at least ``LEAST_WORDS`` words is
 hashed and joined globally.  Of a repeated run the first occurrence (smallest id,
 then place) stays; a sentence covered by any other occurrence is removed.
@@ -20,6 +21,7 @@ from rillflow.llm.shingles import blocks, locate_words, mix64, power_tables
 from rillflow.plans.lineage import materialize
 
 RUN = 3
+SHORTEST = 4
 LONGEST = 16
 LEAST_WORDS = 8
 _STOP = np.zeros(256, bool)
@@ -41,9 +43,12 @@ def sentences(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     last = ends - 1
     last = np.where(_CLOSE[joined[last]] & (last > starts), last - 1, last)
     lines = np.concatenate([[0], np.cumsum(joined == 10)])
-    stop = _STOP[joined[last]]
-    stop[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
+    mark = _STOP[joined[last]]
+    stop = np.zeros(n, bool)
+    stop[:-1] = lines[starts[1:]] > lines[ends[:-1]]
     stop[begins[1:][begins[1:] > 0] - 1] = True
+    before = np.concatenate([[-1], np.maximum.accumulate(np.where(mark | stop, np.arange(n), -1))[:-1]])
+    stop |= mark & (np.arange(n) - before >= SHORTEST)
     opening = np.concatenate([[True], stop[:-1]])
     first_word = np.maximum.accumulate(np.where(opening, np.arange(n), 0))
     opening |= (np.arange(n) - first_word) % LONGEST == 0

@@ -283,14 +283,18 @@ def test_repeated_bytes_of_nothing(spark):
 
 def sentence_truth(texts):
     def cut(data):
-        out, current = [], []
+        out, current, since = [], [], 0
         found = list(re.finditer(rb"[^ \t\n\x0b\x0c\r]+", data))
         for k, m in enumerate(found):
             current.append(m)
+            since += 1
             end = m[0][-2:-1] if m[0][-1:] in b"\"')]}" and len(m[0]) > 1 else m[0][-1:]
-            if end in b".!?" or k + 1 == len(found) or b"\n" in data[m.end() : found[k + 1].start()]:
+            hard = k + 1 == len(found) or b"\n" in data[m.end() : found[k + 1].start()]
+            if hard or (end in b".!?" and since >= 4):
                 out += [current[j : j + 16] for j in range(0, len(current), 16)]
                 current = []
+            if hard or end in b".!?":
+                since = 0
         return out
 
     first, truth = {}, {}
