@@ -4,23 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+@cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="rillflow-checkpoints-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     Only where the session leaves it unset (tests on one machine) a temporary
-    folder is chosen and recorded in the session.
+    folder is made, one for each application.
     """
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="rillflow-checkpoints-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder.rstrip("/")
+    return (spark.conf.get(CHECKPOINT_KEY, None) or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
