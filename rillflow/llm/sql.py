@@ -38,4 +38,64 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM x
 """
 
-ORACLE_SQL = {"op1_exact_dedup": OP1, "op6_mix_sources": OP6}
+OP4 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT r, h, unnest(generate_series(0, length(h) // 2 - 200)) AS i FROM d WHERE length(h) >= 400)),
+again AS (SELECT r, i FROM w JOIN (SELECT s FROM w GROUP BY s HAVING count(*) > 1) USING (s)),
+opened AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 1 ELSE 0 END AS o FROM again),
+spans AS (SELECT r, min(i) AS lo, max(i) + 200 AS hi FROM (SELECT *, sum(o) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM opened) GROUP BY r, g),
+gaps AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS prev FROM spans),
+kept AS (
+  SELECT r, count(*) AS n_spans, sum(hi - lo) AS n_removed, string_agg(substr(h, 2 * prev + 1, 2 * (lo - prev)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS k FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+#: (kind, pattern) with the least length inside the pattern where that finds the same matches.
+_KINDS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    ("access", r"AKIA[A-Z0-9]{12,}"),
+    ("hex", r"[0-9a-f]{32,}"),
+    ("bearer", r"\bBearer\x20+[A-Za-z0-9._~+/-]+=*"),
+    ("ghtoken", r"\bgh[pousr]_[A-Za-z0-9]+"),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+)
+_LEAST = {"assign": 8, "bearer": 27, "ghtoken": 36, "jwt": 20, "pem": 27}
+
+
+def _matches(no: int, kind: str, pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    part = f"length(regexp_extract_all(t, '{quoted}', 1)[k])" if kind == "assign" else "length(hit[k])"
+    return (
+        f"SELECT r, {no} AS kind_no, '{kind}' AS kind, CAST(coalesce(list_sum(list_transform(gap[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hit[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS lo, length(hit[k]) AS n "
+        f"FROM (SELECT r, t, gap, hit, unnest(generate_series(1, len(hit))) AS k FROM (SELECT r, t, string_split_regex(t, '{quoted}') AS gap, regexp_extract_all(t, '{quoted}') AS hit FROM d) WHERE len(hit) > 0) WHERE {part} >= {_LEAST.get(kind, 0)}"
+    )
+
+
+OP5 = (
+    "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),\nm AS ("
+    + "\nUNION ALL ".join(_matches(k, *rule) for k, rule in enumerate(_KINDS))
+    + """),
+f AS (
+  SELECT r, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex,
+    coalesce(string_agg(kind || ':' || lo || ':' || (lo + n), ',' ORDER BY lo, kind_no) FILTER (kind_no < 3), '') AS base, string_agg(kind || ':' || lo || ':' || (lo + n), ',' ORDER BY lo, kind_no) AS spans
+  FROM m GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (r)
+"""
+)
+
+OP9 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda k: array_to_string(ws[k:k + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, md5_number(unnest(sh)) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+pairs AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+reach AS (SELECT x, y FROM pairs UNION SELECT r.x, b.y FROM reach r JOIN pairs b ON r.y = b.x),
+c AS (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY x)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, least(doc_id, coalesce(low, doc_id)) = doc_id AS kept FROM s LEFT JOIN c USING (doc_id)
+"""
+
+ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_repeated_bytes": OP4, "op5_secret_scan": OP5, "op6_mix_sources": OP6, "op9_near_duplicates": OP9}
