@@ -85,6 +85,32 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 )
 
+OP8 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split_regex(t, '[^\x20\x09-\x0D]+') AS gaps FROM d),
+w AS (SELECT doc_id, k, ws[k] AS word, gaps[k] AS gap, k = len(ws) OR contains(gaps[k + 1], chr(10)) AS hard FROM (SELECT *, unnest(generate_series(1, len(ws))) AS k FROM l)),
+m AS (
+  SELECT *, regexp_matches(CASE WHEN length(word) > 1 THEN regexp_replace(word, '["''\)\]}]$', '') ELSE word END, '[.!?]$') AS mark,
+    sum(length(gap)) OVER (PARTITION BY doc_id ORDER BY k) + coalesce(sum(length(word)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM w),
+b AS (SELECT *, hard OR (mark AND k - coalesce(max(CASE WHEN mark OR hard THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 4) AS stop FROM m),
+o AS (SELECT *, k - coalesce(max(CASE WHEN stop THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS inside FROM b),
+n AS (SELECT *, sum(CASE WHEN inside % 16 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS sno FROM o),
+s AS (SELECT doc_id, sno, min(start) AS start, count(*) AS n_words, string_agg(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' ORDER BY k) AS x FROM n GROUP BY doc_id, sno),
+r AS (
+  SELECT doc_id, sno, start, lead(start) OVER q AS until, n_words + lead(n_words) OVER q + lead(n_words, 2) OVER q AS n_run, x || ' ' || lead(x) OVER q || ' ' || lead(x, 2) OVER q AS run FROM s WINDOW q AS (PARTITION BY doc_id ORDER BY sno)),
+f AS (SELECT doc_id, sno FROM (SELECT doc_id, sno, row_number() OVER (PARTITION BY md5(run) ORDER BY doc_id, sno) AS place FROM r WHERE n_run >= 8) WHERE place > 1),
+g AS (SELECT DISTINCT doc_id, sno + unnest([0, 1, 2]) AS sno FROM f),
+i AS (SELECT doc_id, min(sno) AS lo, max(sno) AS hi FROM (SELECT *, sno - row_number() OVER (PARTITION BY doc_id ORDER BY sno) AS island FROM g) GROUP BY doc_id, island),
+z AS (SELECT doc_id, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS removed FROM i GROUP BY doc_id),
+kept AS (
+  SELECT r.doc_id, count(*) AS n_sentences, count(g.sno) AS n_removed, min(r.start) AS first,
+    coalesce(string_agg(substr(d.t, CAST(r.start AS BIGINT) + 1, CAST(coalesce(r.until, length(d.t)) - r.start AS BIGINT)), '' ORDER BY r.sno) FILTER (g.sno IS NULL), '') AS rest
+  FROM r JOIN d USING (doc_id) LEFT JOIN g ON g.doc_id = r.doc_id AND g.sno = r.sno GROUP BY r.doc_id)
+SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, CASE WHEN n_sentences IS NULL THEN t ELSE substr(t, 1, CAST(first AS BIGINT)) || rest END AS text
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN z USING (doc_id)
+"""
+
 OP9 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -98,4 +124,4 @@ c AS (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY x)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, least(doc_id, coalesce(low, doc_id)) = doc_id AS kept FROM s LEFT JOIN c USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_repeated_bytes": OP4, "op5_secret_scan": OP5, "op6_mix_sources": OP6, "op9_near_duplicates": OP9}
+ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_repeated_bytes": OP4, "op5_secret_scan": OP5, "op6_mix_sources": OP6, "op8_sentence_spans": OP8, "op9_near_duplicates": OP9}

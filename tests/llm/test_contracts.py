@@ -16,6 +16,7 @@ from rillflow.llm.near_dedup import keep_representatives, near_duplicates
 from rillflow.llm.packing import default_tokenizer, pack, plan_sequences, reduce_dominated, token_ids
 from rillflow.llm.secrets import RULE_VERSION, scan_secrets, update_ledger
 from rillflow.llm.sentence_spans import remove_repeated_spans
+from rillflow.llm.sql import ORACLE_SQL
 from rillflow.llm.syncmers import closed_syncmers, fingerprints
 from tests.llm.helpers import awkward, documents
 from tests.oracle import SMALL, connect, spark_bag, sql_bag
@@ -42,7 +43,7 @@ def test_exact_dedup(spark):
     assert exact_dedup(documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op6_mix_sources"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     from rillflow.llm import registry
 
