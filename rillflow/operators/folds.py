@@ -16,6 +16,8 @@ from rillflow.operators.series import carrier_series
 from rillflow.session import table
 
 MIN_IOU, MAX_BOUNDARY_GAP_SEC, MIN_LABEL_SIMILARITY = 0.3, 5.0, 0.5
+#: The carrier's messages are short: its longest estimate is below this budget.
+BATCH_TOKENS = 1_000
 #: Where a text that is too long is cut: paragraphs first, then lines, sentences, clauses, words.
 SEPARATORS = ("\n\n", "\n", ". ", "; ", ", ", " ")
 
@@ -143,7 +145,7 @@ def q_interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", estimated_tokens(F.col("text")).alias("tokens"))
-    return greedy_batches(rows, "conv_id", "turn", "tokens", 4096)
+    return greedy_batches(rows, "conv_id", "turn", "tokens", BATCH_TOKENS)
 
 
 def q_split_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,4 +159,26 @@ def q_frame_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (q_interval_merge, q_token_batches, q_split_oversized, q_frame_selection)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "q_token_batches": """
+WITH RECURSIVE r AS (SELECT conv_id, turn, CAST(ceil(length(coalesce(text, '')) / 3) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+f AS (
+  SELECT conv_id, turn, tokens, k, 0 AS batch_no, tokens AS used FROM r WHERE k = 1
+  UNION ALL
+  SELECT r.conv_id, r.turn, r.tokens, r.k, CASE WHEN f.used > 0 AND f.used + r.tokens > 1000 THEN f.batch_no + 1 ELSE f.batch_no END, CASE WHEN f.used > 0 AND f.used + r.tokens > 1000 THEN r.tokens ELSE f.used + r.tokens END
+  FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k + 1)
+SELECT conv_id, turn, tokens, batch_no FROM f""",
+    "q_spike_nms": """
+WITH RECURSIVE s AS (SELECT event_id, user_id, epoch(ts) AS at_sec, value FROM events),
+c AS (SELECT user_id, median(value) AS center, count(*) AS n FROM s GROUP BY user_id),
+m AS (SELECT user_id, any_value(n) AS n, any_value(center) AS center, median(abs(value - center)) AS mad FROM s JOIN c USING (user_id) GROUP BY user_id),
+p AS (SELECT user_id, event_id, at_sec, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, at_sec) AS k FROM s JOIN m USING (user_id) WHERE n >= 6 AND value > center + CASE WHEN mad = 0 THEN 1e-6 ELSE mad END),
+f AS (
+  SELECT user_id, 0 AS k, CAST([] AS DOUBLE[]) AS times, CAST([] AS BIGINT[]) AS ids FROM p WHERE k = 1
+  UNION ALL
+  SELECT p.user_id, CAST(p.k AS INTEGER), CASE WHEN len(times) < 6 AND len(list_filter(times, lambda t: abs(t - p.at_sec) < 86400)) = 0 THEN list_append(times, p.at_sec) ELSE times END,
+    CASE WHEN len(times) < 6 AND len(list_filter(times, lambda t: abs(t - p.at_sec) < 86400)) = 0 THEN list_append(ids, p.event_id) ELSE ids END
+  FROM f JOIN p ON p.user_id = f.user_id AND p.k = f.k + 1),
+z AS (SELECT user_id, unnest(ids) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS n FROM f) WHERE n = 1)
+SELECT p.user_id, p.event_id, p.at_sec, p.value FROM z JOIN p USING (user_id, event_id)""",
+}
