@@ -34,7 +34,7 @@ PERCENT = 85
 HASHES = 64
 CHUNKS = 12
 DISTANCE = 23
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 BLOCK_BYTES = 8 << 20
 
 
