@@ -40,7 +40,7 @@ LIMIT = 200
 GRAM = 64
 CELL = 32
 FINER = (8, 1)
-HOT_CORE = 4_000
+HOT_CORE = 1_000
 CHUNK_BYTES = 600_000
 _PIECE = 1 << 18
 _PLACE = np.uint64(0xFFFFFF)
