@@ -25,12 +25,20 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_stream(spark, sf_dir, "events.parquet")
 
 
+def in_micros(rows: DataFrame) -> DataFrame:
+    """Times as microseconds since the epoch, values to four places."""
+    kinds = dict(rows.dtypes)
+    return rows.select(*[F.unix_micros(c).alias(c) if kinds[c] == "timestamp" else F.round(c, 4).alias(c) if kinds[c] == "double" else F.col(c) for c in rows.columns])
+
+
 def stream_event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, stream_sessions(_events(spark, sf_dir), ["event_type"], "1800 seconds"))
+    """Sessions that the watermark has closed by the end of the stream."""
+    return in_micros(_run(spark, stream_sessions(_events(spark, sf_dir), ["event_type"], "1800 seconds")))
 
 
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, stream_windows(_events(spark, sf_dir), "1 hour", "30 minutes"))
+    """Windows that the watermark has closed by the end of the stream."""
+    return in_micros(_run(spark, stream_windows(_events(spark, sf_dir), "1 hour", "30 minutes")))
 
 
 def stream_first_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,4 +56,15 @@ def stream_frame_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (stream_event_sessions, stream_event_windows, stream_first_by_user, stream_detection_buffer, stream_frame_selection)}
-ORACLE_SQL: dict[str, str] = {}
+_WATERMARK = "(SELECT (epoch_us(max(ts)) // 1000) * 1000 - 90000000 FROM events)"
+ORACLE_SQL = {
+    "stream_event_sessions": f"""
+WITH e AS (SELECT event_type, epoch_us(ts) AS us, value FROM events),
+o AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY event_type ORDER BY us) > 1800000000 THEN 1 ELSE 0 END AS opened FROM e),
+n AS (SELECT *, sum(opened) OVER (PARTITION BY event_type ORDER BY us ROWS UNBOUNDED PRECEDING) AS session_no FROM o)
+SELECT event_type, min(us) AS start_at, max(us) AS end_at, count(*) AS occurrence_count, round(max(value), 4) AS top_value FROM n GROUP BY event_type, session_no HAVING max(us) + 1800000000 <= {_WATERMARK}""",
+    "stream_event_windows": f"""
+WITH e AS (SELECT event_type, epoch_us(ts) AS us, value FROM events),
+w AS (SELECT event_type, value, unnest([us - us % 1800000000, us - us % 1800000000 - 1800000000]) AS start_at FROM e)
+SELECT start_at, start_at + 3600000000 AS end_at, event_type, count(*) AS n, round(avg(value), 4) AS mean_value FROM w GROUP BY start_at, event_type HAVING start_at + 3600000000 <= {_WATERMARK}""",
+}
