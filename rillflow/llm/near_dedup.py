@@ -36,6 +36,15 @@ CHUNKS = 12
 DISTANCE = 23
 BLOCK_ROWS = 256
 BLOCK_BYTES = 8 << 20
+#: Rows of an Arrow batch whose texts are unpacked at a time.
+SLICE_ROWS = 1_000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts, which bounds what a worker holds unpacked."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,7 +52,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher(HASHES)
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, names, signatures = [], [], []
             for values in shingle_sets(batch.column(1).to_pylist()):
                 sizes.append(len(values))
@@ -97,7 +106,7 @@ def member_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str)
     """(node, family, center, values): the full shingle sets of the families' members."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             values = [x.tobytes() for x in shingle_sets(batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values, pa.binary())], names=["node", "family", "center", "values"])
 
