@@ -7,7 +7,9 @@ value.  Every chunk is therefore indexed once for each value that may differ,
 with that value left out, so all pairs under the distance threshold meet under
 at least one key.  Texts of the link similarity differ in 9.6 of 64 values on
 average with a standard deviation of 2.9; the threshold of 23 lies almost five
-deviations above.
+deviations above.  At a similarity of 0.80 they differ in 12.8 (3.2); the threshold
+lies 3.2 deviations above, and all chunks fail with a probability of 3e-7, since a
+pair beyond it meets as well when one chunk has at most one differing value.
 
 Texts with equal sets are one node.  Nodes that meet under a key form families.
 Inside a family every node is compared, on full sets, with the family's best
@@ -114,12 +116,12 @@ def member_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str)
     return texts.join(members.hint("merge"), "node").select("node", "family", "center", "text").mapInArrow(sets, "node long, family long, center long, values binary")
 
 
-def similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
+def similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCENT):
     """The link rule on an intersection's size and both set sizes, in integers."""
-    return 100 * common >= PERCENT * (a + b - common)
+    return 100 * common >= percent * (a + b - common)
 
 
-def center_links(sets: DataFrame) -> DataFrame:
+def center_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, family, center, linked) for all members but the centers."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,14 +129,14 @@ def center_links(sets: DataFrame) -> DataFrame:
             linked = []
             for a, b in zip(batch.column(3), batch.column(4), strict=True):
                 x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (a, b))
-                linked.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
+                linked.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_())], names=["node", "family", "center", "linked"])
 
     center = sets.filter("node = center").select("family", F.col("values").alias("center_values"))
     return sets.filter("node != center").join(center, "family").select("node", "family", "center", "values", "center_values").mapInArrow(compare, "node long, family long, center long, linked boolean")
 
 
-def _block_links(table: pa.Table) -> pa.Table:
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
     """A forest of the links between a block's loose nodes and all nodes of the block pair."""
     nodes = table.column("node").to_pylist()
     loose = table.column("loose").to_pylist()
@@ -157,7 +159,7 @@ def _block_links(table: pa.Table) -> pa.Table:
         flags[own] = 1
         common = np.add.reduceat(flags[ids], begins[:-1])
         flags[own] = 0
-        for other in np.flatnonzero(similar(common, sizes[k], sizes)).tolist():
+        for other in np.flatnonzero(similar(common, sizes[k], sizes, percent)).tolist():
             a, b = root(k), root(other)
             if a != b:
                 parent[a] = b
@@ -165,7 +167,7 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
 
 
-def loose_links(sets: DataFrame, verdicts: DataFrame) -> DataFrame:
+def loose_links(sets: DataFrame, verdicts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(u, v): links of the nodes that their center did not take, from block against block comparison in their families."""
     state = sets.join(verdicts.select("node", "linked"), "node", "left").withColumn("loose", ~F.coalesce("linked", F.lit(True)))
     load = state.groupBy("family").agg(*[F.sum(F.when(F.col("loose") == flag, F.lit(1)).otherwise(0)).alias(f"n_{name}") for flag, name in ((True, "loose"), (False, "tied"))], *[F.sum(F.when(F.col("loose") == flag, F.octet_length("values")).otherwise(0)).alias(f"bytes_{name}") for flag, name in ((True, "loose"), (False, "tied"))])
@@ -183,12 +185,14 @@ def loose_links(sets: DataFrame, verdicts: DataFrame) -> DataFrame:
     ).otherwise(F.transform(steps("loose"), lambda x: row(True, x, own("tied"))))
     dealt = state.join(load, "family").select("node", "loose", "values", "family", F.explode(targets).alias("to"))
     grouped = dealt.select("node", "loose", "values", "family", "to.tied", "to.a", "to.b").groupBy("family", "tied", "a", "b")
-    return grouped.applyInArrow(_block_links, "u long, v long")
+    return grouped.applyInArrow(lambda block: _block_links(block, percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Return per document: doc_id, n_shingles, component_id, kept.
 
+    Documents with a similarity of at least ``percent`` hundredths are linked.
+
     A document without words or text has no shingles and is linked with nothing.
     A row with a null id takes no part in links: its component_id is null and it
     is kept.  Rows repeated with one id are one node; each has its own row.  An
@@ -199,8 +203,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = families(nodes)
     rows = docs.filter(F.col(id_col).isNotNull())
     sets = materialize(member_sets(rows, members, id_col, text_col).dropDuplicates(["node", "values"]), "sets")
-    verdicts = materialize(center_links(sets), "verdicts")
-    links = verdicts.filter("linked").select(F.col("node").alias("u"), F.col("center").alias("v")).unionByName(loose_links(sets, verdicts))
+    verdicts = materialize(center_links(sets, percent), "verdicts")
+    links = verdicts.filter("linked").select(F.col("node").alias("u"), F.col("center").alias("v")).unionByName(loose_links(sets, verdicts, percent))
     named = components(links)
     by_set = nodes.select("set_hash", "node").join(named, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     return (
@@ -210,10 +214,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with all their columns: one of each component, and rows with a null id.
 
     Of rows repeated with one id all are returned.
     """
-    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
