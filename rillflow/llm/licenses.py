@@ -1,12 +1,21 @@
 """Licence scan: a trained paragraph classifier with template confirmation.
 
-A paragraph is a non-blank line.  Its features are hashed words (runs of letters
-and digits) and word pairs; multinomial logistic regression with sparse inputs
-gives each family a probability, and one class stands for everything else.  A
-temperature fitted on held-back rows calibrates the probabilities.  A paragraph
-counts as a family's only if that family's calibrated probability reaches
-``LEAST_PROBABILITY`` and the paragraph covers enough of one of the family's
-templates; a confident prediction that no template confirms is ``unknown``.
+A paragraph ends at a line without a letter or digit, such as a blank one or a
+bare comment mark; line breaks and comment marks inside it count as spaces.  Its
+features are hashed words (runs of letters and digits) and word pairs;
+multinomial logistic regression with sparse inputs gives each family a
+probability, and one class stands for everything else.  A temperature fitted on
+held-back rows calibrates the probabilities.
+
+Three kinds of units are classified: every line; every passage, which is two or
+more successive lines of a paragraph with at least ``LEAST_KNOWN`` of their words
+in word pairs of the templates; and every paragraph of several lines without a
+passage.  A unit that is likely a notice names the family whose templates share
+the most word pairs with it, if it covers enough of one of them and no other
+family shares as many; a line needs a probability of ``LEAST_PROBABILITY`` for
+that family as well.  A notice that names none is ``unknown``, and is left out
+for a line inside a passage or paragraph that is a notice itself; one that a
+line of it names already is listed by that line.
 """
 
 from __future__ import annotations
@@ -24,6 +33,7 @@ from rillflow.llm.shingles import blocks, locate_words, mix64
 BITS = 16
 LEAST_PROBABILITY = 0.5
 LEAST_COVER = 0.5
+LEAST_KNOWN = 0.5
 #: Bound of the sample of ordinary paragraphs: whole documents, by smallest hash of the id.
 BACKGROUND_DOCS = 200
 BACKGROUND_ROWS = 4_000
@@ -37,8 +47,8 @@ _ALNUM[65:91] = np.arange(97, 123)
 _ALNUM[10] = 10
 
 
-def paragraphs(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, first word of every paragraph, its line number in its document, where each document's paragraphs begin)."""
+def lines_of(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, first word of every line with words, its line number in its document, where each document's lines begin)."""
     joined, starts, _, names, begins = locate_words(block, _ALNUM)
     if not len(starts):
         return names, np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(block) + 1, np.int64)
@@ -73,12 +83,18 @@ class ParagraphClassifier:
         self.bias = np.zeros(len(families) + 1, dtype=np.float32)
         self.temperature = 1.0
 
-    def scores(self, names: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Mean-weight scores of every paragraph of a block."""
+    def totals(self, names: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Sums of the weights of every line of a block."""
         single, pair = features(names, first)
-        total = np.add.reduceat(self.weights[single] + self.weights[pair], first, axis=0) if len(first) else np.zeros((0, len(self.bias)), np.float32)
-        lengths = np.diff(np.append(first, len(names)))
-        return total / np.sqrt(2.0 * lengths)[:, None] + self.bias
+        return np.add.reduceat(self.weights[single] + self.weights[pair], first, axis=0) if len(first) else np.zeros((0, len(self.bias)), np.float32)
+
+    def scores_of(self, totals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Scores from sums of weights and numbers of words."""
+        return totals / np.sqrt(2.0 * lengths)[:, None] + self.bias
+
+    def scores(self, names: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Mean-weight scores of every line of a block."""
+        return self.scores_of(self.totals(names, first), np.diff(np.append(first, len(names))))
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         z = scores / self.temperature
@@ -88,7 +104,7 @@ class ParagraphClassifier:
     def train(self, rows: list[bytes], labels: np.ndarray, rate: float = 0.5, decay: float = 1e-4, seed: int = 3) -> None:
         """Stochastic gradient steps on four fifths of the rows, then the temperature on the rest."""
         rng = np.random.default_rng(seed)
-        names, first, _, _ = paragraphs(rows)
+        names, first, _, _ = lines_of(rows)
         single, pair = features(names, first)
         limits = np.append(first, len(names))
         keep = rng.random(len(rows)) < 0.8
@@ -139,7 +155,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Para
             for text in _variants(notice, rng):
                 rows.append(text.encode())
                 labels.append(k + 1)
-            names, first, _, _ = paragraphs([notice.encode()])
+            names, first, _, _ = lines_of([notice.encode()])
             known |= set(features(names, first)[1][:-1].tolist())
     for notice in NOT_A_GRANT:
         for text in _variants(notice, rng):
@@ -150,12 +166,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Para
     sample = named.filter(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id"]).select("text").collect()
     lines = [line.encode() for text in sorted(r["text"] for r in sample) for line in text.split("\n") if any(c.isalnum() for c in line)]
     for line in [lines[k] for k in rng.permutation(len(lines))[:BACKGROUND_ROWS]]:
-        names, first, _, _ = paragraphs([line])
+        names, first, _, _ = lines_of([line])
         pairs = features(names, first)[1][:-1].tolist() if len(names) else []
         if pairs and sum(x in known for x in pairs) < 0.2 * len(pairs):  # a notice in the sample is no ordinary paragraph
             rows.append(line)
             labels.append(0)
-    solid = [k for k, row in enumerate(rows) if len(paragraphs([row])[0])]
+    solid = [k for k, row in enumerate(rows) if len(lines_of([row])[0])]
     model.train([rows[k] for k in solid], np.array([labels[k] for k in solid]))
     return model
 
@@ -166,41 +182,103 @@ def template_pairs(families: list[str]) -> list[list[set[int]]]:
     for family in families:
         sets = []
         for notice in TEMPLATES[family]:
-            names, _, _, _ = paragraphs([notice.encode()])
+            names, _, _, _ = lines_of([notice.encode()])
             sets.append(set((names[:-1] * np.uint64(3) + names[1:]).tolist()))
         out.append(sets)
     return out
 
 
-def cover(names: np.ndarray, templates: list[set[int]]) -> float:
-    """The best share of word pairs that a paragraph and a template have in common, of the smaller one of both."""
+def confirm(names: np.ndarray, templates: list[list[set[int]]]) -> int | None:
+    """The family that shares the most word pairs with a unit, if it covers enough of the smaller one of unit and template and no other family shares as many."""
     own = set((names[:-1] * np.uint64(3) + names[1:]).tolist())
-    return max((len(own & t) / max(3, min(len(own), len(t))) for t in templates), default=0.0)
+    shared = [[len(own & t) for t in family] for family in templates]
+    most = [max(x) for x in shared]
+    best = int(np.argmax(most))
+    if most.count(most[best]) > 1:
+        return None
+    cover = max(n / max(3, min(len(own), len(t))) for n, t in zip(shared[best], templates[best], strict=True))
+    return best if cover >= LEAST_COVER else None
+
+
+def known_pairs(families: list[str]) -> np.ndarray:
+    """Whether a feature number is a word pair of some template."""
+    known = np.zeros((1 << BITS) + 1, bool)
+    for family in families:
+        for notice in TEMPLATES[family]:
+            names, first, _, _ = lines_of([notice.encode()])
+            known[features(names, first)[1][:-1]] = True
+    known[1 << BITS] = False
+    return known
+
+
+def notices_of(model: ParagraphClassifier, templates: list[list[set[int]]], known: np.ndarray, block: list[bytes]) -> tuple[list[int], list[list[tuple[int, str, float]]]]:
+    """Per document of a block: number of paragraphs, and (line, family, probability) of the notices, in order."""
+    names, first, line, of_doc = lines_of(block)
+    found: list[list[tuple[int, str, float]]] = [[] for _ in block]
+    if not len(first):
+        return [0] * len(block), found
+    n = len(first)
+    limits = np.append(first, len(names))
+    opening = np.ones(n, bool)
+    opening[1:] = np.diff(line) != 1
+    opening[of_doc[:-1][of_doc[:-1] < n]] = True
+    paragraph = np.flatnonzero(opening)
+    _, pair = features(names, first[paragraph])
+    last = limits[1:] - 1
+    in_pair = known[pair]
+    in_pair[1:] |= known[pair[:-1]]
+    like = np.add.reduceat(in_pair.astype(np.int64), first) >= LEAST_KNOWN * np.diff(limits)
+    part_opening = opening.copy()
+    part_opening[1:] |= like[1:] != like[:-1]
+    part = np.flatnonzero(part_opening)
+
+    totals = model.totals(names, first)
+    p = model.probabilities(model.scores_of(totals, np.diff(limits)))
+
+    def units(begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the line after each unit, probabilities): word pairs across line breaks inside a unit count."""
+        ends = np.append(begins[1:], n)
+        across = pair[last]
+        across[ends - 1] = 1 << BITS
+        sums = np.add.reduceat(totals + model.weights[across], begins, axis=0)
+        return ends, model.probabilities(model.scores_of(sums, limits[ends] - limits[begins]))
+
+    part_end, part_p = units(part)
+    paragraph_end, paragraph_p = units(paragraph)
+    passage = like[part] & (part_end - part > 1)
+    holding = np.add.reduceat(np.repeat(passage, part_end - part), paragraph)
+    whole = (paragraph_end - paragraph > 1) & (holding == 0)
+    inside = np.zeros(n, bool)
+    hits: list[tuple[int, int, str, float]] = []
+    for begins, ends, probability, wanted in ((part, part_end, part_p, passage), (paragraph, paragraph_end, paragraph_p, whole)):
+        for k in np.flatnonzero(wanted & (1 - probability[:, 0] >= LEAST_PROBABILITY)).tolist():
+            lo, hi = int(begins[k]), int(ends[k])
+            inside[lo:hi] = True
+            family = confirm(names[limits[lo] : limits[hi]], templates)
+            hits.append((lo, hi, UNKNOWN if family is None else model.families[family], round(float(1 - probability[k, 0]), 4)))
+    lines: list[tuple[int, str, float]] = []
+    for k in np.flatnonzero(1 - p[:, 0] >= LEAST_PROBABILITY).tolist():
+        family = confirm(names[limits[k] : limits[k + 1]], templates)
+        name = UNKNOWN if family is None or p[k, family + 1] < LEAST_PROBABILITY else model.families[family]
+        if name != UNKNOWN or not inside[k]:
+            lines.append((k, name, round(float(1 - p[k, 0]), 4)))
+    hits = [(lo, name, score) for lo, hi, name, score in hits if not any(lo <= k < hi and other == name for k, other, _ in lines)]
+    for k, name, score in sorted(hits + lines):
+        found[int(np.searchsorted(of_doc, k, side="right")) - 1].append((int(line[k]), name, score))
+    return np.diff(np.searchsorted(paragraph, of_doc)).tolist(), found
 
 
 def scan(docs: DataFrame, model: ParagraphClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_paragraphs, n_notices, families, notices."""
-    templates = template_pairs(model.families)
+    templates, known = template_pairs(model.families), known_pairs(model.families)
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, listed, families = [], [], []
             for block in blocks(batch.column(1).to_pylist()):
-                names, first, line, of_doc = paragraphs(block)
-                found: dict[int, list[tuple[int, str, float]]] = {}
-                if len(first):
-                    p = model.probabilities(model.scores(names, first))
-                    limits = np.append(first, len(names))
-                    likely = np.flatnonzero(1 - p[:, 0] >= LEAST_PROBABILITY)
-                    doc_of = np.searchsorted(of_doc, likely, side="right") - 1
-                    for k, doc in zip(likely.tolist(), doc_of.tolist(), strict=True):
-                        own = names[limits[k] : limits[k + 1]]
-                        best = int(p[k, 1:].argmax())
-                        sure = p[k, best + 1] >= LEAST_PROBABILITY and cover(own, templates[best]) >= LEAST_COVER
-                        found.setdefault(doc, []).append((int(line[k]), model.families[best] if sure else UNKNOWN, round(float(1 - p[k, 0]), 4)))
-                counts += np.diff(of_doc).tolist()
-                for doc in range(len(block)):
-                    hits = found.get(doc, [])
+                n_paragraphs, found = notices_of(model, templates, known, block)
+                counts += n_paragraphs
+                for hits in found:
                     listed.append([f"{at}:{name}:{score}" for at, name, score in hits])
                     families.append(sorted({name for _, name, _ in hits if name != UNKNOWN}))
             yield pa.RecordBatch.from_arrays(
@@ -216,8 +294,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Return per document: doc_id, n_paragraphs, n_notices, families, notices.
 
     ``families`` are the confirmed ones, sorted; ``notices`` lists every notice
-    as line:family:probability (lines from 0, ``unknown`` where no template
-    confirms).  A null text is an empty one and has no paragraphs.  Repeated rows
+    as line:family:probability (its first line, from 0; ``unknown`` where no
+    template confirms).  A null text is an empty one and has no paragraphs.  Repeated rows
     each have their row; an empty table gives an empty result; further columns
     are ignored.
     """

@@ -1,6 +1,10 @@
 """Places where an operator once did less than its whole job."""
 
+import textwrap
+
+from rillflow.llm import licenses
 from rillflow.llm.near_dedup import keep_representatives
+from tests.llm.helpers import documents
 from tests.llm.test_contracts import shingles
 from tests.oracle import SMALL
 
@@ -21,3 +25,37 @@ def test_near_copies_at_another_threshold(spark):
         kept[percent] = sorted(i for i in ids if low[i] == i)
         assert sorted(r.doc_id for r in keep_representatives(docs, percent=percent).collect()) == kept[percent]
     assert len(kept[80]) < len(kept[85])
+
+
+def _grant(name, version, kind="program"):
+    return f"This {kind} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+
+
+HEADERS = {
+    "GPL-2.0": _grant("GNU General Public License", "2"),
+    "GPL-3.0": _grant("GNU General Public License", "3"),
+    "AGPL-3.0": _grant("GNU Affero General Public License", "3"),
+    "LGPL": _grant("GNU Lesser General Public License", "2.1", "library"),
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+}
+
+
+def test_wrapped_licence_headers(spark):
+    """A hard-wrapped notice names its family and no other, alone and between lines of code, in each usual comment form."""
+    texts, want = [], {}
+    for family, notice in HEADERS.items():
+        for width in (30, 70):
+            for mark in ("", " * ", "# ", "// "):
+                body = "\n".join(mark + x for x in textwrap.wrap(notice, width))
+                tail = f"\n{mark}This program is distributed in the hope that it will be useful, but without any\n{mark}warranty. See the GNU General Public License for more details.\n"
+                for text in (body, f"{mark}Copyright (C) 2020 Jane Roe\n{body}\nint main(void) {{ return count(7); }}\n", f"{body}\n{mark}{tail}"):
+                    want[len(texts)] = family
+                    texts.append((len(texts), text))
+    filler = [(1000 + k, f"Ordinary words number {k} stand in this line.\nAnother line follows it here {k}.\n\nA second paragraph.") for k in range(40)]
+    one_line = [(2000, "A line.\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0.\nAnother line.")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, texts + filler + one_line)).collect()}
+    assert {k: got[k].families for k in want} == want
+    assert got[2000].families == "Apache-2.0,MIT" and got[2000].n_paragraphs == 1
+    assert not any(got[1000 + k].families or got[1000 + k].n_paragraphs != 2 for k in range(40))
+    listed = licenses.scan_licenses(documents(spark, [(1, "of the License, or (at your option)\nThis work is licensed under the GNU General Public License, version 3."), *filler])).filter("doc_id = 1").first()
+    assert (listed.families, listed.n_notices) == ("GPL-3.0", 1)
