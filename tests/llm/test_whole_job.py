@@ -1,9 +1,11 @@
 """Places where an operator once did less than its whole job."""
 
+import random
 import textwrap
 
 from rillflow.llm import licenses
 from rillflow.llm.near_dedup import keep_representatives
+from rillflow.llm.syncmers import fingerprints
 from tests.llm.helpers import documents
 from tests.llm.test_contracts import shingles
 from tests.oracle import SMALL
@@ -59,3 +61,16 @@ def test_wrapped_licence_headers(spark):
     assert not any(got[1000 + k].families or got[1000 + k].n_paragraphs != 2 for k in range(40))
     listed = licenses.scan_licenses(documents(spark, [(1, "of the License, or (at your option)\nThis work is licensed under the GNU General Public License, version 3."), *filler])).filter("doc_id = 1").first()
     assert (listed.families, listed.n_notices) == ("GPL-3.0", 1)
+
+
+def test_fingerprints_of_long_texts_share_a_passage(spark):
+    """Two texts of 50 KB that share 500 bytes have common anchors in their fingerprints and a likeness above 0."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    common = noise(500)
+    texts = [(1, noise(25_000) + common + noise(25_000)), (2, noise(10_000) + common + noise(40_000)), (3, common)]
+    got = {r.doc_id: r for r in fingerprints(documents(spark, texts)).collect()}
+    kept = {i: {x.split("@")[0] for x in r.fingerprint.split(",")} for i, r in got.items()}
+    assert len(kept[1]) > 10 * len(kept[3])
+    assert len(kept[1] & kept[2]) >= 10 and len(kept[2] & kept[3]) >= 10
+    assert 0 < got[1].near_next < 0.02 and 0 < got[2].near_next < 0.02
