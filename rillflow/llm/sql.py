@@ -86,29 +86,40 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 )
 
 OP8 = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-l AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split_regex(t, '[^\x20\x09-\x0D]+') AS gaps FROM d),
-w AS (SELECT doc_id, k, ws[k] AS word, gaps[k] AS gap, k = len(ws) OR contains(gaps[k + 1], chr(10)) AS hard FROM (SELECT *, unnest(generate_series(1, len(ws))) AS k FROM l)),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split_regex(t, '[^\x20\x09-\x0D]+') AS gaps FROM d),
+w AS (SELECT r, k, ws[k] AS word, gaps[k] AS gap, contains(gaps[k + 1], chr(10)) AS hard FROM (SELECT *, unnest(generate_series(1, len(ws))) AS k FROM l)),
 m AS (
-  SELECT *, regexp_matches(CASE WHEN length(word) > 1 THEN regexp_replace(word, '["''\)\]}]$', '') ELSE word END, '[.!?]$') AS mark,
-    sum(length(gap)) OVER (PARTITION BY doc_id ORDER BY k) + coalesce(sum(length(word)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  SELECT *, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x,
+    hard OR regexp_matches(CASE WHEN length(word) > 1 THEN regexp_replace(word, '["''\)\]}]$', '') ELSE word END, '[.!?]$') AS stop,
+    sum(length(gap)) OVER (PARTITION BY r ORDER BY k) + coalesce(sum(length(word)) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM w),
-b AS (SELECT *, hard OR (mark AND k - coalesce(max(CASE WHEN mark OR hard THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 4) AS stop FROM m),
-o AS (SELECT *, k - coalesce(max(CASE WHEN stop THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS inside FROM b),
-n AS (SELECT *, sum(CASE WHEN inside % 16 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS sno FROM o),
-s AS (SELECT doc_id, sno, min(start) AS start, count(*) AS n_words, string_agg(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' ORDER BY k) AS x FROM n GROUP BY doc_id, sno),
-r AS (
-  SELECT doc_id, sno, start, lead(start) OVER q AS until, n_words + lead(n_words) OVER q + lead(n_words, 2) OVER q AS n_run, x || ' ' || lead(x) OVER q || ' ' || lead(x, 2) OVER q AS run FROM s WINDOW q AS (PARTITION BY doc_id ORDER BY sno)),
-f AS (SELECT doc_id, sno FROM (SELECT doc_id, sno, row_number() OVER (PARTITION BY md5(run) ORDER BY doc_id, sno) AS place FROM r WHERE n_run >= 8) WHERE place > 1),
-g AS (SELECT DISTINCT doc_id, sno + unnest([0, 1, 2]) AS sno FROM f),
-i AS (SELECT doc_id, min(sno) AS lo, max(sno) AS hi FROM (SELECT *, sno - row_number() OVER (PARTITION BY doc_id ORDER BY sno) AS island FROM g) GROUP BY doc_id, island),
-z AS (SELECT doc_id, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS removed FROM i GROUP BY doc_id),
+b AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole FROM m),
+c AS (
+  SELECT r, whole, count(*) OVER q AS seen, min(md5(x) || lpad(CAST(1000000000 - k AS VARCHAR), 10, '0')) OVER q AS low
+  FROM b WINDOW q AS (PARTITION BY r, whole ORDER BY k ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+cuts AS (SELECT DISTINCT r, 1000000000 - CAST(substr(low, 33) AS BIGINT) AS k FROM c WHERE seen = 8),
+o AS (SELECT b.*, cuts.k IS NOT NULL OR row_number() OVER (PARTITION BY b.r, whole ORDER BY b.k) = 1 AS opening FROM b LEFT JOIN cuts ON b.r = cuts.r AND b.k = cuts.k),
+n AS (SELECT *, sum(CAST(opening AS INT)) OVER (PARTITION BY r ORDER BY k) - 1 AS sno FROM o),
+s AS (SELECT r, sno, min(start) AS start, count(*) AS n_words, string_agg(x, ' ' ORDER BY k) AS x FROM n GROUP BY r, sno),
+a AS (SELECT r, list(x ORDER BY sno) AS xs, list(n_words ORDER BY sno) AS ns FROM s GROUP BY r),
+e AS (
+  SELECT r, k, xs, list_filter(generate_series(k + 2, least(k + 15, len(xs))), lambda j: list_sum(ns[k:j]) >= 16)[1] AS last
+  FROM (SELECT *, unnest(generate_series(1, len(xs))) AS k FROM a)),
+f AS (
+  SELECT r, k, last FROM (
+    SELECT e.r, k, last, row_number() OVER (PARTITION BY md5(array_to_string(xs[k:last], ' ')) ORDER BY doc_id NULLS LAST, md5(t), k) AS place
+    FROM e JOIN d USING (r) WHERE last IS NOT NULL) WHERE place > 1),
+g AS (SELECT DISTINCT r, unnest(generate_series(k, last)) - 1 AS sno FROM f),
+i AS (SELECT r, min(sno) AS lo, max(sno) AS hi FROM (SELECT *, sno - row_number() OVER (PARTITION BY r ORDER BY sno) AS island FROM g) GROUP BY r, island),
+z AS (SELECT r, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS removed FROM i GROUP BY r),
+p AS (SELECT r, sno, start, lead(start) OVER (PARTITION BY r ORDER BY sno) AS until FROM s),
 kept AS (
-  SELECT r.doc_id, count(*) AS n_sentences, count(g.sno) AS n_removed, min(r.start) AS first,
-    coalesce(string_agg(substr(d.t, CAST(r.start AS BIGINT) + 1, CAST(coalesce(r.until, length(d.t)) - r.start AS BIGINT)), '' ORDER BY r.sno) FILTER (g.sno IS NULL), '') AS rest
-  FROM r JOIN d USING (doc_id) LEFT JOIN g ON g.doc_id = r.doc_id AND g.sno = r.sno GROUP BY r.doc_id)
+  SELECT p.r, count(*) AS n_sentences, count(g.sno) AS n_removed, min(p.start) AS first,
+    coalesce(string_agg(substr(d.t, CAST(p.start AS BIGINT) + 1, CAST(coalesce(p.until, length(d.t)) - p.start AS BIGINT)), '' ORDER BY p.sno) FILTER (g.sno IS NULL), '') AS rest
+  FROM p JOIN d USING (r) LEFT JOIN g ON g.r = p.r AND g.sno = p.sno GROUP BY p.r)
 SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, CASE WHEN n_sentences IS NULL THEN t ELSE substr(t, 1, CAST(first AS BIGINT)) || rest END AS text
-FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN z USING (doc_id)
+FROM d LEFT JOIN kept USING (r) LEFT JOIN z USING (r)
 """
 
 OP9 = r"""

@@ -283,33 +283,42 @@ def test_repeated_bytes_of_nothing(spark):
 
 
 def sentence_truth(texts):
+    """Per distinct (id, text): number of sentences, removed ones, what is left.  Null ids come last; ties of ids go by the text's MD5."""
+
     def cut(data):
-        out, current, since = [], [], 0
         found = list(re.finditer(rb"[^ \t\n\x0b\x0c\r]+", data))
+        whole, current = [], []
         for k, m in enumerate(found):
             current.append(m)
-            since += 1
             end = m[0][-2:-1] if m[0][-1:] in b"\"')]}" and len(m[0]) > 1 else m[0][-1:]
-            hard = k + 1 == len(found) or b"\n" in data[m.end() : found[k + 1].start()]
-            if hard or (end in b".!?" and since >= 4):
-                out += [current[j : j + 16] for j in range(0, len(current), 16)]
+            if k + 1 == len(found) or b"\n" in data[m.end() : found[k + 1].start()] or end in b".!?":
+                whole.append(current)
                 current = []
-            if hard or end in b".!?":
-                since = 0
+        out = []
+        for words in whole:
+            name = [hashlib.md5(m[0].lower()).hexdigest() for m in words]
+            cuts = {min(range(k, k + 8), key=lambda j: (name[j], -j)) for k in range(len(words) - 7)} | {0}
+            limits = [*sorted(cuts), len(words)]
+            out += [words[x:y] for x, y in zip(limits, limits[1:], strict=False)]
         return out
 
     first, truth = {}, {}
-    for i, t in sorted(texts):
+    for i, t in sorted(set(texts), key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5((x[1] or "").encode()).digest())):
         data = (t or "").encode()
         parts, gone = cut(data), set()
-        for k in range(len(parts) - 2):
-            run = tuple(m[0].lower() for part in parts[k : k + 3] for m in part)
-            if len(run) >= 8 and first.setdefault(run, (i, k)) != (i, k):
-                gone |= {k, k + 1, k + 2}
+        for k in range(len(parts)):
+            to = next((j for j in range(k + 3, len(parts) + 1) if sum(map(len, parts[k:j])) >= 16), None)
+            run = tuple(m[0].lower() for part in parts[k:to] for m in part)
+            if to and first.setdefault(run, (i, t, k)) != (i, t, k):
+                gone |= set(range(k, to))
         limits = [p[0].start() for p in parts] + [len(data)]
         kept = data[: limits[0]] + b"".join(data[limits[k] : limits[k + 1]] for k in range(len(parts)) if k not in gone)
-        truth[i] = (len(parts), len(gone), kept.decode())
-    return truth
+        truth[i, t] = (i, len(parts), len(gone), kept.decode())
+    return Counter(truth[x] for x in texts)
+
+
+def spans_of(df):
+    return Counter((r.doc_id, r.n_sentences, r.n_removed, r.text) for r in remove_repeated_spans(df).collect())
 
 
 def test_sentence_spans(spark):
@@ -317,13 +326,37 @@ def test_sentence_spans(spark):
     sentence = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "the", "a"]) for _ in range(rng.choice([1, 4, 9, 40]))) + rng.choice([". ", "! ", '." ', "\n"])
     passages = ["".join(sentence() for _ in range(7)) for _ in range(5)]
     texts = [(k, "".join(rng.choice([sentence(), sentence(), rng.choice(passages)]) for _ in range(8))) for k in range(60)]
-    texts += [(100, None), (101, ""), (102, "   \n"), (103, passages[0] + passages[0]), (104, "no end")]
-    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in remove_repeated_spans(awkward(spark, texts)).collect()}
-    assert got == sentence_truth(texts)
-    assert remove_repeated_spans(documents(spark, [(None, "x"), (1, "y"), (1, "y")])).count() == 3
+    texts += [(100, None), (101, ""), (102, "   \n"), (103, passages[0] + passages[0]), (104, "no end"), (104, "no end"), (105, "la " * 300), (106, "x\n" * 40)]
+    assert spans_of(awkward(spark, texts)) == sentence_truth(texts)
     assert remove_repeated_spans(documents(spark, [])).count() == 0
 
 
+def test_sentence_spans_of_rows_that_share_an_id(spark):
+    rng = random.Random(5)
+    noise = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b = noise(120), noise(130)
+    biggest = (1 << 63) - 1
+    for texts in ([(0, a), (1, a), (1, "short.")], [(0, a), (1, a), (1, b)], [(1, a), (1, b), (1, a + " " + b)], [(None, a), (None, b), (biggest, a), (biggest, b), (None, "c")], [(None, None), (None, ""), (7, a), (7, a)]):
+        got = spans_of(documents(spark, texts))
+        assert got == sentence_truth(texts)
+    assert b in {r.text for r in remove_repeated_spans(documents(spark, [(0, a), (1, a), (1, b)])).collect()}
+
+
+def test_passages_of_51_words_are_found_wherever_they_begin(spark):
+    """In mid-sentence after any number of words, without punctuation, and as lists of short lines."""
+    rng = random.Random(9)
+    noise = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts, want = [], set()
+    for k in range(150):
+        words = [f"p{rng.randrange(10**6)}" for _ in range(51)]
+        passage = " ".join(words) if k % 3 else "\n".join(" ".join(words[j : j + 2]) for j in range(0, 51, 2)) if k % 2 else " ".join(w + rng.choice(["", "", "."]) for w in words)
+        for copy in range(2):
+            texts.append((2 * k + copy, f"{noise(rng.randrange(40))} {passage} {noise(rng.randrange(40))}"))
+        want.add(2 * k + 1)
+    got = {r.doc_id: r.n_removed for r in remove_repeated_spans(documents(spark, texts)).collect()}
+    assert {i for i, n in got.items() if n} == want
+
+
 def test_fingerprints(spark):
     rng = random.Random(5)
     texts = [(k, "".join(rng.choice("abcdé ") for _ in range(rng.choice([0, 3, 40, 900])))) for k in range(50)] + [(200, None), (201, "same"), (202, "same")]
