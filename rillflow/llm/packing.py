@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -26,7 +27,13 @@ from rillflow.plans.lineage import materialize
 
 CAPACITY = 2048
 END_ID = 0
-BUCKETS = 256
+#: Pieces that a bucket holds when all have one length.
+ROWS_PER_BUCKET = 20_000
+#: Beyond this many characters a text goes through the tokenizer itself.
+LONG_CHARS = 100_000
+#: Bounds of the tokenizer's remembered pieces in a worker.
+MEMO_CHARS = 32
+MEMO_PIECES = 1 << 18
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
@@ -39,33 +46,61 @@ def default_tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+class Pretokens(dict):
+    """The tokenizer's ids of pieces that its pattern cuts, as bytes of unsigned 32-bit numbers; short pieces are remembered."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class TokenIds:
-    """Ids of the tokenizer file, computed with the same vocabulary's ranks.
+    """Ids of the tokenizer file.
 
-    Both libraries give the same ids for ordinary text (tested); the rank form
-    takes a quarter of the time.  A text that holds one of the tokenizer's added
-    tokens goes through the tokenizer itself.
+    The tokenizer itself is used for texts of more than ``LONG_CHARS`` characters,
+    cut by its pattern so that memory does not grow with the text, and for texts
+    that hold one of its added tokens.  Other texts take the rank form of the same
+    vocabulary, a quarter of the tokenizer's time for the same ids (tested).
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str) -> None:
         import public_tokenizers
+        import regex
         import tiktoken
+        from tokenizers import Tokenizer
 
-        self.path, self.full = tokenizer_path, None
+        self.full = Tokenizer.from_file(tokenizer_path)
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.pieces = Pretokens(self.full)
         with open(tokenizer_path, encoding="utf-8") as file:
-            self.added = [t["content"] for t in json.load(file)["added_tokens"]]
+            added = sorted((t["content"] for t in json.load(file)["added_tokens"]), key=len, reverse=True)
+        self.added = regex.compile("|".join(map(regex.escape, added)) or "(?!)")
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def __call__(self, text: str) -> np.ndarray:
-        if any(token in text for token in self.added):
-            if self.full is None:
-                from tokenizers import Tokenizer
+    def _cut(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join([self.pieces[m[0]] for m in self.pattern.finditer(text)]), dtype="<u4")
 
-                self.full = Tokenizer.from_file(self.path)
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+    def __call__(self, text: str) -> np.ndarray:
+        if len(text) <= LONG_CHARS:
+            if self.added.search(text):
+                return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+        # an added token is cut out before the pattern is applied to what stands between
+        parts, at = [], 0
+        for m in self.added.finditer(text):
+            parts += [self._cut(text[at : m.start()]), np.array(self.full.encode(m[0], add_special_tokens=False).ids, dtype="<u4")]
+            at = m.end()
+        return np.concatenate([*parts, self._cut(text[at:])])
 
 
 @cache
@@ -227,7 +262,7 @@ def pack(
     text_col: str = "text",
     capacity: int = CAPACITY,
     tokenizer: tuple[str, str] | None = None,
-    buckets: int = BUCKETS,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Return per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -236,6 +271,7 @@ def pack(
     empty result; further columns are ignored.
     """
     table = materialize(pieces(docs, id_col, text_col, capacity, tokenizer or default_tokenizer()), "pieces")
+    buckets = max(1, -(-table.count() // rows_per_bucket))  # grows with the pieces, so that the most frequent length is ranked in bounded parts
     bucketed = table.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     sums = bucketed.groupBy("length", "bucket").count()
     ahead = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,6 +14,7 @@ from rillflow.llm.exact_dedup import drop_copies, exact_dedup
 from rillflow.llm.mixing import draw_mix, mix
 from rillflow.llm.near_dedup import keep_representatives, near_duplicates
 from rillflow.llm.packing import default_tokenizer, pack, plan_sequences, reduce_dominated, token_ids
+from rillflow.llm.shingles import mix64
 from rillflow.llm.secrets import RULE_VERSION, scan_secrets, update_ledger
 from rillflow.llm.sentence_spans import remove_repeated_spans
 from rillflow.llm.sql import ORACLE_SQL
@@ -162,6 +163,26 @@ def test_ids_are_the_tokenizers():
         assert ids_of(text).tolist() == full.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "é " * 700_000 + "x", "ab" * 60_000 + "<|endoftext|>" + " " * 60_000 + "z<|endoftext|>"], ids=["spaces", "newlines", "letters", "words", "added"])
+def test_very_long_texts_have_the_tokenizers_ids(text):
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(default_tokenizer()[0])
+    assert token_ids(*default_tokenizer())(text).tolist() == full.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_very_long_and_many_equal_texts(spark):
+    texts = [(0, " " * 2_000_000), (1, "a" * 300_000)] + [(k, "same text") for k in range(2, 400)]
+    got = pack(documents(spark, texts), rows_per_bucket=50).collect()
+    assert sum(r.length for r in got if r.doc_id == 0) == len(token_ids(*default_tokenizer())(" " * 2_000_000)) + 1
+    by_sequence = defaultdict(list)
+    for r in got:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for rows in by_sequence.values():
+        rows.sort()
+        assert [o for o, _ in rows] == [sum(n for _, n in rows[:k]) for k in range(len(rows))] and sum(n for _, n in rows) <= 2048
+
+
 def test_reduction_keeps_the_optimum():
     """On tiny instances the reduced plan needs no more sequences than an exhaustive search."""
 
@@ -375,6 +396,53 @@ def test_fingerprints(spark):
     assert fingerprints(documents(spark, [])).count() == 0
 
 
+def anchors_truth(data):
+    """{hash: first place} of all closed syncmers, byte by byte; a text without any is its own anchor."""
+    one = lambda x: int(mix64(np.array([x & ((1 << 64) - 1)], np.uint64))[0])
+    found = {}
+    for at in range(len(data) - 15):
+        inner = [one(int.from_bytes(data[at + j : at + j + 8], "little") + 0x9E3779B97F4A7C15) for j in range(9)]
+        if min(inner) in (inner[0], inner[8]):
+            found.setdefault(one(inner[0] + one(inner[8]) * 3) >> 32, at)
+    if data and not found:
+        found[int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little") >> 32] = 0
+    return found
+
+
+def print_truth(anchors):
+    """All of up to 48 anchors; of more, each that is the smallest of some 8 successive ones."""
+    order = sorted((p, h) for h, p in anchors.items())
+    kept = order if len(order) <= 48 else sorted({min(order[k : k + 8], key=lambda x: x[1]) for k in range(len(order) - 7)})
+    return ",".join(f"{h:08x}@{p:x}" for p, h in kept)
+
+
+def likeness_truth(a, b):
+    common = sorted(set(a) & set(b), key=lambda h: a[h])
+    places = [b[h] for h in common]
+    best = []
+    for k, x in enumerate(places):
+        best.append(1 + max([best[j] for j in range(k) if places[j] < x], default=0))
+    union = len(set(a) | set(b))
+    return max(best, default=0) / union if union else 1.0
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdé ") for _ in range(500))
+    texts = [(0, "The quick brown f"), (1, ""), (2, "exactly sixteen."), (3, "exactly sixteen."), (4, None), (5, base), (6, base[:250] + "x" + base[250:]), (7, base[200:]), (None, "null id"), (9, "ab" * 200), (10, base * 3)]
+    texts += [(20 + k, "".join(rng.choice("abcd") for _ in range(rng.randrange(12, 60)))) for k in range(40)]
+    got = {r.doc_id: r for r in fingerprints(awkward(spark, texts), target_rows=9).collect()}
+    order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0))
+    for k, (i, t) in enumerate(order):
+        text, following = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        own, other, then = (anchors_truth(x.encode()) for x in (text, edited, following))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (print_truth(own), print_truth(other))
+        assert got[i].near_edited == pytest.approx(likeness_truth(own, other)) and got[i].near_next == pytest.approx(likeness_truth(own, then))
+    assert got[0].near_next == 0 and got[1].near_next == 0 and got[2].near_next == 1
+
+
 def test_syncmers_are_context_free():
     rng = random.Random(7)
     data = bytes(rng.randrange(256) for _ in range(600_000))
