@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.plans.lineage import materialize
+from rillflow.llm.counted_join import join_counted
+from rillflow.plans.lineage import discard, materialize
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -15,36 +16,42 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node of its neighbourhood."""
     both = _both(edges)
-    lows = materialize(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "lows")
-    return both.join(lows, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    lows = materialize(both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select("u", F.least("u", "low").alias("low"), "n"), "lows")
+    return join_counted(both.filter("v > u"), lows, ["u"]).select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lows = materialize(down.groupBy("u").agg(F.min("v").alias("low")), "lows")
-    moved = down.join(lows, "u").filter("v > low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    lows = materialize(down.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")), "lows")
+    moved = join_counted(down, lows, ["u"]).filter("v > low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.unionByName(lows.select("u", F.col("low").alias("v"))).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); a component is named by its smallest node.
 
     Self-links and null ends are ignored.  The rounds end when the links no
-    longer change; every link then points at its component's smallest node.
+    longer change; every link then points at its component's smallest node.  They
+    grow with the logarithm of the longest path; if ``rounds`` do not suffice, an
+    error is raised.
     """
     now = materialize(edges.select("u", "v").filter("u is not null and v is not null and u != v").distinct(), "links")
     state = _state(now)
     for _ in range(rounds):
         if not state[0]:
             break
-        now = materialize(_small_star(_large_star(now)), "links")
+        last = now
+        now = materialize(_small_star(_large_star(last)), "links")
+        discard(last)
         before, state = state, _state(now)
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components are not finished after {rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -1,21 +1,23 @@
 """Near-duplicate documents: b-bit MinHash signatures and a multi-index Hamming join.
 
-A signature holds ``HASHES`` min-wise values of 16 bits.  Split into ``CHUNKS``
-chunks, two signatures that differ in at most ``DISTANCE`` values have, by the
-pigeonhole principle, a chunk with at most ``DISTANCE // CHUNKS`` = 1 differing
-value.  Every chunk is therefore indexed once for each value that may differ,
-with that value left out, so all pairs under the distance threshold meet under
-at least one key.  Texts of the link similarity differ in 9.6 of 64 values on
-average with a standard deviation of 2.9; the threshold of 23 lies almost five
-deviations above.  At a similarity of 0.80 they differ in 12.8 (3.2); the threshold
-lies 3.2 deviations above, and all chunks fail with a probability of 3e-7, since a
-pair beyond it meets as well when one chunk has at most one differing value.
-
-Texts with equal sets are one node.  Nodes that meet under a key form families.
-Inside a family every node is compared, on full sets, with the family's best
-connected node; the nodes that are not linked to it are compared with all others
-of the family, block against block, so that neither a task's memory nor the rows
-of a plan grow with the square of a family.
+A signature holds ``HASHES`` min-wise values of 16 bits.  Two texts of similarity s
+differ in ``HASHES * (1 - s)`` values on average; the distance threshold lies five
+standard deviations above (23 of 64 at 0.85, 28 at 0.80).  Split into
+``distance // 2 + 1`` chunks, two signatures within the threshold have, by the
+pigeonhole principle, a chunk with at most one differing value.  Every chunk is
+therefore indexed once for each value that may differ, with that value left out,
+so all pairs within the threshold meet under at least one key.
+
+Texts with equal sets are one node.  Nodes that meet under a key are compared by
+their signatures, and only those within the threshold go on: a key's nodes are
+reduced to a forest of such pairs, so the rows do not grow with the square of a
+key.  Connected pairs form families.  Links are then confirmed on full sets: every
+node with the best connected node of its family, and the nodes that this leaves
+loose with all others of the family whose signature is near.
+
+Keys and families of any size are cut to blocks, and blocks are compared pairwise
+in tasks of their own; what every node is compared with first (a key's smallest
+node, a family's center) goes to each block as one row.
 """
 
 from __future__ import annotations
@@ -25,23 +27,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm.components import components
+from rillflow.llm.counted_join import join_counted
 from rillflow.llm.shingles import MinHasher, mix64, shingle_sets
 from rillflow.plans.lineage import materialize
 
-PERCENT = 85
+#: Least similarity of linked texts, in hundredths; a caller with a contract of its own passes another.
+PERCENT = 80
 HASHES = 64
-CHUNKS = 12
-DISTANCE = 23
-BLOCK_ROWS = 256
+#: Rows and bytes of a block of a key's signatures, and of a family's sets.
+KEY_ROWS = 4_096
+BLOCK_ROWS = 1_024
 BLOCK_BYTES = 8 << 20
 #: Rows of an Arrow batch whose texts are unpacked at a time.
 SLICE_ROWS = 1_000
 
 
+def distance_limit(percent: int, hashes: int = HASHES) -> int:
+    """The signature distance that texts of the link similarity stay within: mean and five standard deviations."""
+    differ = 1 - percent / 100
+    return int(hashes * differ + 5 * (hashes * differ * (1 - differ)) ** 0.5)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in smaller parts, which bounds what a worker holds unpacked."""
     for batch in batches:
@@ -65,9 +75,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(sketch, "doc_id long, n_shingles long, set_hash binary, signature binary")
 
 
-def chunk_keys(signatures: np.ndarray) -> np.ndarray:
+def unpack(signatures: list[bytes]) -> np.ndarray:
+    """(n, HASHES) values of packed signatures."""
+    return np.frombuffer(b"".join(signatures), dtype=np.uint16).reshape(-1, HASHES)
+
+
+def chunk_keys(signatures: np.ndarray, chunks: int) -> np.ndarray:
     """64-bit index keys of an (n, HASHES) array of uint16: per chunk, one key for each value left out."""
-    limits = np.linspace(0, HASHES, CHUNKS + 1).astype(int)
+    limits = np.linspace(0, HASHES, chunks + 1).astype(int)
     wide = signatures.astype(np.uint64)
     keys = np.empty((len(wide), HASHES), dtype=np.uint64)
     for chunk, (lo, hi) in enumerate(zip(limits[:-1], limits[1:], strict=True)):
@@ -80,40 +95,146 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     return keys
 
 
-def index_keys(nodes: DataFrame) -> DataFrame:
+def index_keys(nodes: DataFrame, distance: int) -> DataFrame:
     """(key, node): every node under each of its index keys."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            signatures = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(n, HASHES)
-            values = pa.array(chunk_keys(signatures).view(np.int64).ravel())
+        for batch in _slices(batches):
+            values = pa.array(chunk_keys(unpack(batch.column(1).to_pylist()), distance // 2 + 1).view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays([values, pa.array(np.repeat(batch.column(0).to_numpy(), HASHES))], names=["key", "node"])
 
     return nodes.select("node", "signature").mapInArrow(keys, "key long, node long")
 
 
-def families(nodes: DataFrame) -> DataFrame:
-    """(node, family, center): nodes connected through shared keys and the node of each family that shares most."""
-    keyed = index_keys(nodes)
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "low", "n")
-    met = materialize(keyed.join(shared.hint("merge"), "key").groupBy("node", "low").agg(F.sum("n").alias("n")), "met")
-    by_family = met.groupBy("node").agg(F.sum("n").alias("n")).join(components(met.select(F.col("node").alias("u"), F.col("low").alias("v"))), "node").withColumnRenamed("component", "family")
-    by_family = materialize(by_family, "families")
-    centers = by_family.groupBy("family").agg(F.max(F.struct("n", (-F.col("node")).alias("other"))).alias("best")).select("family", (-F.col("best.other")).alias("center"))
-    return materialize(by_family.join(centers, "family").select("node", "family", "center"), "centers")
+class Forest:
+    """Union-find over places; keeps the pairs that connected something."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
+        self.pairs: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def link(self, x: int, y: int) -> None:
+        a, b = self.root(x), self.root(y)
+        if a != b:
+            self.parent[a] = b
+            self.pairs.append((x, y))
+
+
+def near_rows(signatures: np.ndarray, at: int, distance: int) -> np.ndarray:
+    """Which rows are within the distance of row ``at``."""
+    return (signatures != signatures[at]).sum(axis=1) <= distance
+
+
+def key_forest(signatures: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within the distance: the first row with all, then the rows it leaves loose with all."""
+    forest = Forest(len(signatures))
+    near = near_rows(signatures, 0, distance)
+    for other in np.flatnonzero(near)[1:].tolist():
+        forest.link(0, other)
+    for k in np.flatnonzero(~near).tolist():
+        for other in np.flatnonzero(near_rows(signatures, k, distance)).tolist():
+            forest.link(k, other)
+    return forest.pairs
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Table, int, int]]:
+    """(table, first row, row after) of every group of a sorted stream, by its first ``n_keys`` columns; only one group at a time is held whole."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+        change = np.zeros(max(0, table.num_rows - 1), bool)
+        for k in range(n_keys):
+            values = table.column(k).to_numpy()
+            change |= values[1:] != values[:-1]
+        limits = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for lo, hi in zip(limits, limits[1:], strict=False):
+            yield table, lo, hi
+        rest = table.slice(limits[-1]).combine_chunks() if table.num_rows else rest
+    if rest is not None and rest.num_rows:
+        yield rest, 0, rest.num_rows
+
+
+def _dealt(own: Column, parts: Column) -> Column:
+    """Every pair of blocks (a, b), a <= b, that a row of block ``own`` belongs to."""
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(own, x).alias("a"), F.greatest(own, x).alias("b")))
+
 
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["u", "v"])
 
-def member_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, family, center, values): the full shingle sets of the families' members."""
+
+def candidate_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """(u, v): pairs within the signature distance that connect all that are connected by such pairs."""
+    keyed = index_keys(nodes, distance)
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("all")).filter("low < high")
+    # keys that the same nodes share are one: their least, greatest, number and combined hash agree
+    shared = materialize(shared.groupBy("low", "high", "n", "all").agg(F.min("key").alias("key")).drop("all"), "shared")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(iter([batch])):
+                near = (unpack(part.column(2).to_pylist()) != unpack(part.column(3).to_pylist())).sum(axis=1) <= distance
+                yield part.select(["u", "v"]).filter(pa.array(near))
+
+    # keys of two nodes are pairs already
+    signed = lambda name: nodes.select(F.col("node").alias(name), F.col("signature").alias(f"{name}_signature"))
+    twos = shared.filter("n = 2").select(F.col("low").alias("u"), F.col("high").alias("v")).distinct()
+    twos = twos.join(signed("u").hint("merge"), "u").join(signed("v").hint("merge"), "v").select("u", "v", "u_signature", "v_signature").mapInArrow(compare, "u long, v long")
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for table, lo, hi in _by_group(batches, 3):
+            ids = table.column(3).slice(lo, hi - lo).to_pylist()
+            found += [(ids[a], ids[b]) for a, b in key_forest(unpack(table.column(4).slice(lo, hi - lo).to_pylist()), distance)]
+            if len(found) >= 10_000:
+                yield _edges(list(dict.fromkeys(found)))
+                found = []
+        yield _edges(list(dict.fromkeys(found)))
+
+    many = materialize(shared.filter("n > 2").select("key", "low", "n"), "larger")
+    met = join_counted(keyed, many, ["key"]).groupBy("node").agg(F.collect_list(F.struct("key", "low", "n")).alias("keys"))  # at most HASHES a node
+    parts = F.ceil(F.col("k.n") / KEY_ROWS).cast("int")
+    own = F.when(F.col("node") == F.col("k.low"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), parts).cast("int"))
+    dealt = (
+        nodes.select("node", "signature").join(met.hint("merge"), "node").select("node", "signature", F.explode("keys").alias("k"))
+        .withColumn("to", F.explode(F.when(own < 0, F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.transform(F.sequence(x, parts - 1), lambda y: F.struct(x.alias("a"), y.alias("b")))))).otherwise(_dealt(own, parts))))
+        .select(F.col("k.key").alias("key"), "to.a", "to.b", "node", "signature")
+    )
+    blocks = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
+    return twos.unionByName(blocks.mapInArrow(forests, "u long, v long")).distinct()
+
+
+def families(pairs: DataFrame) -> DataFrame:
+    """(node, family, center): connected nodes, and the node of each family that is in most pairs."""
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n"))
+    by_family = materialize(ends.join(components(pairs).withColumnRenamed("component", "family"), "node"), "families")
+    centers = materialize(by_family.groupBy("family").agg(F.max(F.struct("n", (-F.col("node")).alias("other"))).alias("best"), F.count("*").alias("n")).select("family", (-F.col("best.other")).alias("center"), "n"), "centers")
+    return materialize(join_counted(by_family.select("node", "family"), centers, ["family"]).select("node", "family", "center"), "members")
+
+
+def member_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, family, center, signature, values): the full shingle sets of the families' members."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            values = [x.tobytes() for x in shingle_sets(batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values, pa.binary())], names=["node", "family", "center", "values"])
+            keep, values = [], []
+            for k, (want, found) in enumerate(zip(batch.column(5).to_pylist(), shingle_sets(batch.column(4).to_pylist()), strict=True)):
+                data = found.tobytes()
+                if hashlib.blake2b(data, digest_size=16).digest() == want:  # a row that repeats the id with another text is another node's
+                    keep.append(k)
+                    values.append(data)
+            rows = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(values, pa.binary())], names=["node", "family", "center", "signature", "values"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return texts.join(members.hint("merge"), "node").select("node", "family", "center", "text").mapInArrow(sets, "node long, family long, center long, values binary")
+    wanted = members.join(nodes.drop("n").hint("merge"), "node")
+    return texts.join(wanted.hint("merge"), "node").select("node", "family", "center", "signature", "text", "set_hash").mapInArrow(sets, "node long, family long, center long, signature binary, values binary")
 
 
 def similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCENT):
@@ -121,71 +242,84 @@ def similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int,
     return 100 * common >= percent * (a + b - common)
 
 
+class Sets:
+    """A block's full sets, for intersections of one with many."""
+
+    def __init__(self, values: list[bytes], percent: int) -> None:
+        arrays = [np.frombuffer(v, dtype=np.uint64) for v in values]
+        self.percent = percent
+        self.sizes = np.array([len(x) for x in arrays], dtype=np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
+        _, self.ids = np.unique(np.concatenate(arrays), return_inverse=True)
+        self.flags = np.zeros(len(self.ids) + 1, dtype=np.int64)
+
+    def linked(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Those of the places ``others`` whose set is similar to that of place ``k``."""
+        fits = np.minimum(self.sizes[others], self.sizes[k]) * 100 >= self.percent * np.maximum(self.sizes[others], self.sizes[k])
+        others = others[fits]
+        if not len(others):
+            return others
+        own = self.ids[self.begins[k] : self.begins[k + 1]]
+        self.flags[own] = 1
+        common = np.array([self.flags[self.ids[self.begins[x] : self.begins[x + 1]]].sum() for x in others.tolist()])
+        self.flags[own] = 0
+        return others[similar(common, self.sizes[k], self.sizes[others], self.percent)]
+
+
+def _parts(n: str, size: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_ROWS), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
+
+
 def center_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, family, center, linked) for all members but the centers."""
+    """(node, family, center, linked) for all members but the centers; a center goes to each block of its family."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for a, b in zip(batch.column(3), batch.column(4), strict=True):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (a, b))
-                linked.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_())], names=["node", "family", "center", "linked"])
-
-    center = sets.filter("node = center").select("family", F.col("values").alias("center_values"))
-    return sets.filter("node != center").join(center, "family").select("node", "family", "center", "values", "center_values").mapInArrow(compare, "node long, family long, center long, linked boolean")
-
-
-def _block_links(table: pa.Table, percent: int) -> pa.Table:
-    """A forest of the links between a block's loose nodes and all nodes of the block pair."""
-    nodes = table.column("node").to_pylist()
-    loose = table.column("loose").to_pylist()
-    arrays = [np.frombuffer(v, dtype=np.uint64) for v in table.column("values").to_pylist()]
-    sizes = np.array([len(x) for x in arrays], dtype=np.int64)
-    _, ids = np.unique(np.concatenate(arrays), return_inverse=True)
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    flags = np.zeros(ids.max() + 1, dtype=np.int64)
-    parent = list(range(len(nodes)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+        for table, lo, hi in _by_group(batches, 2):
+            nodes, centers = (table.column(k).slice(lo, hi - lo).to_pylist() for k in (2, 3))
+            center = nodes.index(centers[0])
+            others = np.array([k for k in range(hi - lo) if k != center], dtype=np.int64)
+            if not len(others):
+                continue
+            tied = set(Sets(table.column(4).slice(lo, hi - lo).to_pylist(), percent).linked(center, others).tolist())
+            rows = table.slice(lo, hi - lo).take(pa.array(others))
+            yield pa.RecordBatch.from_arrays([rows.column(k).combine_chunks() for k in (2, 0, 3)] + [pa.array([k in tied for k in others.tolist()], pa.bool_())], names=["node", "family", "center", "linked"])
+
+    load = materialize(sets.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.octet_length("values")).alias("size")).select("family", "n", _parts("n", "size").alias("parts")), "loads")
+    to = F.when(F.col("node") == F.col("center"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    dealt = join_counted(sets, load, ["family"]).select("family", F.explode(to).alias("part"), "node", "center", "values")
+    return dealt.repartition("family", "part").sortWithinPartitions("family", "part").mapInArrow(compare, "node long, family long, center long, linked boolean")
+
+
+def loose_links(sets: DataFrame, verdicts: DataFrame, distance: int, percent: int = PERCENT) -> DataFrame:
+    """(u, v): links of the nodes that their center did not take, block against block in their families."""
+    marked = sets.join(verdicts.select("node", "linked").hint("merge"), "node", "left").withColumn("loose", ~F.coalesce("linked", F.lit(True)))
+    sums = [F.sum(F.when(F.col("loose") == flag, value).otherwise(0)).alias(f"{what}_{name}") for flag, name in ((True, "loose"), (False, "tied")) for what, value in (("n", F.lit(1)), ("size", F.octet_length("values")))]
+    load = marked.groupBy("family").agg(F.count("*").alias("n"), *sums).filter("n_loose > 0")
+    load = materialize(load.select("family", "n", _parts("n_loose", "size_loose").alias("loose_parts"), _parts("n_tied", "size_tied").alias("tied_parts")), "loose-loads")
+
+    def own(name: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+
+    def to(tied: bool, a: Column, b: Column) -> Column:
+        return F.struct(F.lit(tied).alias("tied"), a.alias("a"), b.alias("b"))
+
+    each = F.sequence(F.lit(0), F.col("loose_parts") - 1)
+    among = F.transform(_dealt(own("loose_parts"), F.col("loose_parts")), lambda x: to(False, x["a"], x["b"]))
+    with_tied = F.transform(F.sequence(F.lit(0), F.col("tied_parts") - 1), lambda x: to(True, own("loose_parts"), x))
+    targets = F.when(F.col("loose"), F.concat(among, with_tied)).otherwise(F.transform(each, lambda x: to(True, x, own("tied_parts"))))
+    dealt = join_counted(marked, load, ["family"]).select("family", F.explode(targets).alias("to"), "node", "loose", "signature", "values").select("family", "to.tied", "to.a", "to.b", "node", "loose", "signature", "values")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, lo, hi in _by_group(batches, 4):
+            nodes, loose, signatures, values = (table.column(k).slice(lo, hi - lo).to_pylist() for k in (4, 5, 6, 7))
+            matrix, sets_, forest = unpack(signatures), Sets(values, percent), Forest(hi - lo)
+            for k in np.flatnonzero(loose).tolist():
+                near = np.flatnonzero(near_rows(matrix, k, distance))
+                for other in sets_.linked(k, near[near != k]).tolist():
+                    forest.link(k, other)
+            yield _edges([(nodes[a], nodes[b]) for a, b in forest.pairs])
 
-    out: list[tuple[int, int]] = []
-    for k in np.flatnonzero(loose).tolist():
-        own = ids[begins[k] : begins[k + 1]]
-        flags[own] = 1
-        common = np.add.reduceat(flags[ids], begins[:-1])
-        flags[own] = 0
-        for other in np.flatnonzero(similar(common, sizes[k], sizes, percent)).tolist():
-            a, b = root(k), root(other)
-            if a != b:
-                parent[a] = b
-                out.append((nodes[k], nodes[other]))
-    return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
-
-
-def loose_links(sets: DataFrame, verdicts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(u, v): links of the nodes that their center did not take, from block against block comparison in their families."""
-    state = sets.join(verdicts.select("node", "linked"), "node", "left").withColumn("loose", ~F.coalesce("linked", F.lit(True)))
-    load = state.groupBy("family").agg(*[F.sum(F.when(F.col("loose") == flag, F.lit(1)).otherwise(0)).alias(f"n_{name}") for flag, name in ((True, "loose"), (False, "tied"))], *[F.sum(F.when(F.col("loose") == flag, F.octet_length("values")).otherwise(0)).alias(f"bytes_{name}") for flag, name in ((True, "loose"), (False, "tied"))])
-    parts = lambda name: F.greatest(F.lit(1), F.ceil(F.col(f"n_{name}") / BLOCK_ROWS), F.ceil(F.col(f"bytes_{name}") / BLOCK_BYTES)).cast("int").alias(f"parts_{name}")
-    load = materialize(load.filter("n_loose > 0").select("family", parts("loose"), parts("tied")), "loads")
-    own = lambda name: F.pmod(F.xxhash64("node"), F.col(f"parts_{name}")).cast("int")
-    row = lambda tied, a, b: F.struct(F.lit(tied).alias("tied"), a.alias("a"), b.alias("b"))
-    steps = lambda name: F.sequence(F.lit(0), F.col(f"parts_{name}") - 1)
-    targets = F.when(
-        F.col("loose"),
-        F.concat(
-            F.transform(steps("loose"), lambda x: row(False, F.least(own("loose"), x), F.greatest(own("loose"), x))),
-            F.transform(steps("tied"), lambda x: row(True, own("loose"), x)),
-        ),
-    ).otherwise(F.transform(steps("loose"), lambda x: row(True, x, own("tied"))))
-    dealt = state.join(load, "family").select("node", "loose", "values", "family", F.explode(targets).alias("to"))
-    grouped = dealt.select("node", "loose", "values", "family", "to.tied", "to.a", "to.b").groupBy("family", "tied", "a", "b")
-    return grouped.applyInArrow(lambda block: _block_links(block, percent), "u long, v long")
+    return dealt.repartition("family", "tied", "a", "b").sortWithinPartitions("family", "tied", "a", "b").mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -195,20 +329,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document without words or text has no shingles and is linked with nothing.
     A row with a null id takes no part in links: its component_id is null and it
-    is kept.  Rows repeated with one id are one node; each has its own row.  An
-    empty table gives an empty result; further columns are ignored.
+    is kept.  Rows repeated with one id have a row each and take part with each of
+    their texts.  An empty table gives an empty result; further columns are ignored.
     """
+    distance = distance_limit(percent)
     marks = materialize(sketches(docs, id_col, text_col), "sketches")
-    nodes = materialize(marks.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.any_value("signature").alias("signature")), "nodes")
-    members = families(nodes)
+    nodes = marks.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "signature")).alias("low"), F.count("*").alias("n"))
+    nodes = materialize(nodes.select("set_hash", "n", F.col("low.doc_id").alias("node"), F.col("low.signature").alias("signature")), "nodes")
+    members = families(materialize(candidate_pairs(nodes, distance), "pairs"))
     rows = docs.filter(F.col(id_col).isNotNull())
-    sets = materialize(member_sets(rows, members, id_col, text_col).dropDuplicates(["node", "values"]), "sets")
+    sets = materialize(member_sets(rows, members, nodes, id_col, text_col).dropDuplicates(["node", "values"]), "sets")
     verdicts = materialize(center_links(sets, percent), "verdicts")
-    links = verdicts.filter("linked").select(F.col("node").alias("u"), F.col("center").alias("v")).unionByName(loose_links(sets, verdicts, percent))
+    links = verdicts.filter("linked").select(F.col("node").alias("u"), F.col("center").alias("v")).unionByName(loose_links(sets, verdicts, distance, percent))
     named = components(links)
-    by_set = nodes.select("set_hash", "node").join(named, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
+    by_set = nodes.select("set_hash", "node", "n").join(named, "node", "left").select("set_hash", "n", F.coalesce("component", "node").alias("component"))
     return (
-        marks.filter("set_hash is not null and doc_id is not null").join(by_set, "set_hash")
+        join_counted(marks.filter("set_hash is not null and doc_id is not null"), materialize(by_set, "by-set"), ["set_hash"]).drop("n")
         .unionByName(marks.filter("set_hash is null or doc_id is null").withColumn("component", F.col("doc_id")))
         .select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
     )
@@ -217,7 +353,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with all their columns: one of each component, and rows with a null id.
 
-    Of rows repeated with one id all are returned.
+    Of rows repeated with one id all are returned.  An empty table gives an empty result.
     """
-    gone = near_duplicates(docs, id_col, text_col, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, percent).filter(~F.col("kept")).select("doc_id").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("own_id"), F.struct("*").alias("row"))
+    return rows.join(gone, F.col("own_id") == F.col("doc_id"), "left_anti").select("row.*")

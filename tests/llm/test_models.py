@@ -95,7 +95,7 @@ def test_pipeline_against_brute_force(spark):
         last[lower(t)] = i
     assert sorted(r.doc_id for r in exact.collect()) == sorted(last.values())
     near = stage["near_dedup"](spark, exact, SMALL)
-    truth = near_truth([(r.doc_id, r.text) for r in exact.collect()])
+    truth = near_truth([(r.doc_id, r.text) for r in exact.collect()], 80)
     assert sorted(r.doc_id for r in near.collect()) == sorted(i for i, (_, c) in truth.items() if i == c)
     mixed = stage["mix_sources"](spark, near, SMALL)
     size = {r.doc_id: (r.source, words(r.text)) for r in near.collect()}

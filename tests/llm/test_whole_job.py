@@ -11,8 +11,8 @@ from tests.llm.test_contracts import shingles
 from tests.oracle import SMALL
 
 
-def test_near_copies_at_another_threshold(spark):
-    """At 0.80 the pairs between 0.80 and 0.85 are linked, too; the truth is a brute force of all pairs."""
+def test_near_copies_at_both_thresholds(spark):
+    """At 0.80, the threshold of the pipeline, the pairs between 0.80 and 0.85 are linked, too; the truth is a brute force of all pairs."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     sets = {r.doc_id: shingles(r.text) for r in docs.select("doc_id", "text").collect()}
     ids, kept = sorted(sets), {}
