@@ -1,6 +1,7 @@
 """Exact deduplication by a tree merge of sorted digest runs, in DataFrame operations only.
 
-Every document is dealt to one of ``runs`` runs by a hash of its id.  A run is
+Every document is dealt to one of the runs by a hash of its id; there are so many
+runs that one holds ``ROWS_PER_RUN`` rows, and at least ``RUNS``.  A run is
 the sorted list of its distinct digests, each with the identifier that stays
 and the number of documents.  In binomial rounds ``fan_in`` neighbouring runs
 are merged: rows of one digest meet, the best identifier stays and the counts
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from rillflow.plans.lineage import materialize
 
 RUNS = 64
+ROWS_PER_RUN = 1_000_000
 FAN_IN = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A digest row is equal to another one only if hash, length and a second, independent hash agree.
@@ -29,13 +31,13 @@ def normalized(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
-    """Per document: id, run number and the digest key of its normalised text."""
+def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per document: id, the hash that deals it out and the digest key of its normalised text."""
     return (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), normalized(F.col(text_col)).alias("norm"))
         .select(
             "doc_id",
-            F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(17)), F.lit(runs)).cast("int").alias("run"),
+            F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(17)).alias("deal"),
             F.sha2("norm", 256).alias("text_sha256"),
             F.octet_length("norm").alias("n_bytes"),
             F.xxhash64("norm").alias("verify"),
@@ -55,7 +57,7 @@ def merge_runs(level: DataFrame, fan_in: int) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN, rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
     """Return one row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as
@@ -65,7 +67,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group_size counts every row.  An empty table gives an empty result; further
     columns of ``docs`` are ignored whatever their names.
     """
-    leaf = materialize(digests(docs, id_col, text_col, runs), "digests")
+    dealt = materialize(digests(docs, id_col, text_col), "digests")
+    runs = max(RUNS, -(-dealt.count() // rows_per_run))
+    leaf = dealt.withColumn("run", F.pmod("deal", F.lit(runs)).cast("int")).drop("deal")
     first = leaf.groupBy("run", *_KEY).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     level, left = first, runs
     while left > 1:
@@ -83,9 +87,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; a row repeated with the same id and text is returned once."""
+    """The documents that stay, with all their columns; a row repeated with the same id and text is returned once.
+
+    Null texts are empty ones and null ids stay only where their group has no
+    other id.  An empty table gives an empty result.
+    """
     name = lambda id_, sha: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), sha)
-    stays = exact_dedup(docs, id_col, text_col).filter("kept").select(name(F.col("keep_id"), F.col("text_sha256")).alias("__name")).distinct()
-    marked = docs.withColumn("__name", name(F.col(id_col).cast("long"), F.sha2(normalized(F.col(text_col)), 256)))
+    stays = exact_dedup(docs, id_col, text_col).filter("kept").select(name(F.col("keep_id"), F.col("text_sha256")).alias("name")).distinct()
+    marked = docs.select(name(F.col(id_col).cast("long"), F.sha2(normalized(F.col(text_col)), 256)).alias("name"), F.struct("*").alias("row"))
     # one key for both steps: the rows are dealt out once
-    return marked.join(stays.hint("merge"), "__name", "left_semi").dropDuplicates(["__name"]).drop("__name")
+    return marked.join(stays.hint("merge"), "name", "left_semi").dropDuplicates(["name"]).select("row.*")

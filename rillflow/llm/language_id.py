@@ -173,12 +173,13 @@ def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, id_col: s
     if model is None:
         return docs.limit(0)
     langs, net = model
-    schema = docs.select(F.col(text_col).cast("binary").alias("__text"), *[F.col(c) for c in docs.columns])
+    docs_columns = docs.columns
+    rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct("*").alias("row"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordLabels(net)
         for batch in batches:
             verdicts = [name != UNKNOWN and score >= least_score for name, score in label_texts(batch.column(0).to_pylist(), langs, words)]
-            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(verdicts, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.column(1).flatten(), names=docs_columns).filter(pa.array(verdicts, pa.bool_()))
 
-    return schema.mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(keep, docs.schema)

@@ -20,7 +20,7 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_RANGE = 500
-MAX_DIGITS = 4
+MAX_DIGITS = 6
 
 
 def word_count(text: Column) -> Column:
@@ -28,35 +28,49 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
 
 
+def _in_ranges(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows range-sorted by ``order`` and written, each with the number of its range."""
+    return materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), name)
+
+
+def _sums_ahead(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds prefix sums over all rows before each one: totals of the ranges ahead (one row a range), plus a running sum inside the range."""
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("range").agg(*[F.sum(x).alias(c) for c, x in sums.items()])
+    totals = totals.select("range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_ranges") for c in sums])
+    running = rows.select("*", *[F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(c) for c, x in sums.items()])
+    return running.join(totals, "range").select(*rows.columns, *[(F.col(c) + F.col(f"{c}_ranges")).alias(c) for c in sums]).drop("range")
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
     """Per source: its size and its share of all words, by weight, with the excess over ``max_epochs`` times its size reshared.
 
     Sources in ascending order of size per weight reach their limit first, so
-    the common share per weight is found with prefix sums over the sources.
+    the common share per weight is found with prefix sums over the sources.  Both
+    orders are range-sorted, so no task holds all sources; three numbers of the
+    first source below its limit pass through the driver.
     """
-    everywhere = Window.partitionBy()
-    by_name = everywhere.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = everywhere.orderBy("ratio", "place")
-    ahead = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    return (
-        per_source.withColumn("place", F.row_number().over(by_name))
-        .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int")).cast("long"))
+    by_name = [F.col("source").asc_nulls_last()]
+    named = _in_ranges(sized.groupBy("source").agg(F.sum("size").alias("source_size")), by_name, "sources")
+    weighed = (
+        _sums_ahead(named, by_name, {"place": F.lit(1)})
+        .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int")).cast("long"))
         .withColumn("most", F.col("source_size") * max_epochs)
         .withColumn("ratio", F.col("source_size") / F.col("weight"))
-        .withColumn("left", F.sum("source_size").over(everywhere) - F.coalesce(F.sum("most").over(ahead), F.lit(0)))
-        .withColumn("share", F.col("left").cast("double") / F.sum("weight").over(rest).cast("double"))
-        .withColumn("full", F.col("share") * F.col("weight") >= F.col("most"))
-        .withColumn("final", F.min(F.when(~F.col("full"), F.struct("ratio", "place", "share"))).over(everywhere))
-        .withColumn(
-            "target",
-            F.when(F.col("final").isNull() | (F.struct("ratio", "place") < F.struct("final.ratio", "final.place")), F.col("most").cast("double")).otherwise(
-                F.col("final.share") * F.col("weight")
-            ),
-        )
-        .select("source", "source_size", "target")
     )
+    by_ratio = [F.col("ratio").asc(), F.col("place").asc()]
+    ordered = _in_ranges(weighed, by_ratio, "source-ratios")
+    words, weight = ordered.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    shared = _sums_ahead(ordered, by_ratio, {"most_ahead": F.col("most"), "weight_ahead": F.col("weight")}).withColumn(
+        "share", (F.lit(words) - F.col("most_ahead")).cast("double") / (F.lit(weight) - F.col("weight_ahead")).cast("double")
+    )
+    first = shared.filter(F.col("share") * F.col("weight") < F.col("most")).orderBy(*by_ratio).select("ratio", "place", "share").first()
+    target = F.col("most").cast("double")
+    if first is not None:
+        before = (F.col("ratio") < first["ratio"]) | ((F.col("ratio") == first["ratio"]) & (F.col("place") < first["place"]))
+        target = F.when(before, target).otherwise(F.lit(first["share"]) * F.col("weight"))
+    return shared.select("source", "source_size", target.alias("target"))
 
 
 def mix(
@@ -122,15 +136,16 @@ def draw_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     The document at the cut is drawn once more if at least half of it fits the
     budget.  A document without words is drawn once.  Rows with a null id are
     drawn like the others; rows repeated with one id and size are each drawn as
-    often as the one of them that is drawn most.
+    often as the one of them that is drawn most.  A null text has no words.  An
+    empty table gives an empty result.
     """
     drawn = mix(docs, id_col, text_col, source_col, **options).select(
-        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("__times")
+        F.col("doc_id").alias("id"), "size", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("times")
     )
-    times = drawn.groupBy("__id", "__size").agg(F.max("__times").alias("__times"))
-    sized = docs.withColumn("__own", word_count(F.col(text_col)))
+    times = drawn.groupBy("id", "size").agg(F.max("times").alias("times"))
+    sized = docs.select(F.col(id_col).cast("long").alias("own_id"), word_count(F.col(text_col)).alias("own_size"), F.struct("*").alias("row"))
     return (
-        sized.join(times, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__size")))
-        .withColumn("__copy", F.explode(F.expr("CASE WHEN __times > 0 THEN sequence(1, __times) ELSE array() END")))
-        .drop("__own", "__id", "__size", "__times", "__copy")
+        sized.join(times.filter("times > 0"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_size") == F.col("size")))
+        .select("row", F.explode(F.sequence(F.lit(1), "times")))
+        .select("row.*")
     )

@@ -27,7 +27,8 @@ MORE_RULES = (
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
 )
 RULE_VERSION = "secrets-1"
-SALTS = 64
+#: Parts of a blob's paths; a blob has at most as many as it has paths.
+SALTS = 4_096
 _SPAN = "array<struct<start:long,kind_no:int,end:long>>"
 #: What must occur in a text before a costly pattern is tried at all; each is implied by a match of its kind.
 _HINT = {
