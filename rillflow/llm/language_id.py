@@ -1,15 +1,13 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-Words (runs of non-space bytes, A-Z lower-cased) are cut to pieces of at most
-``PIECE`` bytes.  The network labels every byte position of a piece with a
-probability for each language, and a document's probability is the mean over all
-positions of its words that hold a letter.  A piece's labels depend on its bytes
-alone, so each worker labels a word once and pools it as often as it occurs.
+A text's bytes (A-Z lower-cased, every white space a blank) are cut to windows of
+``WINDOW`` bytes that run across words.  The network labels every byte position of
+a window with a probability for each language, from all bytes before and after it
+in the window, and a document's probability is the mean over all its positions.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,22 +15,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.llm.bigru import PIECE, BiGru
-from rillflow.llm.shingles import blocks, locate_words
+from rillflow.llm.bigru import WINDOW, BiGru
+from rillflow.llm.shingles import blocks
 
 UNKNOWN = "und"
 HELD_OUT = 2
-#: Bounds of the training sample: documents per language, and distinct words per language drawn from them.
+#: Bounds of the training sample: the languages with most labelled documents, and whole documents of each.
+MOST_LANGS = 200
 TRAIN_DOCS = 250
-TRAIN_WORDS = 40_000
-STEPS = 700
-BATCH = 256
+STEPS = 300
+BATCH = 96
+#: Lengths of the windows that training draws, so that short texts are learned as well.
+SHORTEST, LONGEST = 4, 64
 RATE = 0.01
-CACHE_WORDS = 1 << 18
-#: Below this share of its positions' probability no language is the text's own.
-LEAST_SCORE = 0.4
-_LETTER_BYTE = np.zeros(256, bool)
-_LETTER_BYTE[[*range(97, 123), *range(128, 256)]] = True
+BLOCK_BYTES = 1 << 20
+#: A document whose best language has less than this mean probability is rejected by the stage.
+LEAST_SCORE = 0.3
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[[*range(0x09, 0x0E)]] = 0x20
 
 
 def fold(doc_id: Column) -> Column:
@@ -40,98 +41,73 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def cut_words(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces (n, PIECE) of the given words, their lengths, and the word of each."""
-    parts = -(-(ends - starts) // PIECE)
-    word = np.repeat(np.arange(len(starts)), parts)
-    at = starts[word] + (np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)) * PIECE
-    lengths = np.minimum(PIECE, ends[word] - at)
-    places = at[:, None] + np.arange(PIECE)
-    pieces = joined[np.minimum(places, len(joined) - 1)]
-    pieces[np.arange(PIECE) >= lengths[:, None]] = 0
-    return pieces, lengths, word
+def folded(text: bytes) -> np.ndarray:
+    return _FOLD[np.frombuffer(text, dtype=np.uint8)]
+
+
+def has_letter(text: bytes) -> bool:
+    return any(map(str.isalpha, text.decode()))
+
+
+def windows_of(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows (n, WINDOW), their lengths, the text of each) of a block of texts."""
+    joined = folded(b"".join(block))
+    sizes = np.fromiter(map(len, block), dtype=np.int64, count=len(block))
+    parts = -(-sizes // WINDOW)
+    text = np.repeat(np.arange(len(block)), parts)
+    ends = np.cumsum(sizes)
+    at = (ends - sizes)[text] + (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)) * WINDOW
+    lengths = np.minimum(WINDOW, ends[text] - at)
+    windows = joined[np.minimum(at[:, None] + np.arange(WINDOW), max(0, len(joined) - 1))] if len(text) else np.empty((0, WINDOW), np.uint8)
+    return windows, lengths, text
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], BiGru] | None:
-    """Train on a sample of at most ``TRAIN_DOCS`` whole documents per language, taken by smallest hash outside the held-out fold; null ids are not taken."""
+    """Train on a sample of at most ``TRAIN_DOCS`` whole documents of each of at most ``MOST_LANGS`` languages, taken by smallest hash outside the held-out fold; null ids are not taken."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = named.filter((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TRAIN_DOCS)
-    ids = sorted({r["doc_id"] for r in chosen.select("doc_id").collect()})  # at most TRAIN_DOCS for every language
-    rows = sorted(labelled.filter(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id", "lang"]).select("lang", "text").collect())
-    langs = sorted({r["lang"] for r in rows})
-    counts: dict[str, Counter] = {lang: Counter() for lang in langs}
-    for r in rows:
-        counts[r["lang"]].update(w for w in r["text"].encode().lower().split() if _LETTER_BYTE[np.frombuffer(w, np.uint8)].any())
-    pieces, lengths, labels, weights = [], [], [], []
-    for k, lang in enumerate(langs):
-        common = sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:TRAIN_WORDS]
-        if not common:
-            continue
-        ends = np.cumsum([len(w) for w, _ in common])
-        starts = ends - np.array([len(w) for w, _ in common])
-        part, length, word = cut_words(np.frombuffer(b"".join(w for w, _ in common), np.uint8), starts, ends)
-        weight = np.array([n for _, n in common], dtype=float)[word]
-        pieces.append(part)
-        lengths.append(length)
-        labels.append(np.full(len(part), k))
-        weights.append(weight / weight.sum())
-    if not pieces:
+    chosen = labelled.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TRAIN_DOCS)
+    wanted = {(r["doc_id"], r["lang"]) for r in chosen.select("doc_id", "lang").collect()}  # at most MOST_LANGS * TRAIN_DOCS
+    rows = labelled.filter(F.col("doc_id").isin(sorted({i for i, _ in wanted}))).dropDuplicates(["doc_id", "lang"]).collect()
+    texts: dict[str, list[np.ndarray]] = {}
+    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
+        if (r["doc_id"], r["lang"]) in wanted and has_letter(r["text"].encode()):
+            texts.setdefault(r["lang"], []).append(folded(r["text"].encode()))
+    if not texts:
         return None
+    langs, rng = sorted(texts), np.random.default_rng(13)
+    joined = [np.concatenate(texts[lang]) for lang in langs]
+
+    def draw() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        labels = rng.integers(0, len(langs), BATCH)
+        lengths = -np.sort(-rng.integers(SHORTEST, LONGEST + 1, BATCH))
+        lengths = np.minimum(lengths, min(map(len, joined)))
+        windows = np.zeros((BATCH, LONGEST), np.uint8)
+        for k, (label, n) in enumerate(zip(labels.tolist(), lengths.tolist(), strict=True)):
+            at = int(rng.integers(0, len(joined[label]) - n + 1))
+            windows[k, :n] = joined[label][at : at + n]
+        return windows, lengths, labels
+
     net = BiGru(len(langs))
-    net.train(np.concatenate(pieces), np.concatenate(lengths), np.concatenate(labels), np.concatenate(weights), STEPS, BATCH, RATE)
+    net.train(draw, STEPS, RATE)
     return langs, net
 
 
-class WordLabels:
-    """Sums of position probabilities by word, kept for the words seen last (at most ``CACHE_WORDS``)."""
-
-    def __init__(self, net: BiGru) -> None:
-        self.net = net
-        self.names = np.empty(0, np.uint64)
-        self.sums = np.empty((0, net.params[5].size), np.float32)
-
-    def __call__(self, joined: np.ndarray, starts: np.ndarray, ends: np.ndarray, names: np.ndarray) -> np.ndarray:
-        """Sums for all words of a block; words without a letter have zeros."""
-        unique, first, inverse = np.unique(names, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.names, unique)
-        known = np.zeros(len(unique), bool)
-        inside = at < len(self.names)
-        known[inside] = self.names[at[inside]] == unique[inside]
-        sums = np.zeros((len(unique), self.sums.shape[1]), np.float32)
-        sums[known] = self.sums[at[known]]
-        if not known.all():
-            new = first[~known]
-            pieces, lengths, word = cut_words(joined, starts[new], ends[new])
-            lettered = np.zeros(len(new), bool)
-            lettered[word[_LETTER_BYTE[pieces].any(axis=1)]] = True
-            use = lettered[word]
-            fresh = np.zeros((len(new), self.sums.shape[1]), np.float32)
-            np.add.at(fresh, word[use], self.net.sums(pieces[use], lengths[use]))
-            sums[~known] = fresh
-            short = (ends[new] - starts[new]) <= 4 * PIECE
-            if len(self.names) + len(new) > CACHE_WORDS:
-                self.names, self.sums = self.names[:0], self.sums[:0]
-            names_all = np.concatenate([self.names, unique[~known][short]])
-            order = np.argsort(names_all, kind="stable")
-            self.names, self.sums = names_all[order], np.concatenate([self.sums, fresh[short]])[order]
-        return sums[inverse]
-
-
-def label_texts(texts: list[bytes | None], langs: list[str], words: WordLabels | None) -> list[tuple[str, float]]:
+def label_texts(texts: list[bytes | None], langs: list[str], net: BiGru | None) -> list[tuple[str, float]]:
     """(language, score) of every whole text."""
     out: list[tuple[str, float]] = []
-    if words is None:
+    if net is None:
         return [(UNKNOWN, 0.0)] * len(texts)
-    for block in blocks(texts, 1 << 20):
-        joined, starts, ends, names, begins = locate_words(block)
-        sums = np.vstack([np.zeros((1, len(langs))), np.cumsum(words(joined, starts, ends, names), axis=0, dtype=np.float64)])
-        pooled = sums[begins[1:]] - sums[begins[:-1]]
+    for block in blocks(texts, BLOCK_BYTES):
+        windows, lengths, text = windows_of(block)
+        pooled = np.zeros((len(block), len(langs)))
+        np.add.at(pooled, text, net.sums(windows, lengths))
         pooled /= np.maximum(pooled.sum(axis=1, keepdims=True), 1e-12)
         best, score = pooled.argmax(axis=1).tolist(), np.clip(pooled.max(axis=1), 0, 1).tolist()
-        for text, k, s in zip(block, best, score, strict=True):
-            out.append((langs[k], s) if any(map(str.isalpha, text.decode())) else (UNKNOWN, 0.0))
+        for text_, k, s in zip(block, best, score, strict=True):
+            out.append((langs[k], s) if has_letter(text_) else (UNKNOWN, 0.0))
     return out
 
 
@@ -140,9 +116,8 @@ def identify(docs: DataFrame, model: tuple[list[str], BiGru] | None, id_col: str
     langs, net = model or ([], None)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordLabels(net) if net else None
         for batch in batches:
-            labels = label_texts(batch.column(1).to_pylist(), langs, words)
+            labels = label_texts(batch.column(1).to_pylist(), langs, net)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([name for name, _ in labels], pa.string()), pa.array([score for _, score in labels], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],
@@ -167,19 +142,19 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents, with all their columns, whose language is known and has a score of at least ``least_score``.
 
-    The labels are computed beside the rows in one pass: nothing is shuffled or joined.
+    The labels are computed beside the rows in one pass: nothing is shuffled or
+    joined.  Null texts and texts without a letter go; where no document is
+    labelled, only those.  Rows with a null id and repeated rows are judged by
+    their own text.  An empty table gives an empty result.
     """
-    model = fit(docs, id_col, text_col, lang_col)
-    if model is None:
-        return docs.limit(0)
-    langs, net = model
-    docs_columns = docs.columns
-    rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct("*").alias("row"))
+    langs, net = fit(docs, id_col, text_col, lang_col) or ([], None)
+    names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordLabels(net)
         for batch in batches:
-            verdicts = [name != UNKNOWN and score >= least_score for name, score in label_texts(batch.column(0).to_pylist(), langs, words)]
-            yield pa.RecordBatch.from_arrays(batch.column(1).flatten(), names=docs_columns).filter(pa.array(verdicts, pa.bool_()))
+            texts = batch.column(0).to_pylist()
+            verdicts = [name != UNKNOWN and score >= least_score for name, score in label_texts(texts, langs, net)] if net else [has_letter(t or b"") for t in texts]
+            yield pa.RecordBatch.from_arrays(batch.column(1).flatten(), names=names).filter(pa.array(verdicts, pa.bool_()))
 
+    rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct("*").alias("row"))
     return rows.mapInArrow(keep, docs.schema)

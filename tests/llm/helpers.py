@@ -14,6 +14,6 @@ def awkward(spark, texts):
     from pyspark.sql import functions as F
 
     df = documents(spark, texts)
-    for name in ("kept", "run", "size", "text_key", "node", "rank", "length", "score", "range", "peek", "path"):
+    for name in ("kept", "run", "size", "text_key", "node", "rank", "length", "score", "range", "peek", "path", "name", "row", "own_id", "own_size", "times", "id", "none", "n", "key", "family", "bucket", "deal", "__name", "__copy"):
         df = df.withColumn(name, F.lit(None).cast("string"))
     return df

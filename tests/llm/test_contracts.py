@@ -125,6 +125,21 @@ def test_draw_mix_repeats_whole_documents(spark):
     assert draw_mix(df).columns == df.columns
 
 
+def test_stage_functions_keep_columns_of_any_name(spark):
+    """Nulls, repeated rows, one id with two texts, an empty table, and clashing names."""
+    texts = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words stand in this text"), (2, None), (None, "null id"), (None, None), (3, ""), (4, "word " * 5000)]
+    df = awkward(spark, texts)
+    for stage, want in ((drop_copies, [1, 1, 3, 4, None]), (keep_representatives, [1, 1, 1, 2, 3, 4, None, None])):
+        got = stage(df)
+        assert got.columns == df.columns
+        assert sorted((r.doc_id for r in got.collect()), key=lambda x: (x is None, x)) == want
+        assert stage(df.limit(0)).count() == 0
+    drawn = draw_mix(df)
+    assert drawn.columns == df.columns and {r.doc_id for r in drawn.collect()} <= {1, 2, 3, 4, None}
+    assert sum(words(r.text) for r in drawn.collect()) == sum(words(t) for _, t in texts)
+    assert draw_mix(df.limit(0)).count() == 0
+
+
 def test_packing_round_trip(spark):
     texts = [(k, "Héllo wörld " * (k * 37 % 900)) for k in range(40)] + [(None, "a"), (3, None), (50, "<|endoftext|> x"), (51, "x" * 9000), (3, "again")]
     got = pack(awkward(spark, texts)).collect()

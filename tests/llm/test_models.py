@@ -6,7 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from rillflow.llm import language_id, licenses
-from rillflow.llm.bigru import PIECE, BiGru
+from rillflow.llm.bigru import BiGru
 from rillflow.llm.suffix_array import repeated_prefixes, suffix_array
 from tests.llm.helpers import awkward, documents
 from tests.oracle import SMALL
@@ -17,7 +17,7 @@ def test_backpropagation_equals_differences():
     net = BiGru(3, hidden=4)
     net.params = [x.astype(np.float64) for x in net.params]
     lengths = np.array([5, 4, 4, 1])
-    pieces = rng.integers(97, 103, (4, PIECE)).astype(np.uint8)
+    pieces = rng.integers(97, 103, (4, 8)).astype(np.uint8)
     labels = np.array([0, 2, 1, 1])
     _, grads = net.gradients(pieces, lengths, labels)
     for param, grad in zip(net.params, grads, strict=True):
@@ -32,6 +32,42 @@ def test_backpropagation_equals_differences():
             assert abs((up - down) / (2 * step) - grad[place]) < 2e-4
 
 
+def test_labels_against_a_plain_network():
+    """Every byte labelled by plain recurrences over the windows, pooled over the whole text; words do not reset the state."""
+    net = BiGru(3, seed=4)
+    net.params[5] = np.array([0.1, -0.2, 0.05], np.float32)
+    table_f, rec_f, table_b, rec_b, out, bias = (x.astype(np.float64) for x in net.params)
+    hidden = net.hidden
+
+    def states(data, table, rec):
+        h, all_ = np.zeros(hidden), []
+        for c in data:
+            x, r = table[c], h @ rec
+            update, reset = (np.clip(0.25 * (x[k : k + hidden] + r[k : k + hidden]) + 0.5, 0, 1) for k in (0, hidden))
+            h = update * h + (1 - update) * np.clip(x[2 * hidden :] + reset * r[2 * hidden :], -1, 1)
+            all_.append(h)
+        return all_
+
+    def truth(text):
+        data = [32 if c in b" \t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in text]
+        total = np.zeros(3)
+        for at in range(0, len(data), 256):
+            part = data[at : at + 256]
+            for f, b in zip(states(part, table_f, rec_f), states(part[::-1], table_b, rec_b)[::-1], strict=True):
+                z = np.exp(np.concatenate([f, b]) @ out + bias)
+                total += z / z.sum()
+        return total / max(len(data), 1)
+
+    texts = [b"A", b"Hello there, General.\nHow are YOU today?", "é à la carte ".encode() * 40, b"", b"12 34", b"x" * 256, b"y" * 257]
+    got = language_id.label_texts(texts, ["a", "b", "c"], net)
+    for text, (name, score) in zip(texts, got, strict=True):
+        p = truth(text)
+        if any(map(str.isalpha, text.decode())):
+            assert name == "abc"[int(p.argmax())] and abs(score - p.max()) < 1e-4
+        else:
+            assert (name, score) == ("und", 0.0)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
@@ -52,6 +88,9 @@ def test_language_edge_cases(spark, monkeypatch):
     assert {r.lang_pred for r in unlabelled} == {"und"}
     assert language_id.language_id(documents(spark, [])).count() == 0
     assert language_id.keep_identified(documents(spark, [])).count() == 0
+    kept = language_id.keep_identified(awkward(spark, texts), least_score=0.0)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([4, 5, 5, None, 8, 9])
+    assert Counter(r.doc_id for r in language_id.keep_identified(documents(spark, texts, lang=lambda k: None)).collect()) == Counter([4, 5, 5, None, 8, 9])
 
 
 def test_licenses(spark):
