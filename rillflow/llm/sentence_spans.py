@@ -102,7 +102,7 @@ def _documents(texts: list[bytes | None]) -> Iterator[tuple[bytes, np.ndarray, n
 def _first_runs(runs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of a document's distinct runs (the first of each), and of the runs that repeat an earlier one of it."""
     real = np.flatnonzero(sizes > 0)
-    _, first = np.unique(runs[real], axis=0, return_index=True) if len(real) else (None, np.empty(0, np.int64))
+    _, first = np.unique(runs[real, 0], return_index=True)
     again = np.ones(len(real), bool)
     again[first] = False
     return real[np.sort(first)], real[again]
@@ -163,8 +163,13 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     lists = materialize(rows.mapInArrow(hashed, _HASHED), "runs")
     runs = lists.select(*ROW, F.posexplode("runs").alias("place", "run")).select(*ROW, "place", "run.a", "run.b")
+    # runs that two documents have, by a hash of the document; only their rows carry the whole name of it
+    document = F.xxhash64(*ROW)
+    counts = runs.groupBy("a", "b").agg(F.min(document).alias("least"), F.max(document).alias("most"), F.count("*").alias("n")).filter("least < most")
+    shared = materialize(counts.select("a", "b", "n"), "shared")
+    met = materialize(join_counted(runs, shared, ["a", "b"]).drop("n"), "met")
     row = F.struct(*ROW)
-    shared = materialize(runs.groupBy("a", "b").agg(F.min(row).alias("first"), F.max(row).alias("last"), F.count("*").alias("n")).filter("first < last").drop("last"), "shared")
-    hits = join_counted(runs, shared, ["a", "b"]).filter(row != F.col("first")).groupBy(*ROW).agg(F.collect_set("place").alias("places"))
+    first = materialize(met.groupBy("a", "b").agg(F.min(row).alias("first"), F.count("*").alias("n")), "first")
+    hits = join_counted(met, first, ["a", "b"]).filter(row != F.col("first")).groupBy(*ROW).agg(F.collect_set("place").alias("places"))
     left = rows.join(hits.hint("merge"), ROW, "left").select(*ROW, "text", "places").mapInArrow(trimmed, _TRIMMED)
     return left.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "n_sentences", "n_removed", "removed", F.col("text").cast("string").alias("text"))
