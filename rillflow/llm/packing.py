@@ -28,7 +28,8 @@ from rillflow.plans.lineage import materialize
 CAPACITY = 2048
 END_ID = 0
 #: Pieces that a bucket holds when all have one length.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 1_000_000
+BUCKETS = 256
 #: Beyond this many characters a text goes through the tokenizer itself.
 LONG_CHARS = 100_000
 #: Bounds of the tokenizer's remembered pieces in a worker.
@@ -271,7 +272,7 @@ def pack(
     empty result; further columns are ignored.
     """
     table = materialize(pieces(docs, id_col, text_col, capacity, tokenizer or default_tokenizer()), "pieces")
-    buckets = max(1, -(-table.count() // rows_per_bucket))  # grows with the pieces, so that the most frequent length is ranked in bounded parts
+    buckets = max(BUCKETS, -(-table.count() // rows_per_bucket))  # grows with the pieces, so that the most frequent length is ranked in bounded parts
     bucketed = table.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     sums = bucketed.groupBy("length", "bucket").count()
     ahead = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
