@@ -19,10 +19,21 @@ WORD = "[a-zA-ZçÇğĞıİöÖşŞüÜ0-9]{3,}"
 CHARS_PER_TOKEN = 3
 
 
+@F.pandas_udf(StringType())
+def compose(texts: pd.Series) -> pd.Series:
+    """Compatibility composition (NFKC), for input that is not composed yet."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
 def turkish_lower(text: Column) -> Column:
-    """Lower case with the Turkish dotted and dotless i; null becomes empty."""
+    """Lower case with the Turkish dotted and dotless i, composed (NFKC); null becomes empty.
+
+    Texts whose characters all lie below the combining marks and compatibility
+    forms are composed already; only the others go through the function.
+    """
     dotted = F.replace(F.coalesce(text, F.lit("")), F.lit("İ"), F.lit("i"))
-    return F.lower(F.replace(dotted, F.lit("I"), F.lit("ı")))
+    lowered = F.lower(F.replace(dotted, F.lit("I"), F.lit("ı")))
+    return F.coalesce(compose(F.when(lowered.rlike(r"[^\x00-\x7FçğıöşüâîûéèàäßñÇĞÖŞÜÂÎÛ]"), lowered)), lowered)
 
 
 def turkish_lower_py(text: str | None) -> str:
@@ -30,12 +41,6 @@ def turkish_lower_py(text: str | None) -> str:
     return unicodedata.normalize("NFKC", (text or "").replace("İ", "i").replace("I", "ı").lower())
 
 
-@F.pandas_udf(StringType())
-def compose(texts: pd.Series) -> pd.Series:
-    """Compatibility composition (NFKC), for input that is not composed yet."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-
 def tokens(lowered: Column) -> Column:
     """Letter and digit runs of a Turkish-lowered text."""
     return F.regexp_extract_all(lowered, F.lit(TOKEN), F.lit(0))

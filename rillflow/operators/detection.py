@@ -37,12 +37,16 @@ def negated(clause: Column, keyword: str, window: int = NEGATION_WINDOW) -> Colu
     return F.exists(F.array(*map(F.lit, NEGATION_CUES)), lambda cue: F.contains(around, cue))
 
 
-def found_keywords(parts: Column, keywords: tuple[str, ...]) -> Column:
-    """Keywords that occur in one of the clauses; only the first clause that contains a keyword decides whether it is negated."""
+def found_keywords(parts: Column, keywords: tuple[str, ...], lowered: Column | None = None) -> Column:
+    """Keywords that occur in one of the clauses; only the first clause that contains a keyword decides whether it is negated.
+
+    With the lower-cased text the clauses are only looked at where it contains the keyword.
+    """
 
     def check(keyword: str) -> Column:
         first = F.slice(F.filter(parts, lambda c: F.contains(c, F.lit(keyword))), 1, 1)
-        return F.transform(F.filter(first, lambda c: ~negated(c, keyword)), lambda _: F.lit(keyword))
+        hit = F.transform(F.filter(first, lambda c: ~negated(c, keyword)), lambda _: F.lit(keyword))
+        return hit if lowered is None else F.when(F.contains(lowered, F.lit(keyword)), hit).otherwise(F.array().cast("array<string>"))
 
     return F.flatten(F.array(*[check(k) for k in keywords]))
 
@@ -52,10 +56,10 @@ def detect(rows: DataFrame, text: str, dictionary: dict[str, tuple[str, ...]] =
 
     Confidence is 0.5 and 0.1 more for each further keyword, at most 1.
     """
-    per_type = [F.struct(F.lit(name).alias("event_type"), found_keywords(F.col("__parts"), words).alias("matched")) for name, words in dictionary.items()]
+    per_type = [F.struct(F.lit(name).alias("event_type"), found_keywords(F.col("__parts"), words, F.col("__low")).alias("matched")) for name, words in dictionary.items()]
     hits = F.col("__hits")
     none = F.array(F.struct(F.lit(GENERAL).alias("event_type"), F.array().cast("array<string>").alias("matched")))
-    cut = rows.withColumn("__parts", clauses(F.col(text)))
+    cut = rows.withColumn("__parts", clauses(F.col(text))).withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
     cut = cut.withColumn("__hits", F.filter(F.array(*per_type), lambda x: F.size(x["matched"]) > 0))
     spread = cut.withColumn("__hit", F.explode(F.when(F.size(hits) > 0, hits).otherwise(none))).select(*rows.columns, "__hit.event_type", "__hit.matched")
     return spread.withColumn("confidence", F.when(F.col("event_type") == GENERAL, 0.0).otherwise(F.least(F.lit(1.0), BASE_CONFIDENCE + CONFIDENCE_STEP * (F.size("matched") - 1))))
@@ -72,10 +76,11 @@ def parse_events(rows: DataFrame, raw: str, least_confidence: float = 0.0) -> Da
 
     Names come under any of four keys; unknown types become null; confidences
     are held within 0 to 1 with 0.5 where missing; hints are rounded and held
-    within 0 to 100.  Output that does not parse gives no rows.
+    within 0 to 100.  Output that does not parse is tried again with its single
+    quotes made double ones; what still does not parse gives no rows.
     """
-    item = F.expr("try_variant_get(value, '$', 'map<string,variant>')")
-    parsed = rows.withColumn("__v", F.try_parse_json(repaired_json(F.col(raw))))
+    item, repaired = F.expr("try_variant_get(value, '$', 'map<string,variant>')"), repaired_json(F.col(raw))
+    parsed = rows.withColumn("__v", F.coalesce(F.try_parse_json(repaired), F.try_parse_json(F.replace(repaired, F.lit("'"), F.lit('"')))))
     items = parsed.withColumn("__items", F.expr("try_variant_get(__v, '$', 'array<variant>')")).select(*rows.columns, F.posexplode("__items").alias("pos", "value")).filter(item.isNotNull())
     get = lambda key, kind: F.expr(f"try_variant_get(value, '$.{key}', '{kind}')")
     text = lambda key: F.nullif(strip(get(key, "string")), F.lit(""))
@@ -175,6 +180,12 @@ def q_json_events_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_events(e.select("event_id", raw.alias("raw")), "raw").select("event_id", "pos", "event_name", "event_type", "confidence", "risk_hint")
 
 
+def q_json_quote_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    raw = F.when(F.col("event_id") % 3 == 0, F.format_string("EVENTS_JSON: [{'event': '%s', 'confidence': 0.25,},]", "event_type")).when(F.col("event_id") % 3 == 1, F.format_string("[{'event': 'it's %s'}]", "event_type")).otherwise(F.format_string('[{"event": "it\'s %s"}, 5]', "event_type"))
+    return parse_events(e.select("event_id", raw.alias("raw")), "raw").select("event_id", "pos", "event_name", "confidence")
+
+
 def q_time_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     rows = e.select(
@@ -228,12 +239,13 @@ def _detect_sql() -> str:
     )
 
 
-QUERIES = {f.__name__: f for f in (q_keyword_detect, q_json_events_parse, q_time_normalize, q_segments, q_chunk_status, q_source_names, q_fixed_batches)}
+QUERIES = {f.__name__: f for f in (q_keyword_detect, q_json_events_parse, q_json_quote_repair, q_time_normalize, q_segments, q_chunk_status, q_source_names, q_fixed_batches)}
 ORACLE_SQL = {
     "q_keyword_detect": _detect_sql(),
     "q_json_events_parse": """
 SELECT event_id, 0 AS pos, event_type AS event_name, CASE WHEN event_id % 2 = 0 THEN 'yangin_duman' END AS event_type,
   round_even(least(1.0, event_id % 13 / 8), 2) AS confidence, CAST(least(100, event_id % 120) AS INTEGER) AS risk_hint FROM events""",
+    "q_json_quote_repair": "SELECT event_id, 0 AS pos, CASE WHEN event_id % 3 = 2 THEN 'it''s ' ELSE '' END || event_type AS event_name, CAST(CASE WHEN event_id % 3 = 0 THEN 0.25 ELSE 0.5 END AS DOUBLE) AS confidence FROM events WHERE event_id % 3 <> 1",
     "q_time_normalize": """
 WITH r AS (SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN event_id % 40 / 2 - 3 END AS s, CASE WHEN event_id % 5 <> 0 THEN event_id % 53 / 2 - 3 END AS e0, event_id % 9 * 20.0 AS o, 20.0 AS d FROM events),
 x AS (SELECT *, coalesce(e0, s) AS e FROM r),

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -48,20 +48,31 @@ def merge_intervals(events: DataFrame, keys: list[str], min_iou: float = MIN_IOU
     Events are taken in order of their start (id for ties); each joins the first
     merged event it fits, else opens one.  The first event's name and type stay;
     confidence and count are the highest; lists unite in order; a merged event's
-    id is made from its sorted observation ids.  Each analysis and video is one
-    group: first fit depends on every event before.
+    id is made from its sorted observation ids.
+
+    First fit depends on the events before, but never across types nor across a
+    gap that no earlier event of the type reaches; so each analysis, video, type
+    and stretch between such gaps is a group of its own, cut by windows.  Inside
+    a group only merged events that still reach the present one are looked at.
     """
     schema = events.schema
     names = [f.name for f in schema]
+    before = Window.partitionBy(*keys, "event_type").orderBy("start_sec", "event_id")
+    reached = F.max("end_sec").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    opened = events.withColumn("__open", F.coalesce(F.col("start_sec") > reached + max_gap, F.lit(False)).cast("int"))
+    islands = opened.withColumn("__island", F.sum("__open").over(before.rowsBetween(Window.unboundedPreceding, 0)))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         merged: list[dict] = []
-        for row in group.sort_values(["start_sec", "event_id"], kind="stable").to_dict("records"):
+        active: list[dict] = []
+        for row in group[names].sort_values(["start_sec", "event_id"], kind="stable").to_dict("records"):
             row = row | {"chunk_ids": list(row["chunk_ids"]), "observation_ids": list(row["observation_ids"])}
             row["event_type"] = None if pd.isna(row["event_type"]) else row["event_type"]
-            home = next((m for m in merged if may_merge(row, m, min_iou, max_gap, min_similarity)), None)
+            active = [m for m in active if m["end_sec"] >= row["start_sec"] - max_gap]
+            home = next((m for m in active if may_merge(row, m, min_iou, max_gap, min_similarity)), None)
             if home is None:
                 merged.append(row)
+                active.append(row)
                 continue
             for name in ("chunk_ids", "observation_ids"):
                 home[name] = list(dict.fromkeys(home[name] + row[name]))
@@ -70,7 +81,7 @@ def merge_intervals(events: DataFrame, keys: list[str], min_iou: float = MIN_IOU
             home["event_id"] = "merged_" + hashlib.sha256("-".join(sorted(set(home["observation_ids"]))).encode()).hexdigest()[:8]
         return pd.DataFrame(merged, columns=names)
 
-    return events.groupBy(*keys).applyInPandas(fold, schema)
+    return islands.groupBy(*keys, "event_type", "__island").applyInPandas(fold, schema)
 
 
 def greedy_batches(rows: DataFrame, key: str, order: str, tokens: str, budget: int) -> DataFrame:

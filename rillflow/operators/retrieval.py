@@ -39,7 +39,10 @@ def lexical_topk(chunks: DataFrame, content: str, order: str, query: str, k: int
     """The ``k`` chunks with the most query words in common, in order of the position for equal counts; none in common excludes."""
     words = sorted({w.lower() for w in re.findall("[a-zA-ZçÇğĞıİöÖşŞüÜ0-9]+", query) if len(w) > 2})
     score = F.size(F.array_intersect(search_words(F.col(content)), F.array(*map(F.lit, words)).cast("array<string>")))
-    return chunks.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), order).limit(k)
+    # a text without any of the words as a substring is not cut into words at all
+    low = F.lower(F.coalesce(F.col(content), F.lit("")))
+    some = F.greatest(F.lit(False), F.lit(False), *[F.contains(low, F.lit(w)) for w in words])
+    return chunks.filter(some).withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), order).limit(k)
 
 
 def substring_topk(chunks: DataFrame, content: str, order: str, query: str, k: int = 3) -> DataFrame:

@@ -134,7 +134,7 @@ def q_temporal_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_evidence_widening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").filter("event_id % 5 = 0").select(
+    events = table(spark, sf_dir, "events").select(
         "event_id", (seconds(F.col("ts"))).alias("start_sec"), (seconds(F.col("ts")) - 1).alias("end_sec"), F.array(*[F.concat(F.lit("ev"), (F.col("event_id") + d).cast("string")) for d in (0, 1, 7)]).alias("evidence_ids")
     )
     frames = table(spark, sf_dir, "events").select(F.concat(F.lit("ev"), F.col("event_id").cast("string")).alias("evidence_id"), seconds(F.col("ts")).alias("frame_sec"))
@@ -211,7 +211,7 @@ f AS (
     string_agg('ev' || event_id, ',' ORDER BY at_sec, event_id) AS evidence_ids, CAST(max(event_id % 101) AS INTEGER) AS risk_hint FROM r GROUP BY event_name, session_no)
 SELECT event_name, CAST(session_no AS BIGINT) AS session_no, round(end_sec, 3) AS end_sec, occurrence_count, description, event_type, keywords, evidence_ids, risk_hint, round(greatest(0, end_sec - start_sec), 3) AS duration FROM f""",
     "q_evidence_widening": """
-WITH e AS (SELECT event_id, epoch(ts) AS s, unnest([event_id, event_id + 1, event_id + 7]) AS f FROM events WHERE event_id % 5 = 0), w AS (SELECT e.event_id, any_value(s) AS s, min(epoch(ts)) AS low, max(epoch(ts)) AS high FROM e LEFT JOIN events v ON v.event_id = e.f GROUP BY e.event_id)
+WITH e AS (SELECT event_id, epoch(ts) AS s, unnest([event_id, event_id + 1, event_id + 7]) AS f FROM events), w AS (SELECT e.event_id, any_value(s) AS s, min(epoch(ts)) AS low, max(epoch(ts)) AS high FROM e LEFT JOIN events v ON v.event_id = e.f GROUP BY e.event_id)
 SELECT event_id, round(least(s, low), 3) AS start_sec, round(greatest(s, high), 3) AS end_sec FROM w""",
     "q_descriptions": """
 WITH d AS (SELECT *, CAST(round_even(value + 0.25, 0) AS BIGINT) AS w FROM events)

@@ -104,11 +104,6 @@ def q_stage_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_durations(e, "user_id", "at_sec").select("event_id", "pos", F.coalesce(F.round("since_ms", 0), F.lit(-1.0)).cast("long").alias("since_ms"))
 
 
-def q_system_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(500)
-    return status_counts(o.withColumn("status", F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("queued")), "status")
-
-
 def q_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection, completeness, consistency, capture and time indicators of every user."""
     e = table(spark, sf_dir, "events")
@@ -137,7 +132,7 @@ _EVENTS = """t AS (
     CASE event_type WHEN 'click' THEN 'events' WHEN 'purchase' THEN 'report' WHEN 'error' THEN 'rag_security' WHEN 'signup' THEN 'sampler' ELSE 'vlm' END AS stage, epoch(ts) AS at_sec
   FROM events)"""
 _ONE = "SELECT user_id, stage, CAST(pos AS INTEGER) AS pos, round(value, 2) AS duration_ms FROM (SELECT *, row_number() OVER (PARTITION BY user_id, stage ORDER BY pos {0}) AS n FROM t) WHERE n = 1"
-QUERIES = {f.__name__: f for f in (q_trace_overview, q_first_stage, q_last_stage, q_stage_durations, q_system_overview, q_kpis, q_usage)}
+QUERIES = {f.__name__: f for f in (q_trace_overview, q_first_stage, q_last_stage, q_stage_durations, q_kpis, q_usage)}
 ORACLE_SQL = {
     "q_trace_overview": f"""WITH {_EVENTS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, stage ORDER BY pos) AS n FROM t) WHERE n = 1)
 SELECT count(DISTINCT user_id) AS n_jobs, CAST(coalesce(sum(k) FILTER (stage = 'events'), 0) AS BIGINT) AS n_detected, count(*) FILTER (stage = 'report' AND value >= 375) AS n_critical, count(*) FILTER (stage = 'rag_security') AS n_retrievals,
@@ -145,7 +140,6 @@ SELECT count(DISTINCT user_id) AS n_jobs, CAST(coalesce(sum(k) FILTER (stage = '
     "q_first_stage": f"WITH {_EVENTS} " + _ONE.format("ASC"),
     "q_last_stage": f"WITH {_EVENTS} " + _ONE.format("DESC"),
     "q_stage_durations": f"WITH {_EVENTS} SELECT event_id, CAST(pos AS INTEGER) AS pos, CAST(coalesce(round((at_sec - lag(at_sec) OVER (PARTITION BY user_id ORDER BY pos)) * 1000, 0), -1) AS BIGINT) AS since_ms FROM t",
-    "q_system_overview": "WITH o AS (SELECT o_orderstatus AS s FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500) SELECT count(*) AS total, count(*) FILTER (s = 'F') AS completed, count(*) FILTER (s = 'P') AS failed, count(*) FILTER (s NOT IN ('F', 'P')) AS running FROM o",
     "q_kpis": """
 WITH p AS (SELECT user_id, round(CAST(sum(CAST(least(1.0, value / 100) AS DECIMAL(18,6))) AS DOUBLE) / count(*) * 100, 3) AS detection, count(DISTINCT event_type) FILTER (value >= 375) AS c, count(DISTINCT event_type) FILTER (value >= 50) AS d,
   round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / 1000, 4) AS processing_sec, bool_or(event_type = 'click') AS click, bool_or(event_type = 'purchase') AS purchase, bool_or(event_type = 'error') AS error, bool_or(event_type = 'signup') AS signup, bool_or(event_type = 'view') AS "view", count(*) AS n, max(value) AS top FROM events GROUP BY user_id)

@@ -19,10 +19,14 @@ def _own_dir(application: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) a temporary
-    folder is made, one for each application.
+    Only where a session on one machine leaves it unset (tests) a temporary folder
+    is made, one for each application; on a cluster that is an error, as executors
+    would write where nobody else can read.
     """
-    return (spark.conf.get(CHECKPOINT_KEY, None) or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
+    named = spark.conf.get(CHECKPOINT_KEY, None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that the whole cluster shares")
+    return (named or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

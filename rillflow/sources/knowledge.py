@@ -12,19 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_SCHEMA = "chunk_id string, document_id string, level string, number string, is_annex boolean, page_start int, page_end int, char_count int, text string, _corrupt string"
-ALLOWED = ("txt", "pdf", "docx")
+ALLOWED = ("txt", "docx")
 MOST_CHARS = 200_000
 MOST_BYTES = 10 * 1024 * 1024
 ARTICLE = r"(?m)^\s*(?:GEÇİCİ\s+)?(?:MADDE|Madde)\s+(\d+)"
 
 
-def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
+def read_chunks(spark: SparkSession, folder: str, names: str = "*.json") -> DataFrame:
     """Chunks of all JSON array files of a folder; unreadable files and rows without text are left out.
 
     A missing document id is the file's name without its ending.
     """
-    rows = spark.read.schema(CHUNK_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(f"{folder}/*.json")
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
+    rows = spark.read.schema(CHUNK_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(f"{folder}/{names}")
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1)
     return rows.withColumn("document_id", F.coalesce("document_id", stem)).filter(F.col("_corrupt").isNull() & (F.trim(F.coalesce("text", F.lit(""))) != "")).drop("_corrupt")
 
 
@@ -44,8 +44,11 @@ def with_metadata(chunks: DataFrame, metadata: DataFrame) -> DataFrame:
     return chunks.join(metadata.select(F.col("id").alias("document_id"), "title", "institution", "publication_date"), "document_id", "left")
 
 
-def extract_pages(name: str, raw: bytes) -> list[tuple[int | None, str]]:
-    """(page, text) of a file: text as UTF-8, else Latin-1; word-processor paragraphs; PDF where a reader is installed."""
+def extract_pages(name: str, raw: bytes, most_chars: int | None = MOST_CHARS) -> list[tuple[int | None, str]]:
+    """(page, text) of a file: text as UTF-8, else Latin-1; word-processor paragraphs.  Other endings give nothing.
+
+    A document counts up to ``most_chars`` characters, the limit of an upload; None takes all.
+    """
     ending = name.rsplit(".", 1)[-1].lower()
     if ending not in ALLOWED or len(raw) > MOST_BYTES or not raw:
         return []
@@ -54,20 +57,16 @@ def extract_pages(name: str, raw: bytes) -> list[tuple[int | None, str]]:
             text = raw.decode("utf-8")
         except UnicodeDecodeError:
             text = raw.decode("latin-1")
-        return [(None, text[:MOST_CHARS])]
+        return [(None, text[:most_chars])]
     if ending == "docx":
         with zipfile.ZipFile(io.BytesIO(raw)) as box:
             xml = box.read("word/document.xml").decode("utf-8")
         paragraphs = ["".join(re.findall(r"<w:t(?:\s[^>]*)?>([^<]*)</w:t>", p)) for p in re.split(r"</w:p>", xml)]
-        return [(None, "\n".join(p for p in paragraphs if p)[:MOST_CHARS])]
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        return []
-    return [(k + 1, (page.extract_text() or "")) for k, page in enumerate(PdfReader(io.BytesIO(raw)).pages)]
+        return [(None, "\n".join(p for p in paragraphs if p)[:most_chars])]
+    return []
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+def read_documents(spark: SparkSession, folder: str, most_chars: int | None = MOST_CHARS) -> DataFrame:
     """(filename, status, page, text) of all files of a folder; a file that fails or is not allowed has status ``error`` and no text."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,7 +75,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
             for path, raw in zip(batch["path"], batch["content"], strict=True):
                 name = path.rsplit("/", 1)[-1]
                 try:
-                    pages = [p for p in extract_pages(name, raw) if p[1].strip()]
+                    pages = [p for p in extract_pages(name, raw, most_chars) if p[1].strip()]
                 except Exception:  # noqa: BLE001 - a broken file is a row, not a failed job
                     pages = []
                 out += [(name, "ready", p, t) for p, t in pages] or [(name, "error", None, None)]

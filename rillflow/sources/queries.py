@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow.plans.lineage import shared_dir
 from rillflow.session import table
-from rillflow.sources.knowledge import article_segments
-from rillflow.sources.tables import apply_updates, delete_with_children, stable_id, valid_feedback, with_ids
+from rillflow.sources.knowledge import article_segments, read_chunks, read_documents, read_metadata, with_metadata
+from rillflow.sources.tables import admit, append, apply_updates, delete_with_children, overlay, read_merged, stable_id, valid_feedback, with_ids
 
 
 def q_keyed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +48,53 @@ def q_text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.min("start").alias("first_start"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (q_keyed_updates, q_valid_feedback, q_cascade_delete, q_numbered_rows, q_vector_payload, q_text_segments)}
+def q_knowledge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk files with their documents' titles: blank texts are left out, a missing document is named by its file, unknown ones have no title."""
+    folder = f"{shared_dir(spark)}/knowledge-{uuid.uuid4().hex}"
+    item = F.struct(
+        F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("chunk_id"), F.when(F.col("item_id") % 3 != 0, F.concat(F.lit("d"), (F.col("item_id") % 3).cast("string"))).alias("document_id"),
+        F.when(F.col("item_id") % 5 != 0, F.col("text")).otherwise(" ").alias("text"),
+    )
+    table(spark, sf_dir, "benchmark").select(F.to_json(F.array(item)).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/chunks")
+    entries = '- id: d1\n  title: "First"\n  institution: A\n- id: d9\n  title: Ninth'
+    spark.createDataFrame([(entries,)], "value string").write.text(f"{folder}/sources")
+    chunks = with_metadata(read_chunks(spark, f"{folder}/chunks", "*.txt"), read_metadata(spark, f"{folder}/sources"))
+    named = F.when(F.col("document_id").startswith("part-"), "file").otherwise(F.col("document_id"))
+    return chunks.select("chunk_id", named.alias("document_id"), F.coalesce("title", F.lit("-")).alias("title"), F.length("text").alias("n_chars"))
+
+
+def q_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files of a folder, one a benchmark item: what is read of them."""
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(folder)
+    return read_documents(spark, f"{folder}/*.txt").select("status", F.md5(F.regexp_replace("text", r"\s+$", "")).alias("text_md5"))
+
+
+def q_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admit(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "admitted")
+
+
+def q_manual_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Automatic alerts, and later ones of an operator with a note, in one table whose columns grew."""
+    path = f"{shared_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events")
+    append(e.filter("event_type = 'error'").select("event_id", F.lit(True).alias("auto")), path)
+    append(e.filter("event_type = 'signup'").select("event_id", F.lit(False).alias("auto"), F.concat(F.lit("by hand "), "event_type").alias("note")), path)
+    return read_merged(spark, path).select("event_id", "auto", F.coalesce("note", F.lit("-")).alias("note"))
+
+
+def q_overridden_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return overlay(e, e.filter("event_id % 7 = 0").select("event_id", F.lit("X").alias("event_type")), "event_id", ["event_type"])
+
+
+QUERIES = {f.__name__: f for f in (q_knowledge_chunks, q_document_files, q_admitted, q_manual_alerts, q_overridden_rows, q_keyed_updates, q_valid_feedback, q_cascade_delete, q_numbered_rows, q_vector_payload, q_text_segments)}
 ORACLE_SQL = {
+    "q_knowledge_chunks": "SELECT 'c' || item_id AS chunk_id, CASE WHEN item_id % 3 = 0 THEN 'file' ELSE 'd' || item_id % 3 END AS document_id, CASE WHEN item_id % 3 = 1 THEN 'First' ELSE '-' END AS title, length(text) AS n_chars FROM benchmark WHERE item_id % 5 <> 0 AND trim(text) <> ''",
+    "q_document_files": "SELECT 'ready' AS status, md5(regexp_replace(text, '\\s+$', '')) AS text_md5 FROM benchmark",
+    "q_admitted": "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5 AS admitted FROM documents",
+    "q_manual_alerts": "SELECT event_id, event_type = 'error' AS auto, CASE WHEN event_type = 'error' THEN '-' ELSE 'by hand signup' END AS note FROM events WHERE event_type IN ('error', 'signup')",
+    "q_overridden_rows": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'X' ELSE event_type END AS event_type FROM events",
     "q_keyed_updates": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, round(o_totalprice, 2) AS o_totalprice, CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS version FROM orders",
     "q_valid_feedback": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'correct' ELSE 'missed' END AS feedback FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 1",
     "q_cascade_delete": "SELECT o_orderkey, o_custkey AS c_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3)",

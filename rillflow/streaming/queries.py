@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from rillflow.operators.selection import SelectionParams
 from rillflow.operators.sessions import seconds
 from rillflow.plans.lineage import shared_dir
+from rillflow.session import table
 from rillflow.streaming.sessions import event_stream, run_to_table, stream_distinct, stream_sessions, stream_windows
-from rillflow.streaming.state import stream_buffer, stream_selection
+from rillflow.streaming.state import stream_buffer, stream_selection, tail_to
+
+PARTS, FILES = 5, 2
+#: Longer than the events table: within it a key stays known, and a machine stays open.
+WHOLE_SEC = 40 * 86400.0
 
 
 def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
@@ -21,8 +26,21 @@ def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
+def in_parts(spark: SparkSession, sf_dir: str, parts: int = PARTS) -> str:
+    """A folder to which the events were written in ``parts`` equal stretches of time, one after the other, as ``FILES`` files each."""
+    events = table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    folder = f"{shared_dir(spark)}/stream-events-{uuid.uuid4().hex}"
+    for k in range(parts if low is not None else 0):
+        here = F.expr(f"(unix_micros(cast(ts AS timestamp)) - {low}L) * {parts} div {high - low + 1}L") == k
+        events.filter(here).repartition(FILES).write.mode("append").parquet(folder)
+    return folder
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_stream(spark, sf_dir, "events.parquet")
+    """The events as they arrive: a stretch of time in every micro-batch, so that state is carried from batch to batch."""
+    return event_stream(spark, in_parts(spark, sf_dir), files_per_trigger=FILES)
 
 
 def in_micros(rows: DataFrame) -> DataFrame:
@@ -42,22 +60,36 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_first_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, stream_distinct(_events(spark, sf_dir), ["user_id", "event_type"]).select("event_id", "user_id", "event_type"))
+    """Users and the types they were seen with, each once."""
+    return _run(spark, stream_distinct(_events(spark, sf_dir), ["user_id", "event_type"], f"{int(WHOLE_SEC)} seconds").select("user_id", "event_type"))
 
 
 def stream_detection_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, stream_buffer(_events(spark, sf_dir).withColumn("at_sec", seconds(F.col("ts"))), "user_id", 86400.0))
+    return in_micros(_run(spark, stream_buffer(_events(spark, sf_dir).withColumn("at_sec", seconds(F.col("ts"))), "user_id", 86400.0)))
+
+
+def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row once, through a sink that is handed the micro-batches; a batch that comes again replaces its rows."""
+    place = f"{shared_dir(spark)}/tail-{uuid.uuid4().hex}"
+    tail_to(_events(spark, sf_dir), lambda rows, n: rows.write.mode("overwrite").parquet(f"{place}/batch={n}"), uuid.uuid4().hex)
+    return spark.read.parquet(place).select("event_id", "event_type", "batch")
 
 
 def stream_frame_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select("ts", F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("frame_id"), seconds(F.col("ts")).alias("at_sec"), (F.col("value") / 50000).alias("ratio"), (F.col("event_id") % 10 / 10.0).alias("area"), (F.col("value") / 10000).alias("signature"))
     params = SelectionParams(max_gap_sec=86400.0, early_interval_sec=7200.0, strong_interval_sec=3600.0, early_cooldown_sec=14400.0, strong_cooldown_sec=14400.0, fast_interval_sec=3600.0, slow_interval_sec=21600.0)
-    return _run(spark, stream_selection(e, params))
+    return _run(spark, stream_selection(e, params, idle_sec=WHOLE_SEC))
 
 
-QUERIES = {f.__name__: f for f in (stream_event_sessions, stream_event_windows, stream_first_by_user, stream_detection_buffer, stream_frame_selection)}
+QUERIES = {f.__name__: f for f in (stream_event_sessions, stream_event_windows, stream_first_by_user, stream_detection_buffer, stream_tail, stream_frame_selection)}
 _WATERMARK = "(SELECT (epoch_us(max(ts)) // 1000) * 1000 - 90000000 FROM events)"
+_PARTS = "(epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * 5 // ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events) + 1)"
 ORACLE_SQL = {
+    "stream_first_by_user": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_tail": f"SELECT event_id, event_type, CAST({_PARTS} AS INTEGER) AS batch FROM events",
+    "stream_detection_buffer": f"""
+WITH p AS (SELECT user_id, epoch(ts) AS s, {_PARTS} AS part FROM events), m AS (SELECT user_id, part, max(s) AS newest FROM p GROUP BY user_id, part)
+SELECT CAST(m.user_id AS VARCHAR) AS source, count(*) AS n_buffered, round(newest, 4) AS newest_sec FROM m JOIN p ON p.user_id = m.user_id AND p.part <= m.part AND p.s >= newest - 86400 GROUP BY m.user_id, m.part, newest""",
     "stream_event_sessions": f"""
 WITH e AS (SELECT event_type, epoch_us(ts) AS us, value FROM events),
 o AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY event_type ORDER BY us) > 1800000000 THEN 1 ELSE 0 END AS opened FROM e),

@@ -45,26 +45,31 @@ def stream_selection(frames: DataFrame, params: SelectionParams | None = None, i
     return frames.withWatermark("ts", lateness).groupBy("key").applyInPandasWithState(advance, OUT, "stored string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_buffer(events: DataFrame, source: str, keep_sec: float = BUFFER_SEC) -> DataFrame:
+def stream_buffer(events: DataFrame, source: str, keep_sec: float = BUFFER_SEC, lateness: str = "90 seconds") -> DataFrame:
     """Per source, the number of detections in the last ``keep_sec`` seconds at every batch, and the newest time.
 
     Old rows leave from the head only: an old row behind a newer head stays until
-    the head moves on.  Reads (source, at_sec).
+    the head moves on.  A batch's rows are taken in time order.  A source is
+    forgotten once the watermark is ``keep_sec`` past its newest row, when nothing
+    of it would be left.  Reads (source, ts, at_sec).
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times: list[float] = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            times += batch["at_sec"].tolist()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times += sorted(x for batch in batches for x in batch["at_sec"])
         newest = max(times)
         head = 0
         while head < len(times) and times[head] < newest - keep_sec:
             head += 1
         times = times[head:]
         state.update((times,))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int((newest + keep_sec) * 1000)))
         yield pd.DataFrame({"source": [key[0]], "n_buffered": [len(times)], "newest_sec": [newest]})
 
-    return events.select(F.col(source).cast("string").alias("source"), "at_sec").groupBy("source").applyInPandasWithState(advance, "source string, n_buffered long, newest_sec double", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", lateness).select(F.col(source).cast("string").alias("source"), "ts", "at_sec").groupBy("source").applyInPandasWithState(advance, "source string, n_buffered long, newest_sec double", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tail_to(stream: DataFrame, sink: Callable[[DataFrame, int], None], name: str) -> None:

@@ -206,3 +206,51 @@ def test_article_segments(spark):
     got = [(r.number, r.content) for r in knowledge.article_segments(spark.createDataFrame([(1, text), (2, "none"), (3, None)], "id long, t string"), "id", "t").orderBy("pos").collect()]
     assert [n for n, _ in got] == ["1", "2", "1__dup1"]
     assert "intro\n" + "".join(c for _, c in got) == text
+
+
+def _merge_truth(rows):
+    """First fit over one video's events in order of start, looking at every merged event."""
+    from rillflow.operators.folds import names_alike
+
+    merged = []
+    for r in sorted(rows, key=lambda r: (r["start_sec"], r["event_id"])):
+        home = None
+        for m in merged:
+            overlap = min(r["end_sec"], m["end_sec"]) - max(r["start_sec"], m["start_sec"])
+            near = overlap / (max(r["end_sec"], m["end_sec"]) - min(r["start_sec"], m["start_sec"])) >= 0.3 if overlap > 0 else -overlap <= 5.0
+            if not set(r["chunk_ids"]) & set(m["chunk_ids"]) and r["event_type"] == m["event_type"] and near and names_alike(r["event_name"], m["event_name"]) >= 0.5:
+                home = m
+                break
+        if home is None:
+            merged.append({**r, "chunk_ids": list(r["chunk_ids"]), "observation_ids": list(r["observation_ids"])})
+            continue
+        home["chunk_ids"] += [c for c in r["chunk_ids"] if c not in home["chunk_ids"]]
+        home["observation_ids"] += r["observation_ids"]
+        home["start_sec"], home["end_sec"] = min(home["start_sec"], r["start_sec"]), max(home["end_sec"], r["end_sec"])
+    return sorted((m["event_type"] or "", m["start_sec"], m["end_sec"], tuple(sorted(m["observation_ids"]))) for m in merged)
+
+
+def test_interval_merge_equals_first_fit_over_all_events(spark):
+    import random
+
+    from rillflow.operators.folds import merge_intervals
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(400):
+        start = rng.choice([rng.uniform(0, 400), rng.uniform(0, 4000)])
+        rows.append({"video": "v", "event_id": f"e{k:03d}", "event_name": rng.choice(["red fire", "red smoke", "fire red wall"]), "event_type": rng.choice(["a", "b", None]), "start_sec": start, "end_sec": start + rng.choice([0.0, 3.0, 60.0]), "confidence": 0.5, "occurrence_count": 1, "chunk_ids": [f"c{rng.randrange(40)}"], "observation_ids": [f"o{k}"]})
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "video string, event_id string, event_name string, event_type string, start_sec double, end_sec double, confidence double, occurrence_count int, chunk_ids array<string>, observation_ids array<string>")
+    got = sorted((r.event_type or "", r.start_sec, r.end_sec, tuple(sorted(r.observation_ids))) for r in merge_intervals(df, ["video"]).collect())
+    assert got == _merge_truth(rows)
+
+
+def test_relevance_composes_both_sides(spark):
+    """A decomposed text and a ligature count like their composed forms."""
+    from rillflow.operators.retrieval import relevance
+
+    texts = ["ac\u0327\u0131k alev g\u00f6ru\u0308ldu\u0308", "a\u00e7\u0131k alev g\u00f6r\u00fcld\u00fc", "con\ufb01ned space"]
+    df = spark.createDataFrame([(k, t, 0.5, None, None) for k, t in enumerate(texts)], "id int, content string, semantic double, title string, article string")
+    rows = {r.id: r for r in relevance(df, "a\u00e7\u0131k alev g\u00f6r\u00fcld\u00fc", "content", "semantic", "title", "article", ["confined"]).collect()}
+    assert rows[0].lexical_score == rows[1].lexical_score == 1.0 and rows[0].phrase_score == 1.0
+    assert (rows[2].keyword_score, rows[0].keyword_score) == (1.0, 0.0)

@@ -1,9 +1,14 @@
-"""Streams against the same computation in batch."""
+"""Streams against the same computation in batch; every stream comes in several micro-batches."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
+from rillflow.operators.sessions import seconds
 from rillflow.streaming import queries
-from rillflow.streaming.sessions import batch_sessions
+from rillflow.streaming.sessions import batch_sessions, event_stream, run_to_table
+from rillflow.streaming.state import stream_buffer
 from tests.oracle import SMALL
 
 
@@ -26,4 +31,49 @@ def test_stream_selection_equals_batch(spark):
 def test_first_rows_are_unique(spark):
     out = queries.stream_first_by_user(spark, SMALL)
     assert out.count() == out.select("user_id", "event_type").distinct().count()
-    assert out.filter(F.col("event_id").isNull()).count() == 0
+    assert out.filter(F.col("user_id").isNull()).count() == 0
+
+
+def test_a_restarted_stream_goes_on_where_it_stopped(spark, tmp_path):
+    """Four stretches, then the fifth after a restart: each row once, and state from before the restart is there."""
+    folder = queries.in_parts(spark, SMALL)
+    parts = spark.read.parquet(folder).withColumn("part", F.expr("ntile(5) over (order by ts)"))
+    arrived = f"{tmp_path}/arrived"
+
+    def arrive(low, high):
+        for k in range(low, high):
+            parts.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(arrived)
+
+    def run():
+        events = event_stream(spark, arrived).withColumn("at_sec", seconds(F.col("ts")))
+        run_to_table(stream_buffer(events, "user_id", 40 * 86400.0), f"{tmp_path}/rows", f"{tmp_path}/checkpoint")
+        return spark.read.parquet(f"{tmp_path}/rows")
+
+    arrive(1, 5)
+    before = run().count()
+    arrive(5, 6)
+    rows = run()
+    assert rows.count() > before
+    last = {r.source: r.n for r in rows.groupBy("source").agg(F.max("n_buffered").alias("n")).collect()}
+    assert last == {str(r.user_id): r.n for r in parts.groupBy("user_id").agg(F.count("*").alias("n")).collect()}
+    assert not any(json.dumps(k) == "null" for k in last)
+
+
+def test_no_machine_local_folder_on_a_cluster(spark):
+    from rillflow.plans.lineage import shared_dir
+
+    class Named:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default):
+            return self.value
+
+    class Session:
+        def __init__(self, master, folder):
+            self.conf = Named(folder)
+            self.sparkContext = type("C", (), {"master": master, "applicationId": "test-app"})()
+
+    assert shared_dir(Session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(RuntimeError):
+        shared_dir(Session("spark://host:7077", None))
