@@ -163,11 +163,9 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     lists = materialize(rows.mapInArrow(hashed, _HASHED), "runs")
     runs = lists.select(*ROW, F.posexplode("runs").alias("place", "run")).select(*ROW, "place", "run.a", "run.b")
-    # runs that two documents have, by a hash of the document; only their rows carry the whole name of it
-    document = F.xxhash64(*ROW)
-    counts = runs.groupBy("a", "b").agg(F.min(document).alias("least"), F.max(document).alias("most"), F.count("*").alias("n")).filter("least < most")
-    shared = materialize(counts.select("a", "b", "n"), "shared")
-    met = materialize(join_counted(runs, shared, ["a", "b"]).drop("n"), "met")
+    # a document lists each of its runs once, so a name counted twice is that of two documents or rows; half of the name suffices to find it
+    shared = materialize(runs.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    met = materialize(join_counted(runs, shared, ["a"]).drop("n"), "met")
     row = F.struct(*ROW)
     first = materialize(met.groupBy("a", "b").agg(F.min(row).alias("first"), F.count("*").alias("n")), "first")
     hits = join_counted(met, first, ["a", "b"]).filter(row != F.col("first")).groupBy(*ROW).agg(F.collect_set("place").alias("places"))
