@@ -128,18 +128,22 @@ def cells_of(text: bytes, offset: int, pack: int, width: int, limit: int, within
     return out
 
 
-def _name(*parts: bytes | int) -> int:
+def _name(size: int, *parts: bytes | int) -> bytes:
     joined = b"|".join(p if isinstance(p, bytes) else str(p).encode() for p in parts)
-    return int.from_bytes(hashlib.blake2b(joined, digest_size=8).digest(), "little", signed=True)
+    return hashlib.blake2b(joined, digest_size=size).digest()
 
 
 def _cell_rows(block: dict, offset: int, text: bytes, width: int, limit: int, within: tuple[int, int] | None) -> list[tuple]:
-    """(start, number of starts, core name, name of the whole cell) of a block's cells."""
+    """(start, number of starts, core name, name of the whole cell) of a block's cells.
+
+    Equal names of whole cells settle them, so these have 128 bits; cores only
+    bring cells together that are compared byte by byte, so 64 bits will do.
+    """
     anchor = _unpack(block["pack"])[2]
-    return [(lo, n, _name(block["gram"], (anchor - lo) // width, core), _name(block["gram"], anchor - lo, n, whole)) for lo, n, core, whole in cells_of(text, offset, block["pack"], width, limit, within)]
+    return [(lo, n, int.from_bytes(_name(8, block["gram"], (anchor - lo) // width, core), "little", signed=True), _name(16, block["gram"], anchor - lo, n, whole)) for lo, n, core, whole in cells_of(text, offset, block["pack"], width, limit, within)]
 
 
-_CELL_SCHEMA = "doc_id long, text_key long, gram long, pack long, settled boolean, cells array<struct<start:long,n:int,core:long,whole:long>>"
+_CELL_SCHEMA = "doc_id long, text_key long, gram long, pack long, settled boolean, cells array<struct<start:long,n:int,core:long,whole:binary>>"
 
 
 def _with_cells(blocks: DataFrame, width: int, limit: int) -> DataFrame:
@@ -153,7 +157,7 @@ def _with_cells(blocks: DataFrame, width: int, limit: int) -> DataFrame:
                 start = row["pack"] >> 16
                 parts = [(w["start"], w["n"]) for w in row["within"]] if nested else [None]
                 cells.append([dict(zip(("start", "n", "core", "whole"), c, strict=True)) for part in parts for c in _cell_rows(row, start, row["text"], width, limit, part)])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int32()), ("core", pa.int64()), ("whole", pa.int64())]))
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int32()), ("core", pa.int64()), ("whole", pa.binary())]))
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_key", "gram", "pack", "settled")], pa.array(cells, kind)], names=["doc_id", "text_key", "gram", "pack", "settled", "cells"])
 
     return blocks.mapInArrow(cut, _CELL_SCHEMA)
@@ -171,7 +175,7 @@ def settle_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
         "wholes",
     )
     repeated = cells.filter("not settled").join(by_whole.filter("times > 1").select("whole"), "whole", "left_semi").select("doc_id", "text_key", "start", "n")
-    distinct = by_whole.withColumn("settled", F.col("settled") | (F.col("times") > 1)).drop("times")
+    distinct = by_whole.withColumn("settled", F.col("settled") | (F.col("times") > 1)).drop("times", "whole")
     cores = materialize(distinct.groupBy("core").agg(F.count("*").alias("sharing"), F.min("settled").alias("all_settled")).filter("sharing > 1 and not all_settled").select("core", "sharing"), "cores")
     return repeated, materialize(distinct.join(cores, "core"), "open")
 
