@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow.operators.along import carry_forward, over_history
 from rillflow.operators.sessions import seconds
 from rillflow.session import table
 
@@ -19,22 +20,21 @@ MOST_SPIKES = 6
 
 def noise_floor(rows: DataFrame, key: list[str], order: list[str], value: str, history: int = HISTORY) -> DataFrame:
     """Add ``floor``, the median of the last ``history`` values including the current one, and ``net``, what exceeds it."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-(history - 1), 0)
-    return rows.withColumn("floor", F.percentile(value, F.lit(0.5)).over(w)).withColumn("net", F.greatest(F.lit(0.0), F.col(value) - F.col("floor")))
+    floored = over_history(rows, key, order, order[0], history, {"floor": lambda w: F.percentile(value, F.lit(0.5)).over(w)})
+    return floored.withColumn("net", F.greatest(F.lit(0.0), F.col(value) - F.col("floor")))
 
 
 def vote(rows: DataFrame, key: list[str], order: list[str], suspicious: Column, of: int = VOTE_OF, needs: int = VOTE_NEEDS) -> DataFrame:
     """Add ``suspicious`` and ``passed``: suspicious now, and at least ``needs`` times among the last ``of`` rows."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-(of - 1), 0)
     marked = rows.withColumn("suspicious", F.coalesce(suspicious, F.lit(False)))
-    return marked.withColumn("passed", F.col("suspicious") & (F.sum(F.col("suspicious").cast("int")).over(w) >= needs))
+    return over_history(marked, key, order, order[0], of, {"passed": lambda w: F.col("suspicious") & (F.sum(F.col("suspicious").cast("int")).over(w) >= needs)})
 
 
 def density(rows: DataFrame, key: list[str], order: list[str], at: str, strong: Column, early: Column, cooldown: float = COOLDOWN_SEC) -> DataFrame:
     """Add the state: strong or early while the last such row is at most ``cooldown`` seconds old, else calm; strong goes first."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    recent = lambda hit: F.coalesce(F.col(at) - F.last(F.when(hit, F.col(at)), ignorenulls=True).over(w) <= cooldown, F.lit(False))
-    return rows.withColumn("state", F.when(recent(strong), "strong").when(recent(early), "early").otherwise("calm"))
+    seen = carry_forward(rows, key, order, at, {"__strong": F.when(strong, F.col(at)), "__early": F.when(early, F.col(at))})
+    recent = lambda last: F.coalesce(F.col(at) - F.col(last) <= cooldown, F.lit(False))
+    return seen.withColumn("state", F.when(recent("__strong"), "strong").when(recent("__early"), "early").otherwise("calm")).drop("__strong", "__early")
 
 
 def robust_spikes(rows: DataFrame, key: list[str], value: str, factor: float = MAD_FACTOR, least: int = LEAST_POINTS) -> DataFrame:
@@ -70,13 +70,13 @@ def as_of(left: DataFrame, right: DataFrame, key: list[str], at: str, value: str
     """Add to every left row the ``value`` of the last right row of its key at or before its time; null if there is none.
 
     Both sides are put in one time-ordered stream per key and the value is
-    carried forward: one shuffle and one sort, no range join.
+    carried forward, from time bucket to time bucket: no range join.
     """
-    both = right.select(*key, at, F.col(value).alias("__value"), F.lit(0).alias("__side"), F.lit(None).cast(_row_type(left)).alias("__row")).unionByName(
-        left.select(*key, at, F.lit(None).cast(right.schema[value].dataType).alias("__value"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"))
+    both = right.select(*key, at, F.col(value).alias("__right"), F.lit(0).alias("__side"), F.lit(None).cast(_row_type(left)).alias("__row")).unionByName(
+        left.select(*key, at, F.lit(None).cast(right.schema[value].dataType).alias("__right"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"))
     )
-    w = Window.partitionBy(*key).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__value", ignorenulls=True).over(w)).filter("__side = 1").select("__row.*", value)
+    seen = carry_forward(both, key, [at, "__side"], at, {"__last": F.col("__right")})
+    return seen.filter("__side = 1").select("__row.*", F.col("__last").alias(value))
 
 
 def _row_type(df: DataFrame) -> str:

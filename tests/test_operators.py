@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import text as T
 from rillflow.operators import detection, folds, risk, rules, sessions, stores
+from rillflow.operators.along import carry_forward, over_history
 from rillflow.operators.selection import FrameSelector, SelectionParams, SelectionState, select_rows
 from rillflow.operators.series import suppress_near
 from rillflow.sources import knowledge, tables
@@ -254,3 +255,40 @@ def test_relevance_composes_both_sides(spark):
     rows = {r.id: r for r in relevance(df, "a\u00e7\u0131k alev g\u00f6r\u00fcld\u00fc", "content", "semantic", "title", "article", ["confined"]).collect()}
     assert rows[0].lexical_score == rows[1].lexical_score == 1.0 and rows[0].phrase_score == 1.0
     assert (rows[2].keyword_score, rows[0].keyword_score) == (1.0, 0.0)
+
+
+def _along_rows(spark):
+    draw = random.Random(5)
+    rows = [(k, draw.choice([None, "a", "b"]) if k % 9 == 0 else "a", draw.choice([None, draw.uniform(0, 400.0)]) if k % 31 == 0 else float(draw.randrange(400)), draw.choice([None, draw.randrange(50)])) for k in range(400)]
+    return rows, spark.createDataFrame(rows, "n long, key string, at double, value long").repartition(3)
+
+
+def _along_order(row):
+    return (row[2] is not None, row[2] or 0.0, row[0])
+
+
+@pytest.mark.parametrize("bucket_sec", [0.5, 40.0, 1e9])
+def test_carry_forward_against_a_loop(spark, bucket_sec):
+    rows, df = _along_rows(spark)
+    want, last = {}, {}
+    for row in sorted(rows, key=_along_order):
+        last[row[1]] = last.get(row[1]) if row[3] is None else row[3]
+        want[row[0]] = (*row, last[row[1]])
+    got = carry_forward(df, ["key"], ["at", "n"], "at", {"row": F.col("value")}, bucket_sec)
+    assert got.columns == ["n", "key", "at", "value", "row"]
+    assert {r[0]: tuple(r) for r in got.collect()} == want and got.count() == len(rows)
+    assert carry_forward(df.limit(0), ["key"], ["at", "n"], "at", {"row": F.col("value")}).count() == 0
+
+
+@pytest.mark.parametrize(("history", "chunk_rows", "bucket_sec"), [(1, 1, 40.0), (5, 4, 0.5), (30, 31, 40.0), (30, 50_000, 1e9)])
+def test_history_windows_against_a_loop(spark, history, chunk_rows, bucket_sec):
+    rows, df = _along_rows(spark)
+    want, seen = {}, {}
+    for row in sorted(rows, key=_along_order):
+        past = seen.setdefault(row[1], [])
+        past.append(row[3])
+        want[row[0]] = (*row, sum(v or 0 for v in past[-history:]), len(past[-history:]))
+    values = {"total": lambda w: F.coalesce(F.sum("value").over(w), F.lit(0)), "chunk": lambda w: F.count("*").over(w)}
+    got = over_history(df, ["key"], ["at", "n"], "at", history, values, bucket_sec, chunk_rows)
+    assert {r[0]: tuple(r) for r in got.collect()} == want and got.count() == len(rows)
+    assert over_history(df.limit(0), ["key"], ["at", "n"], "at", history, values).count() == 0
