@@ -13,30 +13,42 @@ from rillflow.session import table
 
 GUARD_FROM = 0.80
 SEMANTIC_CHARS = 200
+FOLD_SEC = 3600.0
 EXPANSIONS = (("click", "personal protective equipment"), ("purchase", "vehicle pedestrian distance"), ("error", "fire and smoke"))
 
 
 def ordered_union(arrays: Column, order: Column) -> Column:
-    """Aggregate: the distinct elements of all rows' arrays, in order of first sight."""
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), arrays.alias("a"))))
+    """Aggregate: the distinct elements of all rows' arrays, in order of first sight; null arrays count as empty."""
+    rows = F.array_sort(F.collect_list(F.when(arrays.isNotNull(), F.struct(order.alias("o"), arrays.alias("a")))))
     return F.array_distinct(F.flatten(F.transform(rows, lambda r: r["a"])))
 
 
-def fold_sessions(numbered: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
+def fold_sessions(numbered: DataFrame, keys: list[str], at: str, tie: str, part_sec: float = FOLD_SEC) -> DataFrame:
     """One temporal event per session of (event_name, event_type, end_sec, confidence, description, keywords, evidence_ids, risk_hint).
 
     Start is the earliest time and end that of the latest row; name and
     description are the latest row's, the type is the latest one known; lists are
     united in order; confidence is the highest plus 0.05 for each further row.
+
+    Sessions are folded in parts of ``part_sec`` seconds first, so a session of
+    very many rows is spread over tasks and only distinct elements of each part's
+    lists meet.  Rows with a null time come first; an empty table gives an empty result.
     """
     order = F.struct(at, tie)
     latest = lambda c: F.max_by(c, order)
-    folded = numbered.groupBy(*keys, "session_no").agg(
-        F.min(at).alias("start_sec"), latest(F.coalesce(F.col("end_sec"), F.col(at))).alias("end_sec"), F.count("*").alias("occurrence_count"),
-        F.least(F.lit(1.0), F.max("confidence") + 0.05 * (F.count("*") - 1)).alias("confidence"), latest(F.col("description")).alias("description"),
-        F.max_by("event_type", F.when(F.col("event_type").isNotNull(), order)).alias("event_type"),
+    part = F.coalesce(F.floor(F.col(at) / part_sec), F.lit(-(1 << 62))).alias("part")
+    parts = numbered.groupBy(*keys, "session_no", part).agg(
+        F.min(at).alias("low"), F.max(order).alias("last"), F.count("*").alias("n"), F.max("confidence").alias("high"),
+        latest(F.coalesce(F.col("end_sec"), F.col(at))).alias("end_sec"), latest(F.col("description")).alias("description"),
+        F.max(F.when(F.col("event_type").isNotNull(), F.struct(order.alias("order"), "event_type"))).alias("typed"),
         ordered_union(F.col("keywords"), order).alias("keywords"), ordered_union(F.col("evidence_ids"), order).alias("evidence_ids"), F.max("risk_hint").alias("risk_hint"),
     )
+    folded = parts.groupBy(*keys, "session_no").agg(
+        F.min("low").alias("start_sec"), F.max_by("end_sec", "last").alias("end_sec"), F.sum("n").alias("occurrence_count"),
+        F.least(F.lit(1.0), F.max("high") + 0.05 * (F.sum("n") - 1)).alias("confidence"), F.max_by("description", "last").alias("description"),
+        F.max("typed")["event_type"].alias("event_type"),
+        ordered_union(F.col("keywords"), F.col("part")).alias("keywords"), ordered_union(F.col("evidence_ids"), F.col("part")).alias("evidence_ids"), F.max("risk_hint").alias("risk_hint"),
+    )
     return folded.withColumn("duration", F.greatest(F.lit(0.0), F.col("end_sec") - F.col("start_sec")))
 
 

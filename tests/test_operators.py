@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillflow.functions import text as T
-from rillflow.operators import detection, folds, risk, rules, sessions, stores
+from rillflow.operators import detection, folds, risk, rules, sessions, stores, structured
 from rillflow.operators.along import carry_forward, over_history
 from rillflow.operators.selection import FrameSelector, SelectionParams, SelectionState, select_rows
 from rillflow.operators.series import suppress_near
@@ -292,3 +292,24 @@ def test_history_windows_against_a_loop(spark, history, chunk_rows, bucket_sec):
     got = over_history(df, ["key"], ["at", "n"], "at", history, values, bucket_sec, chunk_rows)
     assert {r[0]: tuple(r) for r in got.collect()} == want and got.count() == len(rows)
     assert over_history(df.limit(0), ["key"], ["at", "n"], "at", history, values).count() == 0
+
+
+@pytest.mark.parametrize("part_sec", [3.0, 50.0, 1e9])
+def test_fold_of_sessions_against_a_loop(spark, part_sec):
+    draw = random.Random(11)
+    some = lambda *x: draw.choice([None, *x])
+    rows = [(some("a", "b"), draw.randrange(2), draw.choice([None, float(draw.randrange(200))]), k, draw.random(), some("x", "y"), some(300.0), some("d1", "d2"), some(["k1", "k2"], ["k2"], []), [f"e{draw.randrange(30)}"], some(1, 5)) for k in range(150)]
+    schema = "name string, session_no long, at double, n long, confidence double, event_type string, end_sec double, description string, keywords array<string>, evidence_ids array<string>, risk_hint int"
+    want = {}
+    for row in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0.0, r[3])):
+        want.setdefault(row[:2], []).append(row)
+    for key, group in want.items():
+        union = lambda c: list(dict.fromkeys(x for r in group for x in r[c] or []))  # noqa: B023, E731
+        times = [r[2] for r in group if r[2] is not None]
+        typed = [r[5] for r in group if r[5] is not None]
+        end = group[-1][6] if group[-1][6] is not None else group[-1][2]
+        want[key] = (min(times), end, len(group), min(1.0, max(r[4] for r in group) + 0.05 * (len(group) - 1)), group[-1][7], typed[-1], union(8), union(9), max(r[10] or 0 for r in group))
+    got = structured.fold_sessions(spark.createDataFrame(rows, schema).repartition(3), ["name"], "at", "n", part_sec)
+    columns = ("start_sec", "end_sec", "occurrence_count", "confidence", "description", "event_type", "keywords", "evidence_ids", "risk_hint")
+    assert {(r["name"], r["session_no"]): tuple(r[c] for c in columns) for r in got.collect()} == want
+    assert structured.fold_sessions(spark.createDataFrame([], schema), ["name"], "at", "n").count() == 0
