@@ -1,4 +1,4 @@
-"""The corpus queries op1 to op10 and their SQL."""
+"""The corpus queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import sql
+from rillflow.llm.collocations import collocations
 from rillflow.llm.exact_dedup import exact_dedup
 from rillflow.llm.language_id import language_id
 from rillflow.llm.licenses import scan_licenses
 from rillflow.llm.mixing import mix
 from rillflow.llm.near_dedup import near_duplicates
 from rillflow.llm.packing import pack
+from rillflow.llm.pivot_links import near_vectors
 from rillflow.llm.repeated_bytes import remove_repeated_bytes
 from rillflow.llm.secrets import scan_secrets
 from rillflow.llm.sentence_spans import remove_repeated_spans
@@ -60,8 +62,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_syncmer_fingerprints, op4_repeated_bytes, op5_secret_scan, op6_mix_sources, op7_best_fit_packing, op8_sentence_spans, op9_near_duplicates, op10_license_scan)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_syncmer_fingerprints, op4_repeated_bytes, op5_secret_scan, op6_mix_sources, op7_best_fit_packing, op8_sentence_spans, op9_near_duplicates, op10_license_scan, op11_collocations, op12_near_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -135,4 +135,37 @@ c AS (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY x)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, least(doc_id, coalesce(low, doc_id)) = doc_id AS kept FROM s LEFT JOIN c USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_repeated_bytes": OP4, "op5_secret_scan": OP5, "op6_mix_sources": OP6, "op8_sentence_spans": OP8, "op9_near_duplicates": OP9}
+OP11 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM d),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+p AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS k FROM w),
+q AS (SELECT lang, ws, k, unnest(generate_series(1, least(5, len(ws) - k + 1))) AS size FROM p),
+f AS (SELECT lang, array_to_string(ws[k:k + size - 1], ' ') AS phrase, size, count(*) AS a FROM q GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, size, a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+k AS (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.a, l.a AS l, r.a AS r, t.n, CAST((1000::HUGEINT * k.a * t.n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY (1000::HUGEINT * k.a * t.n) // (l.a::HUGEINT * r.a), k.k) AS place
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.ws[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.ws[k.k + 1:], ' ') JOIN t ON t.lang = k.lang),
+g AS (SELECT * FROM s WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM c o WHERE o.lang = s.lang AND len(o.phrase) > len(s.phrase) AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * o.a >= 100 * s.a)),
+z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM g)
+SELECT * FROM z WHERE rank <= 2000
+"""
+
+OP12 = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, row_number() OVER () AS k, label, CAST(embedding AS DOUBLE[]) AS v,
+    label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+  FROM embeddings),
+g AS (SELECT * FROM e WHERE usable),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND a.k <> b.k AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+n AS (SELECT x AS vec_id, count(*) AS n_links FROM p GROUP BY x),
+reach AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM reach r JOIN p ON r.y = p.x),
+c AS (SELECT x AS vec_id, min(y) AS low FROM reach GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, least(vec_id, coalesce(low, vec_id)) = vec_id AS kept
+FROM e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_repeated_bytes": OP4, "op5_secret_scan": OP5, "op6_mix_sources": OP6, "op8_sentence_spans": OP8, "op9_near_duplicates": OP9, "op11_collocations": OP11, "op12_near_vectors": OP12}
