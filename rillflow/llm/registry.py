@@ -15,6 +15,7 @@ from rillflow.llm.mixing import mix
 from rillflow.llm.near_dedup import near_duplicates
 from rillflow.llm.packing import pack
 from rillflow.llm.pivot_links import near_vectors
+from rillflow.llm.prefix_trie import prefix_trie
 from rillflow.llm.repeated_bytes import remove_repeated_bytes
 from rillflow.llm.secrets import scan_secrets
 from rillflow.llm.sentence_spans import remove_repeated_spans
@@ -70,8 +71,12 @@ def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_syncmer_fingerprints, op4_repeated_bytes, op5_secret_scan, op6_mix_sources, op7_best_fit_packing, op8_sentence_spans, op9_near_duplicates, op10_license_scan, op11_collocations, op12_near_vectors)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_syncmer_fingerprints, op4_repeated_bytes, op5_secret_scan, op6_mix_sources, op7_best_fit_packing, op8_sentence_spans, op9_near_duplicates, op10_license_scan, op11_collocations, op12_near_vectors, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:

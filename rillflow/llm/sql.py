@@ -168,4 +168,27 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_
 FROM e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
 """
 
-ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_repeated_bytes": OP4, "op5_secret_scan": OP5, "op6_mix_sources": OP6, "op8_sentence_spans": OP8, "op9_near_duplicates": OP9, "op11_collocations": OP11, "op12_near_vectors": OP12}
+OP13 = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+b AS (SELECT range AS n, list_reduce(list_prepend(n, generate_series(1, 8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256)),
+bs AS (SELECT list(v ORDER BY n) AS vs FROM b),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base FROM t),
+h AS (SELECT conv_id, base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda r, x: xor(r >> 8, vs[xor(r & 255, x) + 1])), 4294967295) % 6 AS h FROM c, bs),
+r AS (
+  SELECT h.conv_id, 0 AS part, t.k, t.role, t.text FROM h JOIN t ON t.conv_id = h.base AND t.k <= h.h
+  UNION ALL SELECT h.conv_id, 1, t.k, t.role, t.text FROM h JOIN t ON t.conv_id = h.conv_id AND t.k > h.h),
+d AS (SELECT conv_id, row_number() OVER w AS depth, length(text) AS n_chars, list(md5(length(role) || ':' || role || text)) OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, k)),
+o AS (SELECT conv_id, depth, n_chars, path FROM d UNION ALL SELECT conv_id, 0, 0, [] FROM h),
+m AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) = depth AS ends FROM o),
+n AS (SELECT array_to_string(path, '') AS name, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_chars) AS n_chars, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+p AS (SELECT n.*, left(name, 32 * (depth - 1)) AS above FROM n),
+k AS (SELECT above, count(*) AS n_children FROM p WHERE depth > 0 GROUP BY above),
+q AS (SELECT p.*, coalesce(k.n_children, 0) AS n_children FROM p LEFT JOIN k ON k.above = p.name),
+u AS (SELECT left(name, 32 * d) AS name, sum((n_convs - 1) * n_chars) AS saved, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(generate_series(0, depth)) AS d FROM q) GROUP BY 1)
+SELECT q.conv_id, q.depth, a.conv_id AS parent_conv_id, q.n_convs, q.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, q.ends_sha256
+FROM q JOIN u USING (name) LEFT JOIN n a ON q.depth > 0 AND a.name = q.above
+"""
+
+ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_repeated_bytes": OP4, "op5_secret_scan": OP5, "op6_mix_sources": OP6, "op8_sentence_spans": OP8, "op9_near_duplicates": OP9, "op11_collocations": OP11, "op12_near_vectors": OP12, "op13_prefix_trie": OP13}
