@@ -74,19 +74,23 @@ def set_bits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
     """The table of bits of a column ``hash``; the driver gets its 2 ** (BITS - 6) words at most, whatever the rows."""
-    low = F.col("hash").bitwiseAND((1 << BITS) - 1)
+    low = F.col("hash").cast("long").bitwiseAND((1 << BITS) - 1)
     words = hashes.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
     table = np.zeros(1 << (BITS - 6), np.uint64)
     table[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return table
 
 
-def _word_codes(lang: str, data: bytes) -> tuple[list[bytes], np.ndarray, list[bytes], np.ndarray]:
-    """(words, number of each word among the distinct ones, distinct words, their hashes)."""
+def _hash_words(lang: str, words: list[bytes]) -> np.ndarray:
+    seed = xxhash.xxh3_64_intdigest(lang.encode())
+    return np.array([xxhash.xxh3_64_intdigest(x, seed) for x in words], np.uint64)
+
+
+def _word_codes(lang: str, data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words, number of each word among the distinct ones, hashes of those)."""
     words = data.split()
     coded = pa.array(words, pa.binary()).dictionary_encode()
-    seed, distinct = xxhash.xxh3_64_intdigest(lang.encode()), coded.dictionary.to_pylist()
-    return words, coded.indices.to_numpy(), distinct, np.array([xxhash.xxh3_64_intdigest(x, seed) for x in distinct], np.uint64)
+    return words, coded.indices.to_numpy(), _hash_words(lang, coded.dictionary.to_pylist())
 
 
 def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -96,31 +100,42 @@ def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _word_rows(texts: DataFrame) -> DataFrame:
-    """(lang, phrase, n, hash): distinct words of each part of the texts."""
+    """(lang, phrase, n): distinct words of each part of the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, data in _texts(batches):
-            words, codes, distinct, hashes = _word_codes(lang, data)
-            if words:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hashes)), pa.array(distinct, pa.binary()).cast(pa.string()), pa.array(np.bincount(codes, minlength=len(hashes))), pa.array(hashes.view(np.int64))], names=["lang", "phrase", "n", "hash"])
+            found = Counter(data.split())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "phrase", "n"])
+
+    return texts.mapInArrow(count, "lang string, phrase string, n long")
+
+
+def _with_hashes(words: DataFrame) -> DataFrame:
+    """(hash) of counted words, as the later passes compute it."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            hashes = np.array([int(_hash_words(lang, [word.encode()])[0]) for lang, word in pairs], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["hash"])
 
-    return texts.mapInArrow(count, "lang string, phrase string, n long, hash long")
+    return words.select("lang", "phrase").mapInArrow(name, "hash long")
 
 
 def _pair_rows(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(hash, n): pairs of neighbouring words that may both be frequent, by hash."""
+    """(hash, n): pairs of neighbouring words that may both be frequent, by 32 bits of their hash, which is as much as the table of bits can tell apart."""
     held = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, data in _texts(batches):
-            words, codes, _, hashes = _word_codes(lang, data)
+            words, codes, hashes = _word_codes(lang, data)
             if len(words) > 1:
                 fits, places = set_bits(held.value, hashes)[codes], word_places(data)
                 at = np.flatnonzero((places[1:] == places[:-1]) & fits[1:] & fits[:-1])
                 pairs, n = np.unique(codes[at].astype(np.int64) * len(hashes) + codes[at + 1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_pair_hashes(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)]).view(np.int64)), pa.array(n)], names=["hash", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(_pair_hashes(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)]).astype(np.uint32).view(np.int32)), pa.array(n)], names=["hash", "n"])
 
-    return texts.mapInArrow(count, "hash long, n long")
+    return texts.mapInArrow(count, "hash int, n long")
 
 
 def _run_rows(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -129,7 +144,7 @@ def _run_rows(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, data in _texts(batches):
-            words, codes, _, hashes = _word_codes(lang, data)
+            words, codes, hashes = _word_codes(lang, data)
             if len(words) > 1:
                 places, by_word = word_places(data), hashes[codes]
                 tied = (places[1:] == places[:-1]) & set_bits(held.value, _pair_hashes(by_word[:-1], by_word[1:]))
@@ -200,8 +215,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     columns are ignored whatever their names.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    words = materialize(_word_rows(texts).groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("a")), "words")
-    pairs = _pair_rows(texts, bit_table(words.filter(F.col("a") >= least))).groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    words = materialize(_word_rows(texts).groupBy("lang", "phrase").agg(F.sum("n").alias("a")), "words")
+    pairs = _pair_rows(texts, bit_table(_with_hashes(words.filter(F.col("a") >= least)))).groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     runs = _run_rows(texts, bit_table(pairs)).groupBy("lang", "run").agg(F.sum("n").alias("n"))
     phrases = materialize(phrase_counts(runs, most_words).filter(F.col("a") >= least), "phrases")
     counts = phrases.select("lang", "phrase", "a").unionByName(words.filter(F.col("a") >= least).select("lang", "phrase", "a"))
