@@ -8,16 +8,19 @@ share it.  Findings are kept by blob and joined back to all paths.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.plans.lineage import materialize
 
 #: (kind, pattern, group whose length counts, least length): the base kinds first, in the order in which they are listed.
+#: A run that is too short holds no other match, so ``access`` and ``hex`` look for long runs only; a short ``assign`` match does hide what it covers.
 BASE_RULES = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    ("access", r"AKIA[A-Z0-9]+", 0, 16),
-    ("hex", r"[0-9a-f]+", 0, 32),
+    ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
+    ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 #: Kinds that the method adds.
 MORE_RULES = (
@@ -29,6 +32,8 @@ MORE_RULES = (
 RULE_VERSION = "secrets-1"
 #: Parts of a blob's paths; a blob has at most as many as it has paths.
 SALTS = 4_096
+#: Matches of a text that are placed together; a text of many has many such parts.
+PART = 128
 _SPAN = "array<struct<start:long,kind_no:int,end:long>>"
 #: What must occur in a text before a costly pattern is tried at all; each is implied by a match of its kind.
 _HINT = {
@@ -38,34 +43,52 @@ _HINT = {
 }
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _parts(steps: Column) -> Column:
+    """An array in parts of ``PART`` elements."""
+    last = F.floor((F.size(steps) - 1) / PART).cast("int")
+    return F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(steps, k * PART + 1, F.lit(PART)))).otherwise(F.slice(F.array(steps), 1, 0))
+
+
 def spans(text: Column, kind_no: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches of a pattern as (start, kind, end) in code points; matches with too short a group are dropped.
 
     The pieces between the matches and the matches themselves alternate, so their
-    lengths give every place.
+    lengths give every place.  They are added up in parts of ``PART`` matches, first
+    each part's length, then where it begins, then the places inside it, so
+    the work grows with the number of matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), measured.alias("part"))
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), measured.alias("part"))
+    steps = F.transform(F.filter(zipped, lambda x: x["hit"].isNotNull()), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["part"]).alias("part")))
+    zero, none = F.lit(0).cast("long"), F.array().cast(_SPAN)
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        keep = F.length(x["part"]) >= least
+        start = acc["at"] + x["gap"]
+        end = start + x["hit"]
+        keep = x["part"] >= least
         one = F.array(F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    every = F.aggregate(F.filter(steps, lambda x: x["hit"].isNotNull()), state, step, lambda acc: acc["out"])
+    def begins(parts: Column) -> Column:
+        length = lambda part: F.aggregate(part, zero, lambda n, x: n + x["gap"] + x["hit"])
+        return F.aggregate(parts, F.struct(zero.alias("at"), F.array().cast("array<long>").alias("out")), lambda acc, part: F.struct((acc["at"] + length(part)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    place = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    every = _bound(_bound(steps, _parts), lambda parts: F.flatten(F.zip_with(parts, begins(parts), place)))
     hint = _HINT.get(kind)
-    none = F.array().cast(_SPAN)
     return F.when(text.rlike(hint or pattern), every).otherwise(none)
 
 
 def scan(blobs: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> DataFrame:
     """(blob_id, found): all spans of a blob's text, by start and then kind."""
     each = [spans(F.col("text"), k, *rule) for k, rule in enumerate(rules)]
-    return blobs.select("blob_id", F.array_sort(F.concat(*each)).alias("found"))
+    return blobs.select("blob_id", F.sort_array(F.concat(*each)).alias("found"))
 
 
 def versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
