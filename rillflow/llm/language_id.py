@@ -20,17 +20,20 @@ from rillflow.llm.shingles import blocks
 
 UNKNOWN = "und"
 HELD_OUT = 2
-#: Bounds of the training sample: the languages with most labelled documents, and whole documents of each.
+#: Bounds of the training sample: the languages with most labelled documents, documents of each, and characters of each document.
 MOST_LANGS = 200
 TRAIN_DOCS = 250
+TRAIN_CHARS = 8_192
+#: Held-out documents of each language from which the stage derives its limit.
+JUDGED_DOCS = 100
 STEPS = 300
 BATCH = 96
 #: Lengths of the windows that training draws, so that short texts are learned as well.
 SHORTEST, LONGEST = 4, 64
 RATE = 0.01
 BLOCK_BYTES = 1 << 20
-#: A document whose best language has less than this mean probability is rejected by the stage.
-LEAST_SCORE = 0.3
+#: The stage rejects documents below this share of the lowest score of a rightly named held-out document, and never from the second value on.
+SHARE_OF_LOWEST, MOST_LIMIT = 0.8, 0.3
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[*range(0x09, 0x0E)]] = 0x20
@@ -62,28 +65,39 @@ def windows_of(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return windows, lengths, text
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], BiGru] | None:
-    """Train on a sample of at most ``TRAIN_DOCS`` whole documents of each of at most ``MOST_LANGS`` languages, taken by smallest hash outside the held-out fold; null ids are not taken."""
+def sample(docs: DataFrame, n: int, held_out: bool, id_col: str, text_col: str, lang_col: str) -> list:
+    """(doc_id, lang, text) of at most ``n`` labelled documents of each of the ``MOST_LANGS`` commonest languages, by smallest hash; null ids are not taken.
+
+    Of a text, at most ``TRAIN_CHARS`` characters come to the driver, from a place that a hash chooses.
+    """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    labelled = named.filter((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    here = fold(F.col("doc_id")) == HELD_OUT
+    labelled = named.filter((here if held_out else ~here) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    chosen = labelled.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TRAIN_DOCS)
-    wanted = {(r["doc_id"], r["lang"]) for r in chosen.select("doc_id", "lang").collect()}  # at most MOST_LANGS * TRAIN_DOCS
-    rows = labelled.filter(F.col("doc_id").isin(sorted({i for i, _ in wanted}))).dropDuplicates(["doc_id", "lang"]).collect()
+    chosen = labelled.select("doc_id", "lang").distinct().join(F.broadcast(common), "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    at = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS)).cast("int") + 1
+    rows = labelled.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])  # MOST_LANGS * n rows at most
+    return sorted(rows.select("doc_id", "lang", F.substr("text", at, F.lit(TRAIN_CHARS)).alias("text")).dropDuplicates(["doc_id", "lang"]).collect(), key=lambda r: (r["lang"], r["doc_id"]))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], BiGru] | None:
+    """Train on a sample of labelled documents outside the held-out fold.  A language of very little text is drawn in windows of its own length and shortens no other's."""
     texts: dict[str, list[np.ndarray]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
-        if (r["doc_id"], r["lang"]) in wanted and has_letter(r["text"].encode()):
+    for r in sample(docs, TRAIN_DOCS, False, id_col, text_col, lang_col):
+        if has_letter(r["text"].encode()):
             texts.setdefault(r["lang"], []).append(folded(r["text"].encode()))
     if not texts:
         return None
     langs, rng = sorted(texts), np.random.default_rng(13)
     joined = [np.concatenate(texts[lang]) for lang in langs]
+    most = np.array([len(x) for x in joined])
 
     def draw() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         labels = rng.integers(0, len(langs), BATCH)
-        lengths = -np.sort(-rng.integers(SHORTEST, LONGEST + 1, BATCH))
-        lengths = np.minimum(lengths, min(map(len, joined)))
+        lengths = np.minimum(rng.integers(SHORTEST, LONGEST + 1, BATCH), most[labels])
+        order = np.argsort(-lengths, kind="stable")
+        labels, lengths = labels[order], lengths[order]
         windows = np.zeros((BATCH, LONGEST), np.uint8)
         for k, (label, n) in enumerate(zip(labels.tolist(), lengths.tolist(), strict=True)):
             at = int(rng.integers(0, len(joined[label]) - n + 1))
@@ -139,21 +153,37 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
 
 
-def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents, with all their columns, whose language is known and has a score of at least ``least_score``.
+def score_limit(docs: DataFrame, model: tuple[list[str], BiGru] | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """The score below which the stage rejects, from a bounded sample of labelled documents that the model was not trained on.
+
+    Scores fall as more languages are learned, so the limit follows the lowest score of a rightly
+    named document of the sample.  Where none is rightly named, nothing is rejected by its score.
+    """
+    if model is None:
+        return 0.0
+    rows = sample(docs, JUDGED_DOCS, True, id_col, text_col, lang_col)
+    found = label_texts([r["text"].encode() for r in rows], *model)
+    right = [score for r, (name, score) in zip(rows, found, strict=True) if name == r["lang"]]
+    return min(MOST_LIMIT, SHARE_OF_LOWEST * min(right)) if right else 0.0
+
+
+def keep_identified(docs: DataFrame, least_score: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents, with all their columns, whose language is known and has a score of at least ``least_score``, by default :func:`score_limit`.
 
     The labels are computed beside the rows in one pass: nothing is shuffled or
     joined.  Null texts and texts without a letter go; where no document is
     labelled, only those.  Rows with a null id and repeated rows are judged by
     their own text.  An empty table gives an empty result.
     """
-    langs, net = fit(docs, id_col, text_col, lang_col) or ([], None)
+    model = fit(docs, id_col, text_col, lang_col)
+    langs, net = model or ([], None)
+    limit = score_limit(docs, model, id_col, text_col, lang_col) if least_score is None else least_score
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            verdicts = [name != UNKNOWN and score >= least_score for name, score in label_texts(texts, langs, net)] if net else [has_letter(t or b"") for t in texts]
+            verdicts = [name != UNKNOWN and score >= limit for name, score in label_texts(texts, langs, net)] if net else [has_letter(t or b"") for t in texts]
             yield pa.RecordBatch.from_arrays(batch.column(1).flatten(), names=names).filter(pa.array(verdicts, pa.bool_()))
 
     rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct("*").alias("row"))

@@ -1,10 +1,13 @@
 """Places where an operator once did less than its whole job."""
 
+import hashlib
 import random
 import textwrap
+import time
 
-from rillflow.llm import licenses
+from rillflow.llm import language_id, licenses
 from rillflow.llm.near_dedup import keep_representatives
+from rillflow.llm.secrets import scan_secrets
 from rillflow.llm.syncmers import fingerprints
 from tests.llm.helpers import documents
 from tests.llm.test_contracts import shingles
@@ -74,3 +77,31 @@ def test_fingerprints_of_long_texts_share_a_passage(spark):
     assert len(kept[1]) > 10 * len(kept[3])
     assert len(kept[1] & kept[2]) >= 10 and len(kept[2] & kept[3]) >= 10
     assert 0 < got[1].near_next < 0.02 and 0 < got[2].near_next < 0.02
+
+
+def test_a_tiny_language_spoils_no_other(spark):
+    """One labelled document of two letters, and one of a single letter, leave the held-out accuracy of the others where it was."""
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
+    tiny = documents(spark, [(1_000_000 + k, t) for k, t in enumerate(["ab", "z", "ab"])], lang=lambda k: ["xx", "yy", "xx"][k])
+    assert tiny.filter(language_id.fold(tiny.doc_id) != language_id.HELD_OUT).count() >= 2
+    both = docs.unionByName(tiny)
+    model = language_id.fit(both)
+    assert {"xx", "yy"} & set(model[0]) and len(model[0]) > 4
+    found = language_id.identify(both, model).join(docs.select("doc_id", "lang", "text"), "doc_id").filter("held_out and lang is not null and lang_pred != 'und'")
+    right, n = found.selectExpr("count_if(lang = lang_pred)", "count(*)").first()
+    assert right >= 0.99 * n
+    limit = language_id.score_limit(both, model)
+    assert 0 < limit <= language_id.MOST_LIMIT
+    assert found.filter(f"lang = lang_pred and score < {limit}").count() == 0
+
+
+def test_many_secrets_in_one_text(spark):
+    """500,000 findings in one text within a minute; every place as a plain search gives it."""
+    lines = [hashlib.md5(str(k).encode()).hexdigest() for k in range(500_000)]
+    docs = documents(spark, [(1, "\n".join(lines)), (2, "\n".join("é secret: " + x for x in lines[:300]))])
+    began = time.perf_counter()
+    rows = {r.doc_id: r for r in scan_secrets(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert rows[1].n_hex == 500_000
+    assert rows[1].spans == ",".join(f"hex:{33 * k}:{33 * k + 32}" for k in range(500_000))
+    assert rows[2].spans == ",".join(f"assign:{43 * k + 2}:{43 * k + 42},hex:{43 * k + 10}:{43 * k + 42}" for k in range(300))
