@@ -11,6 +11,7 @@ from rillflow.operators.selection import SelectionParams
 from rillflow.operators.sessions import seconds
 from rillflow.plans.lineage import shared_dir
 from rillflow.session import table
+from rillflow.streaming.registry import registered, stream_registry, with_rocksdb
 from rillflow.streaming.sessions import event_stream, run_to_table, stream_distinct, stream_sessions, stream_windows
 from rillflow.streaming.state import stream_buffer, stream_selection, tail_to
 
@@ -81,10 +82,18 @@ def stream_frame_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, stream_selection(e, params, idle_sec=WHOLE_SEC))
 
 
-QUERIES = {f.__name__: f for f in (stream_event_sessions, stream_event_windows, stream_first_by_user, stream_detection_buffer, stream_tail, stream_frame_selection)}
+def stream_job_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What bounded registries of the users' events hold when the stream has ended."""
+    with with_rocksdb(spark):
+        changes = _run(spark, stream_registry(_events(spark, sf_dir).withColumn("at_sec", seconds(F.col("ts"))), "user_id", "event_id", "at_sec", idle_sec=WHOLE_SEC))
+    return registered(changes).select(F.col("id").alias("event_id"), F.col("key").cast("long").alias("user_id"))
+
+
+QUERIES = {f.__name__: f for f in (stream_job_registry, stream_event_sessions, stream_event_windows, stream_first_by_user, stream_detection_buffer, stream_tail, stream_frame_selection)}
 _WATERMARK = "(SELECT (epoch_us(max(ts)) // 1000) * 1000 - 90000000 FROM events)"
 _PARTS = "(epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * 5 // ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events) + 1)"
 ORACLE_SQL = {
+    "stream_job_registry": "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back <= 50",
     "stream_first_by_user": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_tail": f"SELECT event_id, event_type, CAST({_PARTS} AS INTEGER) AS batch FROM events",
     "stream_detection_buffer": f"""
@@ -98,5 +107,5 @@ SELECT event_type, min(us) AS start_at, max(us) AS end_at, count(*) AS occurrenc
     "stream_event_windows": f"""
 WITH e AS (SELECT event_type, epoch_us(ts) AS us, value FROM events),
 w AS (SELECT event_type, value, unnest([us - us % 1800000000, us - us % 1800000000 - 1800000000]) AS start_at FROM e)
-SELECT start_at, start_at + 3600000000 AS end_at, event_type, count(*) AS n, round(avg(value), 4) AS mean_value FROM w GROUP BY start_at, event_type HAVING start_at + 3600000000 <= {_WATERMARK}""",
+SELECT start_at, start_at + 3600000000 AS end_at, event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value), 4) AS mean_value FROM w GROUP BY start_at, event_type HAVING start_at + 3600000000 <= {_WATERMARK}""",
 }

@@ -25,10 +25,10 @@ def stream_sessions(events: DataFrame, keys: list[str], gap: str, lateness: str
 
 
 def stream_windows(events: DataFrame, width: str, slide: str | None = None, lateness: str = LATENESS) -> DataFrame:
-    """Tumbling or overlapping windows with counts and mean value by event type."""
+    """Tumbling or overlapping windows with counts and mean value by event type; values are summed to four places, so the order of arrival does not matter."""
     watched = events.withWatermark("ts", lateness)
     span = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return watched.groupBy(span.alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).select(F.col("w.start").alias("start_at"), F.col("w.end").alias("end_at"), "event_type", "n", "mean_value")
+    return watched.groupBy(span.alias("w"), "event_type").agg(F.count("*").alias("n"), (F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count("value")).alias("mean_value")).select(F.col("w.start").alias("start_at"), F.col("w.end").alias("end_at"), "event_type", "n", "mean_value")
 
 
 def stream_distinct(events: DataFrame, keys: list[str], lateness: str = LATENESS) -> DataFrame:
