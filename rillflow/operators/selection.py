@@ -118,9 +118,9 @@ class FrameSelector:
         return mark is not None and last is not None and abs(mark - last) < self.p.dedup_ratio * self.p.threshold
 
     def _density(self, at: float) -> tuple[str, float]:
-        if at <= self.s.strong_until:
+        if at < self.s.strong_until:
             return STRONG, self.p.strong_interval_sec
-        if at <= self.s.early_until:
+        if at < self.s.early_until:
             return EARLY, self.p.early_interval_sec
         return CALM, self.p.max_gap_sec
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.operators.along import carry_forward, over_history
+from rillflow.operators.quantiles import exact_medians
 from rillflow.operators.sessions import seconds
+from rillflow.plans.lineage import materialize
 from rillflow.session import table
 
 HISTORY = 30
@@ -31,17 +34,16 @@ def vote(rows: DataFrame, key: list[str], order: list[str], suspicious: Column,
 
 
 def density(rows: DataFrame, key: list[str], order: list[str], at: str, strong: Column, early: Column, cooldown: float = COOLDOWN_SEC) -> DataFrame:
-    """Add the state: strong or early while the last such row is at most ``cooldown`` seconds old, else calm; strong goes first."""
+    """Add the state: strong or early while the last such row is less than ``cooldown`` seconds old, else calm; strong goes first."""
     seen = carry_forward(rows, key, order, at, {"__strong": F.when(strong, F.col(at)), "__early": F.when(early, F.col(at))})
-    recent = lambda last: F.coalesce(F.col(at) - F.col(last) <= cooldown, F.lit(False))
+    recent = lambda last: F.coalesce(F.col(at) - F.col(last) < cooldown, F.lit(False))
     return seen.withColumn("state", F.when(recent("__strong"), "strong").when(recent("__early"), "early").otherwise("calm")).drop("__strong", "__early")
 
 
 def robust_spikes(rows: DataFrame, key: list[str], value: str, factor: float = MAD_FACTOR, least: int = LEAST_POINTS) -> DataFrame:
     """Rows above median + factor x MAD of their key; keys with fewer than ``least`` rows have none, a MAD of 0 counts as 1e-6."""
-    center = rows.groupBy(*key).agg(F.median(value).alias("center"), F.count(value).alias("n_points"))
-    away = rows.join(center, key)
-    spread = away.groupBy(*key).agg(F.median(F.abs(F.col(value) - F.col("center"))).alias("mad"))
+    away = rows.join(exact_medians(rows, key, value), key)
+    spread = exact_medians(away.select(*key, F.abs(F.col(value) - F.col("center")).alias("away")), key, "away", "mad").drop("n_points")
     limit = F.col("center") + factor * F.when(F.col("mad") == 0, 1e-6).otherwise(F.col("mad"))
     return away.join(spread, key).withColumn("limit", limit).filter((F.col("n_points") >= least) & (F.col(value) > F.col("limit")))
 
@@ -49,21 +51,22 @@ def robust_spikes(rows: DataFrame, key: list[str], value: str, factor: float = M
 def suppress_near(spikes: DataFrame, key: str, at: str, score: str, gap: float, most: int = MOST_SPIKES) -> DataFrame:
     """Per key, spikes in order of falling score that keep ``gap`` seconds from all kept ones, at most ``most``.
 
-    Every kept spike depends on those kept before, so a key's spikes are folded
-    in one task; only spikes come here, not the series.
+    Every round keeps each key's best spike that is left, a maximum with partial
+    sums, and drops what is too near to it; after ``most`` rounds all are found.
+    Of equal scores the earliest goes first, of equal times as well the one
+    with the smallest hash of its columns.  Null keys are a key.
     """
-    schema = spikes.schema
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        times = group[at].to_numpy()
-        for k in group.sort_values([score, at], ascending=[False, True], kind="stable").index:
-            place = group.index.get_loc(k)
-            if len(kept) < most and all(abs(times[place] - times[o]) >= gap for o in kept):
-                kept.append(place)
-        return group.iloc[sorted(kept, key=lambda p: times[p])]
-
-    return spikes.groupBy(key).applyInPandas(fold, schema)
+    columns = spikes.columns
+    left = spikes.withColumn("__tie", F.xxhash64(*columns))
+    kept = []
+    for _ in range(most):
+        left = materialize(left, "spikes")
+        best = left.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*columns), F.struct(F.col(score), -F.col(at), -F.col("__tie").cast("decimal(20,0)"))).alias("__best"))
+        kept.append(best.select("__best.*"))
+        left = left.join(best, F.col(key).eqNullSafe(F.col("__key"))).filter(F.abs(F.col(at) - F.col("__best")[at]) >= gap).select(*columns, "__tie")
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, kept)
 
 
 def as_of(left: DataFrame, right: DataFrame, key: list[str], at: str, value: str) -> DataFrame:
@@ -132,7 +135,7 @@ _FLOOR = f"{_SERIES}, f AS (SELECT *, median(value) OVER (PARTITION BY user_id O
 _STATE = f"""{_SERIES}, l AS (
   SELECT event_id, user_id, at_sec, max(CASE WHEN value >= 400 THEN at_sec END) OVER w AS strong, max(CASE WHEN value >= 200 THEN at_sec END) OVER w AS early
   FROM s WINDOW w AS (PARTITION BY user_id ORDER BY at_sec ROWS UNBOUNDED PRECEDING)),
-d AS (SELECT event_id, user_id, CASE WHEN at_sec - strong <= 86400 THEN 'strong' WHEN at_sec - early <= 86400 THEN 'early' ELSE 'calm' END AS state FROM l)"""
+d AS (SELECT event_id, user_id, CASE WHEN at_sec - strong < 86400 THEN 'strong' WHEN at_sec - early < 86400 THEN 'early' ELSE 'calm' END AS state FROM l)"""
 QUERIES = {f.__name__: f for f in (q_rolling_noise_floor, q_vote, q_density, q_mad_spikes, q_spike_nms, q_as_of, q_sampler_stats, q_reason_counts)}
 ORACLE_SQL = {
     "q_rolling_noise_floor": f"WITH {_FLOOR} SELECT event_id, round(floor, 4) AS floor, round(net, 4) AS net FROM n",
