@@ -6,13 +6,14 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from rillflow.functions.text import estimated_tokens, estimated_tokens_py
+from rillflow.operators.ranges import running
 from rillflow.operators.selection import SelectionParams, select_frames
 from rillflow.operators.series import carrier_series
+from rillflow.plans.lineage import materialize
 from rillflow.session import table
 
 MIN_IOU, MAX_BOUNDARY_GAP_SEC, MIN_LABEL_SIMILARITY = 0.3, 5.0, 0.5
@@ -52,15 +53,16 @@ def merge_intervals(events: DataFrame, keys: list[str], min_iou: float = MIN_IOU
 
     First fit depends on the events before, but never across types nor across a
     gap that no earlier event of the type reaches; so each analysis, video, type
-    and stretch between such gaps is a group of its own, cut by windows.  Inside
+    and stretch between such gaps is a group of its own, cut by a running maximum
+    that goes from range to range.  Inside
     a group only merged events that still reach the present one are looked at.
     """
     schema = events.schema
     names = [f.name for f in schema]
-    before = Window.partitionBy(*keys, "event_type").orderBy("start_sec", "event_id")
-    reached = F.max("end_sec").over(before.rowsBetween(Window.unboundedPreceding, -1))
-    opened = events.withColumn("__open", F.coalesce(F.col("start_sec") > reached + max_gap, F.lit(False)).cast("int"))
-    islands = opened.withColumn("__island", F.sum("__open").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    order = [F.col("start_sec").asc(), F.col("event_id").asc()]
+    reached = running(events, [*keys, "event_type"], order, {"__reached": (F.col("end_sec"), F.max)}, own=False)
+    opened = F.coalesce(F.col("start_sec") > F.col("__reached") + max_gap, F.lit(False)).cast("long")
+    islands = running(reached, [*keys, "event_type"], order, {"__island": (opened, F.sum)})
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         merged: list[dict] = []
@@ -85,21 +87,33 @@ def merge_intervals(events: DataFrame, keys: list[str], min_iou: float = MIN_IOU
 
 
 def greedy_batches(rows: DataFrame, key: str, order: str, tokens: str, budget: int) -> DataFrame:
-    """Add ``batch_no`` per key: consecutive rows fill a batch up to ``budget`` tokens; a row above the budget is an error."""
-    checked = rows.withColumn(tokens, F.when(F.col(tokens) > budget, F.raise_error(F.lit("a row exceeds the token budget")).cast("long")).otherwise(F.col(tokens)))
-    schema = StructType([*checked.schema.fields, StructField("batch_no", IntegerType())])
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        numbers, batch, used = [], 0, 0
-        for n in group[tokens]:
-            if used and used + n > budget:
-                batch, used = batch + 1, 0
-            used += n
-            numbers.append(batch)
-        return group.assign(batch_no=pd.Series(numbers, index=group.index, dtype="int32"))
+    """Add ``batch_no`` per key: consecutive rows fill a batch up to ``budget`` tokens; a row above the budget is an error.
 
-    return checked.groupBy(key).applyInPandas(fold, schema)
+    Prefix sums tell for every row where a batch that begins there would end, as the
+    first row beyond the budget, found by sorting sums and limits together.  These
+    pointers are doubled until they leave the key, and the batches' first rows are
+    what the first row reaches; so the rounds grow with the logarithm of a key's
+    batches and no task needs a whole key.  Null tokens count as 0, null keys as a key.
+    """
+    checked = rows.withColumn(tokens, F.when(F.col(tokens) > budget, F.raise_error(F.lit("a row exceeds the token budget")).cast("long")).otherwise(F.col(tokens)))
+    counted = F.coalesce(F.col(tokens), F.lit(0)).cast("long")
+    placed = materialize(running(checked, [key], [F.col(order).asc()], {"__at": (F.lit(1).cast("long"), F.sum), "__upto": (counted, F.sum)}), "placed")
+    ends = placed.select(F.col(key).alias("key"), F.col("__upto").alias("reach"), F.lit(1).alias("kind"), F.col("__at").alias("at"), F.col("__at").alias("row"))
+    limits = placed.select(F.col(key).alias("key"), (F.col("__upto") - counted + budget).alias("reach"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("at"), F.col("__at").alias("row"))
+    beyond = running(ends.unionByName(limits), ["key"], [F.col("reach").desc(), F.col("kind").asc()], {"to": (F.col("at"), F.min)})
+    jumps = materialize(beyond.filter("kind = 0 and to is not null").select("key", "row", "to"), "jumps")
+    starts = materialize(placed.filter("__at = 1").select(F.col(key).alias("key"), F.col("__at").alias("row"), F.lit(0).alias("batch_no")), "starts")
+    step = 1
+    while not jumps.isEmpty():
+        # starts holds the first ``step`` batches of each key, jumps go ``step`` batches ahead
+        a, b = starts.alias("a"), jumps.alias("b")
+        ahead = a.join(b, F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.row") == F.col("b.row"))).select("a.key", F.col("b.to").alias("row"), (F.col("a.batch_no") + step).alias("batch_no"))
+        starts = materialize(starts.unionByName(ahead), "starts")
+        c = jumps.alias("c")
+        jumps = materialize(c.join(b, F.col("c.key").eqNullSafe(F.col("b.key")) & (F.col("c.to") == F.col("b.row"))).select("c.key", "c.row", "b.to"), "jumps")
+        step *= 2
+    opened = placed.join(starts.withColumnsRenamed({"key": "__key", "row": "__row_no", "batch_no": "__batch"}), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__at") == F.col("__row_no")), "left")
+    return running(opened.drop("__key", "__row_no"), [key], [F.col("__at").asc()], {"batch_no": (F.col("__batch"), F.max)}).select(*rows.columns, "batch_no")
 
 
 def split_text(text: str, budget: int) -> list[str]:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillflow.operators.ranges import ranked
 from rillflow.operators.sessions import seconds
 from rillflow.operators.traces import explode_trace, one_per_stage, status_counts
 from rillflow.session import table
@@ -75,13 +76,13 @@ def leaked_keys(payload: Column, forbidden: tuple[str, ...] = FORBIDDEN_KEYS) ->
     return F.array_sort(F.array_intersect(keys, F.array(*map(F.lit, forbidden))))
 
 
-def client_order(rows: DataFrame, key: str, level: str, by: str, at: str, tie: str) -> DataFrame:
+def client_order(rows: DataFrame, key: str, level: str, by: str, at: str, tie: str, place: str = "place") -> DataFrame:
     """Add ``place`` within ``key``: by time, by falling risk rank or by falling confidence; equal rows keep their order of arrival."""
     rank = F.lit(None).cast("int")
     for name, value in RISK_RANKS:
         rank = F.when(F.col(level) == name, value).otherwise(rank)
     first = {"time": F.col(at).asc(), "risk": rank.desc(), "confidence": F.col("confidence").desc()}[by]
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(first, F.col(tie).asc())))
+    return ranked(rows, [key], [first, F.col(tie).asc()], place)
 
 
 def registry(rows: DataFrame, key: str, order: list[Column], most: int = REGISTRY_SIZE) -> DataFrame:
@@ -148,10 +149,9 @@ def q_leaked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_client_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("value") < 125, "low").when(F.col("value") < 250, "mid").when(F.col("value") < 375, "high").otherwise("crit")
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", level.alias("level"), (F.floor(F.col("value") / 10) / 100).alias("confidence"))
-    out = e.select("event_id")
     for by in ("time", "risk", "confidence"):
-        out = out.join(client_order(e, "user_id", "level", by, "ts", "event_id").select("event_id", F.col("place").alias(f"by_{by}")), "event_id")
-    return out
+        e = client_order(e, "user_id", "level", by, "ts", "event_id", f"by_{by}")
+    return e.select("event_id", *[F.col(f"by_{by}").cast("int").alias(f"by_{by}") for by in ("time", "risk", "confidence")])
 
 
 def q_job_registry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,19 +27,39 @@ def gap_seconds(a_start: Column, a_end: Column, b_start: Column, b_end: Column)
     return F.greatest(b_start - a_end, a_start - b_end, F.lit(0.0))
 
 
+def dyadic_cells(first: Column, after: Column) -> Column:
+    """The fewest dyadic cells (level, cell) that make up the cells from ``first`` to before ``after``: at most two of each level, 2 to the power of the level wide."""
+    lifted = lambda x, level: F.call_function("shiftright", x, level)
+
+    def of(level: Column) -> Column:
+        lo, hi = -lifted(-first, level), lifted(after, level)  # rounded up and down
+        some, cell = lo < hi, lambda x: F.struct(level.alias("level"), x.alias("cell"))
+        return F.array(F.when(some & (lo % 2 != 0), cell(lo)), F.when(some & (hi % 2 != 0), cell(hi - 1)))
+
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(after - first, F.lit(1)).cast("double"))).cast("int") + 1)
+    return F.filter(F.flatten(F.transform(levels, of)), lambda x: x.isNotNull())
+
+
 def band_links(intervals: DataFrame, key: list[str], id_col: str, start: str, end: str, within: float) -> DataFrame:
     """(key, id, other): all ordered pairs of intervals of one key whose gap is at most ``within`` seconds.
 
-    Every interval is put into the time buckets it covers, widened by the band on
-    one side of the join; pairs meet by equality of key and bucket and are kept
-    in the first bucket that both cover, so no pair appears twice.
+    Of two such intervals the later one begins inside the earlier one or at most
+    ``within`` after it.  So each interval, lengthened by the band, is cut to dyadic cells, whose
+    number grows with the logarithm of its length, and each start is in one cell of every
+    level that some interval uses; a pair meets in exactly one cell.  Rows with a null key, start or end have no links.
     """
-    width = max(within, 1e-9) * 2
-    bucket = lambda c: F.floor(c / width)
-    left = intervals.select(*key, F.col(id_col).alias("a"), F.col(start).alias("a_start"), F.col(end).alias("a_end"), bucket(F.col(start) - within).alias("a_first"), F.explode(F.sequence(bucket(F.col(start) - within), bucket(F.col(end) + within))).alias("bucket"))
-    right = intervals.select(*key, F.col(id_col).alias("b"), F.col(start).alias("b_start"), F.col(end).alias("b_end"), bucket(F.col(start)).alias("b_first"), F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))).alias("bucket"))
+    width = max(2 * within, 1.0)
+    bucket = lambda c: F.floor(c / width).cast("long")
+    row = intervals.select(*key, F.col(id_col).alias("id"), F.col(start).cast("double").alias("start"), F.col(end).cast("double").alias("end")).filter("start is not null and end is not null")
+    spans = materialize(row.withColumn("c", F.explode(dyadic_cells(bucket(F.col("start")), bucket(F.greatest("start", F.col("end") + within)) + 1))).select(*key, F.col("id").alias("a"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), "c.level", "c.cell"), "spans")
+    levels = sorted(r.level for r in spans.select("level").distinct().collect())  # one for each power of two at most
+    cells = F.array(*[F.struct(F.lit(x).alias("level"), F.shiftright(bucket(F.col("start")), x).alias("cell")) for x in levels]) if levels else F.array().cast("array<struct<level:int,cell:bigint>>")
+    begins = row.withColumn("c", F.explode(cells)).select(*key, F.col("id").alias("b"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), "c.level", "c.cell")
     near = gap_seconds(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")) <= within
-    return left.join(right, [*key, "bucket"]).filter((F.col("a") != F.col("b")) & near & (F.col("bucket") == F.greatest("a_first", "b_first"))).select(*key, F.col("a").alias(id_col), F.col("b").alias("other"))
+    later = (F.col("a_start") < F.col("b_start")) | ((F.col("a_start") == F.col("b_start")) & (F.col("a") < F.col("b")))
+    pairs = spans.join(begins, [*key, "level", "cell"]).filter(later & near)
+    both = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other"))))
+    return pairs.select(*key, both.alias("pair")).select(*key, F.col("pair.id").alias(id_col), "pair.other")
 
 
 def single_rules(spark: SparkSession) -> DataFrame:

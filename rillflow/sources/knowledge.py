@@ -5,16 +5,20 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_SCHEMA = "chunk_id string, document_id string, level string, number string, is_annex boolean, page_start int, page_end int, char_count int, text string, _corrupt string"
 ALLOWED = ("txt", "docx")
 MOST_CHARS = 200_000
 MOST_BYTES = 10 * 1024 * 1024
+#: Articles of one text that are handed on together.
+SEGMENTS_AT_A_TIME = 1_000
 ARTICLE = r"(?m)^\s*(?:GEÇİCİ\s+)?(?:MADDE|Madde)\s+(\d+)"
 
 
@@ -85,18 +89,42 @@ def read_documents(spark: SparkSession, folder: str, most_chars: int | None = MO
 
 
 def article_segments(docs: DataFrame, id_col: str, text: str, header: str = ARTICLE) -> DataFrame:
-    """One row per article of a regulation text: number, start, end, content; each ends where the next begins.
+    """One row per article of a regulation text: pos, number, start, end, content; each ends where the next begins.
 
-    A number that occurs again gets a suffix counting its repetitions.
+    A text is read once from its first header to its last, and each article's
+    content is cut from it there and then, so the work grows with the text's length and
+    the text is not repeated for its articles.  A number that occurs again gets a
+    suffix counting its repetitions.  Null texts, and texts without a header, have no row.
     """
-    gaps, heads = F.split(F.col(text), header, -1), F.regexp_extract_all(F.col(text), F.lit(header), F.lit(0))
-    numbers = F.regexp_extract_all(F.col(text), F.lit(header), F.lit(1))
-    placed = docs.filter(F.col(text).rlike(header)).select(id_col, F.length(text).alias("__n"), F.col(text).alias("__text"), F.posexplode(F.arrays_zip(numbers.alias("number"), F.transform(F.sequence(F.lit(1), F.size(heads)), lambda k: F.aggregate(F.slice(gaps, 1, k), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(heads, 1, k - 1), F.lit(0), lambda a, h: a + F.length(h))).alias("start"))).alias("pos", "h"))
-    placed = placed.filter("h.number is not null").select(id_col, "__n", "__text", "pos", "h.number", "h.start")
-    w = Window.partitionBy(id_col).orderBy("pos")
-    again = F.row_number().over(Window.partitionBy(id_col, "number").orderBy("pos"))
-    out = placed.withColumn("end", F.coalesce(F.lead("start").over(w), "__n")).withColumn("again", again)
-    return out.select(id_col, "pos", F.when(F.col("again") > 1, F.concat("number", F.lit("__dup"), (F.col("again") - 1).cast("string"))).otherwise(F.col("number")).alias("number"), "start", "end", F.substring("__text", F.col("start") + 1, F.col("end") - F.col("start")).alias("content"))
+    heads = re.compile(header)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["pos", "number", "start", "end", "content"]
+        for batch in batches:
+            for k, value in enumerate(batch.column(1)):
+                body, rows, seen, last = value.as_py() or "", [], Counter(), None
+                for pos, m in enumerate(heads.finditer(body)):
+                    if last is not None:
+                        rows.append((*last, m.start(), body[last[2] : m.start()]))
+                    number = m[1]
+                    seen[number] += 1
+                    last = (pos, f"{number}__dup{seen[number] - 1}" if seen[number] > 1 else number, m.start())
+                    if len(rows) == SEGMENTS_AT_A_TIME:
+                        yield _segments(batch, k, rows, names, id_col)
+                        rows = []
+                if last is not None:
+                    rows.append((*last, len(body), body[last[2] :]))
+                    yield _segments(batch, k, rows, names, id_col)
+
+    return docs.select(id_col, text).mapInArrow(cut, f"{id_col} {kind}, pos int, number string, start int, end int, content string")
+
+
+def _segments(batch: pa.RecordBatch, k: int, rows: list[tuple], names: list[str], id_col: str) -> pa.RecordBatch:
+    """Articles of row ``k`` of a batch, with its id."""
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
+    ids = batch.column(0).take(pa.array([k] * len(rows)))
+    return pa.RecordBatch.from_arrays([ids, *[pa.array(list(v), t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[id_col, *names])
 
 
 def page_of(boundaries: Column, offset: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillflow.operators.ranges import ranked
 from rillflow.operators.stores import latest_by_key
 
 FEEDBACK = ("correct", "false_alarm", "missed")
@@ -61,7 +62,7 @@ def delete_with_children(parents: DataFrame, children: DataFrame, gone: DataFram
 
 def admit(files: DataFrame, group: str, order: str, most: int = 5) -> DataFrame:
     """Add ``admitted``: at most ``most`` files per group, in order of arrival."""
-    return files.withColumn("admitted", F.row_number().over(Window.partitionBy(group).orderBy(order)) <= most)
+    return ranked(files, [group], [F.col(order).asc()], "admitted").withColumn("admitted", F.col("admitted") <= most)
 
 
 def stable_id(*parts: Column) -> Column:
