@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -128,22 +129,37 @@ def accept(scored: DataFrame, retrieval_rank: str, k: int, least: float = LEAST_
     return scored.filter(F.col("relevance_score") >= least).orderBy(F.desc("relevance_score"), retrieval_rank).limit(k)
 
 
-def ranking_metrics(ranked: DataFrame, grades: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5, 10), gain_cutoffs: tuple[int, ...] = (5, 10)) -> DataFrame:
-    """Recall, precision, reciprocal rank and nDCG of every query.
+def graded(ranked: DataFrame, grades: DataFrame) -> DataFrame:
+    """Ranked rows (query_id, id, rank) with their grade from (query_id, id, grade); 0 where there is none."""
+    return ranked.join(grades, ["query_id", "id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
 
-    ``ranked`` has query_id, id, rank; ``grades`` has query_id, id, grade > 0.
+
+def grade_counts(grades: DataFrame) -> DataFrame:
+    """(query_id, grade, n): how many rows of each grade a query has; grades of 0 do not count."""
+    return grades.filter("grade > 0").groupBy("query_id", "grade").agg(F.count("*").alias("n"))
+
+
+def ranking_metrics(ranked: DataFrame, counts: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5, 10), gain_cutoffs: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """Recall, precision, reciprocal rank and nDCG of every query that has a relevant row.
+
+    ``ranked`` has query_id, rank and grade (see :func:`graded`); ``counts`` has the number of
+    rows of each grade.  The ideal gain follows from those numbers alone: a grade
+    fills the ranks after all higher ones, so relevant rows are never listed.
     Precision is over the rows actually returned.
     """
-    joined = ranked.join(grades, ["query_id", "id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
     gain = (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("rank") + 1.0)
     upto = lambda k, c: F.sum(F.when(F.col("rank") <= k, c).otherwise(0))
     hit = (F.col("grade") > 0).cast("int")
-    measured = joined.groupBy("query_id").agg(
+    measured = ranked.groupBy("query_id").agg(
         *[upto(k, hit).alias(f"hits_{k}") for k in cutoffs], *[upto(k, F.lit(1)).alias(f"rows_{k}") for k in cutoffs],
         F.coalesce(1.0 / F.min(F.when(F.col("grade") > 0, F.col("rank"))), F.lit(0.0)).alias("rr"), *[upto(k, gain).alias(f"dcg_{k}") for k in gain_cutoffs],
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("grade"), "id")
-    ideal = grades.withColumn("rank", F.row_number().over(best)).groupBy("query_id").agg(F.count("*").alias("n_relevant"), *[upto(k, gain).alias(f"ideal_{k}") for k in gain_cutoffs])
+    longest = max(gain_cutoffs)
+    discounts = F.array(*[F.lit(sum(1 / math.log2(i + 1) for i in range(1, k + 1))) for k in range(longest + 1)])
+    higher = Window.partitionBy("query_id").orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, 0)  # one row a grade
+    placed = counts.withColumn("upto", F.sum("n").over(higher)).withColumn("before", F.col("upto") - F.col("n"))
+    discount = lambda place, k: F.element_at(discounts, F.least(place, F.lit(k)).cast("int") + 1)
+    ideal = placed.groupBy("query_id").agg(F.sum("n").alias("n_relevant"), *[F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) * (discount(F.col("upto"), k) - discount(F.col("before"), k))).alias(f"ideal_{k}") for k in gain_cutoffs])
     return measured.join(ideal, "query_id").select(
         "query_id", "n_relevant", *[(F.col(f"hits_{k}") / F.col("n_relevant")).alias(f"recall_{k}") for k in cutoffs], *[(F.col(f"hits_{k}") / F.col(f"rows_{k}")).alias(f"precision_{k}") for k in cutoffs], "rr", *[(F.col(f"dcg_{k}") / F.col(f"ideal_{k}")).alias(f"ndcg_{k}") for k in gain_cutoffs]
     )
@@ -207,8 +223,11 @@ def q_ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = vectors.filter("vec_id % 50 = 0")
     ranked = search_vectors(vectors, "vec_id", "embedding", queries, 10).select("query_id", "id", "rank")
     q = queries.select(F.col("vec_id").alias("query_id"), "label")
-    grades = q.join(vectors.select(F.col("vec_id").alias("id"), "label"), "label").filter("id != query_id").select("query_id", "id", F.lit(1).alias("grade"))
-    m = ranking_metrics(ranked, grades)
+    # a row is relevant if it has the query's label, so labels are looked up and counted, not listed
+    own = ranked.join(q, "query_id").join(vectors.select(F.col("vec_id").alias("id"), F.col("label").alias("other")), "id")
+    rows = own.select("query_id", "rank", F.coalesce((F.col("label") == F.col("other")).cast("int"), F.lit(0)).alias("grade"))
+    counts = q.join(vectors.groupBy("label").agg((F.count("*") - 1).alias("n")), "label").filter("n > 0").select("query_id", F.lit(1).alias("grade"), "n")
+    m = ranking_metrics(rows, counts)
     return m.select("query_id", "n_relevant", *[F.round(c, 4).alias(c) for c in m.columns if c not in ("query_id", "n_relevant")])
 
 

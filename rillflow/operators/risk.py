@@ -26,6 +26,7 @@ from rillflow.functions.values import (
 )
 from rillflow.operators.rules import COMBO_CTE, SINGLE_CTE, TYPED_CTE, carrier_combinations, carrier_typed, single_rules
 from rillflow.plans.lineage import materialize
+from rillflow.session import table
 
 MOST_BOOST = (1 + W_DURATION + W_RECURRENCE) * (1 + W_EXPOSURE) * (1 + W_PROTECTION) * (1 + W_RULES + W_REGULATORY)
 
@@ -164,9 +165,9 @@ def q_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_level_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores 0 to 100 under both conventions for scores that lie on a limit."""
-    scores = spark.range(101).select(F.col("id").cast("double").alias("score"))
-    return scores.select("score", level_of(F.col("score")).alias("exclusive"), level_of(F.col("score"), inclusive=True).alias("inclusive"))
+    """Every event's score, a whole number that often lies on a limit, under both conventions for such scores."""
+    scores = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("value") / 5).cast("double").alias("score"))
+    return scores.select("event_id", "score", level_of(F.col("score")).alias("exclusive"), level_of(F.col("score"), inclusive=True).alias("inclusive"))
 
 
 def q_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,8 +219,9 @@ ORACLE_SQL = {
   CASE WHEN b.deterministic_score IS NULL THEN 'pending_review' WHEN b.deterministic_score >= 26 AND b.n_rules <= 1 THEN 'pending_review' WHEN b.deterministic_score >= 51 THEN 'alarm' WHEN b.deterministic_score >= 26 THEN 'notify' ELSE 'monitor' END AS tier
 FROM typed t LEFT JOIN blended b USING (event_id)""",
     "q_explanation": f"""WITH {SCORED_CTE} SELECT event_id, format('severity {{}}, {{}} rule(s){{}}, score {{}} ({{}})', ['dusuk', 'orta', 'yuksek', 'kritik'][severity_rank + 1], n_rules, CASE WHEN floor_applied THEN ', floor' ELSE '' END, CAST(round_even(score, 0) AS INTEGER), level) AS text FROM scored""",
-    "q_level_variants": """SELECT CAST(range AS DOUBLE) AS score, CASE WHEN range < 25 THEN 'dusuk' WHEN range < 50 THEN 'orta' WHEN range < 75 THEN 'yuksek' ELSE 'kritik' END AS exclusive,
-  CASE WHEN range <= 25 THEN 'dusuk' WHEN range <= 50 THEN 'orta' WHEN range <= 75 THEN 'yuksek' ELSE 'kritik' END AS inclusive FROM range(101)""",
+    "q_level_variants": """WITH s AS (SELECT event_id, floor(value / 5) AS score FROM events)
+SELECT event_id, score, CASE WHEN score < 25 THEN 'dusuk' WHEN score < 50 THEN 'orta' WHEN score < 75 THEN 'yuksek' ELSE 'kritik' END AS exclusive,
+  CASE WHEN score <= 25 THEN 'dusuk' WHEN score <= 50 THEN 'orta' WHEN score <= 75 THEN 'yuksek' ELSE 'kritik' END AS inclusive FROM s""",
     "q_suggestions": f"""WITH {SCORED_CTE} SELECT event_id, concat_ws('|', CASE WHEN floor_applied THEN 'evacuate' END, CASE WHEN level = 'kritik' THEN 'why critical' END, CASE WHEN has_combo OR n_rules > 1 THEN 'which rules combine' END,
   CASE WHEN hazard > 0 THEN 'how far has it spread' END, CASE WHEN CAST(floor_applied AS INTEGER) + CAST(level = 'kritik' AS INTEGER) + CAST(has_combo OR n_rules > 1 AS INTEGER) + CAST(hazard > 0 AS INTEGER) < 4 THEN 'what happened before' END) AS suggestions FROM scored""",
 }
