@@ -15,9 +15,10 @@ key.  Connected pairs form families.  Links are then confirmed on full sets: eve
 node with the best connected node of its family, and the nodes that this leaves
 loose with all others of the family whose signature is near.
 
-Keys and families of any size are cut to blocks, and blocks are compared pairwise
-in tasks of their own; what every node is compared with first (a key's smallest
-node, a family's center) goes to each block as one row.
+Keys and families of any size are cut to blocks.  First every node is compared with
+one node, a key's smallest or a family's center, which goes to each block as one
+row; only the nodes that this leaves loose are compared with all others, block
+against block in tasks of their own.
 """
 
 from __future__ import annotations
@@ -187,27 +188,83 @@ def candidate_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     twos = shared.filter("n = 2").select(F.col("low").alias("u"), F.col("high").alias("v")).distinct()
     twos = twos.join(signed("u").hint("merge"), "u").join(signed("v").hint("merge"), "v").select("u", "v", "u_signature", "v_signature").mapInArrow(compare, "u long, v long")
 
+    many = materialize(shared.filter("n > 2").select("key", "low", "n"), "larger")
+    found = materialize(key_pairs(_signed(join_counted(keyed, many, ["key"]), nodes), distance), "key-pairs")
+    loose = found.filter("key is not null").select("key", F.col("v").alias("node"))
+    pairs = twos.unionByName(found.filter("key is null").select("u", "v"))
+    if not loose.isEmpty():
+        load = loose.groupBy("key").agg(F.count("*").alias("n_loose")).join(many.hint("merge"), "key")
+        met = join_counted(keyed, materialize(load.select("key", "n", "n_loose"), "loose-keys"), ["key"])
+        marked = met.join(loose.withColumn("loose", F.lit(True)).hint("merge"), ["key", "node"], "left").withColumn("loose", F.coalesce("loose", F.lit(False)))
+        pairs = pairs.unionByName(loose_pairs(_signed(marked, nodes), distance))
+    return pairs.distinct()
+
+
+def _signed(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows with their nodes' signatures, which are joined once for all keys of a node (at most HASHES)."""
+    by_node = met.groupBy("node").agg(F.collect_list(F.struct(*[c for c in met.columns if c != "node"])).alias("keys"))
+    return nodes.select("node", "signature").join(by_node.hint("merge"), "node").select("node", "signature", F.explode("keys").alias("k")).select("k.*", "node", "signature")
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """(key, part, n, node, signature): keys of more than ``KEY_ROWS`` nodes in parts of that size, with the key's lowest node in each."""
+    parts = F.ceil(F.col("n") / KEY_ROWS).cast("int")
+    to = F.when(F.col("node") == F.col("low"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), parts).cast("int")))
+    return rows.select("key", F.explode(to).alias("part"), "n", "node", "signature")
+
+
+def key_pairs(rows: DataFrame, distance: int) -> DataFrame:
+    """(key, u, v): pairs within the distance, with a null key, and of larger keys the nodes v that are not near the lowest one.
+
+    A key's nodes are reduced to a forest; those of a larger key, part by part, are compared with
+    its lowest node only, so that the work grows with the number of its nodes.
+    """
+
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        for table, lo, hi in _by_group(batches, 3):
+        found: list[tuple[int | None, int | None, int]] = []
+        for table, lo, hi in _by_group(batches, 2):
+            key, n = table.column(0)[lo].as_py(), table.column(2)[lo].as_py()
             ids = table.column(3).slice(lo, hi - lo).to_pylist()
-            found += [(ids[a], ids[b]) for a, b in key_forest(unpack(table.column(4).slice(lo, hi - lo).to_pylist()), distance)]
+            signatures = unpack(table.column(4).slice(lo, hi - lo).to_pylist())
+            if n <= KEY_ROWS:
+                found += [(None, ids[a], ids[b]) for a, b in key_forest(signatures, distance)]
+            else:
+                near = near_rows(signatures, 0, distance).tolist()
+                found += [(None, ids[0], ids[k]) if near[k] else (key, None, ids[k]) for k in range(1, hi - lo)]
             if len(found) >= 10_000:
-                yield _edges(list(dict.fromkeys(found)))
+                yield _marked(found)
                 found = []
-        yield _edges(list(dict.fromkeys(found)))
+        yield _marked(found)
 
-    many = materialize(shared.filter("n > 2").select("key", "low", "n"), "larger")
-    met = join_counted(keyed, many, ["key"]).groupBy("node").agg(F.collect_list(F.struct("key", "low", "n")).alias("keys"))  # at most HASHES a node
-    parts = F.ceil(F.col("k.n") / KEY_ROWS).cast("int")
-    own = F.when(F.col("node") == F.col("k.low"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), parts).cast("int"))
-    dealt = (
-        nodes.select("node", "signature").join(met.hint("merge"), "node").select("node", "signature", F.explode("keys").alias("k"))
-        .withColumn("to", F.explode(F.when(own < 0, F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.transform(F.sequence(x, parts - 1), lambda y: F.struct(x.alias("a"), y.alias("b")))))).otherwise(_dealt(own, parts))))
-        .select(F.col("k.key").alias("key"), "to.a", "to.b", "node", "signature")
-    )
-    blocks = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
-    return twos.unionByName(blocks.mapInArrow(forests, "u long, v long")).distinct()
+    blocks = in_parts(rows).repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    return blocks.mapInArrow(forests, "key long, u long, v long")
+
+
+def _marked(found: list[tuple]) -> pa.RecordBatch:
+    rows = list(dict.fromkeys(found))
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(3)], names=["key", "u", "v"])
+
+
+def loose_pairs(rows: DataFrame, distance: int) -> DataFrame:
+    """(u, v): of each key's nodes that its lowest one left loose, a forest with all others of the key, block against block."""
+    own = lambda parts: F.pmod(F.xxhash64("node"), parts).cast("int")
+    loose_parts, tied_parts = (F.greatest(F.lit(1), F.ceil(n / KEY_ROWS)).cast("int") for n in (F.col("n_loose"), F.col("n") - F.col("n_loose")))
+    to = lambda tied, a, b: F.struct(F.lit(tied).alias("tied"), a.alias("a"), b.alias("b"))
+    among = F.transform(_dealt(own(loose_parts), loose_parts), lambda x: to(False, x["a"], x["b"]))
+    with_tied = F.transform(F.sequence(F.lit(0), tied_parts - 1), lambda x: to(True, own(loose_parts), x))
+    tied = F.transform(F.sequence(F.lit(0), loose_parts - 1), lambda x: to(True, x, own(tied_parts)))
+    dealt = rows.select("key", F.explode(F.when(F.col("loose"), F.concat(among, with_tied)).otherwise(tied)).alias("to"), "node", "loose", "signature").select("key", "to.tied", "to.a", "to.b", "node", "loose", "signature")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, lo, hi in _by_group(batches, 4):
+            ids, loose, packed = (table.column(k).slice(lo, hi - lo).to_pylist() for k in (4, 5, 6))
+            signatures, forest = unpack(packed), Forest(hi - lo)
+            for k in np.flatnonzero(loose).tolist():
+                for other in np.flatnonzero(near_rows(signatures, k, distance)).tolist():
+                    forest.link(k, other)
+            yield _edges([(ids[x], ids[y]) for x, y in forest.pairs])
+
+    return dealt.repartition("key", "tied", "a", "b").sortWithinPartitions("key", "tied", "a", "b").mapInArrow(compare, "u long, v long")
 
 
 def families(pairs: DataFrame) -> DataFrame:

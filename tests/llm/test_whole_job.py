@@ -5,7 +5,11 @@ import random
 import textwrap
 import time
 
-from rillflow.llm import language_id, licenses
+import numpy as np
+import pytest
+
+from rillflow.llm import language_id, licenses, near_dedup
+from rillflow.llm.components import components
 from rillflow.llm.near_dedup import keep_representatives
 from rillflow.llm.secrets import scan_secrets
 from rillflow.llm.syncmers import fingerprints
@@ -105,3 +109,29 @@ def test_many_secrets_in_one_text(spark):
     assert rows[1].n_hex == 500_000
     assert rows[1].spans == ",".join(f"hex:{33 * k}:{33 * k + 32}" for k in range(500_000))
     assert rows[2].spans == ",".join(f"assign:{43 * k + 2}:{43 * k + 42},hex:{43 * k + 10}:{43 * k + 42}" for k in range(300))
+
+
+@pytest.mark.parametrize("loose", [0, 40])
+def test_a_hot_key_is_linear(spark, monkeypatch, loose):
+    """Nodes of one key that lie near its lowest one are dealt out at most twice; those that do not still find all their neighbours."""
+    monkeypatch.setattr(near_dedup, "KEY_ROWS", 16)
+    rng = np.random.default_rng(loose)
+    base = rng.integers(0, 1 << 16, near_dedup.HASHES, dtype=np.uint16)
+    other = np.where(np.arange(near_dedup.HASHES) < 8, base, rng.integers(0, 1 << 16, near_dedup.HASHES)).astype(np.uint16)  # one chunk in common
+    rows = []
+    for k in range(400 + loose):
+        signature = (base if k < 400 else other).copy()
+        signature[rng.choice(np.arange(8, near_dedup.HASHES), 6, replace=False)] = rng.integers(0, 1 << 16, 6)
+        rows.append((k, signature.tobytes()))
+    nodes = spark.createDataFrame(rows, "node long, signature binary")
+    distance = near_dedup.distance_limit(80)
+    key = spark.createDataFrame([(9, 0, len(rows))], "key long, low long, n long")
+    met = nodes.select("node").crossJoin(key)
+    assert near_dedup.in_parts(near_dedup._signed(met, nodes)).count() <= 2 * len(rows)
+    found = near_dedup.key_pairs(near_dedup._signed(met, nodes), distance)
+    assert found.filter("key is not null").count() == loose
+    pairs = near_dedup.candidate_pairs(nodes, distance)
+    groups = {r.component: r.n for r in components(pairs).groupBy("component").count().withColumnRenamed("count", "n").collect()}
+    assert groups == ({0: 400, 400: loose} if loose else {0: 400})
+    matrix = np.stack([np.frombuffer(x, np.uint16) for _, x in rows])
+    assert all((matrix[r.u] != matrix[r.v]).sum() <= distance for r in pairs.collect())
