@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.functions.text import estimated_tokens, estimated_tokens_py
+from rillflow.operators.chains import chain_starts, with_starts
 from rillflow.operators.ranges import running
 from rillflow.operators.selection import SelectionParams, select_frames
 from rillflow.operators.series import carrier_series
@@ -98,22 +99,9 @@ def greedy_batches(rows: DataFrame, key: str, order: str, tokens: str, budget: i
     checked = rows.withColumn(tokens, F.when(F.col(tokens) > budget, F.raise_error(F.lit("a row exceeds the token budget")).cast("long")).otherwise(F.col(tokens)))
     counted = F.coalesce(F.col(tokens), F.lit(0)).cast("long")
     placed = materialize(running(checked, [key], [F.col(order).asc()], {"__at": (F.lit(1).cast("long"), F.sum), "__upto": (counted, F.sum)}), "placed")
-    ends = placed.select(F.col(key).alias("key"), F.col("__upto").alias("reach"), F.lit(1).alias("kind"), F.col("__at").alias("at"), F.col("__at").alias("row"))
-    limits = placed.select(F.col(key).alias("key"), (F.col("__upto") - counted + budget).alias("reach"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("at"), F.col("__at").alias("row"))
-    beyond = running(ends.unionByName(limits), ["key"], [F.col("reach").desc(), F.col("kind").asc()], {"to": (F.col("at"), F.min)})
-    jumps = materialize(beyond.filter("kind = 0 and to is not null").select("key", "row", "to"), "jumps")
-    starts = materialize(placed.filter("__at = 1").select(F.col(key).alias("key"), F.col("__at").alias("row"), F.lit(0).alias("batch_no")), "starts")
-    step = 1
-    while not jumps.isEmpty():
-        # starts holds the first ``step`` batches of each key, jumps go ``step`` batches ahead
-        a, b = starts.alias("a"), jumps.alias("b")
-        ahead = a.join(b, F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.row") == F.col("b.row"))).select("a.key", F.col("b.to").alias("row"), (F.col("a.batch_no") + step).alias("batch_no"))
-        starts = materialize(starts.unionByName(ahead), "starts")
-        c = jumps.alias("c")
-        jumps = materialize(c.join(b, F.col("c.key").eqNullSafe(F.col("b.key")) & (F.col("c.to") == F.col("b.row"))).select("c.key", "c.row", "b.to"), "jumps")
-        step *= 2
-    opened = placed.join(starts.withColumnsRenamed({"key": "__key", "row": "__row_no", "batch_no": "__batch"}), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__at") == F.col("__row_no")), "left")
-    return running(opened.drop("__key", "__row_no"), [key], [F.col("__at").asc()], {"batch_no": (F.col("__batch"), F.max)}).select(*rows.columns, "batch_no")
+    starts = chain_starts(placed, key, "__at", F.col("__upto"), F.col("__upto") - counted + budget)
+    opened = with_starts(placed, starts, key, "__at", "__batch")
+    return running(opened, [key], [F.col("__at").asc()], {"batch_no": (F.col("__batch"), F.max)}).select(*rows.columns, "batch_no")
 
 
 def split_text(text: str, budget: int) -> list[str]:

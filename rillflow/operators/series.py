@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.operators.along import carry_forward, over_history
+from rillflow.operators.chains import rising_change
 from rillflow.operators.quantiles import exact_medians
 from rillflow.operators.sessions import seconds
 from rillflow.plans.lineage import materialize
@@ -90,6 +91,25 @@ def carrier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", seconds(F.col("ts")).alias("at_sec"), "event_type", "value")
 
 
+def motion_box(cells: DataFrame, frame: list[str], x: str, y: str, width: int, height: int) -> DataFrame:
+    """(frame, x, y, box_width, box_height, area): the box around a frame's changed cells and its share of the picture; frames without one have no row."""
+    box = cells.groupBy(*frame).agg(F.min(x).alias("x"), F.min(y).alias("y"), (F.max(x) - F.min(x) + 1).alias("box_width"), (F.max(y) - F.min(y) + 1).alias("box_height"))
+    return box.withColumn("area", F.col("box_width") * F.col("box_height") / F.lit(width * height))
+
+
+def q_motion_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user within an hour as the changed cells of a frame of 64 x 48 cells."""
+    cells = carrier_series(spark, sf_dir).select("user_id", F.floor(F.col("at_sec") / 3600).alias("hour"), (F.col("event_id") % 64).alias("cx"), (F.floor(F.col("value")) % 48).alias("cy"))
+    return motion_box(cells, ["user_id", "hour"], "cx", "cy", 64, 48).select("user_id", "hour", "x", "y", "box_width", "box_height", F.round("area", 6).alias("area"))
+
+
+def q_rising_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's values against a reference that is renewed after six hours."""
+    marks = carrier_series(spark, sf_dir).select("event_id", "user_id", "at_sec", F.when(F.col("event_id") % 11 != 0, F.col("value") / 10000).alias("signature"))
+    found = rising_change(marks, "user_id", "at_sec", "event_id", "signature", 21600.0, 0.004)
+    return found.select("event_id", F.round("change", 9).alias("change"), F.round("net", 9).alias("net"), "rising")
+
+
 def q_rolling_noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noise_floor(carrier_series(spark, sf_dir), ["user_id"], ["at_sec"], "value").select("event_id", F.round("floor", 4).alias("floor"), F.round("net", 4).alias("net"))
 
@@ -136,8 +156,20 @@ _STATE = f"""{_SERIES}, l AS (
   SELECT event_id, user_id, at_sec, max(CASE WHEN value >= 400 THEN at_sec END) OVER w AS strong, max(CASE WHEN value >= 200 THEN at_sec END) OVER w AS early
   FROM s WINDOW w AS (PARTITION BY user_id ORDER BY at_sec ROWS UNBOUNDED PRECEDING)),
 d AS (SELECT event_id, user_id, CASE WHEN at_sec - strong < 86400 THEN 'strong' WHEN at_sec - early < 86400 THEN 'early' ELSE 'calm' END AS state FROM l)"""
-QUERIES = {f.__name__: f for f in (q_rolling_noise_floor, q_vote, q_density, q_mad_spikes, q_spike_nms, q_as_of, q_sampler_stats, q_reason_counts)}
+QUERIES = {f.__name__: f for f in (q_motion_area, q_rising_change, q_rolling_noise_floor, q_vote, q_density, q_mad_spikes, q_spike_nms, q_as_of, q_sampler_stats, q_reason_counts)}
 ORACLE_SQL = {
+    "q_motion_area": f"""WITH {_SERIES}, c AS (SELECT user_id, CAST(floor(at_sec / 3600) AS BIGINT) AS hour, event_id % 64 AS cx, CAST(floor(value) AS BIGINT) % 48 AS cy FROM s)
+SELECT user_id, hour, min(cx) AS x, min(cy) AS y, max(cx) - min(cx) + 1 AS box_width, max(cy) - min(cy) + 1 AS box_height, round((max(cx) - min(cx) + 1) * (max(cy) - min(cy) + 1) / (64 * 48), 6) AS area FROM c GROUP BY user_id, hour""",
+    "q_rising_change": f"""WITH RECURSIVE {_SERIES}, m AS (SELECT event_id, user_id, at_sec, CASE WHEN event_id % 11 <> 0 THEN value / 10000 END AS sig FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_sec, event_id) AS n FROM m WHERE sig IS NOT NULL),
+f AS (
+  SELECT user_id, n, event_id, at_sec AS ref_at, sig AS ref_sig, CAST([] AS DOUBLE[]) AS history, CAST(0 AS DOUBLE) AS previous, CAST(NULL AS DOUBLE) AS change, CAST(NULL AS DOUBLE) AS net, false AS rising FROM k WHERE n = 1
+  UNION ALL
+  SELECT user_id, n, event_id, CASE WHEN due THEN at_sec ELSE ref_at END, CASE WHEN due THEN sig ELSE ref_sig END, CASE WHEN due THEN list_append(history, change)[-30:] ELSE history END, CASE WHEN due THEN 0 ELSE net END, change, net, net >= 0.004 AND net > previous
+  FROM (
+    SELECT *, greatest(0, change - coalesce(list_aggregate(history, 'median'), 0)) AS net
+    FROM (SELECT k.user_id, k.n, k.event_id, k.at_sec, k.sig, f.ref_at, f.ref_sig, f.history, f.previous, k.at_sec >= f.ref_at + 21600 AS due, abs(k.sig - f.ref_sig) AS change FROM f JOIN k ON k.user_id = f.user_id AND k.n = f.n + 1)))
+SELECT m.event_id, round(f.change, 9) AS change, round(f.net, 9) AS net, coalesce(f.rising, false) AS rising FROM m LEFT JOIN f USING (event_id)""",
     "q_rolling_noise_floor": f"WITH {_FLOOR} SELECT event_id, round(floor, 4) AS floor, round(net, 4) AS net FROM n",
     "q_vote": f"WITH {_FLOOR} SELECT event_id, net >= 20 AS suspicious, net >= 20 AND sum(CAST(net >= 20 AS INTEGER)) OVER (PARTITION BY user_id ORDER BY at_sec ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) >= 3 AS passed FROM n",
     "q_density": f"WITH {_STATE} SELECT event_id, state FROM d",

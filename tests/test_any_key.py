@@ -307,3 +307,29 @@ def test_registry_forgets_idle_keys(spark, tmp_path):
         run_to_table(stream_registry(events, "user_id", "event_id", "at_sec", idle_sec=10_800.0), f"{tmp_path}/rows", f"{tmp_path}/checkpoint")
     found = sorted((r.key, r.id, r.change) for r in spark.read.parquet(f"{tmp_path}/rows").collect())
     assert found == [("1", 1, "entered"), ("1", 3, "entered"), ("1", 4, "entered"), ("2", 2, "entered"), ("2", 2, "idle")]
+
+
+@pytest.mark.parametrize("interval", [1.0, 3.0, 50.0])
+def test_rising_change_against_the_machine(spark, interval):
+    """One key with most rows, others, a null one, null signatures and equal times, against the baseline of the frame selector."""
+    from rillflow.operators.chains import rising_change
+    from rillflow.operators.selection import Baseline
+
+    rng = random.Random(int(interval))
+    rows = [(rng.choice(["a"] * 5 + ["b", None]), k, rng.choice([k / 4, k // 4 * 1.0]), rng.choice([None, rng.uniform(0, 1), rng.uniform(0, 1), 0.5])) for k in range(500)]
+    got = {r.id: r.rising for r in rising_change(spark.createDataFrame(rows, "k string, id long, t double, s double"), "k", "t", "id", "s", interval, 0.1, keep=5).collect()}
+    want = {}
+    for key in ("a", "b", None):
+        base = Baseline()
+        for _, i, t, s in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            want[i] = base.rising(t, s, interval, 0.1, 5)
+    assert got == want
+    assert 20 < sum(want.values()) < 480 or interval == 50.0
+
+
+def test_motion_box(spark):
+    from rillflow.operators.series import motion_box
+
+    rows = [("f", 2, 3), ("f", 5, 3), ("f", 4, 9), ("g", 0, 0)]
+    got = {tuple(r) for r in motion_box(spark.createDataFrame(rows, "frame string, px int, py int"), ["frame"], "px", "py", 10, 10).collect()}
+    assert got == {("f", 2, 3, 4, 7, 0.28), ("g", 0, 0, 1, 1, 0.01)}
