@@ -88,7 +88,8 @@ def mix(
     ``taken`` counts the words the mix takes, repeats included: whole epochs of
     the source, then documents in key order until the budget is used up; the
     document at the cut is taken in part.  A null text has size 0, a null source
-    is a source of its own (the last one), null ids share one key.  Repeated rows
+    is a source of its own (the last one); rows with a null id have keys by their text, so
+    that many of them are many keys.  Repeated rows
     are documents of their own.  An empty table gives an empty result; further
     columns are ignored.
     """
@@ -97,12 +98,12 @@ def mix(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col)).alias("size"),
-            F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("mix_key"),
+            F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))))).alias("mix_key"),
         ),
         "sizes",
     )
-    digits = 1
-    while 16**digits * rows_per_range < sized.count() and digits < MAX_DIGITS:
+    digits, n_rows = 1, sized.count()
+    while 16**digits * rows_per_range < n_rows and digits < MAX_DIGITS:
         digits += 1
     sized = sized.withColumn("range", F.substring("mix_key", 1, digits)).withColumn("group", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     w = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

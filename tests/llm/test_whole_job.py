@@ -4,12 +4,14 @@ import hashlib
 import random
 import textwrap
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from rillflow.llm import language_id, licenses, near_dedup
 from rillflow.llm.components import components
+from rillflow.llm.mixing import mix
 from rillflow.llm.near_dedup import keep_representatives
 from rillflow.llm.secrets import scan_secrets
 from rillflow.llm.syncmers import fingerprints
@@ -135,3 +137,14 @@ def test_a_hot_key_is_linear(spark, monkeypatch, loose):
     assert groups == ({0: 400, 400: loose} if loose else {0: 400})
     matrix = np.stack([np.frombuffer(x, np.uint16) for _, x in rows])
     assert all((matrix[r.u] != matrix[r.v]).sum() <= distance for r in pairs.collect())
+
+
+def test_null_ids_in_bulk_are_many_keys(spark):
+    """A third of all rows without an id: their keys spread over the ranges and the mix meets its targets."""
+    texts = [(None if k % 3 == 0 else k, f"w{k} " * (1 + k % 7)) for k in range(3_000)]
+    rows = mix(documents(spark, texts, source=lambda k: "ab"[k % 2]), rows_per_range=50).collect()
+    keys = [r.mix_key for r in rows if r.doc_id is None]
+    assert len(keys) == 1_000 and len(set(keys)) == 1_000
+    assert max(Counter(k[:1] for k in keys).values()) < 150
+    for target in {r.target for r in rows}:
+        assert abs(sum(r.taken for r in rows if r.target == target) - target) <= 1
