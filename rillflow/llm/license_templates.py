@@ -83,6 +83,25 @@ TEMPLATES = {
     ),
 }
 
+#: Notices of licences that are none of the families: training rows of the class ``unknown``.
+FOREIGN = (
+    "Licensed under the Eclipse Public License, Version 2.0.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution.",
+    "Licensed under the Apache License, Version 1.1.",
+    "Released under the zlib License.",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Licensed under the Common Development and Distribution License, version 1.0.",
+    "Licensed under the EUPL, Version 1.2 or later.",
+    "This work is licensed under the Artistic License, version 2.0.",
+    "Released under the WTFPL, version 2.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3.",
+    "Released under the PostgreSQL License.",
+    "Licensed under the Business Source License 1.1.",
+    "Licensed under the Open Data Commons Attribution License.",
+)
+
 #: Paragraphs that speak of licences without granting one of the families: training rows of the unknown class.
 NOT_A_GRANT = (
     "You need a driving license to rent a car.",

@@ -3,43 +3,53 @@
 A paragraph ends at a line without a letter or digit, such as a blank one or a
 bare comment mark; line breaks and comment marks inside it count as spaces.  Its
 features are hashed words (runs of letters and digits) and word pairs;
-multinomial logistic regression with sparse inputs gives each family a
-probability, and one class stands for everything else.  A temperature fitted on
-held-back rows calibrates the probabilities.
+multinomial logistic regression with sparse inputs scores ordinary text, each family
+and, as a class of its own, notices of other licences (``unknown``).  Two temperatures
+calibrate it, one for whether a unit is a notice and one for whose it is; they are fitted on
+whole templates, and on ordinary lines, that the model did not see.
 
 Three kinds of units are classified: every line; every passage, which is two or
 more successive lines of a paragraph with at least ``LEAST_KNOWN`` of their words
 in word pairs of the templates; and every paragraph of several lines without a
-passage.  A unit that is likely a notice names the family whose templates share
-the most word pairs with it, if it covers enough of one of them and no other
-family shares as many; a line needs a probability of ``LEAST_PROBABILITY`` for
-that family as well.  A notice that names none is ``unknown``, and is left out
-for a line inside a passage or paragraph that is a notice itself; one that a
-line of it names already is listed by that line.
+passage.  The classifier names the family of a unit that is likely a notice, and a
+template of that family must confirm it: every other family's templates share fewer
+word pairs with the unit, it covers enough of one of them, and it has the words by which that
+template differs from other families' and the family's version.  A notice that is not
+confirmed is ``unknown``, and is left out for a line inside a passage or paragraph
+that is a notice itself; one that a line of it names already is listed by that line.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.license_templates import NOT_A_GRANT, TEMPLATES
+from rillflow.llm.license_templates import FOREIGN, NOT_A_GRANT, TEMPLATES
 from rillflow.llm.shingles import blocks, locate_words, mix64
 
 BITS = 16
 LEAST_PROBABILITY = 0.5
 LEAST_COVER = 0.5
 LEAST_KNOWN = 0.5
+#: A template of up to so many words must agree in all of its own words, a longer one in this share of them.
+SHORT_WORDS, LEAST_OWN = 12, 0.5
+#: One template in so many is held out to calibrate.
+HELD_OUT = 4
 #: Bound of the sample of ordinary paragraphs: whole documents, by smallest hash of the id.
 BACKGROUND_DOCS = 200
 BACKGROUND_ROWS = 4_000
 VARIANTS = 60
 EPOCHS = 12
 UNKNOWN = "unknown"
+TEMPERATURES = np.geomspace(0.05, 5, 40)
 _ALNUM = np.full(256, 0x20, dtype=np.uint8)
 for _c in (*range(48, 58), *range(97, 123), *range(128, 256)):
     _ALNUM[_c] = _c
@@ -75,13 +85,13 @@ def features(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class ParagraphClassifier:
-    """Sparse multinomial logistic regression; class 0 is everything that is no licence notice."""
+    """Sparse multinomial logistic regression; class 0 is everything that is no licence notice, the last one notices of other licences."""
 
     def __init__(self, families: list[str]) -> None:
         self.families = families
         self.weights = np.zeros(((1 << BITS) + 1, len(families) + 1), dtype=np.float32)
         self.bias = np.zeros(len(families) + 1, dtype=np.float32)
-        self.temperature = 1.0
+        self.notice_temperature = self.family_temperature = 1.0
 
     def totals(self, names: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Sums of the weights of every line of a block."""
@@ -97,19 +107,21 @@ class ParagraphClassifier:
         return self.scores_of(self.totals(names, first), np.diff(np.append(first, len(names))))
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
-        z = scores / self.temperature
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        """Calibrated: the odds of a notice at one temperature, shared out among the classes at the other."""
+        top = scores[:, 1:].max(axis=1)
+        odds = top + np.log(np.exp(scores[:, 1:] - top[:, None]).sum(axis=1)) - scores[:, 0]
+        notice = 1 / (1 + np.exp(-np.clip(odds / self.notice_temperature, -60, 60)))
+        shares = np.exp((scores[:, 1:] - top[:, None]) / self.family_temperature)
+        return np.concatenate([1 - notice[:, None], notice[:, None] * shares / shares.sum(axis=1, keepdims=True)], axis=1)
 
     def train(self, rows: list[bytes], labels: np.ndarray, rate: float = 0.5, decay: float = 1e-4, seed: int = 3) -> None:
-        """Stochastic gradient steps on four fifths of the rows, then the temperature on the rest."""
+        """Stochastic gradient steps."""
         rng = np.random.default_rng(seed)
         names, first, _, _ = lines_of(rows)
         single, pair = features(names, first)
         limits = np.append(first, len(names))
-        keep = rng.random(len(rows)) < 0.8
         for epoch in range(EPOCHS):
-            for k in rng.permutation(np.flatnonzero(keep)):
+            for k in rng.permutation(len(rows)):
                 lo, hi = limits[k], limits[k + 1]
                 used = np.concatenate([single[lo:hi], pair[lo : hi - 1]])
                 scale = 1.0 / np.sqrt(2.0 * (hi - lo))
@@ -121,14 +133,19 @@ class ParagraphClassifier:
                 np.add.at(self.weights, used, (-step * scale * p).astype(np.float32))
                 self.bias -= (0.1 * step * p).astype(np.float32)
             self.weights *= 1 - decay
-        held = np.flatnonzero(~keep)
-        if len(held):
-            scores = self.scores(names, first)[held]
+
+    def calibrate(self, rows: list[bytes], labels: np.ndarray) -> tuple[float, float]:
+        """The two temperatures of least loss on rows that the model has not seen."""
+        names, first, _, _ = lines_of(rows)
+        scores, best = self.scores(names, first), []
+        for name, loss in (("notice_temperature", lambda p: np.where(labels > 0, 1 - p[:, 0], p[:, 0])), ("family_temperature", lambda p: (p / (1 - p[:, :1] + 1e-12))[labels > 0, labels[labels > 0]])):
             losses = []
-            for t in np.geomspace(0.05, 5, 40):
-                self.temperature = float(t)
-                losses.append(-np.log(self.probabilities(scores)[np.arange(len(held)), labels[held]] + 1e-12).mean())
-            self.temperature = float(np.geomspace(0.05, 5, 40)[int(np.argmin(losses))])
+            for t in TEMPERATURES:
+                setattr(self, name, float(t))
+                losses.append(-np.log(loss(self.probabilities(scores)) + 1e-12).mean())
+            best.append(float(TEMPERATURES[int(np.argmin(losses))]))
+            setattr(self, name, best[-1])
+        return best[0], best[1]
 
 
 def _variants(notice: str, rng: np.random.Generator) -> list[str]:
@@ -144,74 +161,119 @@ def _variants(notice: str, rng: np.random.Generator) -> list[str]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ParagraphClassifier:
-    """Train on varied templates and on ordinary paragraphs of at most ``BACKGROUND_DOCS`` whole documents."""
+    """Train on varied templates and on ordinary paragraphs of at most ``BACKGROUND_DOCS`` whole documents.
+
+    The temperatures come from a first model that did not see every ``HELD_OUT``-th
+    template nor as many of the ordinary lines; the model that is returned has seen all.
+    """
     rng = np.random.default_rng(1)
-    families = sorted(TEMPLATES)
-    model = ParagraphClassifier(families)
-    rows, labels = [], []
+    families = [*sorted(TEMPLATES), UNKNOWN]
+    rows, labels, held = [], [], []
     known: set[int] = set()
     for k, family in enumerate(families):
-        for notice in TEMPLATES[family]:
+        for at, notice in enumerate(FOREIGN if family == UNKNOWN else TEMPLATES[family]):
             for text in _variants(notice, rng):
                 rows.append(text.encode())
                 labels.append(k + 1)
+                held.append(at % HELD_OUT == HELD_OUT - 1)
             names, first, _, _ = lines_of([notice.encode()])
             known |= set(features(names, first)[1][:-1].tolist())
-    for notice in NOT_A_GRANT:
+    for at, notice in enumerate(NOT_A_GRANT):
         for text in _variants(notice, rng):
             rows.append(text.encode())
             labels.append(0)
+            held.append(at % HELD_OUT == HELD_OUT - 1)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null and doc_id is not null")
     ids = sorted(r["doc_id"] for r in named.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(BACKGROUND_DOCS).collect())
     sample = named.filter(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id"]).select("text").collect()
     lines = [line.encode() for text in sorted(r["text"] for r in sample) for line in text.split("\n") if any(c.isalnum() for c in line)]
-    for line in [lines[k] for k in rng.permutation(len(lines))[:BACKGROUND_ROWS]]:
+    for at, line in enumerate(lines[k] for k in rng.permutation(len(lines))[:BACKGROUND_ROWS]):
         names, first, _, _ = lines_of([line])
         pairs = features(names, first)[1][:-1].tolist() if len(names) else []
         if pairs and sum(x in known for x in pairs) < 0.2 * len(pairs):  # a notice in the sample is no ordinary paragraph
             rows.append(line)
             labels.append(0)
+            held.append(at % HELD_OUT == HELD_OUT - 1)
     solid = [k for k, row in enumerate(rows) if len(lines_of([row])[0])]
-    model.train([rows[k] for k in solid], np.array([labels[k] for k in solid]))
+    part = lambda chosen: ([rows[k] for k in chosen], np.array([labels[k] for k in chosen]))
+    first_model, model = ParagraphClassifier(families), ParagraphClassifier(families)
+    first_model.train(*part([k for k in solid if not held[k]]))
+    model.train(*part(solid))
+    model.notice_temperature, model.family_temperature = first_model.calibrate(*part([k for k in solid if held[k]]))
     return model
 
 
-def template_pairs(families: list[str]) -> list[list[set[int]]]:
-    """Word-pair hashes of every template, by family."""
+def word_hashes(text: str) -> dict[str, int]:
+    """The words of a text, lower-cased runs of letters and digits, with their hashes."""
+    words = re.findall("[a-z0-9]+", text.lower())
+    return {word: int(lines_of([word.encode()])[0][0]) for word in set(words)}
+
+
+@dataclass(frozen=True)
+class Template:
+    """What confirms a notice: a template's word pairs, the words that no other family's templates have, how many of them must be there, and the family's version."""
+
+    pairs: frozenset[int]
+    own: frozenset[int]
+    least_own: int
+    version: int | None
+
+
+def pair_set(names: np.ndarray) -> set[int]:
+    return set((names[:-1] * np.uint64(3) + names[1:]).tolist())
+
+
+def known_templates() -> list[list[Template]]:
+    """The templates of every family, in the order of the classes."""
+    words = {family: [word_hashes(notice) for notice in TEMPLATES[family]] for family in sorted(TEMPLATES)}
+    used = Counter(word for sets in words.values() for word in {w for one in sets for w in one})
     out = []
-    for family in families:
-        sets = []
-        for notice in TEMPLATES[family]:
-            names, _, _, _ = lines_of([notice.encode()])
-            sets.append(set((names[:-1] * np.uint64(3) + names[1:]).tolist()))
-        out.append(sets)
+    for family, sets in words.items():
+        number = re.search(r"-(\d+)\.", family)
+        version = word_hashes(number[1])[number[1]] if number else None
+        templates = []
+        for notice, hashes in zip(TEMPLATES[family], sets, strict=True):
+            own = {h for word, h in hashes.items() if used[word] == 1 and not word.isdigit()}
+            short = len(re.findall("[a-z0-9]+", notice.lower())) <= SHORT_WORDS
+            templates.append(Template(frozenset(pair_set(lines_of([notice.encode()])[0])), frozenset(own), len(own) if short else math.ceil(LEAST_OWN * len(own)), version))
+        out.append(templates)
     return out
 
 
-def confirm(names: np.ndarray, templates: list[list[set[int]]]) -> int | None:
-    """The family that shares the most word pairs with a unit, if it covers enough of the smaller one of unit and template and no other family shares as many."""
-    own = set((names[:-1] * np.uint64(3) + names[1:]).tolist())
-    shared = [[len(own & t) for t in family] for family in templates]
-    most = [max(x) for x in shared]
-    best = int(np.argmax(most))
-    if most.count(most[best]) > 1:
-        return None
-    cover = max(n / max(3, min(len(own), len(t))) for n, t in zip(shared[best], templates[best], strict=True))
-    return best if cover >= LEAST_COVER else None
+def confirm(names: np.ndarray, templates: list[list[Template]], family: int) -> bool:
+    """Whether the templates bear out that a unit is a notice of a family: those of any other share fewer word pairs, and one of its own is covered and agrees in its own words and the version."""
+    pairs, words = pair_set(names), set(names.tolist())
+    shared = [max(len(pairs & t.pairs) for t in others) for others in templates]
+    if any(n >= shared[family] for k, n in enumerate(shared) if k != family):
+        return False
+    for t in templates[family]:
+        cover = len(pairs & t.pairs) / max(3, min(len(pairs), len(t.pairs)))
+        of_long = t.least_own if len(pairs) >= len(t.pairs) else min(t.least_own, math.ceil(LEAST_OWN * len(pairs) / max(1, len(t.pairs)) * len(t.own)))
+        if cover >= LEAST_COVER and len(words & t.own) >= of_long and (t.version is None or t.version in words):
+            return True
+    return False
 
 
 def known_pairs(families: list[str]) -> np.ndarray:
     """Whether a feature number is a word pair of some template."""
     known = np.zeros((1 << BITS) + 1, bool)
     for family in families:
-        for notice in TEMPLATES[family]:
+        for notice in TEMPLATES.get(family, ()):
             names, first, _, _ = lines_of([notice.encode()])
             known[features(names, first)[1][:-1]] = True
     known[1 << BITS] = False
     return known
 
 
-def notices_of(model: ParagraphClassifier, templates: list[list[set[int]]], known: np.ndarray, block: list[bytes]) -> tuple[list[int], list[list[tuple[int, str, float]]]]:
+def named(model: ParagraphClassifier, templates: list[list[Template]], names: np.ndarray, p: np.ndarray) -> tuple[str, float]:
+    """(family, probability) of a unit that is a notice: the classifier's class if a template confirms it, else ``unknown`` with the probability of a notice."""
+    best = int(np.argmax(p[1:]))
+    if model.families[best] != UNKNOWN and confirm(names, templates, best):
+        return model.families[best], round(float(p[best + 1]), 4)
+    return UNKNOWN, round(float(1 - p[0]), 4)
+
+
+def notices_of(model: ParagraphClassifier, templates: list[list[Template]], known: np.ndarray, block: list[bytes]) -> tuple[list[int], list[list[tuple[int, str, float]]]]:
     """Per document of a block: number of paragraphs, and (line, family, probability) of the notices, in order."""
     names, first, line, of_doc = lines_of(block)
     found: list[list[tuple[int, str, float]]] = [[] for _ in block]
@@ -254,14 +316,12 @@ def notices_of(model: ParagraphClassifier, templates: list[list[set[int]]], know
         for k in np.flatnonzero(wanted & (1 - probability[:, 0] >= LEAST_PROBABILITY)).tolist():
             lo, hi = int(begins[k]), int(ends[k])
             inside[lo:hi] = True
-            family = confirm(names[limits[lo] : limits[hi]], templates)
-            hits.append((lo, hi, UNKNOWN if family is None else model.families[family], round(float(1 - probability[k, 0]), 4)))
+            hits.append((lo, hi, *named(model, templates, names[limits[lo] : limits[hi]], probability[k])))
     lines: list[tuple[int, str, float]] = []
     for k in np.flatnonzero(1 - p[:, 0] >= LEAST_PROBABILITY).tolist():
-        family = confirm(names[limits[k] : limits[k + 1]], templates)
-        name = UNKNOWN if family is None or p[k, family + 1] < LEAST_PROBABILITY else model.families[family]
+        name, score = named(model, templates, names[limits[k] : limits[k + 1]], p[k])
         if name != UNKNOWN or not inside[k]:
-            lines.append((k, name, round(float(1 - p[k, 0]), 4)))
+            lines.append((k, name, score))
     hits = [(lo, name, score) for lo, hi, name, score in hits if not any(lo <= k < hi and other == name for k, other, _ in lines)]
     for k, name, score in sorted(hits + lines):
         found[int(np.searchsorted(of_doc, k, side="right")) - 1].append((int(line[k]), name, score))
@@ -270,7 +330,7 @@ def notices_of(model: ParagraphClassifier, templates: list[list[set[int]]], know
 
 def scan(docs: DataFrame, model: ParagraphClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_paragraphs, n_notices, families, notices."""
-    templates, known = template_pairs(model.families), known_pairs(model.families)
+    templates, known = known_templates(), known_pairs(model.families)
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import textwrap
 import time
 from collections import Counter
@@ -148,3 +149,89 @@ def test_null_ids_in_bulk_are_many_keys(spark):
     assert max(Counter(k[:1] for k in keys).values()) < 150
     for target in {r.target for r in rows}:
         assert abs(sum(r.taken for r in rows if r.target == target) - target) <= 1
+
+
+FOREIGN_NOTICES = (
+    "Licensed under the Eclipse Public License, Version 2.0.", "Apache License, Version 1.1", "Released under the zlib License.", "Distributed under the Boost Software License, Version 1.0.", "Licensed under the Microsoft Public License.",
+    "Licensed under the Open Software License version 3.0.", "Licensed under the Academic Free License version 3.0.", "Licensed under the EUPL, Version 1.2.", "This work is licensed under the Artistic License, version 2.0.", "Licensed under the CeCILL license, version 2.1.",
+)
+
+
+def test_other_licences_are_no_family(spark):
+    """Notices of licences that the templates do not have name none, also of licences that no training row names; the known ones beside them keep theirs."""
+    texts = [(k, f"Some words stand here.\n\n{x}\n\nAnd more words.") for k, x in enumerate(FOREIGN_NOTICES)]
+    known = [(100, "Released under the MIT License."), (101, "Licensed under the Mozilla Public License, version 2.0."), (102, "Licensed under the Apache License, Version 2.0.")]
+    filler = [(1000 + k, f"Ordinary words number {k} stand in this line.\nAnother line follows it here {k}.") for k in range(40)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, texts + known + filler)).collect()}
+    assert [got[k].families for k, _ in texts] == [""] * len(texts)
+    assert sum(":unknown:" in got[k].notices for k, _ in texts) >= 8
+    assert [got[k].families for k, _ in known] == ["MIT", "MPL-2.0", "Apache-2.0"]
+
+
+def plain_line(model, line):
+    """Probabilities of a line by plain sums over its words and word pairs."""
+    names = licenses.lines_of([line.encode()])[0].tolist()
+    mixed = lambda x: int(licenses.mix64(np.array([x], np.uint64))[0]) >> (64 - licenses.BITS)
+    used = [mixed(x) for x in names] + [mixed((a * 3 + b) % 2**64) for a, b in zip(names, names[1:], strict=False)] + [1 << licenses.BITS]
+    z = sum(model.weights[u].astype(float) for u in used) / (2 * len(names)) ** 0.5 + model.bias
+    notice = 1 / (1 + np.exp(-(np.log(np.exp(z[1:]).sum()) - z[0]) / model.notice_temperature))
+    shares = np.exp(z[1:] / model.family_temperature)
+    return [1 - notice, *(notice * shares / shares.sum())]
+
+
+def plain_confirm(line, family):
+    """Whether the templates bear a family out, from words as text."""
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    pairs = lambda t: set(zip(words(t), words(t)[1:], strict=False))
+    most = {f: max(len(pairs(line) & pairs(t)) for t in ts) for f, ts in licenses.TEMPLATES.items()}
+    if any(n >= most[family] for f, n in most.items() if f != family):
+        return False
+    version = re.search(r"-(\d+)\.", family)
+    for t in licenses.TEMPLATES[family]:
+        own = {w for w in words(t) if not w.isdigit() and not any(w in words(x) for f, ts in licenses.TEMPLATES.items() if f != family for x in ts)}
+        least = len(own) if len(words(t)) <= 12 else -(-len(own) // 2)
+        if len(pairs(line)) < len(pairs(t)):
+            least = min(least, -(-len(own) * len(pairs(line)) // (2 * len(pairs(t)))))
+        if len(pairs(line) & pairs(t)) >= 0.5 * max(3, min(len(pairs(line)), len(pairs(t)))) and len(own & set(words(line))) >= least and (not version or version[1] in words(line)):
+            return True
+    return False
+
+
+def test_labels_and_confirmation_by_plain_loops(spark):
+    """Every line of real documents, of templates, parts of them and of other licences: the listed family and probability are those of plain sums and word sets."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = licenses.fit(docs)
+    rng = random.Random(1)
+    lines = [x for r in docs.orderBy("doc_id").limit(60).collect() for x in r.text.split("\n") if any(c.isascii() and c.isalnum() for c in x) and x.isascii()][:300]
+    lines += [x for ts in licenses.TEMPLATES.values() for x in ts] + list(FOREIGN_NOTICES) + list(licenses.FOREIGN)
+    for ts in licenses.TEMPLATES.values():
+        for t in ts:
+            words = t.split()
+            at = rng.randrange(max(1, len(words) - 8))
+            lines.append(" ".join(words[at : at + rng.randrange(6, 20)]))
+    rows = licenses.scan(documents(spark, list(enumerate(lines))), model).collect()
+    named = 0
+    for r in rows:
+        p = plain_line(model, lines[r.doc_id])
+        best = int(np.argmax(p[1:]))
+        family = model.families[best]
+        if abs(1 - p[0] - licenses.LEAST_PROBABILITY) < 1e-3:
+            continue
+        if 1 - p[0] < licenses.LEAST_PROBABILITY:
+            assert r.notices == ""
+            continue
+        sure = family != licenses.UNKNOWN and plain_confirm(lines[r.doc_id], family)
+        place, name, score = r.notices.split(":")
+        assert (place, name) == ("0", family if sure else licenses.UNKNOWN), lines[r.doc_id]
+        assert abs(float(score) - (p[best + 1] if sure else 1 - p[0])) < 1e-3
+        named += sure
+    assert named >= 40
+
+
+def test_calibration_on_templates_that_were_held_out(spark):
+    """A probability means something: on notices that the first model has not seen the loss at the chosen temperatures is the least."""
+    model = licenses.fit(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    assert licenses.TEMPERATURES[0] < model.notice_temperature < licenses.TEMPERATURES[-1]
+    assert licenses.TEMPERATURES[0] < model.family_temperature < licenses.TEMPERATURES[-1]
+    p = model.probabilities(np.random.default_rng(1).normal(size=(50, len(model.bias))) * 40)
+    assert np.isfinite(p).all() and np.allclose(p.sum(axis=1), 1) and (p >= 0).all()
