@@ -19,6 +19,28 @@ WORD = "[a-zA-ZçÇğĞıİöÖşŞüÜ0-9]{3,}"
 CHARS_PER_TOKEN = 3
 
 
+def _composed_ranges() -> str:
+    """The characters of the commonest scripts that no neighbour and no normalisation changes, as ranges of a pattern's class."""
+
+    def stable(code: int) -> bool:
+        c = chr(code)
+        return unicodedata.normalize("NFKC", c) == c and unicodedata.combining(c) == 0 and unicodedata.category(c) not in ("Mn", "Mc", "Me", "Cn")
+
+    ranges: list[list[int]] = []
+    for low, high in _SCRIPTS:
+        for code in filter(stable, range(low, high + 1)):
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges)
+
+
+#: Latin, Greek and Cyrillic, general punctuation, kana, Han and composed Hangul.
+_SCRIPTS = ((0x00, 0x24F), (0x370, 0x52F), (0x2010, 0x2027), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+NOT_COMPOSED = f"[^{_composed_ranges()}]"
+
+
 @F.pandas_udf(StringType())
 def compose(texts: pd.Series) -> pd.Series:
     """Compatibility composition (NFKC), for input that is not composed yet."""
@@ -28,12 +50,12 @@ def compose(texts: pd.Series) -> pd.Series:
 def turkish_lower(text: Column) -> Column:
     """Lower case with the Turkish dotted and dotless i, composed (NFKC); null becomes empty.
 
-    Texts whose characters all lie below the combining marks and compatibility
-    forms are composed already; only the others go through the function.
+    Texts whose characters all are composed ones of the commonest scripts are
+    composed already; only the others go through the function.
     """
     dotted = F.replace(F.coalesce(text, F.lit("")), F.lit("İ"), F.lit("i"))
     lowered = F.lower(F.replace(dotted, F.lit("I"), F.lit("ı")))
-    return F.coalesce(compose(F.when(lowered.rlike(r"[^\x00-\x7FçğıöşüâîûéèàäßñÇĞÖŞÜÂÎÛ]"), lowered)), lowered)
+    return F.coalesce(compose(F.when(lowered.rlike(NOT_COMPOSED), lowered)), lowered)
 
 
 def turkish_lower_py(text: str | None) -> str:

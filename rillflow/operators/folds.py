@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +56,8 @@ def merge_intervals(events: DataFrame, keys: list[str], min_iou: float = MIN_IOU
     First fit depends on the events before, but never across types nor across a
     gap that no earlier event of the type reaches; so each analysis, video, type
     and stretch between such gaps is a group of its own, cut by a running maximum
-    that goes from range to range.  Inside
-    a group only merged events that still reach the present one are looked at.
+    that goes from range to range.  A task reads its groups in order, row by row, and holds only merged
+    events that still reach the present one.  A row without a start or an end stays as it is.
     """
     schema = events.schema
     names = [f.name for f in schema]
@@ -65,26 +66,39 @@ def merge_intervals(events: DataFrame, keys: list[str], min_iou: float = MIN_IOU
     opened = F.coalesce(F.col("start_sec") > F.col("__reached") + max_gap, F.lit(False)).cast("long")
     islands = running(reached, [*keys, "event_type"], order, {"__island": (opened, F.sum)})
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        merged: list[dict] = []
+    group = [*keys, "event_type", "__island"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
         active: list[dict] = []
-        for row in group[names].sort_values(["start_sec", "event_id"], kind="stable").to_dict("records"):
-            row = row | {"chunk_ids": list(row["chunk_ids"]), "observation_ids": list(row["observation_ids"])}
-            row["event_type"] = None if pd.isna(row["event_type"]) else row["event_type"]
-            active = [m for m in active if m["end_sec"] >= row["start_sec"] - max_gap]
-            home = next((m for m in active if may_merge(row, m, min_iou, max_gap, min_similarity)), None)
-            if home is None:
-                merged.append(row)
-                active.append(row)
-                continue
-            for name in ("chunk_ids", "observation_ids"):
-                home[name] = list(dict.fromkeys(home[name] + row[name]))
-            home["start_sec"], home["end_sec"] = min(home["start_sec"], row["start_sec"]), max(home["end_sec"], row["end_sec"])
-            home["confidence"], home["occurrence_count"] = max(home["confidence"], row["confidence"]), max(home["occurrence_count"], row["occurrence_count"])
-            home["event_id"] = "merged_" + hashlib.sha256("-".join(sorted(set(home["observation_ids"]))).encode()).hexdigest()[:8]
-        return pd.DataFrame(merged, columns=names)
-
-    return islands.groupBy(*keys, "event_type", "__island").applyInPandas(fold, schema)
+        for batch in batches:
+            done: list[dict] = []
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in group)
+                if own != at:
+                    done += active
+                    at, active = own, []
+                if row["start_sec"] is None or row["end_sec"] is None:
+                    done.append(row)
+                    continue
+                done += [m for m in active if m["end_sec"] < row["start_sec"] - max_gap]
+                active = [m for m in active if m["end_sec"] >= row["start_sec"] - max_gap]
+                home = next((m for m in active if may_merge(row, m, min_iou, max_gap, min_similarity)), None)
+                if home is None:
+                    active.append(row)
+                    continue
+                for name in ("chunk_ids", "observation_ids"):
+                    home[name] = list(dict.fromkeys(home[name] + row[name]))
+                home["end_sec"] = max(home["end_sec"], row["end_sec"])
+                home["confidence"], home["occurrence_count"] = max(home["confidence"], row["confidence"]), max(home["occurrence_count"], row["occurrence_count"])
+                home["event_id"] = "merged_" + hashlib.sha256("-".join(sorted(set(home["observation_ids"]))).encode()).hexdigest()[:8]
+            kinds = pa.schema([batch.schema.field(n) for n in names])
+            yield pa.RecordBatch.from_pylist([{n: m[n] for n in names} for m in done], schema=kinds)
+        if active:
+            yield pa.RecordBatch.from_pylist([{n: m[n] for n in names} for m in active], schema=kinds)
+
+    dealt = islands.select(*names, "__island").repartition(*group).sortWithinPartitions(*group, *order)
+    return dealt.mapInArrow(fold, schema)
 
 
 def greedy_batches(rows: DataFrame, key: str, order: str, tokens: str, budget: int) -> DataFrame:
@@ -173,6 +187,38 @@ def q_frame_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (q_interval_merge, q_token_batches, q_split_oversized, q_frame_selection)}
 ORACLE_SQL = {
+    "q_interval_merge": """
+WITH RECURSIVE e AS (
+  SELECT user_id, event_type, event_id::VARCHAR AS id, epoch(ts) AS s, epoch(ts) + value * 60 AS t, 'c' || CAST(floor(epoch(ts) / 3600) AS BIGINT) AS chunk, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch(ts), event_id::VARCHAR) AS k FROM events),
+f AS (
+  SELECT user_id, event_type, 1::BIGINT AS k, [{'s': s, 't': t, 'chunks': [chunk], 'ids': [id]}] AS merged FROM e WHERE k = 1
+  UNION ALL
+  SELECT user_id, event_type, k, CASE WHEN home = 0 THEN list_append(merged, {'s': s, 't': t, 'chunks': [chunk], 'ids': [id]})
+    ELSE list_transform(merged, lambda m, i: CASE WHEN i = home THEN {'s': least(m.s, s), 't': greatest(m.t, t), 'chunks': list_append(m.chunks, chunk), 'ids': list_append(m.ids, id)} ELSE m END) END
+  FROM (
+    SELECT e.*, f.merged, coalesce(list_position(list_transform(f.merged, lambda m: NOT list_contains(m.chunks, e.chunk) AND
+      CASE WHEN least(e.t, m.t) - greatest(e.s, m.s) > 0 THEN (least(e.t, m.t) - greatest(e.s, m.s)) / (greatest(e.t, m.t) - least(e.s, m.s)) >= 0.1 ELSE greatest(e.s, m.s) - least(e.t, m.t) <= 5 END), true), 0) AS home
+    FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.k = f.k + 1)),
+z AS (SELECT user_id, event_type, unnest(merged) AS m FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY k DESC) AS n FROM f) WHERE n = 1)
+SELECT user_id, CASE WHEN len(m.ids) > 1 THEN 'merged_' || sha256(array_to_string(list_sort(m.ids), '-'))[1:8] ELSE m.ids[1] END AS event_id, event_type, round(m.s, 3) AS start_sec, round(m.t, 3) AS end_sec, CAST(len(m.ids) AS INTEGER) AS n_observations FROM z""",
+    "q_split_oversized": r"""
+WITH RECURSIVE p AS (
+  SELECT doc_id, 0 AS level, CAST([] AS BIGINT[]) AS place, coalesce(text, '') AS piece FROM documents
+  UNION ALL
+  SELECT doc_id, level + 1, list_append(place, k), CASE WHEN k < len(parts) THEN parts[k] || sep ELSE parts[k] END
+  FROM (SELECT *, unnest(generate_series(1, len(parts))) AS k FROM (SELECT *, string_split(piece, sep) AS parts FROM (SELECT *, [chr(10) || chr(10), chr(10), '. ', '; ', ', ', ' '][level + 1] AS sep FROM p WHERE level < 6 AND ceil(length(piece) / 3) > 500)))
+),
+w AS (
+  SELECT doc_id, place, piece FROM p WHERE ceil(length(piece) / 3) <= 500 AND piece <> ''
+  UNION ALL
+  SELECT doc_id, list_append(place, k), piece[k * 1500 + 1:(k + 1) * 1500] FROM (SELECT *, unnest(generate_series(0, (length(piece) - 1) // 1500)) AS k FROM p WHERE level = 6 AND ceil(length(piece) / 3) > 500)),
+n AS (SELECT doc_id, piece, CAST(ceil(length(piece) / 3) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM w),
+f AS (
+  SELECT doc_id, k, 0 AS part_no, tokens AS used, piece FROM n WHERE k = 1
+  UNION ALL
+  SELECT n.doc_id, n.k, CASE WHEN f.used + n.tokens <= 500 THEN f.part_no ELSE f.part_no + 1 END, CASE WHEN f.used + n.tokens <= 500 THEN f.used + n.tokens ELSE n.tokens END, n.piece FROM f JOIN n ON n.doc_id = f.doc_id AND n.k = f.k + 1),
+o AS (SELECT doc_id, part_no, string_agg(piece, '' ORDER BY k) AS content FROM f GROUP BY doc_id, part_no)
+SELECT doc_id, part_no, CAST(length(content) AS INTEGER) AS n_chars, md5(content) AS content_md5 FROM o""",
     "q_token_batches": """
 WITH RECURSIVE r AS (SELECT conv_id, turn, CAST(ceil(length(coalesce(text, '')) / 3) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
 f AS (

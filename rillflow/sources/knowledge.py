@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import zipfile
@@ -48,8 +49,8 @@ def with_metadata(chunks: DataFrame, metadata: DataFrame) -> DataFrame:
     return chunks.join(metadata.select(F.col("id").alias("document_id"), "title", "institution", "publication_date"), "document_id", "left")
 
 
-def extract_pages(name: str, raw: bytes, most_chars: int | None = MOST_CHARS) -> list[tuple[int | None, str]]:
-    """(page, text) of a file: text as UTF-8, else Latin-1; word-processor paragraphs.  Other endings give nothing.
+def extract_pages(name: str, raw: bytes, most_chars: int | None = MOST_CHARS) -> list[tuple[int | None, str, bool]]:
+    """(page, text, whether it was cut) of a file: text as UTF-8, else Latin-1; word-processor paragraphs.  Other endings give nothing.
 
     A document counts up to ``most_chars`` characters, the limit of an upload; None takes all.
     """
@@ -61,17 +62,16 @@ def extract_pages(name: str, raw: bytes, most_chars: int | None = MOST_CHARS) ->
             text = raw.decode("utf-8")
         except UnicodeDecodeError:
             text = raw.decode("latin-1")
-        return [(None, text[:most_chars])]
-    if ending == "docx":
+    else:
         with zipfile.ZipFile(io.BytesIO(raw)) as box:
             xml = box.read("word/document.xml").decode("utf-8")
         paragraphs = ["".join(re.findall(r"<w:t(?:\s[^>]*)?>([^<]*)</w:t>", p)) for p in re.split(r"</w:p>", xml)]
-        return [(None, "\n".join(p for p in paragraphs if p)[:most_chars])]
-    return []
+        text = html.unescape("\n".join(p for p in paragraphs if p))
+    return [(None, text[:most_chars], most_chars is not None and len(text) > most_chars)]
 
 
-def read_documents(spark: SparkSession, folder: str, most_chars: int | None = MOST_CHARS) -> DataFrame:
-    """(filename, status, page, text) of all files of a folder; a file that fails or is not allowed has status ``error`` and no text."""
+def parse_files(files: DataFrame, most_chars: int | None = MOST_CHARS) -> DataFrame:
+    """(filename, status, page, text) of files (path, content): ``ready``, ``cut`` where a text was longer than allowed, ``error`` without text for a file that fails or is not allowed."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -79,13 +79,18 @@ def read_documents(spark: SparkSession, folder: str, most_chars: int | None = MO
             for path, raw in zip(batch["path"], batch["content"], strict=True):
                 name = path.rsplit("/", 1)[-1]
                 try:
-                    pages = [p for p in extract_pages(name, raw, most_chars) if p[1].strip()]
+                    pages = [p for p in extract_pages(name, raw or b"", most_chars) if p[1].strip()]
                 except Exception:  # noqa: BLE001 - a broken file is a row, not a failed job
                     pages = []
-                out += [(name, "ready", p, t) for p, t in pages] or [(name, "error", None, None)]
+                out += [(name, "cut" if cut else "ready", p, t) for p, t, cut in pages] or [(name, "error", None, None)]
             yield pd.DataFrame(out, columns=["filename", "status", "page", "text"]).astype({"page": "Int32"})
 
-    return spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(parse, "filename string, status string, page int, text string")
+    return files.select("path", "content").mapInPandas(parse, "filename string, status string, page int, text string")
+
+
+def read_documents(spark: SparkSession, folder: str, most_chars: int | None = MOST_CHARS) -> DataFrame:
+    """:func:`parse_files` of all files of a folder."""
+    return parse_files(spark.read.format("binaryFile").load(folder), most_chars)
 
 
 def article_segments(docs: DataFrame, id_col: str, text: str, header: str = ARTICLE) -> DataFrame:

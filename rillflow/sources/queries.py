@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import html
+import io
 import uuid
+import zipfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from rillflow.plans.lineage import shared_dir
 from rillflow.session import table
-from rillflow.sources.knowledge import article_segments, read_chunks, read_documents, read_metadata, with_metadata
+from rillflow.sources.knowledge import article_segments, parse_files, read_chunks, read_metadata, with_metadata
 from rillflow.sources.tables import admit, append, apply_updates, delete_with_children, overlay, read_merged, stable_id, valid_feedback, with_ids
 
+#: JSON lists that the chunks are written to.
+CHUNK_FILES = 8
+
 
 def q_keyed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with later versions that change a status and leave the rest."""
@@ -55,7 +63,8 @@ def q_knowledge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("chunk_id"), F.when(F.col("item_id") % 3 != 0, F.concat(F.lit("d"), (F.col("item_id") % 3).cast("string"))).alias("document_id"),
         F.when(F.col("item_id") % 5 != 0, F.col("text")).otherwise(" ").alias("text"),
     )
-    table(spark, sf_dir, "benchmark").select(F.to_json(F.array(item)).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/chunks")
+    lists = table(spark, sf_dir, "benchmark").groupBy((F.col("item_id") % CHUNK_FILES).alias("file")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    lists.repartition(CHUNK_FILES, "file").select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/chunks")
     entries = '- id: d1\n  title: "First"\n  institution: A\n- id: d9\n  title: Ninth'
     spark.createDataFrame([(entries,)], "value string").write.text(f"{folder}/sources")
     chunks = with_metadata(read_chunks(spark, f"{folder}/chunks", "*.txt"), read_metadata(spark, f"{folder}/sources"))
@@ -63,11 +72,28 @@ def q_knowledge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("chunk_id", named.alias("document_id"), F.coalesce("title", F.lit("-")).alias("title"), F.length("text").alias("n_chars"))
 
 
+@F.pandas_udf(BinaryType())
+def _as_word_file(texts: pd.Series) -> pd.Series:
+    """Texts as word-processor files, a paragraph for each line."""
+
+    def pack(text: str) -> bytes:
+        body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{html.escape(line, quote=False)}</w:t></w:r></w:p>' for line in text.split("\n"))
+        box = io.BytesIO()
+        with zipfile.ZipFile(box, "w") as files:
+            files.writestr("word/document.xml", f"<w:document><w:body>{body}</w:body></w:document>")
+        return box.getvalue()
+
+    return texts.map(pack)
+
+
 def q_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text files of a folder, one a benchmark item: what is read of them."""
-    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(folder)
-    return read_documents(spark, f"{folder}/*.txt").select("status", F.md5(F.regexp_replace("text", r"\s+$", "")).alias("text_md5"))
+    """Documents as text files, word-processor files, files that are not allowed and broken ones; texts of more than 20,000 characters are cut."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kind = F.col("doc_id") % 4
+    ending = F.when(kind < 2, ".txt").when(kind == 2, ".docx").otherwise(F.when(F.col("doc_id") % 8 == 3, ".docx").otherwise(".pdf"))
+    content = F.when(kind == 2, _as_word_file(F.when(kind == 2, F.col("text")).otherwise(""))).otherwise(F.col("text").cast("binary"))
+    files = docs.select(F.concat(F.lit("folder/"), F.col("doc_id").cast("string"), ending).alias("path"), content.alias("content"))
+    return parse_files(files, 20_000).select("filename", "status", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def q_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +117,12 @@ def q_overridden_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (q_knowledge_chunks, q_document_files, q_admitted, q_manual_alerts, q_overridden_rows, q_keyed_updates, q_valid_feedback, q_cascade_delete, q_numbered_rows, q_vector_payload, q_text_segments)}
 ORACLE_SQL = {
     "q_knowledge_chunks": "SELECT 'c' || item_id AS chunk_id, CASE WHEN item_id % 3 = 0 THEN 'file' ELSE 'd' || item_id % 3 END AS document_id, CASE WHEN item_id % 3 = 1 THEN 'First' ELSE '-' END AS title, length(text) AS n_chars FROM benchmark WHERE item_id % 5 <> 0 AND trim(text) <> ''",
-    "q_document_files": "SELECT 'ready' AS status, md5(regexp_replace(text, '\\s+$', '')) AS text_md5 FROM benchmark",
+    "q_document_files": r"""
+WITH d AS (
+  SELECT doc_id, doc_id || CASE WHEN doc_id % 4 < 2 THEN '.txt' WHEN doc_id % 4 = 2 OR doc_id % 8 = 3 THEN '.docx' ELSE '.pdf' END AS filename,
+    CASE WHEN doc_id % 4 < 2 THEN text WHEN doc_id % 4 = 2 THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10)) END AS t FROM documents),
+u AS (SELECT filename, CASE WHEN regexp_matches(t, '\S') THEN t END AS t FROM d)
+SELECT filename, CASE WHEN t IS NULL THEN 'error' WHEN length(t) > 20000 THEN 'cut' ELSE 'ready' END AS status, CAST(length(t[1:20000]) AS INTEGER) AS n_chars, md5(t[1:20000]) AS text_md5 FROM u""",
     "q_admitted": "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5 AS admitted FROM documents",
     "q_manual_alerts": "SELECT event_id, event_type = 'error' AS auto, CASE WHEN event_type = 'error' THEN '-' ELSE 'by hand signup' END AS note FROM events WHERE event_type IN ('error', 'signup')",
     "q_overridden_rows": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'X' ELSE event_type END AS event_type FROM events",
