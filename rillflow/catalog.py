@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.operators import detection, folds, metrics, overviews, projections, retrieval, risk, rules, series, sessions, stores, structured, traces, verdicts
+from rillflow.operators import detection, folds, metrics, overviews, projections, retrieval, risk, rules, series, sessions, stores, structured, tools, traces, verdicts
 from rillflow.sources import queries as sinks
 from rillflow.streaming import queries as streams
 
-MODULES = (sessions, stores, rules, risk, retrieval, detection, series, traces, overviews, verdicts, projections, metrics, folds, structured, sinks, streams)
+MODULES = (sessions, stores, rules, risk, retrieval, detection, series, traces, overviews, verdicts, projections, tools, metrics, folds, structured, sinks, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

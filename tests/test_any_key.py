@@ -333,3 +333,40 @@ def test_motion_box(spark):
     rows = [("f", 2, 3), ("f", 5, 3), ("f", 4, 9), ("g", 0, 0)]
     got = {tuple(r) for r in motion_box(spark.createDataFrame(rows, "frame string, px int, py int"), ["frame"], "px", "py", 10, 10).collect()}
     assert got == {("f", 2, 3, 4, 7, 0.28), ("g", 0, 0, 1, 1, 0.01)}
+
+
+def test_tools_refuse_what_they_do_not_know(spark):
+    from rillflow.operators import tools
+
+    events = spark.createDataFrame([(k, "ab"[k % 2], float(k), 1.0) for k in range(20)], "event_id long, event_type string, at_sec double, value double")
+    stores = tools.Stores(events, spark.createDataFrame([(1, "safety helmet rules"), (2, None)], "doc_id long, text string"))
+    assert [r.id for r in tools.call(stores, "recent", event_type="b", limit=2).collect()] == [19, 17]
+    assert sorted(r.id for r in tools.call(stores, "stretch", start_ts=3, end_ts=5.0).collect()) == [3, 4, 5]
+    assert [(r.id, r.note) for r in tools.call(stores, "lookup", question="Helmet safety?", top_k=1).collect()] == [(1, "score 1")]
+    assert [tools.call(stores, "verify", claim=c, event_type=t).first().note for c, t in (("helmet", "a"), ("helmet", "z"), ("xyzw", "a"), ("xyzw", ""))] == ["supported", "partly supported", "partly supported", "unsupported"]
+    for name, args in (("drop", {}), ("recent", {"limit": 0}), ("recent", {"limit": 51}), ("recent", {"limit": "5"}), ("lookup", {"question": " "}), ("stretch", {"start_ts": 5.0, "end_ts": 4.0}), ("stretch", {"start_ts": -1.0})):
+        with pytest.raises(ValueError):
+            tools.call(stores, name, **args)
+    with pytest.raises(TypeError):
+        tools.call(stores, "recent", colour=1)
+    with pytest.raises(ValueError):
+        tools.call(stores, "recent", enabled=("lookup",))
+    with pytest.raises(ValueError):
+        tools.record_actions(events, "event_id", "launch")
+
+
+def test_composed_text_needs_no_function(spark):
+    """Lower-casing equals normalisation for composed and decomposed letters, ligatures, full-width forms and Hangul parts."""
+    from rillflow.functions.text import turkish_lower, turkish_lower_py
+
+    texts = ["İI Iıi", "más niño ¿qué?", "ÅÉ", "é å", "ﬁne ①② Ａ", "Ωμέγα Привет", "日本語カナ", "한국어", "한", "ſ", "…", "a b", "x²", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(turkish_lower(F.col("t"))).collect()]
+    assert got == [turkish_lower_py(t) for t in texts]
+
+
+def test_files_that_are_cut_say_so(spark):
+    from rillflow.sources.knowledge import parse_files
+
+    files = spark.createDataFrame([("a.txt", bytearray(b"x" * 11)), ("b.txt", bytearray(b"x" * 10)), ("c.txt", bytearray(b"")), ("d.pdf", bytearray(b"x")), ("e.docx", bytearray(b"no zip")), ("f.txt", None)], "path string, content binary")
+    got = {r.filename: (r.status, len(r.text or "")) for r in parse_files(files, 10).collect()}
+    assert got == {"a.txt": ("cut", 10), "b.txt": ("ready", 10), "c.txt": ("error", 0), "d.pdf": ("error", 0), "e.docx": ("error", 0), "f.txt": ("error", 0)}
