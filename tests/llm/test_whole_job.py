@@ -128,8 +128,7 @@ def test_a_hot_key_is_linear(spark, monkeypatch, loose):
         rows.append((k, signature.tobytes()))
     nodes = spark.createDataFrame(rows, "node long, signature binary")
     distance = near_dedup.distance_limit(80)
-    key = spark.createDataFrame([(9, 0, len(rows))], "key long, low long, n long")
-    met = nodes.select("node").crossJoin(key)
+    met = nodes.selectExpr("node", "9L as key", "0L as low", f"{len(rows)}L as n")
     assert near_dedup.in_parts(near_dedup._signed(met, nodes)).count() <= 2 * len(rows)
     found = near_dedup.key_pairs(near_dedup._signed(met, nodes), distance)
     assert found.filter("key is not null").count() == loose
