@@ -7,6 +7,9 @@ together; the pointers are then doubled, so a chain of n stops takes as many rou
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from rillflow.operators.along import over_history
 from rillflow.operators.ranges import running
 from rillflow.plans.lineage import materialize
 
+_NO_KEY = object()
+
 
 def _same(a: str, b: str, at: str) -> Column:
     return F.col(f"{a}.key").eqNullSafe(F.col(f"{b}.key")) & (F.col(f"{a}.{at}") == F.col(f"{b}.row"))
@@ -48,6 +53,34 @@ def with_starts(placed: DataFrame, starts: DataFrame, key: str, at: str, name: s
     return placed.join(named, F.col(key).eqNullSafe(F.col("__key")) & (F.col(at) == F.col("__row_no")), "left").drop("__key", "__row_no")
 
 
+def without_near_repeats(rows: DataFrame, key: str, order: list[str], signature: str, least: float) -> DataFrame:
+    """The rows whose signature differs by at least ``least`` from that of the last row kept before them in their key.
+
+    Which row is compared depends on all decisions before, and values go up and down, so no
+    window finds it.  Spark deals the keys out and sorts them; a task then reads its rows in order and
+    holds one number.  A null signature is near nothing: its row is kept and nothing is
+    compared with it.  Rows of equal order are placed by a hash of their columns; null keys are a key.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = _NO_KEY, None
+        for batch in batches:
+            kept = []
+            for name, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name != own:
+                    own, last = name, None
+                fresh = mark is None or last is None or abs(mark - last) >= least
+                if fresh:
+                    last = mark
+                kept.append(fresh)
+            yield pa.RecordBatch.from_arrays(batch.column(2).filter(pa.array(kept, pa.bool_())).flatten(), names=names)
+
+    names = rows.columns
+    marked = rows.select(F.col(key).alias("__key"), F.col(signature).cast("double").alias("__mark"), F.struct(*names).alias("__row"), *[F.col(c).alias(f"__order_{k}") for k, c in enumerate(order)], F.xxhash64(*names).alias("__tie"))
+    dealt = marked.repartition("__key").sortWithinPartitions("__key", *[f"__order_{k}" for k in range(len(order))], "__tie")
+    return dealt.select("__key", "__mark", "__row").mapInArrow(scan, rows.schema)
+
+
 def rising_change(rows: DataFrame, key: str, at: str, tie: str, signature: str, interval: float, early: float, keep: int = 30) -> DataFrame:
     """Add ``change`` against a reference row that is renewed every ``interval`` seconds, ``net`` of its noise, and ``rising``.
 

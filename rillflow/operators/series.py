@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.operators.along import carry_forward, over_history
-from rillflow.operators.chains import rising_change
+from rillflow.operators.chains import rising_change, without_near_repeats
 from rillflow.operators.quantiles import exact_medians
 from rillflow.operators.sessions import seconds
 from rillflow.plans.lineage import materialize
@@ -110,6 +110,12 @@ def q_rising_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.round("change", 9).alias("change"), F.round("net", 9).alias("net"), "rising")
 
 
+def q_near_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's events in order of time, without those near the last one that stays; some have no value."""
+    marks = carrier_series(spark, sf_dir).select("event_id", "user_id", "at_sec", F.when(F.col("event_id") % 13 != 0, F.col("value")).alias("signature"))
+    return without_near_repeats(marks, "user_id", ["at_sec", "event_id"], "signature", 60.0).select("event_id", "user_id")
+
+
 def q_rolling_noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noise_floor(carrier_series(spark, sf_dir), ["user_id"], ["at_sec"], "value").select("event_id", F.round("floor", 4).alias("floor"), F.round("net", 4).alias("net"))
 
@@ -156,8 +162,14 @@ _STATE = f"""{_SERIES}, l AS (
   SELECT event_id, user_id, at_sec, max(CASE WHEN value >= 400 THEN at_sec END) OVER w AS strong, max(CASE WHEN value >= 200 THEN at_sec END) OVER w AS early
   FROM s WINDOW w AS (PARTITION BY user_id ORDER BY at_sec ROWS UNBOUNDED PRECEDING)),
 d AS (SELECT event_id, user_id, CASE WHEN at_sec - strong < 86400 THEN 'strong' WHEN at_sec - early < 86400 THEN 'early' ELSE 'calm' END AS state FROM l)"""
-QUERIES = {f.__name__: f for f in (q_motion_area, q_rising_change, q_rolling_noise_floor, q_vote, q_density, q_mad_spikes, q_spike_nms, q_as_of, q_sampler_stats, q_reason_counts)}
+QUERIES = {f.__name__: f for f in (q_near_repeats, q_motion_area, q_rising_change, q_rolling_noise_floor, q_vote, q_density, q_mad_spikes, q_spike_nms, q_as_of, q_sampler_stats, q_reason_counts)}
 ORACLE_SQL = {
+    "q_near_repeats": f"""WITH RECURSIVE {_SERIES}, k AS (SELECT event_id, user_id, CASE WHEN event_id % 13 <> 0 THEN value END AS sig, row_number() OVER (PARTITION BY user_id ORDER BY at_sec, event_id) AS n FROM s),
+f AS (
+  SELECT user_id, event_id, n, sig AS last, true AS kept FROM k WHERE n = 1
+  UNION ALL
+  SELECT k.user_id, k.event_id, k.n, CASE WHEN coalesce(abs(k.sig - f.last) >= 60, true) THEN k.sig ELSE f.last END, coalesce(abs(k.sig - f.last) >= 60, true) FROM f JOIN k ON k.user_id = f.user_id AND k.n = f.n + 1)
+SELECT event_id, user_id FROM f WHERE kept""",
     "q_motion_area": f"""WITH {_SERIES}, c AS (SELECT user_id, CAST(floor(at_sec / 3600) AS BIGINT) AS hour, event_id % 64 AS cx, CAST(floor(value) AS BIGINT) % 48 AS cy FROM s)
 SELECT user_id, hour, min(cx) AS x, min(cy) AS y, max(cx) - min(cx) + 1 AS box_width, max(cy) - min(cy) + 1 AS box_height, round((max(cx) - min(cx) + 1) * (max(cy) - min(cy) + 1) / (64 * 48), 6) AS area FROM c GROUP BY user_id, hour""",
     "q_rising_change": f"""WITH RECURSIVE {_SERIES}, m AS (SELECT event_id, user_id, at_sec, CASE WHEN event_id % 11 <> 0 THEN value / 10000 END AS sig FROM s),

@@ -370,3 +370,21 @@ def test_files_that_are_cut_say_so(spark):
     files = spark.createDataFrame([("a.txt", bytearray(b"x" * 11)), ("b.txt", bytearray(b"x" * 10)), ("c.txt", bytearray(b"")), ("d.pdf", bytearray(b"x")), ("e.docx", bytearray(b"no zip")), ("f.txt", None)], "path string, content binary")
     got = {r.filename: (r.status, len(r.text or "")) for r in parse_files(files, 10).collect()}
     assert got == {"a.txt": ("cut", 10), "b.txt": ("ready", 10), "c.txt": ("error", 0), "d.pdf": ("error", 0), "e.docx": ("error", 0), "f.txt": ("error", 0)}
+
+
+def test_near_repeats_against_a_loop(spark):
+    from rillflow.operators.chains import without_near_repeats
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "b", None]), k, rng.choice([None, rng.uniform(0, 1), rng.uniform(0, 1)])) for k in range(400)]
+    df = spark.createDataFrame(rows, "k string, id long, s double").repartition(5)
+    got = {r.id for r in without_near_repeats(df, "k", ["id"], "s", 0.3).collect()}
+    want = set()
+    for key in ("a", "b", None):
+        last = None
+        for _, i, s in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            if s is None or last is None or abs(s - last) >= 0.3:
+                want.add(i)
+                last = s
+    assert got == want
+    assert without_near_repeats(df.limit(0), "k", ["id"], "s", 0.3).count() == 0
