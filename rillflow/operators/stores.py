@@ -110,7 +110,7 @@ def q_event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = value_level(F.col("value"))
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), level)
     return table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.max(rank).cast("int").alias("worst_rank"), F.count("*").alias("n"), F.count_if(level == "kritik").alias("n_critical"), F.round(F.avg("value"), 4).alias("mean_value")
+        F.max(rank).cast("int").alias("worst_rank"), F.count("*").alias("n"), F.count_if(level == "kritik").alias("n_critical"), F.round(F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count("value"), 4).alias("mean_value")
     )
 
 
@@ -149,7 +149,7 @@ l AS (SELECT * FROM (VALUES ('dusuk', 0), ('orta', 1), ('yuksek', 2), ('kritik',
 SELECT l.level, l.rank, count(e.level) AS n FROM l LEFT JOIN e USING (level) GROUP BY l.level, l.rank""",
     "q_event_summary": f"""
 WITH e AS (SELECT *, {_LEVEL} AS level FROM events)
-SELECT user_id, max(list_position(['dusuk', 'orta', 'yuksek', 'kritik'], level)) AS worst_rank, count(*) AS n, count(*) FILTER (level = 'kritik') AS n_critical, round(avg(value), 4) AS mean_value
+SELECT user_id, max(list_position(['dusuk', 'orta', 'yuksek', 'kritik'], level)) AS worst_rank, count(*) AS n, count(*) FILTER (level = 'kritik') AS n_critical, round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value), 4) AS mean_value
 FROM e GROUP BY user_id""",
     "q_latest_state": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "q_insert_ignore": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

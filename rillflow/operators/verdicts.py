@@ -7,16 +7,9 @@ from pyspark.sql import functions as F
 
 from rillflow.functions.seams import pair_scorer, rerank
 from rillflow.functions.text import strip
-from rillflow.functions.values import EVENT_TYPES
+from rillflow.functions.values import ACTION_LINE, EVENT_TYPES, EVIDENCE_LABEL, NO_BATCH, RISK_LINE, SPIKE_HALF_SEC, SPIKE_NAME, SPIKE_TEXT, SUFFIX, UNDECIDED
 from rillflow.session import table
 
-SPIKE_NAME = "ani_olay"
-SPIKE_TEXT = "Ani/kisa sureli bir guvenlik olayi tespit edildi (detay saglanmadi)."
-SPIKE_HALF_SEC = 0.5
-UNDECIDED = "degerlendirme_yapilamadi"
-SUFFIX = "+llm_fallback_classifier"
-NO_BATCH = "[HATA] [MOCK] Hicbir batch analiz edilemedi; VLM cagrisi basarisiz."
-
 
 def _of(raw: Column, path: str, kind: str) -> Column:
     """A field of a reply's JSON object, from its first brace to its last; null where it is missing or of another kind."""
@@ -81,18 +74,18 @@ def risk_source(status: Column, n_rules: Column) -> Column:
 
 def fallback_risk(text: Column) -> Column:
     """The score of a risk line in a reply that is no JSON, held within 0 to 100; null without one."""
-    found = F.regexp_extract(text, r"(?i)(?:RISK_SKORU|risk_score)\D{0,4}(\d{1,3})", 1)
+    found = F.regexp_extract(text, RISK_LINE, 1)
     return F.when(found != "", F.least(F.lit(100), found.cast("int")))
 
 
 def fallback_action(text: Column) -> Column:
     """The text of an action line; null without one."""
-    return F.nullif(strip(F.regexp_extract(text, r"(?i)AKSIYON_ONERISI:\s*(.+)", 1)), F.lit(""))
+    return F.nullif(strip(F.regexp_extract(text, ACTION_LINE, 1)), F.lit(""))
 
 
 def evidence_label(evidence_id: Column, frame_index: Column, clock: Column, at_sec: Column, score: Column, reason: Column) -> Column:
     """The label that stands beside a frame in a model's input."""
-    return F.format_string("[evidence_id=%s | frame_index=%d | zaman=%s (%.2fs) | evidence_skoru=%.4f | secim_nedeni=%s]", evidence_id, frame_index, clock, at_sec, score, reason)
+    return F.format_string(EVIDENCE_LABEL, evidence_id, frame_index, clock, at_sec, score, reason)
 
 
 def q_confirmed_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
