@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.llm.counted_join import join_salted
 from rillflow.llm.shingles import byte_sums, mix64, window_min
 from rillflow.llm.suffix_array import repeated_prefixes
 from rillflow.plans.lineage import discard, materialize
@@ -222,18 +223,18 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, text_key, start, n): runs of starts whose ``limit``-byte string starts anywhere else, too."""
     rows = _rows(docs, id_col, text_col)
     # grams that occur twice, and the blocks that have them
-    shared = materialize(_all_blocks(rows, limit, gram).groupBy("gram").count().filter("count > 1").select("gram"), "grams")
-    candidates = materialize(_all_blocks(rows, limit, gram).join(shared.hint("merge"), "gram"), "candidates")
+    shared = materialize(_all_blocks(rows, limit, gram).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "grams")
+    candidates = materialize(join_salted(_all_blocks(rows, limit, gram), shared, ["gram"]).drop("n"), "candidates")
     discard(shared)
     by_block = materialize(
         candidates.groupBy("gram", "block").agg(F.count("*").alias("times"), F.any_value("doc_id").alias("doc_id"), F.any_value("text_key").alias("text_key"), F.any_value("pack").alias("pack")), "blocks"
     )
-    twice = candidates.join(by_block.filter("times > 1").select("gram", "block").hint("merge"), ["gram", "block"], "left_semi")
+    twice = join_salted(candidates, by_block.filter("times > 1").select("gram", "block", "times"), ["gram", "block"], "times")
     whole_blocks = materialize(twice.groupBy("doc_id", "text_key").agg(F.collect_list("pack").alias("packs")), "whole-blocks")
     discard(candidates)
     # distinct blocks of grams that several distinct blocks share, one of them not settled
-    mixed = materialize(by_block.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 and least = 1").select("gram"), "mixed")
-    wanted = by_block.join(mixed.hint("merge"), "gram").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("gram", "pack", (F.col("times") > 1).alias("settled"))).alias("wanted"))
+    mixed = materialize(by_block.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 and least = 1").select("gram", "kinds"), "mixed")
+    wanted = join_salted(by_block, mixed, ["gram"], "kinds").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("gram", "pack", (F.col("times") > 1).alias("settled"))).alias("wanted"))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("gram", pa.int64()), ("pack", pa.int64()), ("settled", pa.bool_()), ("text", pa.binary())])

@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rillflow.llm import repeated_bytes
+from rillflow.llm import counted_join, repeated_bytes
 from rillflow.llm.exact_dedup import drop_copies, exact_dedup
 from rillflow.llm.mixing import draw_mix, mix
 from rillflow.llm.near_dedup import keep_representatives, near_duplicates
@@ -315,6 +316,26 @@ def test_repeated_bytes(spark, monkeypatch, hot_core):
     assert got == removed_truth(texts, 200)
 
 
+@pytest.mark.parametrize("easy", [2, 7, 1000])
+def test_salted_joins_equal_plain_ones(spark, monkeypatch, easy):
+    """A key of most rows, equal rows among them, is dealt to parts that hold no more than their share."""
+    monkeypatch.setattr(counted_join, "EASY_ROWS", easy)
+    rows = spark.createDataFrame([(1, k % 3) for k in range(200)] + [(k, 0) for k in range(2, 30)] + [(99, 1)], "key long, v long").repartition(5)
+    keys = rows.groupBy("key").agg(F.count("*").alias("n")).filter("key != 99")
+    joined = counted_join.join_salted(rows, keys, ["key"])
+    assert Counter(map(tuple, joined.select("key", "v", "n").collect())) == Counter(map(tuple, rows.join(keys, "key").select("key", "v", "n").collect()))
+
+
+def test_repeated_bytes_of_hot_grams(spark, monkeypatch):
+    monkeypatch.setattr(counted_join, "EASY_ROWS", 3)
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    page = noise(700)
+    texts = [(k, noise(40 * (k % 3)) + page[k % 5 * 60 :] + noise(30)) for k in range(40)] + [(90, page), (90, page), (None, page)]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_bytes.remove_repeated_bytes(awkward(spark, texts)).collect())
+    assert got == removed_truth(texts, 200)
+
+
 def test_repeated_bytes_of_nothing(spark):
     assert repeated_bytes.remove_repeated_bytes(documents(spark, [])).count() == 0
 
