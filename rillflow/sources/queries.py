@@ -17,8 +17,8 @@ from rillflow.session import table
 from rillflow.sources.knowledge import article_segments, parse_files, read_chunks, read_metadata, with_metadata
 from rillflow.sources.tables import admit, append, apply_updates, delete_with_children, overlay, read_merged, stable_id, valid_feedback, with_ids
 
-#: JSON lists that the chunks are written to.
-CHUNK_FILES = 8
+#: Chunks of one JSON list: lists grow in number with the table, not in length.
+CHUNKS_A_FILE = 500
 
 
 def q_keyed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,8 @@ def q_knowledge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("chunk_id"), F.when(F.col("item_id") % 3 != 0, F.concat(F.lit("d"), (F.col("item_id") % 3).cast("string"))).alias("document_id"),
         F.when(F.col("item_id") % 5 != 0, F.col("text")).otherwise(" ").alias("text"),
     )
-    lists = table(spark, sf_dir, "benchmark").groupBy((F.col("item_id") % CHUNK_FILES).alias("file")).agg(F.to_json(F.collect_list(item)).alias("value"))
-    lists.repartition(CHUNK_FILES, "file").select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/chunks")
+    lists = table(spark, sf_dir, "benchmark").groupBy(F.floor(F.col("item_id") / CHUNKS_A_FILE).alias("file")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/chunks")
     entries = '- id: d1\n  title: "First"\n  institution: A\n- id: d9\n  title: Ninth'
     spark.createDataFrame([(entries,)], "value string").write.text(f"{folder}/sources")
     chunks = with_metadata(read_chunks(spark, f"{folder}/chunks", "*.txt"), read_metadata(spark, f"{folder}/sources"))

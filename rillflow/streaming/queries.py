@@ -66,7 +66,8 @@ def stream_first_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_detection_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_micros(_run(spark, stream_buffer(_events(spark, sf_dir).withColumn("at_sec", seconds(F.col("ts"))), "user_id", 86400.0)))
+    """Buffer sizes at every micro-batch; times stay as they are, as rounding them would depend on how a tie is rounded."""
+    return _run(spark, stream_buffer(_events(spark, sf_dir).withColumn("at_sec", seconds(F.col("ts"))), "user_id", 86400.0))
 
 
 def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +99,7 @@ ORACLE_SQL = {
     "stream_tail": f"SELECT event_id, event_type, CAST({_PARTS} AS INTEGER) AS batch FROM events",
     "stream_detection_buffer": f"""
 WITH p AS (SELECT user_id, epoch(ts) AS s, {_PARTS} AS part FROM events), m AS (SELECT user_id, part, max(s) AS newest FROM p GROUP BY user_id, part)
-SELECT CAST(m.user_id AS VARCHAR) AS source, count(*) AS n_buffered, round(newest, 4) AS newest_sec FROM m JOIN p ON p.user_id = m.user_id AND p.part <= m.part AND p.s >= newest - 86400 GROUP BY m.user_id, m.part, newest""",
+SELECT CAST(m.user_id AS VARCHAR) AS source, count(*) AS n_buffered, newest AS newest_sec FROM m JOIN p ON p.user_id = m.user_id AND p.part <= m.part AND p.s >= newest - 86400 GROUP BY m.user_id, m.part, newest""",
     "stream_event_sessions": f"""
 WITH e AS (SELECT event_type, epoch_us(ts) AS us, value FROM events),
 o AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY event_type ORDER BY us) > 1800000000 THEN 1 ELSE 0 END AS opened FROM e),
