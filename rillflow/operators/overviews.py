@@ -133,11 +133,14 @@ def q_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity(e, "call_id", "analysis_id").select("call_id", "n_analyses", F.coalesce("analysis_status", F.lit("-")).alias("analysis_status"), F.coalesce("parse_status", F.lit("-")).alias("parse_status"))
 
 
+#: A status where one was stored, and a description that may carry the mark of a failure anywhere.
+STORED_STATUS = "CASE WHEN value > 40 THEN 'failed' WHEN value > 30 THEN 'partial_failure' WHEN value > 20 THEN event_type END"
+MARKED_TEXT = "CASE WHEN user_id % 3 = 0 THEN '[HATA] ' || event_type WHEN user_id % 3 = 1 THEN event_type || ' [HATA]' WHEN user_id % 4 <> 0 THEN event_type END"
+
+
 def q_degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    status = F.when(F.col("event_id") % 4 == 0, "failed").when(F.col("event_id") % 4 == 1, "partial_failure").when(F.col("event_id") % 4 == 2, "ok")
-    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("[HATA] "), "event_type")).otherwise(F.col("event_type"))
-    return e.select("event_id", degraded_status(status, text).alias("status"))
+    return e.select("event_id", degraded_status(F.expr(STORED_STATUS), F.expr(MARKED_TEXT)).alias("status"))
 
 
 def q_leaked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +174,7 @@ SELECT user_id, round(sec, 3) AS processing_sec, round(sec / (last_sec + 5), 6)
     "q_integrity": """
 WITH p AS (SELECT event_id % 997 AS call_id, count(DISTINCT CASE WHEN event_id % 997 < 500 THEN 'a' ELSE event_type END) AS n_analyses FROM events GROUP BY 1)
 SELECT call_id, n_analyses, CASE WHEN n_analyses > 1 THEN 'partial' ELSE '-' END AS analysis_status, CASE WHEN n_analyses > 1 THEN 'provenance_integrity_failed' ELSE '-' END AS parse_status FROM p""",
-    "q_degraded": "SELECT event_id, CASE WHEN event_id % 4 = 0 OR (event_id % 4 = 3 AND event_id % 3 = 0) THEN 'failed' WHEN event_id % 4 = 1 THEN 'partial_failure' WHEN event_id % 4 = 2 THEN 'ok' ELSE 'completed' END AS status FROM events",
+    "q_degraded": f"WITH s AS (SELECT event_id, {STORED_STATUS} AS status, {MARKED_TEXT} AS text FROM events) SELECT event_id, CASE WHEN status IS NULL THEN CASE WHEN coalesce(starts_with(text, '[HATA]'), false) THEN 'failed' ELSE 'completed' END ELSE status END AS status FROM s",
     "q_leaked_keys": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'base64_image,raw_response' ELSE '' END AS leaked FROM events",
     "q_client_order": f"""
 SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS by_time, CAST(row_number() OVER (PARTITION BY user_id ORDER BY {_LEVEL} DESC, event_id) AS INTEGER) AS by_risk,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,18 +90,29 @@ def evidence_label(evidence_id: Column, frame_index: Column, clock: Column, at_s
     return F.format_string(EVIDENCE_LABEL, evidence_id, frame_index, clock, at_sec, score, reason)
 
 
+# Replies and texts that differ from event to event, as expressions that Spark and DuckDB read alike; a third of the replies is cut short.
+_CUT = "substring({0}, 1, CAST(length({0}) - CASE WHEN event_id % 3 = 0 THEN event_id % 40 ELSE 0 END AS INT))"
+_SHARE = "CASE WHEN user_id % 4 = 1 THEN '\"high\"' ELSE CAST(CAST(floor(value * 5) AS BIGINT) - 9 AS STRING) || 'e-2' END"
+_PAD = "repeat(' ', CAST(user_id % 6 AS INT))"
+SPIKE_REPLY = _CUT.format(
+    f"""('so: {{"is_notable_event": ' || CASE WHEN value > 8 THEN 'true' ELSE 'false' END || ', "event_name": "' || {_PAD} || CASE WHEN value > 16 THEN event_type ELSE '' END
+    || '", "confidence": ' || {_SHARE} || CASE WHEN user_id % 7 < 5 THEN ', "description": "user ' || CAST(user_id AS STRING) || '"' ELSE '' END || '}} end')"""
+)
+CLASS_REPLY = _CUT.format(
+    f"""('is {{"event_type": "' || {_PAD} || CASE WHEN value > 24 THEN 'Yangin_Duman' WHEN value > 12 THEN 'genel_gozlem' ELSE event_type END || ' ", "confidence": ' || {_SHARE} || '}} end')"""
+)
+LINES = f"""('seen' || chr(10) || CASE WHEN user_id % 2 = 0 THEN 'RISK_SKORU:' ELSE '"Risk_Score"=' END || {_PAD} || CAST(CAST(floor(value * 7) AS BIGINT) AS STRING) || chr(10)
+  || CASE WHEN value > 10 THEN 'Aksiyon_Onerisi:' || {_PAD} || CASE WHEN value > 20 THEN 'stop ' || event_type ELSE '' END || ' ' || chr(10) || 'more' ELSE '' END)"""
+
+
 def q_confirmed_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    reply = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('so: {"is_notable_event": true, "event_name": " '), "event_type", F.lit(' ", "confidence": 1.5, "description": "d"}')))
-    reply = reply.when(F.col("event_id") % 5 == 1, '{"is_notable_event": true, "event_name": "", "confidence": "high"}').when(F.col("event_id") % 5 == 2, '{"is_notable_event": false}').when(F.col("event_id") % 5 == 3, "no json {")
-    rows = e.select("event_id", (F.col("event_id") % 7 / 4).alias("at_sec"), reply.alias("reply"))
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 7 / 4).alias("at_sec"), F.expr(SPIKE_REPLY).alias("reply"))
     return confirmed_spikes(rows, "at_sec", "reply").select("event_id", "event_name", "description", "confidence", "start_sec", "end_sec", F.array_join("keywords", ",").alias("keywords"))
 
 
 def q_classifier_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    reply = F.when(F.col("event_id") % 4 == 0, 'is {"event_type": " Yangin_Duman ", "confidence": 0.75}').when(F.col("event_id") % 4 == 1, '{"event_type": "genel_gozlem"}').when(F.col("event_id") % 4 == 2, '{"event_type": "unheard_of", "confidence": 1}')
-    return classified(e.select("event_id", reply.alias("reply"), F.lit("m").alias("model")), "reply", "model").select("event_id", "event_name", F.coalesce("event_type", F.lit("-")).alias("event_type"), "confidence", "source_model")
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(CLASS_REPLY).alias("reply"), F.lit("m").alias("model"))
+    return classified(rows, "reply", "model").select("event_id", "event_name", F.coalesce("event_type", F.lit("-")).alias("event_type"), "confidence", "source_model")
 
 
 def q_reconcile_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,10 +124,8 @@ def q_reconcile_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_fallback_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    score = (F.col("event_id") % 130).cast("string")
-    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("RISK_SKORU: "), score, F.lit("\nAksiyon_Onerisi:  stop "), "event_type", F.lit(" \nmore"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('"Risk_Score": '), score)).otherwise(F.lit("nothing"))
-    return e.select("event_id", F.coalesce(fallback_risk(text), F.lit(-1)).alias("risk"), F.coalesce(fallback_action(text), F.lit("-")).alias("action"))
+    text = F.expr(LINES)
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(fallback_risk(text), F.lit(-1)).alias("risk"), F.coalesce(fallback_action(text), F.lit("-")).alias("action"))
 
 
 def q_evidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,21 +138,34 @@ def q_risk_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", risk_source(F.when(F.col("event_id") % 5 == 0, "unknown").when(F.col("event_id") % 5 == 1, "ok"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 3 - 1)).alias("risk_source"))
 
 
+RERANK_QUERY = "The terms of the license and the version of this work"
+
+
+def _shared_words(pairs: list[tuple[str, str]]) -> list[float]:
+    """Words that two texts share, as a part of all words of both."""
+    sets = [(set(re.findall("[A-Za-z0-9]+", a)), set(re.findall("[A-Za-z0-9]+", b))) for a, b in pairs]
+    return [len(a & b) / (len(a | b) or 1) for a, b in sets]
+
+
 def q_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten documents that a stub scorer (length of the text) puts first, in previous order for ties."""
+    """The ten documents that share most words with a query, by a scorer of pairs where a model would stand; previous order for ties."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    scorer = pair_scorer(lambda: lambda pairs: [float(len(text)) for _, text in pairs])
-    return rerank(docs, F.lit("query"), F.col("text"), scorer, "doc_id", 10).select("doc_id", "pair_score")
+    return rerank(docs, F.lit(RERANK_QUERY), F.col("text"), pair_scorer(lambda: _shared_words), "doc_id", 10).select("doc_id", "pair_score")
 
 
 QUERIES = {f.__name__: f for f in (q_confirmed_spikes, q_classifier_fallback, q_reconcile_batches, q_fallback_lines, q_evidence_labels, q_risk_source, q_rerank)}
+_DOC_SQL = """d AS (SELECT event_id, CASE WHEN json_valid(x) THEN x END AS doc FROM (SELECT event_id, coalesce(nullif(regexp_extract(reply, '\\{{.*\\}}', 0, 's'), ''), reply) AS x FROM (SELECT *, {} AS reply FROM events)))"""
 ORACLE_SQL = {
     "q_confirmed_spikes": f"""
-WITH s AS (SELECT event_id, event_type, event_id % 7 / 4 AS t, CASE WHEN event_id % 5 = 0 THEN event_type ELSE '{SPIKE_NAME}' END AS n FROM events WHERE event_id % 5 IN (0, 1))
-SELECT event_id, n AS event_name, CASE WHEN event_id % 5 = 0 THEN 'd' ELSE '{SPIKE_TEXT}' END AS description, CAST(CASE WHEN event_id % 5 = 0 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS confidence, CAST(greatest(0, t - 0.5) AS DOUBLE) AS start_sec, CAST(t + 0.5 AS DOUBLE) AS end_sec, n AS keywords FROM s""",
+WITH {_DOC_SQL.format(SPIKE_REPLY)},
+p AS (SELECT event_id, event_id % 7 / 4 AS t, coalesce(nullif(trim(json_extract_string(doc, '$.event_name')), ''), '{SPIKE_NAME}') AS n, coalesce(nullif(trim(json_extract_string(doc, '$.description')), ''), '{SPIKE_TEXT}') AS description,
+  coalesce(TRY_CAST(json_extract_string(doc, '$.confidence') AS DOUBLE), 0.5) AS c FROM d WHERE json_extract_string(doc, '$.is_notable_event') = 'true')
+SELECT event_id, n AS event_name, description, CAST(greatest(0, least(1, c)) AS DOUBLE) AS confidence, CAST(greatest(0, t - 0.5) AS DOUBLE) AS start_sec, CAST(t + 0.5 AS DOUBLE) AS end_sec, n AS keywords FROM p""",
     "q_classifier_fallback": f"""
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'yangin_duman' WHEN 1 THEN 'genel_gozlem' ELSE '{UNDECIDED}' END AS event_name, CASE event_id % 4 WHEN 0 THEN 'yangin_duman' WHEN 1 THEN 'genel_gozlem' ELSE '-' END AS event_type,
-  CAST(CASE event_id % 4 WHEN 0 THEN 0.75 WHEN 1 THEN 0.3 ELSE 0 END AS DOUBLE) AS confidence, 'm{SUFFIX}' || CASE WHEN event_id % 4 < 2 THEN '' ELSE '_failed' END AS source_model FROM events""",
+WITH {_DOC_SQL.format(CLASS_REPLY)},
+k AS (SELECT event_id, lower(trim(json_extract_string(doc, '$.event_type'))) AS kind, coalesce(TRY_CAST(json_extract_string(doc, '$.confidence') AS DOUBLE), 0.3) AS c FROM d),
+n AS (SELECT event_id, CASE WHEN kind IN ({", ".join(f"'{t}'" for t in EVENT_TYPES)}) THEN kind END AS known, c FROM k)
+SELECT event_id, coalesce(known, '{UNDECIDED}') AS event_name, coalesce(known, '-') AS event_type, CAST(CASE WHEN known IS NULL THEN 0 ELSE greatest(0, least(1, c)) END AS DOUBLE) AS confidence, 'm{SUFFIX}' || CASE WHEN known IS NULL THEN '_failed' ELSE '' END AS source_model FROM n""",
     "q_reconcile_batches": f"""
 WITH b AS (SELECT DISTINCT conv_id, turn, turn % 4 <> 1 AS failed FROM conversations),
 i AS (SELECT conv_id, unnest(['e' || turn, 'e' || turn // 2]) AS id, 0 AS part, turn, unnest([0, 1]) AS k FROM b UNION ALL SELECT conv_id, 'e' || (turn + 100), 1, turn, 0 FROM b WHERE NOT failed),
@@ -149,8 +173,13 @@ u AS (SELECT conv_id, id, min([part, turn, k]) AS place FROM i GROUP BY conv_id,
 e AS (SELECT conv_id, string_agg(id, ',' ORDER BY place) AS evidence_ids FROM u GROUP BY conv_id),
 g AS (SELECT conv_id, count(*) FILTER (NOT failed) AS n_good, arg_min('t' || turn, turn) FILTER (NOT failed) AS text, CAST(coalesce(sum(turn + 1) FILTER (NOT failed), 0) AS BIGINT) AS n_frames, CAST(coalesce(sum(turn * 2) FILTER (NOT failed), 0) AS BIGINT) AS latency_ms FROM b GROUP BY conv_id)
 SELECT conv_id, CASE WHEN n_good > 0 THEN 'ok' ELSE 'failed' END AS status, coalesce(text, '{NO_BATCH}') AS text, n_frames, latency_ms, evidence_ids, array_to_string(list_transform(generate_series(1, n_good), lambda x: 'mock_e' || x), ',') AS event_names FROM g JOIN e USING (conv_id)""",
-    "q_fallback_lines": "SELECT event_id, CAST(CASE WHEN event_id % 3 = 2 THEN -1 ELSE least(100, event_id % 130) END AS INTEGER) AS risk, CASE WHEN event_id % 3 = 0 THEN 'stop ' || event_type ELSE '-' END AS action FROM events",
+    "q_fallback_lines": f"""
+WITH t AS (SELECT event_id, {LINES} AS x FROM events)
+SELECT event_id, CASE WHEN regexp_matches(x, '{RISK_LINE}') THEN least(100, CAST(regexp_extract(x, '{RISK_LINE}', 1) AS INTEGER)) ELSE -1 END AS risk, coalesce(nullif(trim(regexp_extract(x, '{ACTION_LINE}', 1)), ''), '-') AS action FROM t""",
     "q_evidence_labels": "SELECT event_id, printf('[evidence_id=ev%d | frame_index=%d | zaman=00:01 (%.2fs) | evidence_skoru=%.4f | secim_nedeni=%s]', event_id, event_id, event_id % 400 / 4, event_id % 16 / 16, event_type) AS label FROM events",
     "q_risk_source": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'unknown' WHEN event_id % 3 = 2 THEN 'rule_engine' ELSE 'agent' END AS risk_source FROM events",
-    "q_rerank": "SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS pair_score FROM documents ORDER BY pair_score DESC, doc_id LIMIT 10",
+    "q_rerank": f"""
+WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) AS t, list_distinct(string_split('{RERANK_QUERY}', ' ')) AS q FROM documents),
+n AS (SELECT doc_id, len(list_intersect(t, q)) AS both_have, len(t) + len(q) AS n_words FROM w)
+SELECT doc_id, CAST(both_have AS DOUBLE) / (n_words - both_have) AS pair_score FROM n ORDER BY pair_score DESC, doc_id LIMIT 10""",
 }
