@@ -41,7 +41,7 @@ def batches_of(items: list, n: int = BATCH) -> Iterator[list]:
 
 
 def stub_embedder(dimension: int = 16) -> Callable[[list[str]], list[list[float]]]:
-    """Signed word hashing, normalised."""
+    """Signed word hashing, normalised.  Where a text's words cancel each other, its last word alone counts, so only a text without words has a zero vector."""
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = []
@@ -49,7 +49,10 @@ def stub_embedder(dimension: int = 16) -> Callable[[list[str]], list[list[float]
             vector = [0.0] * dimension
             for word in text.lower().split():
                 h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "little")
-                vector[h % dimension] += 1.0 if h & (1 << 20) else -1.0
+                at, sign = h % dimension, 1.0 if h & (1 << 20) else -1.0
+                vector[at] += sign
+            if text.split() and not any(vector):
+                vector[at] = sign
             out.append(vector)
         return out
 

@@ -15,6 +15,13 @@ def test_embedding_keeps_places(spark):
     assert sum(x * x for x in rows[1]) == pytest.approx(1.0, abs=1e-5)
 
 
+def test_words_that_cancel_have_a_vector(spark):
+    texts = ["Or thstenes to ofthinatre.", "Miesí con, raque ciónciónueue."]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(seams.embedder()(F.col("t")).alias("v")).collect()
+    assert [sum(x * x for x in r.v) for r in rows] == pytest.approx([1.0, 1.0], abs=1e-5)
+    assert not any(seams.stub_embedder()([" "])[0])
+
+
 def test_retries():
     calls = []
 
