@@ -24,8 +24,6 @@ HELD_OUT = 2
 MOST_LANGS = 200
 TRAIN_DOCS = 250
 TRAIN_CHARS = 8_192
-#: Held-out documents of each language from which the stage derives its limit.
-JUDGED_DOCS = 100
 STEPS = 300
 BATCH = 96
 #: Lengths of the windows that training draws, so that short texts are learned as well.
@@ -65,14 +63,13 @@ def windows_of(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return windows, lengths, text
 
 
-def sample(docs: DataFrame, n: int, held_out: bool, id_col: str, text_col: str, lang_col: str) -> list:
-    """(doc_id, lang, text) of at most ``n`` labelled documents of each of the ``MOST_LANGS`` commonest languages, by smallest hash; null ids are not taken.
+def sample(docs: DataFrame, n: int, id_col: str, text_col: str, lang_col: str) -> list:
+    """(doc_id, lang, text) of at most ``n`` labelled documents outside the held-out fold of each of the ``MOST_LANGS`` commonest languages, by smallest hash; null ids are not taken.
 
     Of a text, at most ``TRAIN_CHARS`` characters come to the driver, from a place that a hash chooses.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    here = fold(F.col("doc_id")) == HELD_OUT
-    labelled = named.filter((here if held_out else ~here) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    labelled = named.filter((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
     chosen = labelled.select("doc_id", "lang").distinct().join(F.broadcast(common), "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
@@ -84,7 +81,7 @@ def sample(docs: DataFrame, n: int, held_out: bool, id_col: str, text_col: str,
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], BiGru] | None:
     """Train on a sample of labelled documents outside the held-out fold.  A language of very little text is drawn in windows of its own length and shortens no other's."""
     texts: dict[str, list[np.ndarray]] = {}
-    for r in sample(docs, TRAIN_DOCS, False, id_col, text_col, lang_col):
+    for r in sample(docs, TRAIN_DOCS, id_col, text_col, lang_col):
         if has_letter(r["text"].encode()):
             texts.setdefault(r["lang"], []).append(folded(r["text"].encode()))
     if not texts:
@@ -154,17 +151,25 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def score_limit(docs: DataFrame, model: tuple[list[str], BiGru] | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
-    """The score below which the stage rejects, from a bounded sample of labelled documents that the model was not trained on.
+    """The score below which the stage rejects, from all labelled documents of the held-out fold, each read whole; the model was not trained on them.
 
     Scores fall as more languages are learned, so the limit follows the lowest score of a rightly
-    named document of the sample.  Where none is rightly named, nothing is rejected by its score.
+    named document.  Where none is rightly named, nothing is rejected by its score.
     """
     if model is None:
         return 0.0
-    rows = sample(docs, JUDGED_DOCS, True, id_col, text_col, lang_col)
-    found = label_texts([r["text"].encode() for r in rows], *model)
-    right = [score for r, (name, score) in zip(rows, found, strict=True) if name == r["lang"]]
-    return min(MOST_LIMIT, SHARE_OF_LOWEST * min(right)) if right else 0.0
+    langs, net = model
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = label_texts(batch.column(0).to_pylist(), langs, net)
+            right = [score for (name, score), lang in zip(found, batch.column(1).to_pylist(), strict=True) if name == lang]
+            yield pa.RecordBatch.from_arrays([pa.array([min(right, default=None)], pa.float64())], names=["score"])
+
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
+    judged = named.filter((fold(F.col("doc_id")) == HELD_OUT) & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    low = judged.select("text", "lang").mapInArrow(lowest, "score double").agg(F.min("score")).first()[0]
+    return 0.0 if low is None else min(MOST_LIMIT, SHARE_OF_LOWEST * low)
 
 
 def keep_identified(docs: DataFrame, least_score: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

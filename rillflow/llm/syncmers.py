@@ -2,11 +2,12 @@
 
 A k-mer of the UTF-8 bytes is an anchor when the smallest of its inner s-mers
 lies at one of its two edges.  Whether a k-mer is chosen depends on the k-mer
-alone, so an edit elsewhere in the text never moves an anchor.  A text with at
-most ``ANCHORS`` distinct anchors keeps all of them; a longer one keeps every
-anchor that is the smallest of some ``WINDOW`` successive ones, so a fingerprint
+alone, so an edit elsewhere in the text never moves an anchor.  A text keeps every
+distinct anchor that is the smallest of some ``WINDOW`` successive ones, so a fingerprint
 grows with its text and two texts that share ``WINDOW`` successive anchors share
-a kept one.  Kept anchors are written with their first places, in text order.
+a kept one.  A window may stick out at either end of the text, so short and long texts
+follow one rule; ``keep_all`` asks for another one, which keeps all anchors of texts
+with at most so many.  Kept anchors are written with their first places, in text order.
 Likeness does not depend on what is kept: it is the share of common anchors among
 all distinct anchors of both texts and counts only matches whose order agrees.
 A text without a closed syncmer has itself as its anchor, so its likeness is 1 to an
@@ -66,11 +67,18 @@ def anchors_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return places[first], value
 
 
-def fingerprint(anchors: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the kept anchors, in text order."""
+def fingerprint(anchors: tuple[np.ndarray, np.ndarray], keep_all: int | None = ANCHORS) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the kept anchors, in text order: by one rule for every text if ``keep_all`` is None, else all of up to so many."""
     order = np.argsort(anchors[0], kind="stable")
     places, value = anchors[0][order], anchors[1][order]
-    if len(value) <= ANCHORS:
+    if keep_all is None:
+        beside = np.full(WINDOW - 1, 1 << 32, np.uint64)  # above every hash
+        low = window_min(np.concatenate([beside, value.astype(np.uint64), beside]), WINDOW)
+        kept = np.zeros(len(value), bool)
+        for k in range(WINDOW):
+            kept |= low[k : k + len(value)] == value
+        return places[kept], value[kept]
+    if len(value) <= keep_all:
         return places, value
     low = window_min(value, WINDOW)
     kept = np.zeros(len(value), bool)
@@ -132,7 +140,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, target_rows: int) ->
     )
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS, keep_all: int | None = ANCHORS) -> DataFrame:
     """Return doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text replaces the last floor(n_chars / 2) code points by the first
@@ -140,6 +148,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first; the last document is followed by the first, a single document by
     itself.  Repeated ids are ordered by the text's digest.  A null text is an
     empty one.  An empty table gives an empty result; further columns are ignored.
+    ``keep_all`` is that of :func:`fingerprint`; likeness does not depend on it.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +160,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             half = len(text) // 2
             edited = (text[: len(text) - half] + following[2][:half]).encode()
             other = anchors_of(edited)
-            return doc_id, len(text), hashlib.sha256(edited).hexdigest(), encode(fingerprint(own)), encode(fingerprint(other)), likeness(own, other), likeness(own, following[3])
+            return doc_id, len(text), hashlib.sha256(edited).hexdigest(), encode(fingerprint(own, keep_all)), encode(fingerprint(other, keep_all)), likeness(own, other), likeness(own, following[3])
 
         for batch in batches:
             out = []

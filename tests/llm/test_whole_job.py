@@ -5,17 +5,18 @@ import random
 import re
 import textwrap
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from rillflow.llm import language_id, licenses, near_dedup
+from rillflow.llm import language_id, licenses, near_dedup, registry
 from rillflow.llm.components import components
 from rillflow.llm.mixing import mix
 from rillflow.llm.near_dedup import keep_representatives
 from rillflow.llm.secrets import scan_secrets
-from rillflow.llm.syncmers import fingerprints
+from rillflow.llm.syncmers import anchors_of, fingerprints
 from tests.llm.helpers import documents
 from tests.llm.test_contracts import shingles
 from tests.oracle import SMALL
@@ -86,6 +87,40 @@ def test_fingerprints_of_long_texts_share_a_passage(spark):
     assert 0 < got[1].near_next < 0.02 and 0 < got[2].near_next < 0.02
 
 
+def test_short_and_long_texts_have_fingerprints_of_one_rule(spark, tmp_path):
+    """The query keeps, in texts of any length, what is smallest in some window of 8 anchors that may stick out of the text; one more word changes a print at its end only."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    docs = documents(spark, [(k, " ".join(words[:k])) for k in range(81)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: [x.split("@")[0] for x in r.fingerprint.split(",") if x] for r in registry.op3_syncmer_fingerprints(spark, str(tmp_path)).collect()}
+    for k in range(1, 81):
+        value = anchors_of(" ".join(words[:k]).encode())
+        value = value[1][np.argsort(value[0])].tolist()
+        windows = [value[max(0, j) : j + 8] for j in range(-7, len(value))]
+        assert got[k] == [f"{h:08x}" for h in value if any(h == min(w) for w in windows if w)]
+    prints = [set(got[k]) for k in range(4, 81)]  # from the first text of more than one anchor on
+    assert all(len(a & b) >= len(a) - 8 for a, b in zip(prints, prints[1:], strict=False))
+
+
+def test_the_score_limit_is_that_of_all_held_out_documents(spark):
+    """A single rightly named document of a low score, at any place among 600, sets the limit; so does one whose low score is beyond its first 8,192 characters."""
+
+    class Net:
+        def sums(self, windows, lengths):
+            low = (windows[:, 0] == ord("q"))[:, None]
+            return np.where(low, [0.3, 0.25, 0.25, 0.2], [1.0, 0.0, 0.0, 0.0]) * lengths[:, None]
+
+    model = (["en", "a", "b", "c"], Net())
+    ids = [k for k in range(2600) if zlib.crc32(str(k).encode()) % 4 == language_id.HELD_OUT][:600]
+    for odd in ids[::150]:
+        docs = documents(spark, [(k, "q" * 30 if k == odd else "a" * 30) for k in ids])
+        assert language_id.score_limit(docs, model) == pytest.approx(language_id.SHARE_OF_LOWEST * 0.3)
+    long = documents(spark, [(ids[0], "a" * 8192 + "q" * 3 * 8192)])
+    assert language_id.score_limit(long, (model[0], model[1])) == pytest.approx(min(language_id.MOST_LIMIT, language_id.SHARE_OF_LOWEST * (0.25 + 0.75 * 0.3)))
+    assert language_id.score_limit(documents(spark, [(ids[0], "a")], lang=lambda k: "zz"), model) == 0.0
+
+
 def test_a_tiny_language_spoils_no_other(spark):
     """One labelled document of two letters, and one of a single letter, leave the held-out accuracy of the others where it was."""
     docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
