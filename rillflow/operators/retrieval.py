@@ -20,6 +20,8 @@ CHUNK_CHARS = 1500
 CHUNK_OVERLAP = 150
 #: Query vectors are sent to the tasks in blocks of this many.
 QUERY_BLOCK = 1024
+#: Rows whose scores with a block of queries are held at a time.
+SCORE_ROWS = 1024
 
 
 def text_windows(docs: DataFrame, text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -60,11 +62,20 @@ def vector_topk(vectors: DataFrame, id_col: str, vector: str, query: list[float]
     return vectors.withColumn("score", dot).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def _first(query: np.ndarray, own: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` rows of each query with the highest rounded scores, the smaller id first for equal ones."""
+    order = np.lexsort((own, -np.round(score, 9), query))
+    query, own, score = query[order], own[order], score[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[place < most], own[place < most], score[place < most]
+
+
 def search_vectors(vectors: DataFrame, id_col: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): exact nearest vectors of every query, without the query itself.
 
-    Queries go to the tasks in blocks of ``QUERY_BLOCK``; every task keeps ``k``
-    rows of a batch per query, and a window ranks what is left.
+    Queries go to the tasks in blocks of ``QUERY_BLOCK``; every task holds the scores
+    of ``SCORE_ROWS`` rows and the best rows of each query so far, and a window ranks
+    what the tasks return.
     """
     spark = vectors.sparkSession
     found: DataFrame | None = None
@@ -74,13 +85,24 @@ def search_vectors(vectors: DataFrame, id_col: str, vector: str, queries: DataFr
 
         def nearest(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, matrix = sent.value
+            most = k + 1
+            # (query's place, id, score) of the best rows so far, and the rounded score that a row needs to be among them
+            best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            least = np.full(len(ids), -np.inf)
             for batch in batches:
-                own = batch[id_col].to_numpy()
-                scores = np.array(batch[vector].tolist(), dtype=np.float64).reshape(len(own), -1) @ matrix.T if len(own) else np.empty((0, len(ids)))
-                scores[own[:, None] == ids[None, :]] = -np.inf
-                keep = np.argsort(-np.round(scores, 9), axis=0, kind="stable")[: k + 1] if len(own) else np.empty((0, len(ids)), int)
-                out = pd.DataFrame({"query_id": np.tile(ids, len(keep)), "id": own[keep].ravel(), "score": np.take_along_axis(scores, keep, axis=0).ravel()})
-                yield out[np.isfinite(out["score"])]
+                for at in range(0, len(batch), SCORE_ROWS):
+                    part = batch.iloc[at : at + SCORE_ROWS]
+                    own = part[id_col].to_numpy()
+                    scores = np.array(part[vector].tolist(), dtype=np.float64).reshape(len(own), -1) @ matrix.T
+                    scores[(own[:, None] == ids[None, :]) | ~np.isfinite(scores)] = -np.inf
+                    rounded = np.round(scores, 9)
+                    floor = np.maximum(least, np.partition(rounded, -most, axis=0)[-most]) if len(own) > most else least
+                    row, query = np.nonzero((rounded >= floor) & (scores > -np.inf))
+                    best = _first(np.concatenate([best[0], query]), np.concatenate([best[1], own[row]]), np.concatenate([best[2], scores[row, query]]), most)
+                    full = np.bincount(best[0], minlength=len(ids)) == most
+                    np.minimum.at(low := np.full(len(ids), np.inf), best[0], np.round(best[2], 9))
+                    least = np.where(full, low, -np.inf)
+            yield pd.DataFrame({"query_id": ids[best[0]], "id": best[1], "score": best[2]})
 
         part = vectors.select(id_col, vector).mapInPandas(nearest, "query_id long, id long, score double")
         found = part if found is None else found.unionByName(part)

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rillflow.functions import text as T
-from rillflow.operators import detection, folds, risk, rules, sessions, stores, structured
+from rillflow.operators import detection, folds, retrieval, risk, rules, sessions, stores, structured
 from rillflow.operators.along import carry_forward, over_history
 from rillflow.operators.selection import FrameSelector, SelectionParams, SelectionState, select_rows
 from rillflow.operators.series import suppress_near
@@ -313,3 +314,18 @@ def test_fold_of_sessions_against_a_loop(spark, part_sec):
     columns = ("start_sec", "end_sec", "occurrence_count", "confidence", "description", "event_type", "keywords", "evidence_ids", "risk_hint")
     assert {(r["name"], r["session_no"]): tuple(r[c] for c in columns) for r in got.collect()} == want
     assert structured.fold_sessions(spark.createDataFrame([], schema), ["name"], "at", "n").count() == 0
+
+
+def test_nearest_vectors_among_ties_beyond_a_slice(spark):
+    """Copies of few vectors in descending order of id, more rows than are scored at a time: of equal scores the smallest ids come first."""
+    rng = np.random.default_rng(3)
+    few = rng.normal(size=(5, 4))
+    rows = [(k, few[int(rng.integers(0, 5))].tolist()) for k in range(2999, -1, -1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in retrieval.search_vectors(vectors, "vec_id", "embedding", vectors.filter("vec_id % 500 = 0"), 10).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.id
+    by_id = dict(rows)
+    for q in range(0, 3000, 500):
+        want = sorted((i for i in by_id if i != q), key=lambda i: (-round(float(np.dot(by_id[i], by_id[q])), 9), i))[:10]
+        assert [got[q][k + 1] for k in range(10)] == want
