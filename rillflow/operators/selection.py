@@ -8,7 +8,7 @@ whose distance to another frame's tells how much both differ.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from statistics import median
 
 import pandas as pd
@@ -89,7 +89,8 @@ class SelectionState:
     selected: int = 0
 
     def dump(self) -> dict:
-        return asdict(self)
+        plain = lambda x: {k: list(v) if isinstance(v, list) else v for k, v in vars(x).items()}
+        return plain(self) | {"fast": plain(self.fast), "slow": plain(self.slow)}
 
     @classmethod
     def load(cls, stored: dict) -> SelectionState:

@@ -77,3 +77,32 @@ def test_no_machine_local_folder_on_a_cluster(spark):
     assert shared_dir(Session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
     with pytest.raises(RuntimeError):
         shared_dir(Session("spark://host:7077", None))
+
+
+def test_keys_share_state_rows_by_bucket(spark, tmp_path):
+    """With three buckets a stream holds three state rows, and emits what it does with nearly one bucket a key; keys that are idle for an hour go in both."""
+    from rillflow.operators.selection import SelectionParams
+    from rillflow.streaming.registry import IDLE, stream_registry, with_rocksdb
+    from rillflow.streaming.state import stream_selection
+
+    folder = queries.in_parts(spark, SMALL)
+    events = event_stream(spark, folder, files_per_trigger=queries.FILES).withColumn("at_sec", seconds(F.col("ts"))).withColumn("id", F.col("event_id"))
+    frames = events.select("ts", F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("frame_id"), "at_sec", (F.col("value") / 50000).alias("ratio"), (F.col("event_id") % 10 / 10.0).alias("area"), (F.col("value") / 10000).alias("signature"))
+    streams = {
+        "buffer": lambda n: stream_buffer(events, "user_id", 86400.0, buckets=n),
+        "selection": lambda n: stream_selection(frames, SelectionParams(), idle_sec=3600.0, buckets=n),
+        "registry": lambda n: stream_registry(events, "user_id", "id", "at_sec", most=3, idle_sec=3600.0, buckets=n),
+    }
+    with with_rocksdb(spark):
+        for name, stream in streams.items():
+            rows = {}
+            for n in (3, 100_003):
+                place = f"{tmp_path}/{name}-{n}"
+                query = stream(n).writeStream.outputMode("append").format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+                query.awaitTermination()
+                held = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+                assert held <= 3 if n == 3 else held > 3
+                rows[n] = sorted(tuple(r) for r in spark.read.parquet(f"{place}/rows").collect())
+            assert rows[3] == rows[100_003]
+            if name == "registry":
+                assert any(change == IDLE for *_, change in rows[3])
