@@ -27,7 +27,7 @@ def _same(a: str, b: str, at: str) -> Column:
 def chain_starts(placed: DataFrame, key: str, at: str, reach: Column, limit: Column, at_limit: bool = False) -> DataFrame:
     """(key, row, no): the stops of each key's chain, from its first row on, numbered from 0.
 
-    ``at`` numbers a key's rows from 1 and ``reach`` never falls along them.  From a row
+    Its tables grow with the rows, so they are merged, never broadcast through the driver.  ``at`` numbers a key's rows from 1 and ``reach`` never falls along them.  From a row
     the chain goes to the first one whose reach is beyond the row's ``limit``, or at it if
     ``at_limit``; the row itself must not be.  Null keys are a key.
     """
@@ -40,9 +40,9 @@ def chain_starts(placed: DataFrame, key: str, at: str, reach: Column, limit: Col
     while not jumps.isEmpty():
         # starts holds the first ``step`` stops of each key, jumps go ``step`` stops ahead
         a, b, c = starts.alias("a"), jumps.alias("b"), jumps.alias("c")
-        ahead = a.join(b, _same("a", "b", "row")).select("a.key", F.col("b.to").alias("row"), (F.col("a.no") + step).alias("no"))
+        ahead = a.join(b.hint("merge"), _same("a", "b", "row")).select("a.key", F.col("b.to").alias("row"), (F.col("a.no") + step).alias("no"))
         starts = materialize(starts.unionByName(ahead), "starts")
-        jumps = materialize(c.join(b, _same("c", "b", "to")).select("c.key", "c.row", "b.to"), "jumps")
+        jumps = materialize(c.join(b.hint("merge"), _same("c", "b", "to")).select("c.key", "c.row", "b.to"), "jumps")
         step *= 2
     return starts
 
@@ -50,7 +50,7 @@ def chain_starts(placed: DataFrame, key: str, at: str, reach: Column, limit: Col
 def with_starts(placed: DataFrame, starts: DataFrame, key: str, at: str, name: str) -> DataFrame:
     """The rows with the number of the stop that they are, null for others, as ``name``."""
     named = starts.select(F.col("key").alias("__key"), F.col("row").alias("__row_no"), F.col("no").alias(name))
-    return placed.join(named, F.col(key).eqNullSafe(F.col("__key")) & (F.col(at) == F.col("__row_no")), "left").drop("__key", "__row_no")
+    return placed.join(named.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (F.col(at) == F.col("__row_no")), "left").drop("__key", "__row_no")
 
 
 def without_near_repeats(rows: DataFrame, key: str, order: list[str], signature: str, least: float) -> DataFrame:
@@ -101,10 +101,10 @@ def rising_change(rows: DataFrame, key: str, at: str, tie: str, signature: str,
     renewed = seen.filter("__ref is not null and change is not null").select(F.col(key).alias("key"), F.col("__at").alias("at"), F.col("__ref").alias("no"), "change")
     floors = over_history(renewed, ["key"], ["at"], "at", keep, {"floor": lambda w: F.percentile("change", F.lit(0.5)).over(w)})
     floors = floors.select(F.col("key").alias("__key"), F.col("no").alias("__no"), "floor")
-    floored = seen.join(floors, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__last.no") == F.col("__no")), "left").drop("__key", "__no")
+    floored = seen.join(floors.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__last.no") == F.col("__no")), "left").drop("__key", "__no")
     net = materialize(floored.withColumn("net", F.greatest(F.lit(0.0), F.col("change") - F.coalesce("floor", F.lit(0.0)))), "net-changes")
     before = net.select(F.col(key).alias("__key"), (F.col("__at") + 1).alias("__next"), F.col("__last.no").alias("__no"), F.col("net").alias("__before"))
-    both = net.join(before, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__at") == F.col("__next")), "left")
+    both = net.join(before.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__at") == F.col("__next")), "left")
     previous = F.when(F.col("__no") == F.col("__last.no"), F.col("__before")).otherwise(0.0)
     rising = F.coalesce((F.col("net") >= early) & (F.col("net") > F.coalesce(previous, F.lit(0.0))), F.lit(False))
     found = both.select(*rows.columns, "change", F.when(F.col("change").isNotNull(), F.col("net")).alias("net"), rising.alias("rising"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillflow.functions import text as T
-from rillflow.operators import detection, folds, retrieval, risk, rules, sessions, stores, structured
+from rillflow.operators import chains, detection, folds, retrieval, risk, rules, sessions, stores, structured
 from rillflow.operators.along import carry_forward, over_history
 from rillflow.operators.selection import FrameSelector, SelectionParams, SelectionState, select_rows
 from rillflow.operators.series import suppress_near
@@ -329,3 +329,11 @@ def test_nearest_vectors_among_ties_beyond_a_slice(spark):
     for q in range(0, 3000, 500):
         want = sorted((i for i in by_id if i != q), key=lambda i: (-round(float(np.dot(by_id[i], by_id[q])), 9), i))[:10]
         assert [got[q][k + 1] for k in range(10)] == want
+
+
+def test_chains_are_joined_without_the_driver(spark):
+    """The stops of a chain grow with the rows; even small ones are merged, not broadcast."""
+    placed = spark.createDataFrame([("a", k, float(k)) for k in range(1, 40)], "key string, at long, t double")
+    starts = chains.chain_starts(placed, "key", "at", F.col("t"), F.col("t") + 5, at_limit=True)
+    assert sorted(r.row for r in starts.collect()) == list(range(1, 40, 5))
+    assert "Broadcast" not in chains.with_starts(placed, starts, "key", "at", "no")._jdf.queryExecution().executedPlan().toString()
