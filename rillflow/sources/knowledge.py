@@ -9,7 +9,6 @@ import zipfile
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +17,8 @@ CHUNK_SCHEMA = "chunk_id string, document_id string, level string, number string
 ALLOWED = ("txt", "docx")
 MOST_CHARS = 200_000
 MOST_BYTES = 10 * 1024 * 1024
+#: Characters of parsed texts after which they are handed on.
+PARSED_CHARS = 1 << 20
 #: Articles of one text that are handed on together.
 SEGMENTS_AT_A_TIME = 1_000
 ARTICLE = r"(?m)^\s*(?:GEÇİCİ\s+)?(?:MADDE|Madde)\s+(\d+)"
@@ -73,19 +74,29 @@ def extract_pages(name: str, raw: bytes, most_chars: int | None = MOST_CHARS) ->
 def parse_files(files: DataFrame, most_chars: int | None = MOST_CHARS) -> DataFrame:
     """(filename, status, page, text) of files (path, content): ``ready``, ``cut`` where a text was longer than allowed, ``error`` without text for a file that fails or is not allowed."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for path, raw in zip(batch["path"], batch["content"], strict=True):
-                name = path.rsplit("/", 1)[-1]
+            out, n_chars = [], 0
+            for path, raw in zip(batch.column(0), batch.column(1), strict=True):
+                name = path.as_py().rsplit("/", 1)[-1]
                 try:
-                    pages = [p for p in extract_pages(name, raw or b"", most_chars) if p[1].strip()]
+                    pages = [p for p in extract_pages(name, raw.as_py() or b"", most_chars) if p[1].strip()]
                 except Exception:  # noqa: BLE001 - a broken file is a row, not a failed job
                     pages = []
                 out += [(name, "cut" if cut else "ready", p, t) for p, t, cut in pages] or [(name, "error", None, None)]
-            yield pd.DataFrame(out, columns=["filename", "status", "page", "text"]).astype({"page": "Int32"})
+                n_chars += sum(len(t) for _, t, _ in pages)
+                if n_chars >= PARSED_CHARS:
+                    yield _parsed(out)
+                    out, n_chars = [], 0
+            yield _parsed(out)
 
-    return files.select("path", "content").mapInPandas(parse, "filename string, status string, page int, text string")
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(parse, "filename string, status string, page int, text string")
+
+
+def _parsed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"filename": pa.string(), "status": pa.string(), "page": pa.int32(), "text": pa.string()}
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
 def read_documents(spark: SparkSession, folder: str, most_chars: int | None = MOST_CHARS) -> DataFrame:

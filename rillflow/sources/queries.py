@@ -6,11 +6,11 @@ import html
 import io
 import uuid
 import zipfile
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from rillflow.plans.lineage import shared_dir
 from rillflow.session import table
@@ -19,6 +19,8 @@ from rillflow.sources.tables import admit, append, apply_updates, delete_with_ch
 
 #: Chunks of one JSON list: lists grow in number with the table, not in length.
 CHUNKS_A_FILE = 500
+#: Word-processor files that are made before they are handed on.
+FILES_AT_A_TIME = 64
 
 
 def q_keyed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,18 +74,22 @@ def q_knowledge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("chunk_id", named.alias("document_id"), F.coalesce("title", F.lit("-")).alias("title"), F.length("text").alias("n_chars"))
 
 
-@F.pandas_udf(BinaryType())
-def _as_word_file(texts: pd.Series) -> pd.Series:
-    """Texts as word-processor files, a paragraph for each line."""
+def _word_file(text: str) -> bytes:
+    """A text as a word-processor file, a paragraph for each line."""
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{html.escape(line, quote=False)}</w:t></w:r></w:p>' for line in text.split("\n"))
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as files:
+        files.writestr("word/document.xml", f"<w:document><w:body>{body}</w:body></w:document>")
+    return box.getvalue()
 
-    def pack(text: str) -> bytes:
-        body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{html.escape(line, quote=False)}</w:t></w:r></w:p>' for line in text.split("\n"))
-        box = io.BytesIO()
-        with zipfile.ZipFile(box, "w") as files:
-            files.writestr("word/document.xml", f"<w:document><w:body>{body}</w:body></w:document>")
-        return box.getvalue()
 
-    return texts.map(pack)
+def _as_word_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, text) as (path, content), a few files at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, FILES_AT_A_TIME):
+            part = batch.slice(at, FILES_AT_A_TIME)
+            content = [None if t is None else _word_file(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary())], names=["path", "content"])
 
 
 def q_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +97,8 @@ def q_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kind = F.col("doc_id") % 4
     ending = F.when(kind < 2, ".txt").when(kind == 2, ".docx").otherwise(F.when(F.col("doc_id") % 8 == 3, ".docx").otherwise(".pdf"))
-    content = F.when(kind == 2, _as_word_file(F.when(kind == 2, F.col("text")).otherwise(""))).otherwise(F.col("text").cast("binary"))
-    files = docs.select(F.concat(F.lit("folder/"), F.col("doc_id").cast("string"), ending).alias("path"), content.alias("content"))
+    named = docs.select(F.concat(F.lit("folder/"), F.col("doc_id").cast("string"), ending).alias("path"), "text", F.coalesce(kind == 2, F.lit(False)).alias("as_word"))
+    files = named.filter("as_word").select("path", "text").mapInArrow(_as_word_files, "path string, content binary").unionByName(named.filter("not as_word").select("path", F.col("text").cast("binary").alias("content")))
     return parse_files(files, 20_000).select("filename", "status", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 

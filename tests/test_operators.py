@@ -12,6 +12,7 @@ from rillflow.operators.along import carry_forward, over_history
 from rillflow.operators.selection import FrameSelector, SelectionParams, SelectionState, select_rows
 from rillflow.operators.series import suppress_near
 from rillflow.sources import knowledge, tables
+from tests.oracle import SMALL
 
 
 def test_sessions_merge_at_the_gap_and_ignore_other_names(spark):
@@ -337,3 +338,15 @@ def test_chains_are_joined_without_the_driver(spark):
     starts = chains.chain_starts(placed, "key", "at", F.col("t"), F.col("t") + 5, at_limit=True)
     assert sorted(r.row for r in starts.collect()) == list(range(1, 40, 5))
     assert "Broadcast" not in chains.with_starts(placed, starts, "key", "at", "no")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_document_files_take_texts_one_by_one(spark):
+    """No stage turns a whole batch of texts to objects, and files of more characters than are held at a time keep all their rows."""
+    from rillflow.sources import queries
+
+    plan = queries.q_document_files(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "ArrowEvalPython" not in plan
+    long = "x" * (knowledge.PARSED_CHARS // 2 + 1)
+    files = spark.createDataFrame([(f"f/{k}.txt", (str(k) + long).encode() if k % 5 else b"") for k in range(11)], "path string, content binary").coalesce(1)
+    got = {r.filename: (r.status, r.n, r.first) for r in knowledge.parse_files(files, None).select("filename", "status", F.length("text").alias("n"), F.substring("text", 1, 1).alias("first")).collect()}
+    assert got == {f"{k}.txt": ("ready", len(str(k)) + len(long), str(k)[0]) if k % 5 else ("error", None, None) for k in range(11)}
