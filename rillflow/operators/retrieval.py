@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillflow.functions.text import content_tokens, content_tokens_py, search_words, stem, strip, turkish_lower, turkish_lower_py
+from rillflow.functions.text import TOKEN, content_tokens_py, search_words, strip, turkish_lower, turkish_lower_py
 from rillflow.functions.values import LEAST_RELEVANCE, STOP_WORDS, W_KEYWORD, W_LEXICAL, W_METADATA, W_PHRASE, W_SEMANTIC
 from rillflow.session import table
 
@@ -112,17 +112,23 @@ def search_vectors(vectors: DataFrame, id_col: str, vector: str, queries: DataFr
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def lexical_overlap(query_tokens: list[str], found: Column) -> Column:
-    """Share of the query's content tokens that are among the found ones, as they are or by their first five characters."""
+def lexical_overlap(query_tokens: list[str], lowered: Column) -> Column:
+    """Share of the query's content tokens that are among those of a Turkish-lowered text, as they are or by their first five characters.
+
+    The text is searched for the query's few stems, not cut into all its tokens.
+    """
     if not query_tokens:
         return F.lit(0.0)
-    # a long query token matches by its stem; a short one is its own stem
-    stems = F.transform(found, stem)
-    hits = F.array_intersect(stems, F.array(*[F.lit(t[:5]) for t in query_tokens]))
+    chars = TOKEN.removesuffix("+")
+
+    def found(low: str) -> Column:
+        # a stem of five characters stands for all tokens that begin with it but stop words; a shorter one is the whole token
+        others = "|".join(w for w in STOP_WORDS if w.startswith(low))
+        ends = (f"(?!(?:{others})(?!{chars}))" if others else "", low, "") if len(low) == 5 else ("", low, f"(?!{chars})")
+        return F.contains(lowered, F.lit(low)) & lowered.rlike(f"(?<!{chars})" + "".join(ends))
+
     weights = Counter(t[:5] for t in query_tokens)
-    if max(weights.values()) == 1:
-        return F.size(hits) / len(query_tokens)
-    return F.aggregate(hits, F.lit(0), lambda n, t: n + F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), t)) / len(query_tokens)
+    return sum((F.when(found(t), n).otherwise(0) for t, n in weights.items()), F.lit(0)) / len(query_tokens)
 
 
 def relevance(candidates: DataFrame, query: str, content: str, semantic: str, title: str, article: str, keywords: list[str]) -> DataFrame:
@@ -132,12 +138,12 @@ def relevance(candidates: DataFrame, query: str, content: str, semantic: str, ti
     keyword = sum((F.contains(normal, F.lit(turkish_lower_py(w))).cast("int") for w in keywords), F.lit(0)) / len(keywords) if keywords else F.lit(0.0)
     number = turkish_lower(F.col(article).cast("string"))
     bounded = (number != "") & F.regexp_like(F.lit(low), F.concat(F.lit(r"(?<!\w)\Q"), number, F.lit(r"\E(?!\w)")))
-    metadata = 0.5 * F.when(F.col(title).isNotNull(), lexical_overlap(query_tokens, content_tokens(turkish_lower(F.col(title))))).otherwise(0.0) + 0.5 * bounded.cast("double")
+    metadata = 0.5 * F.when(F.col(title).isNotNull(), lexical_overlap(query_tokens, turkish_lower(F.col(title)))).otherwise(0.0) + 0.5 * bounded.cast("double")
     phrase = F.contains(normal, F.lit(low.strip())).cast("double") if len(low.strip()) >= 4 else F.lit(0.0)
     return (
         candidates.withColumn("__normal", turkish_lower(F.col(content)))
         .withColumn("semantic_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), semantic)))
-        .withColumn("lexical_score", lexical_overlap(query_tokens, content_tokens(normal)))
+        .withColumn("lexical_score", lexical_overlap(query_tokens, normal))
         .withColumn("keyword_score", keyword)
         .withColumn("metadata_score", metadata)
         .withColumn("phrase_score", phrase)

@@ -350,3 +350,19 @@ def test_document_files_take_texts_one_by_one(spark):
     files = spark.createDataFrame([(f"f/{k}.txt", (str(k) + long).encode() if k % 5 else b"") for k in range(11)], "path string, content binary").coalesce(1)
     got = {r.filename: (r.status, r.n, r.first) for r in knowledge.parse_files(files, None).select("filename", "status", F.length("text").alias("n"), F.substring("text", 1, 1).alias("first")).collect()}
     assert got == {f"{k}.txt": ("ready", len(str(k)) + len(long), str(k)[0]) if k % 5 else ("error", None, None) for k in range(11)}
+
+
+def test_lexical_overlap_without_cutting_texts(spark):
+    """Shares as from all content tokens of the text: stems, whole short tokens, neighbours of other alphabets, stop words that begin like a stem."""
+    query = ["general", "genel", "12", "work", "olara", "şart"]
+    stems = [q[:5] for q in query]
+    pieces = ["general", "generic", "xgeneral", "genelde", "12", "112", "12a", "work", "works", "é12é", "olarak", "olaraklar", "şart", "şartı", "ab", "-", "WORK"]
+    rng = random.Random(2)
+    texts = ["", None, *[rng.choice([" ", "-", "\n", "é"]).join(rng.choices(pieces, k=rng.randrange(1, 5))) for _ in range(300)]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").withColumn("low", T.turkish_lower(F.col("t")))
+    share = df.select("k", retrieval.lexical_overlap(query, F.col("low")).alias("s"))
+    got = {r.k: r.s for r in share.collect()}
+    for k, t in enumerate(texts):
+        found = {x[:5] for x in T.content_tokens_py(t)}
+        assert got[k] == pytest.approx(sum(s in found for s in stems) / len(query)), t
+    assert "regexp_extract_all" not in share._jdf.queryExecution().executedPlan().toString()
